@@ -19,7 +19,8 @@ def preview(logs: DataFrame, lines: int = PREVIEW_LINES) -> DataFrame:
     side moves a whole container.
     """
     rank = F.row_number().over(W.partitionBy(SOURCE).orderBy(*PLACE))
-    first = logs.withColumn("line_no", rank).filter(F.col("line_no") <= lines)
+    first = (logs.withColumn("line_no", rank).filter(F.col("line_no") <= lines)
+             .withColumn("line_no", F.col("line_no").cast("long")))
     counts = logs.groupBy(SOURCE).agg(F.count(F.lit(1)).alias("_rows"))
     return (first.join(counts, SOURCE)
             .withColumn("more_lines", F.greatest(F.col("_rows") - lines, F.lit(0)).cast("long"))

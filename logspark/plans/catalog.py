@@ -27,7 +27,7 @@ Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
 
 COUNTER = byte_tokens(0.25)
-MAX_TOKENS = 5000
+MAX_TOKENS = 4750
 EVENT_CHUNK = 60
 DOC_CHUNK = 400
 RETENTION_DAYS = 14
