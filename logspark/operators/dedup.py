@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
@@ -37,30 +37,31 @@ def _segment_runs(logs: DataFrame, threshold: int) -> DataFrame:
     """The first ``threshold - 1`` rows of each run inside a segment, with the run's length.
 
     ``_pos`` is the row's offset in its run, ``_n`` the run length, ``_head`` / ``_tail`` tell
-    whether the run touches the segment's start / end. Every window shares one ordering.
+    whether the run touches the segment's start / end. Both windows share one ordering: the first
+    leaves each run its first rows and its last one, the second looks up that last one.
     """
     here = W.partitionBy(SOURCE, "segment").orderBy("seq")
-    numbered = logs.withColumns({
-        "_row": F.row_number().over(here),
-        "_starts": ~F.lag("message").over(here).eqNullSafe(F.col("message"))
-                   | F.lag("seq").over(here).isNull(),
-        "_ends": ~F.lead("message").over(here).eqNullSafe(F.col("message"))
-                 | F.lead("seq").over(here).isNull(),
-        "_last": F.lead("seq").over(here).isNull(),
-    })
-    so_far = here.rowsBetween(W.unboundedPreceding, W.currentRow)
-    start = F.last(F.when(F.col("_starts"), F.col("_row")), ignorenulls=True).over(so_far)
-    positioned = (numbered.withColumn("_start", start)
-                  .withColumn("_pos", F.col("_row") - F.col("_start"))
-                  .filter((F.col("_pos") < threshold - 1) | F.col("_ends")))
-    # The run's last row is the row itself or one of the next few that are left.
-    end = F.when(F.col("_ends"), F.struct((F.col("_pos") + 1).alias("n"),
-                                          F.col("_last").alias("tail")))
+    message = F.col("message")
+
+    def breaks(step: int) -> Column:
+        """Whether the row ``step`` places away (before or behind) is none or differs."""
+        return (~F.lag("message", step).over(here).eqNullSafe(message)
+                | F.lag("seq", step).over(here).isNull())
+
+    offset = F.when(breaks(1), 0)
+    for step in range(2, threshold):
+        offset = offset.when(breaks(step), step - 1)
+    first_rows = logs.withColumns({
+        "_row": F.row_number().over(here), "_pos": offset, "_ends": breaks(-1),
+        "_tail": F.lead("seq").over(here).isNull(),
+    }).filter(F.col("_pos").isNotNull() | F.col("_ends"))
+    end = F.when(F.col("_ends"), F.struct("_row", "_tail"))
     nearest = F.coalesce(end, *[F.lead(end, i).over(here) for i in range(1, threshold)])
-    return (positioned.withColumn("_run", nearest)
-            .filter(F.col("_pos") < threshold - 1)
-            .withColumns({"_n": F.col("_run.n").cast("long"), "_tail": F.col("_run.tail"),
-                          "_head": F.col("_start") == 1}))
+    start = F.col("_row") - F.col("_pos")
+    return (first_rows.withColumn("_end", nearest)
+            .filter(F.col("_pos").isNotNull())
+            .withColumns({"_n": (F.col("_end._row") - start + 1).cast("long"),
+                          "_tail": F.col("_end._tail"), "_head": start == 1}))
 
 
 def _join_ends(ends: DataFrame, threshold: int) -> DataFrame:

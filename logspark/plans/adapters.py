@@ -58,7 +58,9 @@ def user_name(user_id: Column) -> Column:
 def event_logs(spark: SparkSession, folder: str, span: int = SEGMENT_SPAN) -> DataFrame:
     """Events as logs: a container per user, the event type as message, in event order."""
     e = read(spark, folder, "events")
-    stamp = F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss.SSSSSS'Z'")
+    text = F.translate(F.col("ts").cast("string"), " ", "T")
+    dotted = F.when(F.char_length(text) == 19, F.concat(text, F.lit("."))).otherwise(text)
+    stamp = F.concat(F.rpad(dotted, 26, "0"), F.lit("Z"))
     logs = e.select(
         F.col("user_id").cast("string").alias(SOURCE), user_name(F.col("user_id")).alias("name"),
         F.col("event_id").alias("seq"), stamp.alias("ts_raw"), "ts",
