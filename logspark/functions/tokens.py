@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 from dataclasses import dataclass
 
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -43,8 +44,6 @@ def bpe_tokens(load_encoding: Callable[[], object]) -> TokenCounter:
 
     It runs once per Python worker, where the vocabulary has to be installed.
     """
-    import pandas as pd
-
     @F.pandas_udf("long")
     def count(texts: pd.Series) -> pd.Series:
         encoding = _encoding(load_encoding)

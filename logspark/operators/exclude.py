@@ -75,7 +75,7 @@ def exclude_by_table(logs: DataFrame, rules: DataFrame) -> DataFrame:
     """
     in_force = (rules.filter(F.col("enabled") & (F.size("patterns") > 0))
                 .select("name", F.col("patterns").alias("_patterns")))
-    hit = F.exists("_patterns", lambda p: F.col("message").rlike(p))
+    hit = F.exists("_patterns", lambda p: F.rlike(F.col("message"), p))
     return (logs.join(in_force, "name", "left")
             .filter(~F.coalesce(hit, F.lit(False))).drop("_patterns").select(*logs.columns))
 

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.readwriter import DataFrameReader
+from pyspark.sql.streaming import DataStreamReader
 
 from ..functions import parse as P
 
@@ -27,27 +29,32 @@ def parse_lines(raw: DataFrame, line: str = "value") -> DataFrame:
                     P.line_message(F.col("_line")).alias("message")))
 
 
-def read_log_files(spark: SparkSession, path: str, container: Column | None = None) -> DataFrame:
-    """Log rows of text files; each file is one container unless ``container`` says otherwise.
-
-    Files are split and read in parallel. A split is a segment: the file's name and the split's
-    offset place it, and rows of a split are numbered in reading order. ``container`` is a column
-    over ``_path``; files of one container follow each other by path.
-    """
-    return parse_lines(place_lines(spark.read.option("lineSep", "\n").text(path), container))
+def scan_lines(reader: DataFrameReader | DataStreamReader, path: str) -> DataFrame:
+    """Lines of text files, in batch or as a stream, with the file and split they come from."""
+    return reader.option("lineSep", "\n").text(path).select(
+        "value", F.col("_metadata.file_path").alias("_path"),
+        F.col("_metadata.file_block_start").alias("_start"))
 
 
 def place_lines(lines: DataFrame, container: Column | None = None) -> DataFrame:
-    """Place the lines of a text scan (batch or stream) by file, split and reading order."""
-    placed = lines.select(
-        F.col("_metadata.file_path").alias("_path"),
-        F.format_string("%s#%020d", F.col("_metadata.file_path"),
-                        F.col("_metadata.file_block_start")).alias("segment"),
-        F.monotonically_increasing_id().alias("seq"), "value")
+    """Scanned lines as log rows; each file is one container unless ``container`` says otherwise.
+
+    Files are split and read in parallel. A split is a segment: the file's path and the split's
+    offset place it, and its rows are numbered in reading order. ``container`` is a column over
+    ``_path``; files of one container follow each other by path. On a stream, place the lines of
+    each micro-batch.
+    """
     owner = container if container is not None else F.regexp_extract("_path", r"([^/]+)$", 1)
     owner = F.regexp_replace(owner, r"\.log$", "")
-    return placed.select(owner.alias("container_id"), owner.alias("name"), "segment", "seq",
-                         "value")
+    return parse_lines(lines.select(
+        owner.alias("container_id"), owner.alias("name"),
+        F.format_string("%s#%020d", "_path", "_start").alias("segment"),
+        F.monotonically_increasing_id().alias("seq"), "value"))
+
+
+def read_log_files(spark: SparkSession, path: str, container: Column | None = None) -> DataFrame:
+    """Log rows of text files."""
+    return place_lines(scan_lines(spark.read, path), container)
 
 
 def split_lines(rows: DataFrame, text: str, key: str, group: int = 4096) -> DataFrame:

@@ -11,14 +11,18 @@ from pyspark.sql.streaming import StreamingQuery
 from ..model import STATE
 from ..operators import cursor
 from ..session import materialize
+from ..sources.logs import place_lines
 from ..sources.tables import VersionedTable
 
 
-def scan_stream(logs: DataFrame, state_path: str, checkpoint: str,
+def scan_stream(stream: DataFrame, state_path: str, checkpoint: str,
                 handle: Callable[[DataFrame, int], None], now: Callable[[], datetime],
-                ) -> StreamingQuery:
+                to_logs: Callable[[DataFrame], DataFrame] = place_lines) -> StreamingQuery:
     """Hand each micro-batch's new lines to ``handle(lines, batch_id)`` and move the cursors.
 
+    ``stream`` comes from :func:`sources.logs.scan_lines`, or from any source together with its own
+    ``to_logs``, which turns a micro-batch into log rows.
+
     Runs of repeats and chunks stay within a batch, as they stay within a scan. The state table's
     version is the batch id: a batch run again after a failure starts from the same state and
     replaces what it wrote, so ``handle`` should key its own output by ``batch_id`` too. Unseen
@@ -28,9 +32,9 @@ def scan_stream(logs: DataFrame, state_path: str, checkpoint: str,
 
     def batch(rows: DataFrame, batch_id: int) -> None:
         state = table.read(rows.sparkSession, before=batch_id)
-        lines = materialize(cursor.new_lines(rows, state, now()), f"batch-{batch_id}")
+        lines = materialize(cursor.new_lines(to_logs(rows), state, now()), f"batch-{batch_id}")
         handle(lines, batch_id)
         table.write(cursor.advance(state, lines), batch_id)
 
-    return (logs.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint)
+    return (stream.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint)
             .trigger(availableNow=True).start())
