@@ -10,10 +10,8 @@ STDOUT = "stdout"
 FRAME_HEADER_BYTES = 8
 FRAME_STREAMS = {1: "stdout", 2: "stderr"}
 
-_RFC3339 = (
-    r"^(\d{4}-\d{2}-\d{2})T([01]\d|2[0-3])(:\d{2}:\d{2})(?:[.,](\d+))?"
-    r"(?:Z|([+-])(\d{2}):([0-5]\d))\z"
-)
+_RFC3339 = (r"^\d{4}-\d{2}-\d{2}T(?:[01]\d|2[0-3]):\d{2}:\d{2}(?:[.,]\d+)?"
+            r"(?:Z|[+-]\d{2}:[0-5]\d)\z")
 
 
 def _framed(line: Column) -> Column:
@@ -56,13 +54,12 @@ def rfc3339(text: Column) -> Column:
     Built from the local part and the offset, so it does not depend on the session time zone.
     Digits beyond microseconds are dropped.
     """
-    def part(i: int) -> Column:
-        return F.regexp_extract(text, _RFC3339, i)
-
-    micros = F.substring(F.rpad(part(4), 6, "0"), 1, 6)
-    local = F.concat(part(1), F.lit("T"), part(2), part(3), F.lit("."), micros)
-    sign = F.when(part(5) == "-", -1).otherwise(1)
-    hours = F.coalesce(part(6).try_cast("int"), F.lit(0)) * sign
-    minutes = F.coalesce(part(7).try_cast("int"), F.lit(0)) * sign
-    offset = F.make_dt_interval(F.lit(0), hours, minutes, F.lit(0))
-    return F.when(text.rlike(_RFC3339), local.try_cast("timestamp_ntz") - offset)
+    n = F.char_length(text)
+    utc = text.endswith("Z")
+    clock = F.substr(text, F.lit(1), F.when(utc, n - 1).otherwise(n - 6))
+    local = F.left(F.replace(clock, F.lit(","), F.lit(".")), F.lit(26)).try_cast("timestamp_ntz")
+    sign = F.when(F.substr(text, n - 5, F.lit(1)) == "-", -1).otherwise(1)
+    hours = F.substr(text, n - 4, F.lit(2)).try_cast("int") * sign
+    minutes = F.right(text, F.lit(2)).try_cast("int") * sign
+    shifted = local - F.make_dt_interval(F.lit(0), hours, minutes, F.lit(0))
+    return F.when(text.rlike(_RFC3339), F.when(utc, local).otherwise(shifted))

@@ -64,6 +64,10 @@ def budget_line(ts_raw: Column, message: Column) -> Column:
     return F.concat(F.lit("["), ts_raw, F.lit("] "), message, F.lit("\n"))
 
 
+def budget_line_bytes(ts_raw: Column, message: Column) -> Column:
+    return (F.octet_length(ts_raw) + F.octet_length(message) + 4).cast("long")
+
+
 def repeat_marker(count: Column, message: Column) -> Column:
     return F.format_string(REPEAT_FORMAT, count, message)
 

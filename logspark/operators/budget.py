@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import prompts as P
-from ..functions.render import budget_line, log_line_bytes
+from ..functions.render import budget_line, budget_line_bytes, log_line_bytes
 from ..functions.render import log_line as render_line
 from ..functions.text import sanitize
 from ..functions.tokens import TokenCounter
@@ -28,12 +28,16 @@ def priced_lines(flagged: DataFrame, counter: TokenCounter) -> DataFrame:
     """
     ts, message = F.col("ts_raw"), F.col("message")
     kept = ~F.col("excluded")
-    size = (log_line_bytes(ts, message) if counter.of_bytes
-            else counter.of_text(render_line(ts, message)))
+    if counter.of_bytes:  # no line is built only to be measured
+        tokens = counter.of_bytes(budget_line_bytes(ts, message))
+        size = log_line_bytes(ts, message)
+    else:
+        tokens = counter.of_text(budget_line(ts, message))
+        size = counter.of_text(render_line(ts, message))
     return flagged.select(
         SOURCE, "name", "segment", "seq", "ts_raw", "run_len", "excluded",
         F.when(kept, message).alias("message"),
-        F.when(kept, counter.of_text(budget_line(ts, message))).alias("tokens"),
+        F.when(kept, tokens).alias("tokens"),
         F.when(kept, size).alias("text_size"),
     )
 
@@ -86,9 +90,17 @@ def budget(stats: DataFrame, counter: TokenCounter, max_tokens: int = MAX_TOKENS
     })
 
 
-def lines_to_pack(priced: DataFrame, budgets: DataFrame) -> DataFrame:
-    """Kept lines with their rendered text and their container's chunk limit."""
-    limits = budgets.select(SOURCE, "chunk_limit")
-    return (priced.filter(~F.col("excluded")).join(limits, SOURCE)
-            .select(SOURCE, "name", "segment", "seq", "tokens", "chunk_limit",
-                    render_line(F.col("ts_raw"), F.col("message")).alias("line")))
+def lines_to_pack(priced: DataFrame, limits: DataFrame | int) -> DataFrame:
+    """Kept lines with their rendered text and their container's chunk limit.
+
+    ``limits`` has a ``chunk_limit`` per container, or is one limit for all.
+    """
+    kept = priced.filter(~F.col("excluded"))
+    if isinstance(limits, int):
+        # not a bare literal, which Catalyst would move out of the shared shuffle of the packing
+        limited = kept.withColumn("chunk_limit", F.when(F.col("tokens").isNotNull(), limits)
+                                  .cast("long"))
+    else:
+        limited = kept.join(limits.select(SOURCE, "chunk_limit"), SOURCE)
+    return limited.select(SOURCE, "name", "segment", "seq", "tokens", "chunk_limit",
+                          render_line(F.col("ts_raw"), F.col("message")).alias("line"))

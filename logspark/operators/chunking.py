@@ -213,7 +213,10 @@ def chunk_marks(lines: DataFrame) -> DataFrame:
     """
     longs = T.LongType()
     segment = lines.schema["segment"].dataType
-    slim = (lines.filter(F.col("chunk_limit").isNotNull())
+    # The null checks are those Catalyst infers for the join below; stated for both uses, they leave
+    # one shuffle to be read twice.
+    given = [F.col(c).isNotNull() for c in (SOURCE, "segment", "chunk_limit")]
+    slim = (lines.filter(given[0] & given[1] & given[2])
             .select(SOURCE, "segment", "seq", "tokens", "chunk_limit")
             .repartition(SOURCE, "segment"))
     order = (SOURCE, "segment", "seq")

@@ -7,7 +7,7 @@ from datetime import datetime, timedelta
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..model import SOURCE, ZERO_TIME, place
+from ..model import SOURCE, ZERO_TIME
 
 # Fixed value: how far back the first scan of a container reads.
 FIRST_SCAN = timedelta(hours=1)
@@ -53,10 +53,13 @@ def last_times(logs: DataFrame, empty_resets: bool = True) -> DataFrame:
     A last row without a timestamp yields the zero time (``empty_resets=False`` leaves the container
     out); one that does not parse leaves the container out.
     """
-    last = logs.groupBy(SOURCE).agg(F.max_by(F.struct("name", "ts_raw", "ts"), place()).alias("l"))
     zero = F.lit(ZERO_TIME).cast("timestamp_ntz") if empty_resets else F.lit(None)
-    time = F.when(F.col("l.ts_raw") == "", zero).otherwise(F.col("l.ts"))
-    return (last.select(SOURCE, F.col("l.name").alias("name"), time.alias("last_scan"),
+    time = F.when(F.col("ts_raw") == "", zero).otherwise(F.col("ts"))
+    # Fixed-width values first, so the pass over the rows is a hash aggregation without a sort; the
+    # last segment is then found among one row per segment.
+    segments = logs.groupBy(SOURCE, "name", "segment").agg(F.max_by(time, "seq").alias("_time"))
+    last = segments.groupBy(SOURCE).agg(F.max_by(F.struct("name", "_time"), "segment").alias("l"))
+    return (last.select(SOURCE, F.col("l.name").alias("name"), F.col("l._time").alias("last_scan"),
                         F.lit("").alias("log_cursor"))
             .filter(F.col("last_scan").isNotNull()))
 

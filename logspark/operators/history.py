@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from datetime import datetime, timedelta
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.classify import service_status
@@ -21,11 +21,15 @@ RETENTION_DAYS = (1, 365)
 
 def prune(history: DataFrame, now: datetime, retention_days: int) -> DataFrame:
     """Drop entries strictly older than the retention period; entries without a time are kept."""
+    return history.filter(_in_retention(now, retention_days))
+
+
+def _in_retention(now: datetime, days: int) -> Column:
     low, high = RETENTION_DAYS
-    if not low <= retention_days <= high:
-        raise ValueError(f"retention_days must be between {low} and {high}, got {retention_days}")
-    cutoff = F.lit((now - timedelta(days=retention_days)).isoformat(sep=" ")).cast("timestamp_ntz")
-    return history.filter(F.col("scan_ts").isNull() | (F.col("scan_ts") >= cutoff))
+    if not low <= days <= high:
+        raise ValueError(f"retention days must be between {low} and {high}, got {days}")
+    cutoff = F.lit((now - timedelta(days=days)).isoformat(sep=" ")).cast("timestamp_ntz")
+    return F.col("scan_ts").isNull() | (F.col("scan_ts") >= cutoff)
 
 
 def entries(results: DataFrame, now: datetime) -> DataFrame:
@@ -44,10 +48,10 @@ def append(history: DataFrame, results: DataFrame, now: datetime,
     A service without a new result keeps its entries untouched, as nothing rewrites them.
     """
     new = entries(results, now)
-    scanned = new.select("name").distinct()
-    touched = prune(history.join(scanned, "name", "left_semi"), now, retention_days)
-    untouched = history.join(scanned, "name", "left_anti")
-    return untouched.unionByName(touched).unionByName(new.select(*history.columns))
+    scanned = new.select("name", F.lit(True).alias("_scanned")).distinct()
+    kept = (history.join(scanned, "name", "left")
+            .filter(F.col("_scanned").isNull() | _in_retention(now, retention_days)))
+    return kept.select(*history.columns).unionByName(new.select(*history.columns))
 
 
 def parse_markdown(files: DataFrame) -> DataFrame:

@@ -50,11 +50,14 @@ def first_requests(budgets: DataFrame, chunks: DataFrame, scan_id: str,
     lines was kept still gets its request, with an empty text.
     """
     c = F.col
-    rows = (budgets.filter(c("strategy") != EMPTY)
-            .join(chunks.drop("name"), SOURCE, "left")
-            .withColumns({"chunk_index": F.coalesce("chunk_index", F.lit(0)),
-                          "chunk_total": F.coalesce("chunk_total", F.lit(1)),
-                          "text": F.coalesce("text", F.lit(""))}))
+    about = (SOURCE, "name", "strategy", "processed_count", "instructions")
+    # An inner join, so that either side can be split when one container has most of the chunks.
+    filled = budgets.select(*about).join(
+        chunks.select(SOURCE, "chunk_index", "chunk_total", "text"), SOURCE)
+    blank = (budgets.filter((c("strategy") == DIRECT) & (c("lines_kept") == 0))
+             .select(*about, F.lit(0).cast("long").alias("chunk_index"),
+                     F.lit(1).cast("long").alias("chunk_total"), F.lit("").alias("text")))
+    rows = filled.unionByName(blank)
     direct = c("strategy") == DIRECT
     user = (F.when(direct, P.analysis_prompt(prompts, c("name"), c("text"), c("processed_count")))
             .otherwise(P.chunk_summary_prompt(prompts, c("name"), c("chunk_index") + 1,

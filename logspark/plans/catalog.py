@@ -112,8 +112,7 @@ def filter_stats(spark, folder):
 def _chunked(logs: DataFrame, filters, limit: int) -> DataFrame:
     flagged = exclude.flag_excluded(dedup.collapse_repeats(logs), filters)
     lines = materialize(B.priced_lines(flagged, COUNTER), "lines")
-    limits = lines.select(SOURCE).distinct().withColumn("chunk_limit", F.lit(limit).cast("long"))
-    return chunking.chunk_texts(chunking.assign_chunks(B.lines_to_pack(lines, limits)))
+    return chunking.chunk_texts(chunking.assign_chunks(B.lines_to_pack(lines, limit)))
 
 
 @query("q07_greedy_chunks")
@@ -321,7 +320,8 @@ def _obsolete(spark, folder) -> tuple[cleanup.Stores, DataFrame]:
     stores = cleanup.Stores(A.state(spark, folder), A.store(spark, folder, "error"),
                             A.store(spark, folder, "purchase"), A.store(spark, folder, "click"))
     names = cleanup.stored_names(stores.kb, stores.reports, stores.llm_logs)
-    return stores, cleanup.find_obsolete(stores.state, A.live(spark, folder), names)
+    found = cleanup.find_obsolete(stores.state, A.live(spark, folder), names)
+    return stores, materialize(found, "obsolete")
 
 
 @query("q18_obsolete")

@@ -56,3 +56,13 @@ def materialize(df: DataFrame, label: str) -> DataFrame:
     path = f"{shared_folder(spark)}/logspark-{run}/{label}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def settings_for(input_bytes: int, partition_bytes: int = 512 << 20) -> dict[str, str]:
+    """:data:`SETTINGS` with the shuffle sized to the input: ``partition_bytes`` per partition.
+
+    AQE merges partitions that turn out small but never splits a plain shuffle further, so the
+    number has to start high enough.
+    """
+    partitions = max(200, -(-input_bytes // partition_bytes))
+    return SETTINGS | {"spark.sql.shuffle.partitions": str(partitions)}

@@ -19,9 +19,11 @@ def parse_lines(raw: DataFrame, line: str = "value") -> DataFrame:
     A frame header is removed first. ``stream`` is always stdout, as the header's stream id is not
     used; ``stream_decoded`` tells it. Empty lines are kept.
     """
-    text = P.strip_frame_header(F.regexp_replace(F.col(line), r"\r\z", ""))
+    raw_line = F.col(line)
+    text = P.strip_frame_header(F.when(
+        raw_line.endswith("\r"), F.left(raw_line, F.char_length(raw_line) - 1)).otherwise(raw_line))
     rest = [c for c in raw.columns if c != line]
-    return (raw.select(*rest, P.frame_stream(F.col(line)).alias("stream_decoded"),
+    return (raw.select(*rest, P.frame_stream(raw_line).alias("stream_decoded"),
                        text.alias("_line"))
             .select(*rest, P.line_timestamp(F.col("_line")).alias("ts_raw"),
                     P.rfc3339(P.line_timestamp(F.col("_line"))).alias("ts"),
