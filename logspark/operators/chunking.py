@@ -176,14 +176,14 @@ def _starts(schema: pa.Schema):
         for container, segment, cols in _segments(batches):
             entry = cols["entry"][0]
             open_ = not (entry is None or np.isnan(entry))
-            chunk = int(cols["first_chunk"][0])
+            chunk, total = int(cols["first_chunk"][0]), int(cols["chunk_total"][0])
             seqs = cols["seq"]
             starts = chunk_starts(cols["tokens"], int(cols["chunk_limit"][0]),
                                   int(entry) if open_ else None)
             if not starts or starts[0] > 0:  # the segment begins inside a chunk
-                rows.append((container, segment, int(seqs[0]), chunk))
+                rows.append((container, segment, int(seqs[0]), chunk, total))
             for i, at in enumerate(starts):
-                rows.append((container, segment, int(seqs[at]), chunk + i + open_))
+                rows.append((container, segment, int(seqs[at]), chunk + i + open_, total))
             while len(rows) >= 8192:
                 yield _batch(rows[:8192], schema)
                 rows = rows[8192:]
@@ -230,12 +230,13 @@ def chunk_marks(lines: DataFrame) -> DataFrame:
                                ("last_chunk", longs))
     entries = (functions.repartition(SOURCE).sortWithinPartitions(SOURCE, "segment")
                .mapInArrow(_entries(entry_pa), entry))
+    total = F.max("last_chunk").over(W.partitionBy(SOURCE)) + 1
+    entries = entries.withColumn("chunk_total", total).drop("last_chunk")
 
-    start, start_pa = _schemas(segment, ("seq", longs), ("chunk_index", longs))
-    starts = (slim.join(entries.drop("last_chunk"), [SOURCE, "segment"])
-              .sortWithinPartitions(*order).mapInArrow(_starts(start_pa), start))
-    totals = entries.groupBy(SOURCE).agg((F.max("last_chunk") + 1).alias("chunk_total"))
-    return starts.join(totals, SOURCE)
+    start, start_pa = _schemas(segment, ("seq", longs), ("chunk_index", longs),
+                               ("chunk_total", longs))
+    return (slim.join(entries, [SOURCE, "segment"]).sortWithinPartitions(*order)
+            .mapInArrow(_starts(start_pa), start))
 
 
 def assign_chunks(lines: DataFrame) -> DataFrame:
