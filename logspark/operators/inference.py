@@ -31,7 +31,8 @@ def messages(system: Column, user: Column) -> Column:
 
 
 def _request(scan_id: str, kind: Column, index: Column, total: Column, system: Column, user: Column,
-             reply_tokens: Column) -> list[Column]:
+             reply_tokens: Column, text_tokens: Column | None = None) -> list[Column]:
+    """The request columns; ``n_logs`` and ``token_count`` tell what the packing put into it."""
     return [
         F.concat_ws("/", F.lit(scan_id), F.col(SOURCE), kind, index.cast("string"))
         .alias("request_id"),
@@ -39,24 +40,29 @@ def _request(scan_id: str, kind: Column, index: Column, total: Column, system: C
         index.cast("long").alias("chunk_index"), total.cast("long").alias("chunk_total"),
         messages(system, user).alias("messages"),
         F.lit(TEMPERATURE).alias("temperature"), reply_tokens.cast("int").alias("max_tokens"),
+        F.col("n_logs"), F.col("token_count"),
+        (F.lit(None) if text_tokens is None else text_tokens).cast("long").alias("text_tokens"),
     ]
 
 
-def first_requests(budgets: DataFrame, chunks: DataFrame, scan_id: str,
+def first_requests(budgets: DataFrame, chunks: DataFrame, scan_id: str, counter: TokenCounter,
                    prompts: P.Prompts = P.Prompts()) -> DataFrame:
     """One analysis request per direct container, one summary request per chunk otherwise.
 
     ``chunks`` comes from :func:`operators.chunking.chunk_texts`. A direct container none of whose
-    lines was kept still gets its request, with an empty text.
+    lines was kept still gets its request, with an empty text. ``text_tokens`` counts a chunk's text.
     """
     c = F.col
     about = (SOURCE, "name", "strategy", "processed_count", "instructions")
     # An inner join, so that either side can be split when one container has most of the chunks.
     filled = budgets.select(*about).join(
-        chunks.select(SOURCE, "chunk_index", "chunk_total", "text"), SOURCE)
+        chunks.select(SOURCE, "chunk_index", "chunk_total", "text", "n_logs", "token_count"),
+        SOURCE)
     blank = (budgets.filter((c("strategy") == DIRECT) & (c("lines_kept") == 0))
              .select(*about, F.lit(0).cast("long").alias("chunk_index"),
-                     F.lit(1).cast("long").alias("chunk_total"), F.lit("").alias("text")))
+                     F.lit(1).cast("long").alias("chunk_total"), F.lit("").alias("text"),
+                     F.lit(0).cast("long").alias("n_logs"),
+                     F.lit(0).cast("long").alias("token_count")))
     rows = filled.unionByName(blank)
     direct = c("strategy") == DIRECT
     user = (F.when(direct, P.analysis_prompt(prompts, c("name"), c("text"), c("processed_count")))
@@ -65,7 +71,8 @@ def first_requests(budgets: DataFrame, chunks: DataFrame, scan_id: str,
     return rows.select(*_request(
         scan_id, F.when(direct, DIRECT).otherwise(CHUNK), c("chunk_index"), c("chunk_total"),
         P.system_prompt(prompts, c("instructions")), user,
-        F.when(direct, ANALYSIS_REPLY_TOKENS).otherwise(CHUNK_REPLY_TOKENS)))
+        F.when(direct, ANALYSIS_REPLY_TOKENS).otherwise(CHUNK_REPLY_TOKENS),
+        F.when(~direct, counter.of_text(c("text")))))
 
 
 def error_text(error: Column) -> Column:
@@ -134,7 +141,7 @@ def next_level(answered: DataFrame) -> DataFrame:
         SOURCE, "name", "chunk_index", "chunk_total", F.col("content").alias("summary"))
 
 
-def results(budgets: DataFrame, requests: DataFrame, chunks: DataFrame, responses: DataFrame,
+def results(budgets: DataFrame, requests: DataFrame, responses: DataFrame,
             counter: TokenCounter) -> DataFrame:
     """One row per analysed container; a container with any failed request is left out.
 
@@ -143,14 +150,10 @@ def results(budgets: DataFrame, requests: DataFrame, chunks: DataFrame, response
     """
     c = F.col
     answered = unwrap(requests, responses)
-    chunk_tokens = chunks.select(
-        SOURCE, "chunk_index", F.lit(CHUNK).alias("kind"),
-        counter.of_text(c("text")).alias("_text_tokens"))
-    priced = answered.join(chunk_tokens, [SOURCE, "chunk_index", "kind"], "left")
-    spent = F.when(c("kind") == CHUNK, c("_text_tokens") + counter.of_text(c("content"))).otherwise(
+    spent = F.when(c("kind") == CHUNK, c("text_tokens") + counter.of_text(c("content"))).otherwise(
         c("usage_tokens"))
     final = (c("kind") == DIRECT) | (c("kind").startswith(SYNTHESIS) & (c("chunk_total") == 1))
-    outcome = priced.groupBy(SOURCE).agg(
+    outcome = answered.groupBy(SOURCE).agg(
         F.max(F.when(final, c("content"))).alias("_content"),
         F.sum(spent).alias("tokens_used"),
         F.count_if(c("kind").isin(DIRECT, CHUNK)).alias("chunks_used"),

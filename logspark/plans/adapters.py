@@ -205,16 +205,13 @@ def history(spark: SparkSession, folder: str) -> DataFrame:
         F.concat(F.lit("entry "), F.col("event_id").cast("string")).alias("analysis"))
 
 
-def responses(chunks: DataFrame, requests: DataFrame) -> DataFrame:
-    """Answers to chunk and direct requests, derived from the chunks they are about.
+def responses(requests: DataFrame) -> DataFrame:
+    """Answers to chunk and direct requests, derived from the lines they are about.
 
-    Chunks of a single line get no choices, so their containers fail.
+    Requests about a single line get no choices, so their containers fail.
     """
-    about = requests.join(chunks.select(SOURCE, "chunk_index", "n_logs", "token_count"),
-                          [SOURCE, "chunk_index"], "left")
-    n = F.coalesce("n_logs", F.lit(0)).cast("long")
-    tokens = F.coalesce("token_count", F.lit(0)).cast("long")
-    return _answers(about, F.concat(F.lit("**Summary**: "), n.cast("string"), F.lit(" lines, "),
+    n, tokens = F.col("n_logs"), F.col("token_count")
+    return _answers(requests, F.concat(F.lit("**Summary**: "), n.cast("string"), F.lit(" lines, "),
                                     tokens.cast("string"), F.lit(" tokens")), tokens, n, n == 1)
 
 

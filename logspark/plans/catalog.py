@@ -169,7 +169,7 @@ def _flat(requests: DataFrame) -> DataFrame:
 def _rounds(spark, folder) -> tuple[Prepared, DataFrame, DataFrame]:
     """Preparation, all requests and all responses of a scan of the events."""
     prepared = _prepared(spark, folder)
-    first = A.responses(prepared.chunks, prepared.requests)
+    first = materialize(A.responses(prepared.requests), "responses")
     second = materialize(second_requests(prepared, first, options()), "synthesis")
     requests = prepared.requests.unionByName(second)
     return prepared, requests, first.unionByName(A.synthesis_responses(second))
@@ -178,7 +178,7 @@ def _rounds(spark, folder) -> tuple[Prepared, DataFrame, DataFrame]:
 @query("q09b_synthesis_requests")
 def synthesis_requests(spark, folder):
     prepared = _prepared(spark, folder)
-    first = A.responses(prepared.chunks, prepared.requests)
+    first = A.responses(prepared.requests)
     return _flat(second_requests(prepared, first, options()))
 
 
@@ -186,7 +186,7 @@ def synthesis_requests(spark, folder):
 def synthesis_packed(spark, folder):
     prepared = _prepared(spark, folder)
     summaries = materialize(inference.chunk_summaries(
-        prepared.requests, A.responses(prepared.chunks, prepared.requests)), "summaries")
+        prepared.requests, A.responses(prepared.requests)), "summaries")
     packed = inference.synthesis_requests(summaries, prepared.budgets, "scan", COUNTER,
                                           SYNTHESIS_TOKENS)
     return _flat(packed).select(SOURCE, "chunk_index", "chunk_total", "user_text")
@@ -195,14 +195,14 @@ def synthesis_packed(spark, folder):
 @query("q09d_results")
 def results(spark, folder):
     prepared, requests, responses = _rounds(spark, folder)
-    return inference.results(prepared.budgets, requests, prepared.chunks, responses, COUNTER)
+    return inference.results(prepared.budgets, requests, responses, COUNTER)
 
 
 @query("q09e_failed_containers")
 def failed_containers(spark, folder):
     prepared = _prepared(spark, folder)
     return inference.failed_containers(prepared.requests,
-                                       A.responses(prepared.chunks, prepared.requests))
+                                       A.responses(prepared.requests))
 
 
 @query("q09f_interactions")
@@ -252,7 +252,7 @@ def scan_totals(spark, folder):
 @query("q12b_reports")
 def reports(spark, folder):
     prepared, requests, responses = _rounds(spark, folder)
-    rows = inference.results(prepared.budgets, requests, prepared.chunks, responses, COUNTER)
+    rows = inference.results(prepared.budgets, requests, responses, COUNTER)
     return rows.select("name", report_path("/reports", F.col("name"), A.NOW).alias("path"),
                        report(A.NOW).alias("content"))
 

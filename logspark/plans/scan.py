@@ -33,11 +33,10 @@ class ScanOptions:
 
 @dataclass(frozen=True)
 class Prepared:
-    """Priced lines (written down) and what follows from them."""
+    """Priced lines, budgets and first requests, all written down."""
 
     lines: DataFrame
     budgets: DataFrame
-    chunks: DataFrame
     requests: DataFrame
 
 
@@ -45,17 +44,18 @@ def prepare(logs: DataFrame, options: ScanOptions, ignore: DataFrame | None = No
     """Collapse repeats, then exclude, then budget, pack and build the first requests.
 
     The order is fixed: the repeat marker changes what the patterns see. The priced lines are
-    written once, because the budget, the packing and the texts each read other columns of them.
+    written once, because the budget, the packing and the texts each read other columns of them;
+    the requests are written as the table that goes out to inference.
     """
     flagged = exclude.flag_excluded(dedup.collapse_repeats(logs), options.filters)
     lines = materialize(B.priced_lines(flagged, options.counter), "lines")
     stats = B.with_instructions(B.container_stats(lines), ignore)
     budgets = materialize(B.budget(stats, options.counter, options.max_tokens, options.prompts),
                           "budgets")
-    chunks = materialize(
-        chunking.chunk_texts(chunking.assign_chunks(B.lines_to_pack(lines, budgets))), "chunks")
-    requests = inference.first_requests(budgets, chunks, options.scan_id, options.prompts)
-    return Prepared(lines, budgets, chunks, requests)
+    chunks = chunking.chunk_texts(chunking.assign_chunks(B.lines_to_pack(lines, budgets)))
+    requests = inference.first_requests(budgets, chunks, options.scan_id, options.counter,
+                                        options.prompts)
+    return Prepared(lines, budgets, materialize(requests, "requests"))
 
 
 def second_requests(prepared: Prepared, responses: DataFrame, options: ScanOptions) -> DataFrame:
@@ -82,8 +82,7 @@ def finish(logs: DataFrame, prepared: Prepared, requests: DataFrame, responses:
 
     A dry run writes nothing, and a scan with a lookback leaves the cursors alone.
     """
-    results = inference.results(prepared.budgets, requests, prepared.chunks, responses,
-                                options.counter)
+    results = inference.results(prepared.budgets, requests, responses, options.counter)
     if options.dry_run:
         return results
     spark = logs.sparkSession

@@ -83,7 +83,7 @@ def test_budget_edge(logs_of):
 def test_limit_below_zero_gives_a_line_per_chunk(logs_of):
     prepared = scan.prepare(logs_of(rows("web", "a", "b", "c", "d")), options(max_tokens=500))
     assert budget_of(prepared)["web"].chunk_limit == -(3505 // 2)  # toward zero
-    assert prepared.chunks.count() == 4
+    assert prepared.requests.count() == 4
     first = prepared.requests.orderBy("chunk_index").first()
     assert (first.kind, first.max_tokens, first.messages[1].content) == ("chunk", 2000, "C 1/4\n[t] a\n")
 
@@ -98,7 +98,7 @@ def test_nothing_left_and_no_room(logs_of, spark):
     opts = options(filters={"web": LineFilter((".",))}, max_tokens=10)
     prepared = scan.prepare(logs_of(rows("web", "a")), opts)
     assert prepared.requests.count() == 0
-    got = inference.results(prepared.budgets, prepared.requests, prepared.chunks, answers(spark), opts.counter)
+    got = inference.results(prepared.budgets, prepared.requests, answers(spark), opts.counter)
     r = got.first()
     assert (r.analysis, r.tokens_used, r.chunks_used) == (inference.NOTHING_PROCESSED, 0, 0)
 
@@ -129,9 +129,8 @@ def test_two_rounds(spark, logs_of):
     assert second[0].messages[1].content == "Y\n" + parts
     requests = prepared.requests.unionByName(scan.second_requests(prepared, answers(spark, *replies), opts))
     responses = answers(spark, *replies, reply(second[0].request_id, "final", 100))
-    got = {r.name: r for r in inference.results(prepared.budgets, requests, prepared.chunks, responses,
-                                                opts.counter).collect()}
-    texts = sum(len(c.text) for c in prepared.chunks.filter("container_id = 'big'").collect())
+    got = {r.name: r for r in inference.results(prepared.budgets, requests, responses, opts.counter).collect()}
+    texts = sum(len(f"[t] message {i}\n") for i in range(6))
     assert (got["big"].analysis, got["big"].chunks_used) == ("final", 6)
     assert got["big"].tokens_used == texts + 6 * len("sum 0") + 100
     assert (got["small"].analysis, got["small"].tokens_used, got["small"].chunks_used) == ("fine", 150, 1)
@@ -146,7 +145,7 @@ def test_one_failed_chunk_fails_its_container(spark, logs_of, broken):
     replies += [reply("scan/small/direct/0", "fine")] + ([broken] if broken else [])
     responses = answers(spark, *replies)
     assert scan.second_requests(prepared, responses, opts).count() == 0
-    got = inference.results(prepared.budgets, prepared.requests, prepared.chunks, responses, opts.counter)
+    got = inference.results(prepared.budgets, prepared.requests, responses, opts.counter)
     assert [r.name for r in got.collect()] == ["small"]
     failed = inference.unwrap(prepared.requests, responses).filter("failure IS NOT NULL").collect()
     expected = {"c1: bad"} if broken and broken[3] else {"no choices in response"} if broken else {"no response"}
@@ -159,7 +158,7 @@ def test_failed_synthesis_fails_its_container(spark, logs_of):
     opts, prepared = chunked(logs_of)
     replies = [reply(f"scan/big/chunk/{i}", "s") for i in range(6)]
     second = scan.second_requests(prepared, answers(spark, *replies), opts)
-    got = inference.results(prepared.budgets, prepared.requests.unionByName(second), prepared.chunks,
+    got = inference.results(prepared.budgets, prepared.requests.unionByName(second),
                             answers(spark, *replies, reply("scan/big/synthesis/0", "", choices=0)), opts.counter)
     assert got.count() == 0
 
