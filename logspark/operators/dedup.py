@@ -51,17 +51,19 @@ def _segment_runs(logs: DataFrame, threshold: int) -> DataFrame:
     offset = F.when(breaks(1), 0)
     for step in range(2, threshold):
         offset = offset.when(breaks(step), step - 1)
+    last = F.lead("seq").over(here).isNull()
     first_rows = logs.withColumns({
-        "_row": F.row_number().over(here), "_pos": offset, "_ends": breaks(-1),
-        "_tail": F.lead("seq").over(here).isNull(),
+        "_row": F.row_number().over(here), "_pos": offset, "_ends": breaks(-1), "_last": last,
     }).filter(F.col("_pos").isNotNull() | F.col("_ends"))
-    end = F.when(F.col("_ends"), F.struct("_row", "_tail"))
+    # The number of the run's last row, negative if that row is the segment's last as well.
+    number = F.when(F.col("_last"), -F.col("_row")).otherwise(F.col("_row"))
+    end = F.when(F.col("_ends"), number)
     nearest = F.coalesce(end, *[F.lead(end, i).over(here) for i in range(1, threshold)])
     start = F.col("_row") - F.col("_pos")
     return (first_rows.withColumn("_end", nearest)
             .filter(F.col("_pos").isNotNull())
-            .withColumns({"_n": (F.col("_end._row") - start + 1).cast("long"),
-                          "_tail": F.col("_end._tail"), "_head": start == 1}))
+            .withColumns({"_n": (F.abs("_end") - start + 1).cast("long"),
+                          "_tail": F.col("_end") < 0, "_head": start == 1}))
 
 
 def _join_ends(ends: DataFrame, threshold: int) -> DataFrame:

@@ -171,6 +171,19 @@ def ignore(spark: SparkSession, folder: str) -> DataFrame:
         F.format_string(IGNORE_TEXT, "kind").alias("instructions"))
 
 
+def rules(spark: SparkSession, folder: str) -> DataFrame:
+    """A filter table: users with a strong signup leave out their last and collapsed first kind."""
+    e = read(spark, folder, "events")
+    users = e.groupBy("user_id").agg(
+        F.max_by("event_type", "event_id").alias("last"),
+        F.min_by("event_type", "event_id").alias("first"),
+        F.bool_or((F.col("event_type") == "signup") & (F.col("value") > STRONG)).alias("enabled"))
+    return users.select(
+        user_name(F.col("user_id")).alias("name"), "enabled",
+        F.array(F.concat(F.lit("^"), "last", F.lit("$")),
+                F.concat(F.lit(r"^\[REPEAT x[0-9]+\] "), "first")).alias("patterns"))
+
+
 def analyses(spark: SparkSession, folder: str) -> DataFrame:
     """An analysis text per user, shaped by the kind of the user's last event."""
     e = read(spark, folder, "events")

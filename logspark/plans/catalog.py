@@ -102,6 +102,13 @@ def regex_exclude_documents(spark, folder):
     return rows.select(SOURCE, "segment", "seq", "message", "run_len")
 
 
+@query("q05c_exclude_by_table")
+def exclude_by_table(spark, folder):
+    rows = exclude.exclude_by_table(dedup.collapse_repeats(A.event_logs(spark, folder)),
+                                    A.rules(spark, folder))
+    return rows.select(SOURCE, "name", "seq", "message", "run_len")
+
+
 @query("q06_filter_stats")
 def filter_stats(spark, folder):
     rows = exclude.flag_excluded(dedup.collapse_repeats(A.doc_logs(spark, folder)), A.DOC_FILTERS)

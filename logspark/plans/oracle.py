@@ -336,6 +336,14 @@ ORACLE["q05_regex_exclude"] = _with(EVENT_LOGS, DEDUP, flagged(A.EVENT_FILTERS))
     "SELECT container_id, name, seq, message, run_len FROM flagged WHERE NOT excluded")
 ORACLE["q05b_regex_exclude_documents"] = _with(DOC_LOGS, DEDUP, flagged(A.DOC_FILTERS)) + (
     "SELECT container_id, segment, seq, message, run_len FROM flagged WHERE NOT excluded")
+ORACLE["q05c_exclude_by_table"] = _with(EVENT_LOGS, DEDUP, f"""rules AS (
+  SELECT 'app/user-' || user_id AS name, arg_max(event_type, event_id) AS last,
+         arg_min(event_type, event_id) AS first,
+         bool_or(event_type = 'signup' AND value > {A.STRONG}) AS enabled
+  FROM events GROUP BY user_id)""") + """
+SELECT d.container_id, d.name, d.seq, d.message, d.run_len FROM dedup d JOIN rules r ON r.name = d.name
+WHERE NOT (enabled AND (message = last
+           OR regexp_matches(message, '^\\[REPEAT x[0-9]+\\] ' || first)))"""
 ORACLE["q06_filter_stats"] = _with(DOC_LOGS, DEDUP, flagged(A.DOC_FILTERS)) + """,
 counted AS (
   SELECT container_id, name, count(*) AS lines_total, count(*) FILTER (excluded) AS lines_filtered,
