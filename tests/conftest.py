@@ -15,7 +15,7 @@ TESTDATA = "/root/testdata/sf0.001"
 
 @pytest.fixture(scope="session")
 def spark(tmp_path_factory):
-    builder = SparkSession.builder.master("local[4]").appName("tests")
+    builder = SparkSession.builder.master("local[8]").appName("tests")
     session = (apply_settings(builder)
                .config("spark.sql.shuffle.partitions", "4")
                .config("spark.ui.enabled", "false")
