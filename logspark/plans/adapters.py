@@ -57,7 +57,10 @@ def user_name(user_id: Column) -> Column:
 
 def event_logs(spark: SparkSession, folder: str, span: int = SEGMENT_SPAN) -> DataFrame:
     """Events as logs: a container per user, the event type as message, in event order."""
-    e = read(spark, folder, "events")
+    return events_to_logs(read(spark, folder, "events"), span)
+
+
+def events_to_logs(e: DataFrame, span: int = SEGMENT_SPAN) -> DataFrame:
     text = F.translate(F.col("ts").cast("string"), " ", "T")
     dotted = F.when(F.char_length(text) == 19, F.concat(text, F.lit("."))).otherwise(text)
     stamp = F.concat(F.rpad(dotted, 26, "0"), F.lit("Z"))
@@ -68,6 +71,12 @@ def event_logs(spark: SparkSession, folder: str, span: int = SEGMENT_SPAN) -> Da
     return with_segment(logs, span)
 
 
+def event_stream(spark: SparkSession, folder: str) -> DataFrame:
+    """The event files as a stream."""
+    schema = read(spark, folder, "events").schema
+    return spark.readStream.schema(schema).option("pathGlobFilter", "events*.parquet").parquet(folder)
+
+
 def order_logs(spark: SparkSession, folder: str, span: int = SEGMENT_SPAN) -> DataFrame:
     """Orders as logs: a container per priority, the status as message."""
     o = read(spark, folder, "orders")

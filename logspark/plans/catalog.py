@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 from datetime import timedelta
 
@@ -13,13 +14,15 @@ from ..functions import prompts as P
 from ..functions import text as X
 from ..functions.render import kb_entry, one_decimal, report, report_path
 from ..functions.tokens import byte_tokens
-from ..model import SOURCE, place
+from ..model import SOURCE, STATE, place
 from ..operators import budget as B
 from ..operators import (chunking, cleanup, cursor, dedup, exclude, history, inference, preview,
                          summary)
 from ..operators import state as S
-from ..session import materialize
+from ..session import materialize, shared_folder
 from ..sources import containers as K
+from ..sources.tables import VersionedTable
+from ..streaming.incremental import scan_stream
 from . import adapters as A
 from .scan import Prepared, ScanOptions, prepare, second_requests
 
@@ -389,6 +392,31 @@ def text_functions(spark, folder):
         X.mask_secret(secret).alias("secret"), X.mask_url(url).alias("url"))
 
 
+def _streamed(spark, folder) -> tuple[str, VersionedTable]:
+    """Stream the event files through scans; collapsed lines per batch, and the state table."""
+    base = f"{shared_folder(spark)}/stream-{uuid.uuid4().hex}"
+    table = VersionedTable(f"{base}/state", STATE)
+    table.write(A.state(spark, folder), -1)  # the state before the first batch
+
+    def handle(rows, batch_id):
+        dedup.collapse_repeats(rows).write.parquet(f"{base}/lines/batch={batch_id}", "overwrite")
+
+    scan_stream(A.event_stream(spark, folder), table.path, f"{base}/checkpoint", handle,
+                lambda: A.NOW, A.events_to_logs).awaitTermination()
+    return f"{base}/lines", table
+
+
+@query("q25_stream_scan")
+def stream_scan(spark, folder):
+    rows = spark.read.parquet(_streamed(spark, folder)[0])
+    return rows.select(SOURCE, "name", "seq", "ts", "message", "run_len")
+
+
+@query("q25b_stream_state")
+def stream_state(spark, folder):
+    return _streamed(spark, folder)[1].read(spark)
+
+
 @query("q23_latest_per_name")
 def latest_per_name(spark, folder):
     logs = A.event_logs(spark, folder).select(

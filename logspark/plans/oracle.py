@@ -473,6 +473,11 @@ SELECT container_id, container_id AS name,
 FROM (SELECT CAST(user_id AS VARCHAR) AS container_id, arg_max(event_type, event_id) AS event_type,
              arg_max(ts, event_id) AS ts FROM events GROUP BY user_id)
 WHERE event_type <> 'purchase'"""
+# A stream that finds all files at once is one scan; a second one would start at the moved cursors.
+ORACLE["q25_stream_scan"] = _with(EVENT_LOGS, STATE, NEW_LINES, DEDUP.replace(
+    "FROM logs WINDOW", "FROM new_lines WINDOW")) + (
+    "SELECT container_id, name, seq, ts, message, run_len FROM dedup")
+ORACLE["q25b_stream_state"] = ORACLE["q14_cursor_upsert"]
 _ANALYSIS_PART = "'### ' || name || chr(10) || analysis || chr(10) || chr(10)"
 _EXECUTIVE = f"""
 SELECT 'scan//executive/' || chunk_index AS request_id, '' AS container_id, '' AS name,

@@ -7,9 +7,11 @@ from dataclasses import dataclass, field
 from datetime import datetime, timedelta
 
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from ..functions.prompts import Prompts
 from ..functions.tokens import TokenCounter, byte_tokens
+from ..model import SOURCE
 from ..operators import budget as B
 from ..operators import chunking, cursor, dedup, exclude, history, inference, summary
 from ..operators.exclude import LineFilter
@@ -76,6 +78,13 @@ class Stores:
     interactions: str | None = None
 
 
+def executive(results: DataFrame, options: ScanOptions) -> DataFrame:
+    """The request for the summary over all containers; one result per name, the last one."""
+    named = inference.latest_per_name(results, F.col(SOURCE))
+    return summary.executive_requests(named, options.scan_id, options.counter,
+                                      options.max_tokens - B.RESPONSE_RESERVE, options.prompts)
+
+
 def finish(logs: DataFrame, prepared: Prepared, requests: DataFrame, responses: DataFrame,
            options: ScanOptions, stores: Stores) -> DataFrame:
     """Results of all rounds; writes reports, history, dashboard, interaction log and cursors.
@@ -91,7 +100,8 @@ def finish(logs: DataFrame, prepared: Prepared, requests: DataFrame, responses:
     stores.history.write(history.append(stores.history.read(spark), results, options.now,
                                         options.retention_days))
     if not results.isEmpty():
-        write_dashboard(summary.dashboard(results, options.now), stores.dashboard)
+        named = inference.latest_per_name(results, F.col(SOURCE))
+        write_dashboard(summary.dashboard(named, options.now), stores.dashboard)
     if stores.interactions:
         write_interactions(inference.interactions(requests, responses, options.now),
                            stores.interactions)

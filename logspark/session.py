@@ -65,4 +65,7 @@ def settings_for(input_bytes: int, partition_bytes: int = 512 << 20) -> dict[str
     number has to start high enough.
     """
     partitions = max(200, -(-input_bytes // partition_bytes))
-    return SETTINGS | {"spark.sql.shuffle.partitions": str(partitions)}
+    return SETTINGS | {
+        "spark.sql.shuffle.partitions": str(partitions),
+        "spark.sql.adaptive.coalescePartitions.parallelismFirst": "false",
+    }

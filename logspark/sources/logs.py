@@ -42,7 +42,8 @@ def place_lines(lines: DataFrame, container: Column | None = None) -> DataFrame:
     """Scanned lines as log rows; each file is one container unless ``container`` says otherwise.
 
     Files are split and read in parallel. A split is a segment: the file's path and the split's
-    offset place it, and its rows are numbered in reading order. ``container`` is a column over
+    offset place it, and its rows are numbered in reading order. (Compressed files that cannot be
+    split are read whole, as one segment.) ``container`` is a column over
     ``_path``; files of one container follow each other by path. On a stream, place the lines of
     each micro-batch.
     """

@@ -183,6 +183,14 @@ def test_packed_synthesis_converges(spark, logs_of):
     assert got[0].messages[1].content.index("part 0") < got[0].messages[1].content.index("part 1")
 
 
+def test_executive_request_takes_one_result_per_name(spark):
+    rows = spark.createDataFrame([("1", "web", "old"), ("2", "web", "new"), ("3", "db", "d")],
+                                 "container_id string, name string, analysis string")
+    prompts = Prompts(executive="{{.ContainerCount}}\n{{.ContainerAnalyses}}")
+    got = scan.executive(rows, options(prompts=prompts)).first()
+    assert got.messages[1].content == "2\n### db\nd\n\n### web\nnew\n\n"
+
+
 # ---- the whole scan -------------------------------------------------------------------------
 
 def stores(tmp_path):
