@@ -20,7 +20,8 @@ CHUNK_DIVISOR = 2
 DIRECT, CHUNKED, EMPTY = "direct", "chunked", "empty"
 
 
-def priced_lines(flagged: DataFrame, counter: TokenCounter) -> DataFrame:
+def priced_lines(flagged: DataFrame, counter: TokenCounter,
+                 keep: tuple[str, ...] = ()) -> DataFrame:
     """Flagged lines with what budget and packing need; excluded lines lose their message.
 
     ``tokens`` is the price of a line in a chunk and ``text_size`` its share of the whole text:
@@ -38,7 +39,7 @@ def priced_lines(flagged: DataFrame, counter: TokenCounter) -> DataFrame:
         SOURCE, "name", "segment", "seq", "ts_raw", "run_len", "excluded",
         F.when(kept, message).alias("message"),
         F.when(kept, tokens).alias("tokens"),
-        F.when(kept, size).alias("text_size"),
+        F.when(kept, size).alias("text_size"), *keep,
     )
 
 

@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from ..functions.render import repeat_marker
 from ..model import PLACE, SOURCE
+from ..session import materialize
 
 # Fixed value: the shortest run that is collapsed.
 REPEAT_THRESHOLD = 3
@@ -33,6 +36,28 @@ def collapse_repeats(logs: DataFrame, threshold: int = REPEAT_THRESHOLD) -> Data
     return _collapsed(inner, columns, threshold).unionByName(_collapsed(ends, columns, threshold))
 
 
+def collapse_and_write(logs: DataFrame, finish: Callable[[DataFrame], DataFrame],
+                       threshold: int = REPEAT_THRESHOLD) -> DataFrame:
+    """:func:`collapse_repeats` and a row-wise ``finish``, written down for several later reads.
+
+    The input is shuffled, sorted and read once. Rows of runs inside a segment are final when they
+    are written; the few of runs that touch a segment's end go to files of their own, together with
+    what they were, and are joined up from there. ``finish`` passes ``_edge`` and ``_raw`` on.
+    """
+    runs = _segment_runs(logs, threshold)
+    raw = [*logs.columns, "_pos", "_n", "_head", "_tail"]
+    edge = F.col("_head") | F.col("_tail")
+    marked = runs.withColumns({"_edge": edge, "_raw": F.when(edge, F.struct(*raw))})
+    rows = materialize(finish(_collapsed(marked, [*logs.columns, "_edge", "_raw"], threshold)),
+                       "lines", partition_by=("_edge",))
+    ends = _join_ends(rows.filter("_edge").select("_raw.*"), threshold)
+    none = {"_edge": F.lit(True), "_raw": F.lit(None)}
+    joined = finish(_collapsed(ends, logs.columns, threshold).withColumns(none))
+    final = [c for c in rows.columns if c not in none]
+    return rows.filter(~F.col("_edge")).select(*final).unionByName(
+        materialize(joined.select(*final), "ends"))
+
+
 def _segment_runs(logs: DataFrame, threshold: int) -> DataFrame:
     """The first ``threshold - 1`` rows of each run inside a segment, with the run's length.
 

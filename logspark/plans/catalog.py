@@ -24,7 +24,7 @@ from ..sources import containers as K
 from ..sources.tables import VersionedTable
 from ..streaming.incremental import scan_stream
 from . import adapters as A
-from .scan import Prepared, ScanOptions, prepare, second_requests
+from .scan import Prepared, ScanOptions, prepare, second_requests, written_lines
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -120,8 +120,7 @@ def filter_stats(spark, folder):
 
 
 def _chunked(logs: DataFrame, filters, limit: int) -> DataFrame:
-    flagged = exclude.flag_excluded(dedup.collapse_repeats(logs), filters)
-    lines = materialize(B.priced_lines(flagged, COUNTER), "lines")
+    lines = written_lines(logs, filters, COUNTER)
     return chunking.chunk_texts(chunking.assign_chunks(B.lines_to_pack(lines, limit)))
 
 

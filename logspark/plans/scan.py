@@ -42,6 +42,15 @@ class Prepared:
     requests: DataFrame
 
 
+def written_lines(logs: DataFrame, filters: Mapping[str, LineFilter],
+                  counter: TokenCounter) -> DataFrame:
+    """Lines collapsed, flagged and priced, as a written table."""
+    def finish(rows: DataFrame) -> DataFrame:
+        return B.priced_lines(exclude.flag_excluded(rows, filters), counter, ("_edge", "_raw"))
+
+    return dedup.collapse_and_write(logs, finish)
+
+
 def prepare(logs: DataFrame, options: ScanOptions, ignore: DataFrame | None = None) -> Prepared:
     """Collapse repeats, then exclude, then budget, pack and build the first requests.
 
@@ -49,8 +58,7 @@ def prepare(logs: DataFrame, options: ScanOptions, ignore: DataFrame | None = No
     written once, because the budget, the packing and the texts each read other columns of them;
     the requests are written as the table that goes out to inference.
     """
-    flagged = exclude.flag_excluded(dedup.collapse_repeats(logs), options.filters)
-    lines = materialize(B.priced_lines(flagged, options.counter), "lines")
+    lines = written_lines(logs, options.filters, options.counter)
     stats = B.with_instructions(B.container_stats(lines), ignore)
     budgets = materialize(B.budget(stats, options.counter, options.max_tokens, options.prompts),
                           "budgets")

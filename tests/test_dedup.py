@@ -4,7 +4,7 @@ from itertools import groupby
 import pytest
 from pyspark.sql import functions as F
 
-from logspark.operators.dedup import collapse_repeats, dedup_stats
+from logspark.operators.dedup import collapse_and_write, collapse_repeats, dedup_stats
 
 
 def collapsed(rows, threshold=3):
@@ -101,3 +101,11 @@ def test_input_is_shuffled_once(spark, logs_of):
     df.collect()
     plan = df._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[0]
     assert plan.count("ReusedExchange") == 1
+
+
+@pytest.mark.parametrize("span", [1, 5, 1 << 20])
+def test_written_form_is_the_same(logs_of, span):
+    rng = random.Random(span)
+    rows = [(f"c{i % 7}", i, "", "stdout", rng.choice("aab")) for i in range(600)]
+    got = collapse_and_write(logs_of(rows, span), lambda df: df)
+    assert result(got) == collapsed(rows)
