@@ -27,12 +27,10 @@ def collapse_repeats(logs: DataFrame, threshold: int = REPEAT_THRESHOLD) -> Data
     end are then joined up per container from at most ``2 * threshold`` rows of each segment. Both
     branches read the same exchange, and no task ever sorts a whole container.
     """
-    if threshold < 2:
-        raise ValueError("threshold must be at least 2")
     columns = logs.columns
     runs = _segment_runs(logs, threshold)
     inner = runs.filter(~F.col("_head") & ~F.col("_tail"))
-    ends = _join_ends(runs.filter(F.col("_head") | F.col("_tail")), threshold)
+    ends = _join_ends(runs.filter(F.col("_head") | F.col("_tail")))
     return _collapsed(inner, columns, threshold).unionByName(_collapsed(ends, columns, threshold))
 
 
@@ -50,7 +48,7 @@ def collapse_and_write(logs: DataFrame, finish: Callable[[DataFrame], DataFrame]
     marked = runs.withColumns({"_edge": edge, "_raw": F.when(edge, F.struct(*raw))})
     rows = materialize(finish(_collapsed(marked, [*logs.columns, "_edge", "_raw"], threshold)),
                        "lines", partition_by=("_edge",))
-    ends = _join_ends(rows.filter("_edge").select("_raw.*"), threshold)
+    ends = _join_ends(rows.filter("_edge").select("_raw.*"))
     none = {"_edge": F.lit(True), "_raw": F.lit(None)}
     joined = finish(_collapsed(ends, logs.columns, threshold).withColumns(none))
     final = [c for c in rows.columns if c not in none]
@@ -65,6 +63,8 @@ def _segment_runs(logs: DataFrame, threshold: int) -> DataFrame:
     whether the run touches the segment's start / end. Both windows share one ordering: the first
     leaves each run its first rows and its last one, the second looks up that last one.
     """
+    if threshold < 2:
+        raise ValueError("threshold must be at least 2")
     here = W.partitionBy(SOURCE, "segment").orderBy("seq")
     message = F.col("message")
 
@@ -91,7 +91,7 @@ def _segment_runs(logs: DataFrame, threshold: int) -> DataFrame:
                           "_tail": F.col("_end") < 0, "_head": start == 1}))
 
 
-def _join_ends(ends: DataFrame, threshold: int) -> DataFrame:
+def _join_ends(ends: DataFrame) -> DataFrame:
     """Join runs across segment ends: lengths add up, later pieces become positions of the first."""
     order = W.partitionBy(SOURCE).orderBy(*PLACE)
     same_segment = F.lag("segment").over(order).eqNullSafe(F.col("segment"))

@@ -420,7 +420,6 @@ SELECT 3, name, '### ' || name || chr(10) || {ERRORS} || chr(10) FROM analyses W
 ORACLE["q12_scan_totals"] = _with(EVENT_LOGS, STATE, NEW_LINES) + (
     "SELECT count(DISTINCT container_id) AS scanned_containers, count(*) AS total_logs "
     "FROM new_lines")
-_NL = " || chr(10) || "
 ORACLE["q12b_reports"] = _with(*results_ctes(), recursive=True) + """
 SELECT name, '/reports/' || replace(name, '/', '_') || '/2024-01-31_00-00-00.md' AS path,
   '# Scan Report: ' || name || chr(10) || chr(10)

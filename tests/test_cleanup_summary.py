@@ -1,6 +1,5 @@
 from datetime import datetime
 
-from pyspark.sql import functions as F
 
 from logspark.functions.tokens import byte_tokens
 from logspark.model import STATE, place

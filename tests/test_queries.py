@@ -52,6 +52,31 @@ def test_entry(spark):
     assert entry.entry(spark).count() > 0
 
 
+SHUFFLED = {
+    "spark.sql.autoBroadcastJoinThreshold": "-1",
+    "spark.sql.adaptive.autoBroadcastJoinThreshold": "-1",
+    "spark.sql.adaptive.skewJoin.skewedPartitionFactor": "1.0",
+    "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": "1KB",
+    "spark.sql.adaptive.advisoryPartitionSizeInBytes": "8KB",
+}
+
+
+@pytest.mark.parametrize("name", ["q01_incremental_scan", "q05c_exclude_by_table", "q07_greedy_chunks",
+                                  "q09d_results", "q18_obsolete"])
+def test_query_without_broadcasts(spark, sql, name):
+    """As at scale: every join is a shuffle join, and skewed sides are split."""
+    before = {k: spark.conf.get(k) for k in SHUFFLED}
+    for key, value in SHUFFLED.items():
+        spark.conf.set(key, value)
+    try:
+        rows = [r.asDict() for r in entry.queries()[name](spark, TESTDATA).collect()]
+    finally:
+        for key, value in before.items():
+            spark.conf.set(key, value)
+    kinds, expected = sql(name)
+    assert ordered(rows, sorted(kinds)) == ordered(expected, sorted(kinds))
+
+
 @pytest.mark.parametrize("span", [1, 7, 64])
 def test_dedup_over_small_segments(spark, sql, span):
     columns = ("container_id", "seq", "ts_raw", "message", "run_len")

@@ -158,3 +158,10 @@ def test_stream_equals_batches(spark, tmp_path):
     assert [r.message for r in spark.read.parquet(f"{out}/batch=1").collect()] == ["[REPEAT x3] m2"]
     run()
     assert seen == [0, 1]  # nothing new, nothing done
+
+
+def test_shuffle_size_follows_the_input():
+    from logspark.session import settings_for
+
+    assert settings_for(1 << 30)["spark.sql.shuffle.partitions"] == "200"
+    assert settings_for(100 << 40)["spark.sql.shuffle.partitions"] == str(100 * 2048)
