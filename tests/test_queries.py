@@ -65,14 +65,14 @@ SHUFFLED = {
                                   "q09d_results", "q18_obsolete"])
 def test_query_without_broadcasts(spark, sql, name):
     """As at scale: every join is a shuffle join, and skewed sides are split."""
-    before = {k: spark.conf.get(k) for k in SHUFFLED}
+    before = {k: spark.conf.get(k, None) for k in SHUFFLED}
     for key, value in SHUFFLED.items():
         spark.conf.set(key, value)
     try:
         rows = [r.asDict() for r in entry.queries()[name](spark, TESTDATA).collect()]
     finally:
         for key, value in before.items():
-            spark.conf.set(key, value)
+            spark.conf.unset(key) if value is None else spark.conf.set(key, value)
     kinds, expected = sql(name)
     assert ordered(rows, sorted(kinds)) == ordered(expected, sorted(kinds))
 
