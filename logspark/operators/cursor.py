@@ -28,23 +28,30 @@ def lookback(logs: DataFrame, now: datetime, back: timedelta) -> DataFrame:
 
 
 def new_lines(logs: DataFrame, state: DataFrame, now: datetime, back: timedelta | None = None,
-              until: datetime | None = None, strict: bool = False) -> DataFrame:
+              until: datetime | None = None, strict: bool = False,
+              keep_untimed: bool = False) -> DataFrame:
     """Rows since each container's start time: lookback, else its cursor, else an hour ago.
 
     The oldest start time of all is applied first as a scalar that reaches the scan, so old files
     and row groups are skipped before the join. The join itself is left to Catalyst: a broadcast if
     the measured state is small, else a sort-merge join whose skewed side AQE splits.
+
+    Rows whose time did not parse cannot be placed and are left out; ``keep_untimed`` reads them
+    every time, for inputs that hold new lines only.
     """
+    untimed = F.col("ts").isNull() & keep_untimed
+    if back or until:
+        since = logs.filter(untimed | (F.col("ts") >= _ntz(now - back))) if back else logs
+        logs = since.filter(untimed | (F.col("ts") <= _ntz(until))) if until else since
     if back:
-        return since_time(logs, now - back, until)
+        return logs
     first = _ntz(now - FIRST_SCAN)
     floor = state.agg(F.least(F.coalesce(F.min("last_scan"), first), first)).scalar()
     cursors = state.select(SOURCE, F.col("last_scan").alias("_since"))
     start = F.coalesce("_since", first)
     wanted = (F.col("ts") > start) if strict else (F.col("ts") >= start)
-    rows = (logs.filter(F.col("ts") >= floor).join(cursors, SOURCE, "left")
-            .filter(wanted).select(*logs.columns))
-    return rows if until is None else rows.filter(F.col("ts") <= _ntz(until))
+    return (logs.filter(untimed | (F.col("ts") >= floor)).join(cursors, SOURCE, "left")
+            .filter(untimed | wanted).select(*logs.columns))
 
 
 def last_times(logs: DataFrame, empty_resets: bool = True) -> DataFrame:

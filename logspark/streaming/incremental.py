@@ -26,13 +26,15 @@ def scan_stream(stream: DataFrame, state_path: str, checkpoint: str,
     Runs of repeats and chunks stay within a batch, as they stay within a scan. The state table's
     version is the batch id: a batch run again after a failure starts from the same state and
     replaces what it wrote, so ``handle`` should key its own output by ``batch_id`` too. Unseen
-    containers start an hour before ``now``; late rows behind a cursor are not read.
+    containers start an hour before ``now``; late rows behind a cursor are not read. Lines whose
+    time did not parse are read with the batch they come in.
     """
     table = VersionedTable(state_path, STATE)
 
     def batch(rows: DataFrame, batch_id: int) -> None:
         state = table.read(rows.sparkSession, before=batch_id)
-        lines = materialize(cursor.new_lines(to_logs(rows), state, now()), f"batch-{batch_id}")
+        new = cursor.new_lines(to_logs(rows), state, now(), keep_untimed=True)
+        lines = materialize(new, f"batch-{batch_id}")
         handle(lines, batch_id)
         table.write(cursor.advance(state, lines), batch_id)
 

@@ -1,6 +1,7 @@
 """Budget, requests, results and the whole scan."""
 
 import json
+import random
 from datetime import datetime, timedelta
 
 import pytest
@@ -13,6 +14,7 @@ from logspark.operators import inference
 from logspark.operators.exclude import LineFilter
 from logspark.plans import scan
 from logspark.plans.scan import ScanOptions
+from logspark.sources.logs import read_log_files
 from logspark.sources.tables import VersionedTable
 
 NOW = datetime(2025, 6, 1, 12)
@@ -191,6 +193,25 @@ def test_executive_request_takes_one_result_per_name(spark):
     assert got.messages[1].content == "2\n### db\nd\n\n### web\nnew\n\n"
 
 
+def test_scan_of_log_files(spark, logs_of, tmp_path):
+    """Files cut into many splits give the requests that the same lines give in one piece."""
+    rng = random.Random(3)
+    texts = {"web": [rng.choice("aab") * rng.randint(1, 30) for _ in range(3000)], "db": ["x"] * 50}
+    for name, messages in texts.items():
+        (tmp_path / f"{name}.log").write_text("".join(f"t {m}\n" for m in messages))
+    opts = options(max_tokens=4400, filters={"web": LineFilter(("^b+$",))})
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "4000")
+    try:
+        split = scan.prepare(read_log_files(spark, str(tmp_path)), opts)
+        whole = scan.prepare(logs_of(sum((rows(n, *m) for n, m in texts.items()), [])), opts)
+        got, expected = ({r.request_id: r.messages[1].content for r in p.requests.collect()}
+                         for p in (split, whole))
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+    assert got == expected and len(got) > 50
+
+
 # ---- the whole scan -------------------------------------------------------------------------
 
 def stores(tmp_path):

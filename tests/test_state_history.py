@@ -48,6 +48,14 @@ def test_start_times(spark):
     assert {(r.container_id, r.seq) for r in until.collect()} == {("known", 1), ("known", 2)}
 
 
+def test_untimed_rows(spark):
+    rows = logs(spark, ("a", 0, ago(days=3)), ("a", 1, "Plain"), ("a", 2, NOW))
+    assert [r.seq for r in cursor.new_lines(rows, state(spark), NOW).collect()] == [2]
+    for back in (None, timedelta(minutes=5)):
+        kept = cursor.new_lines(rows, state(spark), NOW, back=back, until=NOW, keep_untimed=True)
+        assert sorted(r.seq for r in kept.collect()) == [1, 2]
+
+
 def test_empty_and_reset_state(spark):
     rows = logs(spark, ("a", 0, ago(days=300)), ("a", 1, NOW))
     assert cursor.new_lines(rows, state(spark), NOW).count() == 1
