@@ -75,11 +75,6 @@ def _prefix(tokens: np.ndarray) -> np.ndarray:
     return np.concatenate([np.zeros(1, dtype=np.int64), np.cumsum(tokens, dtype=np.int64)])
 
 
-def _next_starts(prefix: np.ndarray, at: np.ndarray, limit: int) -> np.ndarray:
-    """For chunks starting at lines ``at``: the first line of the next chunk (or the line count)."""
-    return np.maximum(np.searchsorted(prefix, prefix[at] + limit, side="right") - 1, at + 1)
-
-
 def exit_steps(tokens: np.ndarray, limit: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """The segment as a step function ``(lows, exits, cuts)`` of the tokens open at its start.
 
@@ -87,47 +82,47 @@ def exit_steps(tokens: np.ndarray, limit: int) -> tuple[np.ndarray, np.ndarray,
     ``low < open`` tells the tokens open at the end and the number of chunks started.
     """
     prefix = _prefix(tokens)
-    n = len(tokens)
+    n, sums = len(tokens), prefix.tolist()
     # Lines where the first cut can fall: up to the one reached with nothing open.
     reach = min(int(np.searchsorted(prefix[1:], limit, side="right")), n - 1)
+    # Follow the chunks from each of them until they meet a line already followed; every line is
+    # passed at most once.
+    exits, cuts = [0] * n, [0] * n
+    for first in range(reach, -1, -1):
+        path = _walk(sums, first, limit, cuts)
+        after = _next_start(sums, path[-1], limit) if path else n
+        rest, count = (exits[after], cuts[after]) if after < n else (0, 0)
+        if path and after >= n:
+            rest = sums[n] - sums[path[-1]]
+        for at in reversed(path):
+            count += 1
+            exits[at], cuts[at] = rest, count
     lows = limit - prefix[1:reach + 2]
-    position = np.arange(reach + 1)
-    cuts = np.ones(reach + 1, dtype=np.int64)
-    exits = np.empty(reach + 1, dtype=np.int64)
-    live, slot = position, position.copy()   # distinct positions, and each candidate's own
-    open_ = np.arange(reach + 1)             # candidates still cutting
-    while len(open_):
-        if len(live) == 1:                   # one path left: follow it alone
-            path = _walk(prefix, int(live[0]), limit)
-            exits[open_] = prefix[n] - prefix[path[-1]]
-            cuts[open_] += len(path) - 1
-            break
-        ahead = _next_starts(prefix, live, limit)
-        done = ahead[slot] >= n
-        ended = open_[done]
-        exits[ended] = prefix[n] - prefix[live[slot[done]]]
-        open_, stay = open_[~done], slot[~done]
-        cuts[open_] += 1
-        live, slot = np.unique(ahead[stay], return_inverse=True)
+    ends = np.array(exits[:reach + 1], dtype=np.int64)
+    counts = np.array(cuts[:reach + 1], dtype=np.int64)
     keep = np.ones(reach + 1, dtype=bool)    # the last of equal neighbours
-    keep[:-1] = (exits[:-1] != exits[1:]) | (cuts[:-1] != cuts[1:])
-    return lows[keep], exits[keep], cuts[keep]
+    keep[:-1] = (ends[:-1] != ends[1:]) | (counts[:-1] != counts[1:])
+    return lows[keep], ends[keep], counts[keep]
 
 
 def chunk_starts(tokens: np.ndarray, limit: int, entry: int | None) -> list[int]:
     """Lines that start a chunk, given the tokens open at the start (``None``: no chunk open)."""
     prefix = _prefix(tokens)
     first = 0 if entry is None else int(np.searchsorted(prefix[1:], limit - entry, side="right"))
-    return _walk(prefix, first, limit)
+    return _walk(prefix.tolist(), first, limit)
+
+
+def _next_start(sums: list[int], at: int, limit: int) -> int:
+    """The first line of the chunk after the one starting at line ``at`` (or the line count)."""
+    return max(bisect_right(sums, sums[at] + limit, at) - 1, at + 1)
 
 
-def _walk(prefix: np.ndarray, at: int, limit: int) -> list[int]:
-    """The chunk starts from line ``at`` on, one binary search each."""
-    sums = prefix.tolist()
+def _walk(sums: list[int], at: int, limit: int, seen: list[int] | None = None) -> list[int]:
+    """The chunk starts from line ``at`` on, up to the end or the first one already seen."""
     n, starts = len(sums) - 1, []
-    while at < n:
+    while at < n and not (seen and seen[at]):
         starts.append(at)
-        at = max(bisect_right(sums, sums[at] + limit, at) - 1, at + 1)
+        at = _next_start(sums, at, limit)
     return starts
 
 
