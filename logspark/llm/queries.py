@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe_segment_tree
+from . import bpe_segment_tree, simple8b
 from .common import read_table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -27,3 +27,10 @@ def bpe(spark, folder):
         read_table(spark, folder, "documents"),
         public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN)
     return encoded.drop("ids")
+
+
+@query("op10_simple8b")
+def token_files(spark, folder):
+    back = simple8b.round_trip(read_table(spark, folder, "documents"),
+                               public_tokenizers.path("word_bpe_49k.json"))
+    return back.drop("ids")
