@@ -1,3 +1,35 @@
 """DuckDB twins of the queries that SQL can express."""
 
 ORACLE: dict[str, str] = {}
+
+ORACLE["op2_wu_manber"] = r"""
+WITH d AS (
+  SELECT row_number() OVER () AS r, doc_id,
+         regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
+           'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS ws
+  FROM documents),
+b AS (
+  SELECT coalesce(CAST(item_id AS VARCHAR), 'null') AS item,
+         regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
+           'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS ws
+  FROM benchmark),
+bw AS (
+  SELECT DISTINCT item, least(13, len(ws)) AS k,
+         array_to_string(ws[j:j + least(13, len(ws)) - 1], ' ') AS win
+  FROM b, unnest(range(1, len(ws) - least(13, len(ws)) + 2)) AS t(j)
+  WHERE len(ws) > 0),
+dw AS (
+  SELECT r, s.k, p, array_to_string(ws[p:p + s.k - 1], ' ') AS win
+  FROM d, (SELECT DISTINCT k FROM bw) AS s, unnest(range(1, len(ws) - s.k + 2)) AS t(p)),
+m AS (SELECT r, p, k, item FROM dw JOIN bw USING (k, win)),
+h AS (
+  SELECT r, count(DISTINCT q) AS n_hit
+  FROM (SELECT DISTINCT r, p, k FROM m), unnest(range(p, p + k)) AS t(q) GROUP BY r),
+i AS (
+  SELECT r, count(*) AS n_items, sha256(string_agg(item, ',' ORDER BY item)) AS items_sha256
+  FROM (SELECT DISTINCT r, item FROM m) GROUP BY r)
+SELECT doc_id, CAST(len(ws) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit,
+       coalesce(n_items, 0) AS n_items, coalesce(items_sha256, sha256('')) AS items_sha256,
+       coalesce(n_hit, 0) > 0 AND 20 * coalesce(n_hit, 0) >= len(ws) AS contaminated
+FROM d LEFT JOIN h USING (r) LEFT JOIN i USING (r)
+"""

@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe_segment_tree, simple8b
+from . import bpe_segment_tree, simple8b, wu_manber
 from .common import read_table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -21,6 +21,13 @@ def query(name: str) -> Callable[[Query], Query]:
     return register
 
 
+@query("op2_wu_manber")
+def decontamination(spark, folder):
+    found = wu_manber.contamination(read_table(spark, folder, "documents"),
+                                    read_table(spark, folder, "benchmark"))
+    return found.drop("text", "items")
+
+
 @query("op5_bpe_segment_tree")
 def bpe(spark, folder):
     encoded = bpe_segment_tree.encode_documents(
