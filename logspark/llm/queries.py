@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe_segment_tree, simple8b, wu_manber
+from . import bpe_segment_tree, quality_pu, simple8b, wu_manber
 from .common import read_table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -21,6 +21,12 @@ def query(name: str) -> Callable[[Query], Query]:
     return register
 
 
+@query("op1_quality_pu")
+def quality(spark, folder):
+    return quality_pu.scores(read_table(spark, folder, "documents"),
+                             read_table(spark, folder, "labels"))
+
+
 @query("op2_wu_manber")
 def decontamination(spark, folder):
     found = wu_manber.contamination(read_table(spark, folder, "documents"),
