@@ -33,3 +33,32 @@ SELECT doc_id, CAST(len(ws) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit,
        coalesce(n_hit, 0) > 0 AND 20 * coalesce(n_hit, 0) >= len(ws) AS contaminated
 FROM d LEFT JOIN h USING (r) LEFT JOIN i USING (r)
 """
+
+# The text without lines on ten or more sites, and what was removed; the same for op7 and the pipeline.
+LINE_SPREAD = r"""
+{name}_l AS (
+  SELECT r, doc_id, source, i, line, trim(line, ' ' || chr(9) || chr(13)) AS norm
+  FROM (SELECT r, doc_id, source, unnest(ls) AS line, unnest(range(len(ls))) AS i
+        FROM (SELECT r, doc_id, source, string_split(text, chr(10)) AS ls FROM {docs}))),
+{name}_b AS (
+  SELECT norm FROM {name}_l
+  WHERE len(string_split_regex(norm, '[ \t\r]+')) >= 3
+  GROUP BY norm HAVING count(DISTINCT source) >= 10),
+{name}_k AS (
+  SELECT r, string_agg(line, chr(10) ORDER BY i) FILTER (WHERE norm NOT IN (SELECT norm FROM {name}_b))
+         AS kept,
+         count(*) FILTER (WHERE norm IN (SELECT norm FROM {name}_b)) AS gone, count(*) AS n
+  FROM {name}_l GROUP BY r),
+{name} AS (
+  SELECT d.* REPLACE (CASE WHEN gone > 0 AND length(text) - length(coalesce(kept, ''))
+                            <= 0.5 * length(text) THEN coalesce(kept, '') ELSE text END AS text),
+         coalesce(n, 0) AS n_lines,
+         CASE WHEN gone > 0 AND length(text) - length(coalesce(kept, '')) <= 0.5 * length(text)
+              THEN gone ELSE 0 END AS n_removed
+  FROM {docs} AS d LEFT JOIN {name}_k USING (r))"""
+
+ORACLE["op7_line_spread"] = f"""
+WITH d AS (SELECT row_number() OVER () AS r, * FROM documents),
+{LINE_SPREAD.format(name="c", docs="d")}
+SELECT doc_id, n_lines, n_removed, sha256(text) AS text_sha256 FROM c
+"""

@@ -6,8 +6,9 @@ from collections.abc import Callable
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import bpe_segment_tree, quality_pu, simple8b, wu_manber
+from . import bpe_segment_tree, line_spread, quality_pu, simple8b, wu_manber
 from .common import read_table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -42,6 +43,14 @@ def bpe(spark, folder):
     return encoded.drop("ids")
 
 
+@query("op7_line_spread")
+def line_dedup(spark, folder):
+    cleaned = line_spread.remove_boilerplate(read_table(spark, folder, "documents"))
+    return cleaned.select("doc_id", F.col("n_lines").cast("long").alias("n_lines"),
+                          F.col("n_removed").cast("long").alias("n_removed"),
+                          F.sha2("text", 256).alias("text_sha256"))
+
+
 @query("op10_simple8b")
 def token_files(spark, folder):
     back = simple8b.round_trip(read_table(spark, folder, "documents"),
