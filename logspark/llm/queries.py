@@ -8,12 +8,15 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe_segment_tree, line_spread, quality_pu, simple8b, wu_manber
+from . import (bpe_segment_tree, line_spread, pii_feistel, quality_pu, simple8b,
+               wu_manber)
 from .common import read_table
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
 
+PII_KEY = "a key for tests; a real one comes from a secret store"
+
 
 def query(name: str) -> Callable[[Query], Query]:
     def register(fn: Query) -> Query:
@@ -51,6 +54,12 @@ def line_dedup(spark, folder):
                           F.sha2("text", 256).alias("text_sha256"))
 
 
+@query("op8_pii_feistel")
+def pseudonyms(spark, folder):
+    changed = pii_feistel.pseudonymise(read_table(spark, folder, "documents"), PII_KEY)
+    return changed.select("doc_id", *(f"n_{kind}" for kind in pii_feistel.KINDS), "text")
+
+
 @query("op10_simple8b")
 def token_files(spark, folder):
     back = simple8b.round_trip(read_table(spark, folder, "documents"),
