@@ -18,6 +18,7 @@ from __future__ import annotations
 import re
 import uuid
 import zlib
+from array import array
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -38,20 +39,15 @@ BITS = (64, 0, 1, 2, 3, 4, 5, 6, 7, 8, 10, 12, 15, 20, 30, 60)
 STRIDE = 128
 BLOCK_IDS = 1 << 16
 END_ID = 2
-CACHE = 400_000
+CACHE = 600_000
 
 BLOCKS = ("part int, block int, first long, n_ids long, doc_ids array<long>, lengths array<long>, "
           "offsets binary, escapes binary, words binary")
 
 
 def _bit_lengths(ids: np.ndarray) -> np.ndarray:
-    out = np.zeros(len(ids), np.uint8)
-    rest = ids
-    for shift in (32, 16, 8, 4, 2, 1):
-        high = rest >> np.uint64(shift)
-        out += np.where(high > 0, np.uint8(shift), np.uint8(0))
-        rest = np.where(high > 0, high, rest)
-    return out + (ids > 0)
+    """Exact to 53 bits; above that rounding may give one bit more, which only costs an escape."""
+    return np.frexp(ids.astype(np.float64))[1].astype(np.uint8)
 
 
 def _selectors(bits: np.ndarray) -> np.ndarray:
@@ -110,54 +106,59 @@ def decode(words: np.ndarray, escapes: np.ndarray, n: int) -> np.ndarray:
 
 
 class WordIds:
-    """Ids by the tokenizers library, kept for each run of characters between ASCII white space.
+    """Ids by the tokenizers library, kept for each piece of text.
 
-    The tokenizer drops white space and joins nothing across it, so a text's ids are those of its
-    runs in order. It also parts letters from the marks after them; a run of plain Latin letters
-    and marks goes to the library's model piece by piece, any other through its whole encoder.
+    The tokenizer drops white space and joins nothing across it, nor across the border of letters,
+    digits and marks; small letters are all it sees. A text of plain Latin letters, digits and marks
+    goes to the library's model piece by piece. In any other text the runs between ASCII white space
+    that are not plain go through the library's whole encoder.
     """
 
     # Letters that are one character in NFC, and marks that start no contraction or special token.
-    letters = "A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u012f\u0131-\u017e"
-    marks = ".,;:!?*$%&#|()"
-    plain = re.compile(f"([{letters}]*)([{re.escape(marks)}]*)").fullmatch
+    letters = "a-z\u00df-\u00f6\u00f8-\u00ff\u0101\u0103\u0105\u0107\u0109\u010d\u010f\u0111\u0113"
+    marks = re.escape("!\"#$%&()*+,-./:;=>?@[\\]^_`{|}~")
+    plain = re.compile(f"[{letters}0-9{marks}\\s]*", re.ASCII).fullmatch
+    pieces = re.compile(f"[{letters}]+|[0-9]|[{marks}]+").findall
 
     def __init__(self, path: str) -> None:
         tokenizer = Tokenizer.from_file(path)
         self.encode = tokenizer.encode
         self.model = tokenizer.model
         to_bytes = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
-        known = {chr(c) for c in range(0x17f) if self.plain(chr(c))}
-        self.table = {ord(c): to_bytes.pre_tokenize_str(c)[0][0]
-                      for c in known | {c.lower() for c in known}}
-        self.seen: dict[bytes, bytes] = {}
-        self.pieces: dict[str, bytes] = {"": b""}
-
-    def piece(self, text: str) -> bytes:
-        ids = self.pieces.get(text)
-        if ids is None:
-            tokens = self.model.tokenize(text.translate(self.table))
-            ids = self.pieces[text] = b"".join([t.id.to_bytes(4, "little") for t in tokens])
-        return ids
-
-    def run(self, text: str) -> bytes:
-        parts = self.plain(text)
-        if parts:
-            word, marks = parts.groups()
-            return self.piece(word.lower()) + self.piece(marks)
-        return np.array(self.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+        self.table = {c: to_bytes.pre_tokenize_str(chr(c))[0][0] for c in range(0x180)
+                      if self.plain(chr(c)) and not chr(c).isspace()}
+        self.seen: dict[str, bytes] = {}
+
+    def parts(self, text: str) -> list[str]:
+        """The pieces of a text; a run for the whole encoder has a space before it."""
+        low = text.lower()
+        if self.plain(low):
+            return self.pieces(low)
+        out = []
+        for run in text.encode().split():
+            run = run.decode()
+            out += self.pieces(low) if self.plain(low := run.lower()) else [" " + run]
+        return out
+
+    def learn(self, parts: set[str]) -> None:
+        tokenize, table = self.model.tokenize, self.table
+        for part in parts:
+            if part[0] == " ":
+                ids = self.encode(part[1:], add_special_tokens=False).ids
+            else:
+                ids = [t.id for t in tokenize(part.translate(table))]
+            self.seen[part] = array("I", ids).tobytes()
 
     def __call__(self, texts: list[str]) -> list[np.ndarray]:
-        runs = [text.encode().split() for text in texts]
-        missing = set().union(*runs).difference(self.seen) if runs else set()
+        parts = [self.parts(text) for text in texts]
+        needed = set().union(*parts)
+        missing = needed.difference(self.seen)
         if len(self.seen) + len(missing) > CACHE:
             self.seen.clear()
-            missing = set().union(*runs)
-        if len(self.pieces) > CACHE:
-            self.pieces = {"": b""}
-        self.seen.update((run, self.run(run.decode())) for run in missing)
+            missing = needed
+        self.learn(missing)
         get = self.seen.__getitem__
-        return [np.frombuffer(b"".join(map(get, own)), "<u4") for own in runs]
+        return [np.frombuffer(b"".join(map(get, own)), "<u4") for own in parts]
 
 
 @lru_cache(maxsize=2)
