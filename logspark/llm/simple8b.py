@@ -231,7 +231,8 @@ def read_ids(spark: SparkSession, path: str) -> DataFrame:
                     pa.array(raw, pa.binary()),
                 ], names=["doc_id", "start", "n_tokens", "ids_crc32", "ids"])
 
-    placed = blocks.join(parts, "part").select(
+    # one row of 12 bytes a file, so the broadcast is bounded by the number of files
+    placed = blocks.join(F.broadcast(parts), "part").select(
         (F.col("first") + F.col("base")).alias("start"), "n_ids", "doc_ids", "lengths", "escapes",
         "words")
     return placed.mapInArrow(
