@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import (bpe_segment_tree, line_spread, pii_feistel, quality_pu, simple8b,
+from . import (bpe_segment_tree, jaccard_groups, line_spread, pii_feistel, quality_pu, simple8b,
                wu_manber)
 from .common import read_table
 
@@ -38,6 +38,11 @@ def decontamination(spark, folder):
     return found.drop("text", "items")
 
 
+@query("op3_jaccard_groups")
+def ngram_join(spark, folder):
+    return jaccard_groups.linked_documents(read_table(spark, folder, "documents"))
+
+
 @query("op5_bpe_segment_tree")
 def bpe(spark, folder):
     encoded = bpe_segment_tree.encode_documents(
