@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import (bpe_segment_tree, jaccard_groups, line_spread, pii_feistel, quality_pu, simple8b,
-               wu_manber)
+               suffix_repeats, wu_manber)
 from .common import read_table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -65,6 +65,11 @@ def pseudonyms(spark, folder):
     return changed.select("doc_id", *(f"n_{kind}" for kind in pii_feistel.KINDS), "text")
 
 
+@query("op9_run_index")
+def repeats(spark, folder):
+    return suffix_repeats.remove_repeats(read_table(spark, folder, "documents")).drop("kept")
+
+
 @query("op10_simple8b")
 def token_files(spark, folder):
     back = simple8b.round_trip(read_table(spark, folder, "documents"),
