@@ -175,9 +175,9 @@ def held_out(doc_id: str = "doc_id"):
     return F.coalesce(F.crc32(F.col(doc_id).cast("string").cast("binary")) % 4 == 2, F.lit(False))
 
 
-def sample(docs: DataFrame, n: int) -> np.ndarray:
-    """The measures of at most ``n`` rows' texts, the rows chosen by a hash of the id."""
-    chosen = docs.select("doc_id", F.xxhash64("doc_id", F.lit(11)).alias("h")).dropDuplicates()
+def sample(docs: DataFrame, ids: DataFrame, n: int) -> np.ndarray:
+    """The measures of at most ``n`` rows' texts, the rows chosen by a hash of ``ids``."""
+    chosen = ids.select("doc_id", F.xxhash64("doc_id", F.lit(11)).alias("h")).dropDuplicates()
     chosen = chosen.orderBy("h", "doc_id").limit(n).select("doc_id")
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -206,8 +206,9 @@ def learn(docs: DataFrame, labels: DataFrame, max_positives: int = MAX_POSITIVES
             .where(F.col("quality").isNotNull() & F.col("doc_id").isNotNull() & ~held_out())
             .groupBy("doc_id").agg(F.min("quality").alias("quality"))
             .where("quality = 1").select("doc_id"))
-    positives = sample(docs.join(good, "doc_id", "left_semi"), max_positives)
-    unlabelled = sample(docs, max_unlabelled)
+    ids = docs.select("doc_id")
+    positives = sample(docs, ids.join(good, "doc_id", "left_semi"), max_positives)
+    unlabelled = sample(docs, ids, max_unlabelled)
     return train(positives, unlabelled) if len(positives) and len(unlabelled) else None
 
 
