@@ -8,8 +8,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import (bpe_segment_tree, jaccard_groups, line_spread, pii_feistel, quality_pu, simple8b,
-               suffix_repeats, wu_manber)
+from . import (bpe_segment_tree, jaccard_groups, line_spread, pii_feistel, quality_pu, rp_forest,
+               simple8b, suffix_repeats, wu_manber)
 from .common import read_table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -43,6 +43,11 @@ def ngram_join(spark, folder):
     return jaccard_groups.linked_documents(read_table(spark, folder, "documents"))
 
 
+@query("op4_rp_forest")
+def vector_dedup(spark, folder):
+    return rp_forest.near_duplicates(read_table(spark, folder, "embeddings"))
+
+
 @query("op5_bpe_segment_tree")
 def bpe(spark, folder):
     encoded = bpe_segment_tree.encode_documents(
