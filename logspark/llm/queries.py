@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import (bpe_segment_tree, jaccard_groups, line_spread, pii_feistel, quality_pu, rp_forest,
-               simple8b, suffix_repeats, wu_manber)
+               secret_forest, simple8b, suffix_repeats, wu_manber)
 from .common import read_table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -56,6 +56,11 @@ def bpe(spark, folder):
     return encoded.drop("ids")
 
 
+@query("op6_secret_forest")
+def secrets(spark, folder):
+    return secret_forest.find_secrets(read_table(spark, folder, "documents"))
+
+
 @query("op7_line_spread")
 def line_dedup(spark, folder):
     cleaned = line_spread.remove_boilerplate(read_table(spark, folder, "documents"))
