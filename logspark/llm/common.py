@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -38,14 +38,13 @@ def partitions_for(spark: SparkSession, total: int, each: int) -> int:
     return max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-int(total or 0) // each))
 
 
-def rows_of(batches: Iterator[pa.RecordBatch], limit: int = 2 << 20,
-            column: int = -1) -> Iterator[list[tuple]]:
-    """Rows as tuples in lists of about ``limit`` units of a column; a longer row is alone."""
+def rows_of(batches: Iterable[pa.RecordBatch], limit: int = 2 << 20) -> Iterator[list[tuple]]:
+    """Rows as tuples in lists of about ``limit`` units of their last column; a longer row is alone."""
     for batch in batches:
         columns = [c.to_pylist() for c in batch.columns]
         rows, held = [], 0
         for row in zip(*columns):
-            size = len(row[column] or ())
+            size = len(row[-1] or ())
             if rows and held + size > limit:
                 yield rows
                 rows, held = [], 0

@@ -35,7 +35,7 @@ def quality(spark, folder):
 def decontamination(spark, folder):
     found = wu_manber.contamination(read_table(spark, folder, "documents"),
                                     read_table(spark, folder, "benchmark"))
-    return found.drop("text", "items")
+    return found.drop("items")
 
 
 @query("op3_jaccard_groups")

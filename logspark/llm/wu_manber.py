@@ -146,26 +146,20 @@ def covered(ranges: list[tuple[int, int]]) -> int:
     return total
 
 
-STATE = "doc_id long, text string, hits array<long>, items array<string>"
-SCHEMA = ("doc_id long, text string, n_words long, n_hit long, n_items long, items_sha256 string, "
-          "contaminated boolean, items array<string>")
+STATE = (("_wm_hits", "array<long>"), ("_wm_items", "array<string>"))
+VERDICT = (("_wm_n_words", "long"), ("_wm_n_hit", "long"), ("_wm_n_items", "long"),
+           ("_wm_items_sha256", "string"), ("_wm_contaminated", "boolean"))
+ARROW = {"long": pa.int64(), "string": pa.string(), "boolean": pa.bool_(),
+         "array<long>": pa.list_(pa.int64()), "array<string>": pa.list_(pa.string())}
 
 
-def contamination(docs: DataFrame, benchmark: DataFrame, size: int = WINDOW,
-                  block_bytes: int = BLOCK_BYTES) -> DataFrame:
-    """For each row of ``docs`` its words, the words hit by windows of items, and the items.
-
-    A row is contaminated if at least a twentieth of its words is hit. Null and empty texts have no
-    words and hit nothing; items without words have no windows, items without an id count as one
-    named ``null``, an item that occurs twice as one. Repeated rows are judged each on its own.
-    Extra columns of either table are ignored. With an empty benchmark nothing is hit.
-    """
+def _judged(docs: DataFrame, benchmark: DataFrame, size: int, block_bytes: int) -> DataFrame:
+    """``docs`` with the columns of :data:`STATE` and :data:`VERDICT`."""
     items = benchmark.select(F.coalesce(F.col("item_id").cast("string"), F.lit("null")).alias("item"),
                              F.col("text").cast("string").alias("item_text"))
     total = scalar(items.agg(F.sum(F.octet_length("item_text")))) or 0
     blocks = max(1, -(-total // block_bytes))
-    state = documents(docs).withColumns({"hits": F.array().cast("array<long>"),
-                                         "items": F.array().cast("array<string>")})
+    state = docs.withColumns({name: F.array().cast(kind) for name, kind in STATE})
     for block in range(blocks):
         own = items.where(F.pmod(F.xxhash64("item", "item_text"), F.lit(blocks)) == block)
         patterns = Patterns([tuple(row) for row in own.collect()], size)  # of block_bytes or so
@@ -179,30 +173,53 @@ def contamination(docs: DataFrame, benchmark: DataFrame, size: int = WINDOW,
 def _pass(state: DataFrame, patterns: Patterns, last: bool) -> DataFrame:
     """Add the hits of one block of the benchmark; the last pass also sums up."""
     shared = state.sparkSession.sparkContext.broadcast(patterns)
+    added = (*STATE, *VERDICT) if last else STATE
+    kept = [c for c in state.columns if c not in dict(STATE)]
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tables = shared.value
-        for rows in rows_of(batches, column=1):
-            texts = [words_of(text) for _, text, _, _ in rows]
-            hits, items = tables.search(texts)
-            hits = [old + [x for pair in new for x in pair] for (_, _, old, _), new in zip(rows, hits)]
-            items = [sorted(new.union(old)) for (_, _, _, old), new in zip(rows, items)]
-            own = [pa.array([row[0] for row in rows], pa.int64()),
-                   pa.array([row[1] for row in rows], pa.string())]
-            if not last:
+        for batch in batches:
+            at = 0
+            for rows in rows_of([batch.select([*dict(STATE), "text"])]):
+                part = batch.slice(at, len(rows))
+                at += len(rows)
+                texts = [words_of(row[-1]) for row in rows]
+                hits, items = tables.search(texts)
+                hits = [row[0] + [x for pair in new for x in pair] for row, new in zip(rows, hits)]
+                items = [sorted(new.union(row[1])) for row, new in zip(rows, items)]
+                columns = [hits, items]
+                if last:
+                    n_words = [max(0, t.count(b" ") - 1) for t in texts]
+                    n_hit = [covered(list(zip(h[::2], h[1::2]))) for h in hits]
+                    columns += [
+                        n_words, n_hit, [len(names) for names in items],
+                        [hashlib.sha256(",".join(names).encode()).hexdigest() for names in items],
+                        [h > 0 and 20 * h >= n for h, n in zip(n_hit, n_words)]]
                 yield pa.RecordBatch.from_arrays(
-                    [*own, pa.array(hits, pa.list_(pa.int64())), pa.array(items, pa.list_(pa.string()))],
-                    names=["doc_id", "text", "hits", "items"])
-                continue
-            n_words = [max(0, t.count(b" ") - 1) for t in texts]
-            n_hit = [covered(list(zip(h[::2], h[1::2]))) for h in hits]
-            yield pa.RecordBatch.from_arrays([
-                *own, pa.array(n_words, pa.int64()), pa.array(n_hit, pa.int64()),
-                pa.array([len(names) for names in items], pa.int64()),
-                pa.array([hashlib.sha256(",".join(names).encode()).hexdigest() for names in items]),
-                pa.array([h > 0 and 20 * h >= n for h, n in zip(n_hit, n_words)], pa.bool_()),
-                pa.array(items, pa.list_(pa.string())),
-            ], names=["doc_id", "text", "n_words", "n_hit", "n_items", "items_sha256",
-                      "contaminated", "items"])
-
-    return state.mapInArrow(work, SCHEMA if last else STATE)
+                    [*part.select(kept).columns,
+                     *(pa.array(c, ARROW[kind]) for c, (_, kind) in zip(columns, added))],
+                    names=[*kept, *(name for name, _ in added)])
+
+    out = state.select(*kept, *(F.lit(None).cast(kind).alias(name) for name, kind in added))
+    return state.mapInArrow(work, out.schema)
+
+
+def contamination(docs: DataFrame, benchmark: DataFrame, size: int = WINDOW,
+                  block_bytes: int = BLOCK_BYTES) -> DataFrame:
+    """For each row of ``docs`` its words, the words hit by windows of items, and the items.
+
+    A row is contaminated if at least a twentieth of its words is hit. Null and empty texts have no
+    words and hit nothing; items without words have no windows, items without an id count as one
+    named ``null``, an item that occurs twice as one. Repeated rows are judged each on its own.
+    Extra columns of either table are ignored. With an empty benchmark nothing is hit.
+    """
+    found = _judged(documents(docs), benchmark, size, block_bytes)
+    return found.select("doc_id", *(F.col(c).alias(c.removeprefix("_wm_")) for c, _ in VERDICT),
+                        F.col("_wm_items").alias("items"))
+
+
+def keep_clean(docs: DataFrame, benchmark: DataFrame, size: int = WINDOW,
+               block_bytes: int = BLOCK_BYTES) -> DataFrame:
+    """The rows of ``docs``, with all their columns, that :func:`contamination` finds clean."""
+    found = _judged(docs, benchmark, size, block_bytes)
+    return found.where(~F.col("_wm_contaminated")).select(*docs.columns)
