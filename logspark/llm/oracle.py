@@ -62,3 +62,28 @@ WITH d AS (SELECT row_number() OVER () AS r, * FROM documents),
 {LINE_SPREAD.format(name="c", docs="d")}
 SELECT doc_id, n_lines, n_removed, sha256(text) AS text_sha256 FROM c
 """
+
+ORACLE["op3_jaccard_groups"] = r"""
+WITH RECURSIVE d AS MATERIALIZED (
+  SELECT row_number() OVER () AS r, doc_id,
+         list_filter(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
+           'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda w: w <> '') AS ws
+  FROM documents),
+s AS MATERIALIZED (
+  SELECT DISTINCT r, doc_id, array_to_string(ws[i:i + least(3, len(ws)) - 1], ' ') AS g
+  FROM d, unnest(range(1, len(ws) - least(3, len(ws)) + 2)) AS t(i) WHERE len(ws) > 0),
+n AS MATERIALIZED (SELECT r, doc_id, count(*) AS n FROM s GROUP BY r, doc_id),
+l AS MATERIALIZED (
+  SELECT x.doc_id AS a, y.doc_id AS b
+  FROM (SELECT p.r AS r1, q.r AS r2, count(*) AS c FROM s p JOIN s q ON p.g = q.g AND p.r <> q.r
+        GROUP BY p.r, q.r) AS c
+  JOIN n x ON x.r = r1 JOIN n y ON y.r = r2
+  WHERE 100 * c >= 90 * (x.n + y.n - c)),
+reach(a, b) AS (
+  SELECT doc_id, doc_id FROM d
+  UNION
+  SELECT reach.a, l.b FROM reach JOIN l ON reach.b = l.a)
+SELECT doc_id, coalesce(n, 0) AS n_shingles, component_id
+FROM d LEFT JOIN n USING (r, doc_id)
+LEFT JOIN (SELECT a AS doc_id, min(b) AS component_id FROM reach GROUP BY a) USING (doc_id)
+"""
