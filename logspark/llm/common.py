@@ -40,18 +40,19 @@ def partitions_for(spark: SparkSession, total: int, each: int) -> int:
 
 def rows_of(batches: Iterable[pa.RecordBatch], limit: int = 2 << 20) -> Iterator[list[tuple]]:
     """Rows as tuples in lists of about ``limit`` units of their last column; a longer row is alone."""
+    rows, held = [], 0
     for batch in batches:
-        columns = [c.to_pylist() for c in batch.columns]
-        rows, held = [], 0
-        for row in zip(*columns):
-            size = len(row[-1] or ())
-            if rows and held + size > limit:
-                yield rows
-                rows, held = [], 0
-            rows.append(row)
-            held += size
+        for start in range(0, batch.num_rows, 128):  # few rows at a time become Python objects
+            for row in zip(*(c.to_pylist() for c in batch.slice(start, 128).columns)):
+                size = len(row[-1] or ())
+                if rows and held + size > limit:
+                    yield rows
+                    rows, held = [], 0
+                rows.append(row)
+                held += size
         if rows:
             yield rows
+            rows, held = [], 0
 
 
 def powers(n: int, base: int = MULTIPLIER) -> np.ndarray:

@@ -39,7 +39,7 @@ BITS = (64, 0, 1, 2, 3, 4, 5, 6, 7, 8, 10, 12, 15, 20, 30, 60)
 STRIDE = 128
 BLOCK_IDS = 1 << 16
 END_ID = 2
-CACHE = 600_000
+CACHE = 250_000
 
 BLOCKS = ("part int, block int, first long, n_ids long, doc_ids array<long>, lengths array<long>, "
           "offsets binary, escapes binary, words binary")
@@ -153,9 +153,8 @@ class WordIds:
         parts = [self.parts(text) for text in texts]
         needed = set().union(*parts)
         missing = needed.difference(self.seen)
-        if len(self.seen) + len(missing) > CACHE:
-            self.seen.clear()
-            missing = needed
+        if len(self.seen) + len(missing) > CACHE:  # what these texts know is what is frequent
+            self.seen = {part: self.seen[part] for part in needed.difference(missing)}
         self.learn(missing)
         get = self.seen.__getitem__
         return [np.frombuffer(b"".join(map(get, own)), "<u4") for own in parts]
