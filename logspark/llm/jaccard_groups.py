@@ -1,19 +1,21 @@
 """Similarity join of documents on sets of word shingles, by grouped prefixes.
 
 Two sets with a Jaccard similarity of at least ``t`` percent share one of their first
-``n - ceil(t * n / 100) + 1`` members in any common order. The order is hashes, with members that many
-documents have put last, so that boilerplate does not make candidates.
+``n - ceil(t * n / 100) + 1`` members in any common order. The order puts long shingles first, which
+hardly recur by chance, and last those that many documents have, so that boilerplate does not
+make candidates; within a length it is that of the hashes.
 
 1. Rows with equal sets are one class. Classes with the same prefix and the same size are one group,
    and only groups enter the index of prefix members.
 2. Hubs: in each group, and for each prefix member in its groups, the class with the fewest members of
-   its own is the hub; all others are paired with it. A sketch of each set (parities of hashed
-   members) bounds a pair's overlap from above; of the pairs that pass, each class keeps the nearest
-   hub, and the pair is verified on the sets. Thousands of near copies so become one component by
-   as many pairs as there are copies.
-3. The rest, exactly: where groups that share a prefix member are still in different components, they
-   are expanded and every pair of members that passes sizes and sketches is verified, the nearest of
-   each two components first.
+   its own is the hub. Each class is paired with its group's hub, and each group's hub with the best
+   hub it shares a prefix member with; then once more with a hub by chance, where groups that share
+   a member are still in different components. Pairs are verified on the sets. Thousands of near
+   copies so become one component by about as many pairs as there are copies.
+3. The rest, exactly: all pairs of groups that share prefix members and are still in different
+   components are filtered by sizes and the number of members shared, expanded to their classes, and
+   verified. A sketch of each set (parities of hashed members) bounds a pair's overlap from above
+   and spares most of the work.
 
 Sets are rebuilt from the texts of those rows only that are in a pair. Hand-over tables are written
 to the shared folder, so a lost executor repeats only its own tasks.
@@ -228,71 +230,101 @@ class Join:
         return written(two.mapInArrow(_links(self.percent), "a binary, b binary"), "links")
 
     def run(self) -> DataFrame:
-        """``key`` and ``root`` of classes that are linked with others."""
+        """``node`` and ``root`` of classes that are linked with others."""
         groups = self.sets.groupBy("grp").agg(
             F.min(F.struct("own", "key")).alias("hub"), F.first("n").alias("n"),
             F.first("prefix").alias("prefix"), F.count("*").alias("members"))
-        groups = written(groups, "groups")
-        several = groups.where("members > 1").select("grp", "hub")
-        inside = self.sets.join(several, "grp").select(
-            "grp", F.col("key"), F.col("hub.key").alias("hub"))
-        inside = written(inside, "members")
-        index = groups.select(F.explode("prefix").alias("member"), "grp", "hub", "n")
-        tops = (index.groupBy("member").agg(F.count("*").alias("groups"), F.min("hub").alias("top"),
-                                            F.min_by("n", "hub").alias("top_n"))
+        # the hub's own members, then 40 bits of hash: groups that share a code are treated as one
+        code = F.shiftleft(F.least("hub.own", F.lit(1 << 22)), 40).bitwiseOR(
+            F.xxhash64("grp").bitwiseAND(F.lit((1 << 40) - 1)))
+        groups = written(groups.select(code.alias("code"), "grp", F.col("hub.key").alias("key"), "n",
+                                       "prefix", "members"), "groups")
+        several = groups.where("members > 1").select("grp", "code", F.col("key").alias("hub"))
+        inside = written(self.sets.select("grp", "key").join(several, "grp").drop("grp"), "members")
+        self.classes = written(groups.select("code", "key").unionByName(
+            inside.where("key <> hub").select("code", "key")), "classes")
+        self.hubs = groups.select("code", "key")
+
+        index = groups.select(F.explode("prefix").alias("member"), "code", "n")
+        tops = (index.groupBy("member").agg(F.count("*").alias("groups"), F.min("code").alias("top"),
+                                            F.min_by("n", "code").alias("top_n"))
                 .where("groups > 1").drop("groups"))
-        shared = written(index.join(tops, "member").select(
-            "member", "grp", F.col("hub.key").alias("key"), "n", F.col("top.key").alias("top"),
-            "top_n"), "shared-members")
-        pairs = (shared.where((F.col("key") != F.col("top")) & self.sizes("n", "top_n"))
-                 .select(F.col("key").alias("a"), F.col("top").alias("b"))
-                 .unionByName(inside.where("key <> hub").select(
-                     F.col("key").alias("a"), F.col("hub").alias("b"))))
-        near = self.filtered(pairs).groupBy("a").agg(F.min(F.struct("far", "b")).alias("best"))
-        links = self.verified(written(near.select("a", F.col("best.b").alias("b")), "pairs"))
+        shared = written(index.join(tops, "member"), "shared-members")
+        best = (shared.where((F.col("code") != F.col("top")) & self.sizes("n", "top_n"))
+                .groupBy("code").agg(F.min("top").alias("top")))
+        pairs = self.between_hubs(best).unionByName(
+            inside.where("key <> hub").select(F.col("key").alias("a"), F.col("hub").alias("b")))
+        links = self.verified(written(self.filtered(pairs).select("a", "b"), "pairs"))
         roots = components(links)
 
-        rest = written(self.apart(shared, inside, roots), "pairs")
-        nearest = rest.groupBy("ra", "rb").agg(F.min(F.struct("far", "a", "b")).alias("best"))
-        done = written(nearest.select("best.a", "best.b"), "pairs")
-        if done.isEmpty():
+        # once more with a hub by chance, where groups that share a member are still apart
+        shared = self.open(shared.select("member", "code", "n"), roots)
+        tops = shared.groupBy("member").agg(*(
+            F.min_by(c, F.xxhash64("code")).alias(f"top_{c}") for c in ("code", "n", "low", "high")))
+        best = (shared.join(tops, "member")
+                .where((F.col("code") != F.col("top_code")) & self.sizes("n", "top_n")
+                       & (F.least("low", "top_low") != F.greatest("high", "top_high")))
+                .groupBy("code").agg(F.min("top_code").alias("top")))
+        pairs = written(self.filtered(self.between_hubs(best)).select("a", "b"), "pairs")
+        if not pairs.isEmpty():
+            links = written(links.unionByName(self.verified(pairs)), "links")
+            roots = components(links)
+
+        pairs = written(self.apart(shared.select("member", "code", "n"), roots), "pairs")
+        if pairs.isEmpty():
             return roots
-        links = links.unionByName(self.verified(done))
-        roots = components(links)
-        open_pairs = self.between(rest.select("a", "b", "far"), roots).where("ra <> rb")
-        last = written(open_pairs.select("a", "b").join(done, ["a", "b"], "left_anti"), "pairs")
-        if last.isEmpty():
-            return roots
-        return components(links.unionByName(self.verified(last)))
-
-    def between(self, pairs: DataFrame, roots: DataFrame) -> DataFrame:
-        """Pairs with the roots of both sides."""
-        for side in ("a", "b"):
-            own = roots.select(F.col("node").alias(side), F.col("root").alias("_root"))
-            pairs = pairs.join(own, side, "left").withColumn(
-                f"r{side}", F.coalesce("_root", side)).drop("_root")
-        return pairs
-
-    def apart(self, shared: DataFrame, inside: DataFrame, roots: DataFrame) -> DataFrame:
-        """Possible pairs of classes whose groups share a prefix member, in different components."""
-        members = shared.select("member", "grp", "key", "n").join(
-            inside.select("grp", F.col("key").alias("_own")), "grp", "left")
-        members = members.select("member", F.coalesce("_own", "key").alias("key"), "n")
-        members = members.unionByName(  # a group's members share all of it: its own key serves
-            inside.join(self.sets.select("key", "n"), "key").select(
-                F.xxhash64("grp").alias("member"), "key", "n"))
+        return components(links.unionByName(self.verified(pairs)))
+
+    def between_hubs(self, best: DataFrame) -> DataFrame:
+        """Pairs of codes as pairs of their groups' hubs."""
+        one = best.join(self.hubs.withColumnRenamed("key", "a"), "code").select("top", "a")
+        two = self.hubs.select(F.col("code").alias("top"), F.col("key").alias("b"))
+        return one.join(two, "top").select("a", "b")
+
+    def open(self, shared: DataFrame, roots: DataFrame) -> DataFrame:
+        """Members of groups in different components, with hashes of the lowest and highest root."""
+        spans = self.rooted(roots).groupBy("code").agg(
+            F.min("mark").alias("low"), F.max("mark").alias("high"))
+        placed = shared.join(spans, "code")
+        mixed = (placed.groupBy("member").agg(F.min("low").alias("l"), F.max("high").alias("h"))
+                 .where("l <> h").select("member"))
+        return written(placed.join(mixed, "member", "left_semi"), "shared-members")
+
+    def rooted(self, roots: DataFrame) -> DataFrame:
+        """Each class's group, and its root as 64 bits of hash."""
         own = roots.select(F.col("node").alias("key"), "root")
-        members = members.join(own, "key", "left").withColumn("root", F.coalesce("root", "key"))
-        mixed = (members.groupBy("member").agg(F.min("root").alias("low"), F.max("root").alias("high"))
-                 .where("low <> high").select("member"))
-        members = written(members.join(mixed, "member", "left_semi"), "shared-members")
-        one = members.select("member", F.col("key").alias("a"), F.col("n").alias("na"),
-                             F.col("root").alias("ra"))
-        two = members.select("member", F.col("key").alias("b"), F.col("n").alias("nb"),
-                             F.col("root").alias("rb"))
-        pairs = one.join(two, "member").where(
-            (F.col("a") < F.col("b")) & (F.col("ra") != F.col("rb")) & self.sizes("na", "nb"))
-        return self.between(self.filtered(pairs), roots)
+        return self.classes.join(own, "key", "left").select(
+            "code", "key", F.xxhash64(F.coalesce("root", "key")).alias("mark"))
+
+    def apart(self, shared: DataFrame, roots: DataFrame) -> DataFrame:
+        """All possible pairs of classes of different components.
+
+        Pairs of groups are filtered by sizes and by the number of prefix members they share: what
+        lies behind the prefixes adds at most ``ceil(percent * n / 100) - 1``, for the larger set.
+        Those left are expanded to their classes, as are groups that are in several components.
+        """
+        shared = self.open(shared, roots)
+        one = shared.select("member", *(F.col(c).alias(f"{c}_a") for c in ("code", "n", "low", "high")))
+        two = shared.select("member", *(F.col(c).alias(f"{c}_b") for c in ("code", "n", "low", "high")))
+        both = (one.join(two, "member")
+                .where((F.col("code_a") < F.col("code_b")) & self.sizes("n_a", "n_b")
+                       & (F.least("low_a", "low_b") != F.greatest("high_a", "high_b")))
+                .groupBy("code_a", "code_b").agg(
+                    F.count("*").alias("both"), F.min("n_a").alias("na"), F.min("n_b").alias("nb")))
+        behind = F.ceil(self.percent * F.greatest("na", "nb") / 100) - 1
+        overlap = F.least(F.col("both") + behind, "na", "nb")
+        both = both.where(100 * overlap >= self.percent * (F.col("na") + F.col("nb") - overlap))
+        rooted = self.rooted(roots)
+        inner = (rooted.groupBy("code").agg(F.min("mark").alias("l"), F.max("mark").alias("h"))
+                 .where("l <> h").select(F.col("code").alias("code_a"), F.col("code").alias("code_b")))
+        pairs = both.select("code_a", "code_b").unionByName(inner)
+        for side in ("a", "b"):
+            pairs = pairs.join(rooted.select(F.col("code").alias(f"code_{side}"),
+                                             F.col("key").alias(side),
+                                             F.col("mark").alias(f"mark_{side}")), f"code_{side}")
+        pairs = pairs.where("mark_a <> mark_b").select(
+            F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+        return self.filtered(pairs).select("a", "b")
 
 
 def linked_documents(docs: DataFrame, size: int = WORDS, percent: int = PERCENT) -> DataFrame:

@@ -13,7 +13,8 @@ def shingle_sets(texts: list[str | None], size: int) -> list[np.ndarray]:
     """For each text its distinct runs of ``size`` words, hashed and sorted.
 
     Words are what white space parts (space, tab, line breaks), with A-Z in lower case. A text of
-    fewer words is one shingle; without words or text the set is empty.
+    fewer words is one shingle; without words or text the set is empty. The top byte of a hash says how
+    short the shingle is, so the longest come first.
     """
     joined = [b" ".join((t or "").encode().translate(LOWER).split()) for t in texts]
     data = np.frombuffer(b" ".join(joined) + b" ", np.uint8)
@@ -29,9 +30,11 @@ def shingle_sets(texts: list[str | None], size: int) -> list[np.ndarray]:
         stop = ends[word:word + n]
         start = np.concatenate(([at], stop[:-1] + 1))
         if n < size:
-            out.append(spans(start[:1], stop[-1:]))
+            start, stop = start[:1], stop[-1:]
         else:
-            out.append(np.unique(spans(start[:n - size + 1], stop[size - 1:])))
+            start, stop = start[:n - size + 1], stop[size - 1:]
+        short = np.uint64(255) - np.minimum(stop - start, 255).astype(np.uint64)
+        out.append(np.unique((short << np.uint64(56)) | (spans(start, stop) >> np.uint64(8))))
         at, word = at + len(own) + 1, word + n
     return out
 
