@@ -57,10 +57,17 @@ def dashboard_status(analysis: Column) -> Column:
 
 def truncate(text: Column, max_bytes: int) -> Column:
     """The first ``max_bytes`` bytes and an ellipsis; a character cut in half is left out."""
-    cut = F.make_valid_utf8(F.substring(text.cast("binary"), 1, max_bytes).cast("string"))
-    return (F.when(F.octet_length(text) > max_bytes,
-                   F.concat(F.rtrim(cut, F.lit("�")), F.lit("...")))
-            .otherwise(text))
+    raw = text.cast("binary")
+
+    def inside(at: int) -> Column:
+        """Whether the byte at ``at`` (from 1) is not the first of its character."""
+        return F.hex(F.substring(raw, at, 1)).between("80", "BF") if at > 0 else F.lit(False)
+
+    kept = F.lit(max(0, max_bytes - 3))
+    for back in (2, 1, 0):
+        kept = F.when(~inside(max_bytes + 1 - back), F.lit(max(0, max_bytes - back))).otherwise(kept)
+    cut = F.substr(raw, F.lit(1), kept).cast("string")
+    return F.when(F.octet_length(text) > max_bytes, F.concat(cut, F.lit("..."))).otherwise(text)
 
 
 def extract_summary(analysis: Column) -> Column:

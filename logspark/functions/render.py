@@ -43,6 +43,17 @@ REPORT_COUNTS = (
 )
 REPORT_DEDUPLICATION = "| Deduplication | %s%% |\n"
 REPORT_COST = "| Tokens | %d |\n| Chunks | %d |\n"
+INTERACTION = (
+    "# LLM Interaction Log\n\n"
+    "**Container**: %s\n"
+    "**Timestamp**: %s\n\n"
+    "## Original Input\n\n"
+    "%s\n\n"
+    "## Request Sent to LLM\n\n"
+    "```json\n%s\n```\n\n"
+    "## LLM Response\n\n"
+    "```json\n%s\n```\n"
+)
 REPORT_DATE = "%a, %d %b %Y %H:%M:%S UTC"
 REPORT_FILE = "%Y-%m-%d_%H-%M-%S.md"
 
@@ -96,6 +107,18 @@ def kb_entry(scan_ts_raw: Column, status: Column, analysis: Column) -> Column:
     return F.format_string(KB_ENTRY, scan_ts_raw, status, analysis)
 
 
+def interaction_document() -> Column:
+    """The document of an interaction row (see ``operators.inference.interactions``)."""
+    stamp = F.concat(F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss"), F.lit("Z"))
+    return F.format_string(INTERACTION, "name", stamp, "original_input", "request_json",
+                           "response_json")
+
+
+def kb_document(name: Column, entries: Column) -> Column:
+    """A service's history document: its header and an array of entries (:func:`kb_entry`)."""
+    return F.concat(F.format_string(KB_HEADER, name), F.array_join(entries, ""))
+
+
 def report(now: datetime) -> Column:
     """The scan report of a results row (see ``operators.inference.results``)."""
     c = F.col

@@ -19,6 +19,23 @@ URL_INVALID = "✅ Configured (invalid format)"
 ORPHAN_PREFIX = "orphaned-"
 
 
+# Patterns of personal data and what takes their place, in this order.
+PERSONAL = (
+    (r"((?i:password|passwd|secret|token|api[_-]?key)\s*[=:]\s*)(?:\"[^\"\n]*\"|[^\s\"']+)", "$1[SECRET]"),
+    (r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+", "[EMAIL]"),
+    (r"[0-9]{1,3}(?:\.[0-9]{1,3}){3}", "[IP]"),
+    (r"\+[0-9]{1,3} ?\([0-9]{3}\) ?[0-9]{3}-[0-9]{4}", "[PHONE]"),
+    (r"[0-9](?:[ -]?[0-9]){12,18}", "[NUMBER]"),
+)
+
+
+def mask_personal(text: Column) -> Column:
+    """Addresses, numbers and secrets replaced by what they are, before a text leaves for a model."""
+    for pattern, mask in PERSONAL:
+        text = F.regexp_replace(text, pattern, mask)
+    return text
+
+
 def trim_space(text: Column) -> Column:
     return F.trim(text, F.lit(WHITE_SPACE))
 
@@ -43,11 +60,14 @@ def short_id(container_id: Column) -> Column:
 
 
 def mask_secret(secret: Column) -> Column:
-    n = F.char_length(secret)
-    masked = F.concat(F.left(secret, F.lit(4)), F.repeat(F.lit("*"), n - 8),
-                      F.right(secret, F.lit(4)))
+    """The first and last four bytes with a star for each byte between them."""
+    raw = secret.cast("binary")
+    n = F.octet_length(secret)
+    ends = [F.make_valid_utf8(part.cast("string")) for part in (
+        F.substring(raw, 1, 4), F.substring(raw, -4, 4))]
     return (F.when(F.coalesce(secret, F.lit("")) == "", SECRET_MISSING)
-            .when(n <= 8, SECRET_SHORT).otherwise(masked))
+            .when(n <= 8, SECRET_SHORT)
+            .otherwise(F.concat(ends[0], F.repeat(F.lit("*"), n - 8), ends[1])))
 
 
 def mask_url(url: Column) -> Column:

@@ -1,11 +1,10 @@
-"""Token counting as an extension point."""
+"""Token counting as an extension point: any pair of column functions is a counter."""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 from dataclasses import dataclass
 
-import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -37,27 +36,3 @@ def byte_tokens(per_byte: float = 0.25) -> TokenCounter:
         return F.floor(n * F.lit(float(per_byte))).cast("long")
 
     return TokenCounter(lambda t: of_bytes(F.octet_length(t).cast("long")), of_bytes)
-
-
-def bpe_tokens(load_encoding: Callable[[], object]) -> TokenCounter:
-    """Byte-pair counts in Arrow batches; ``load_encoding`` returns e.g. a tiktoken encoding.
-
-    It runs once per Python worker, where the vocabulary has to be installed.
-    """
-    @F.pandas_udf("long")
-    def count(texts: pd.Series) -> pd.Series:
-        encoding = _encoding(load_encoding)
-        encoded = encoding.encode_batch(texts.fillna("").tolist(), disallowed_special=())
-        return pd.Series([len(tokens) for tokens in encoded], dtype="int64")
-
-    return TokenCounter(lambda t: count(t))
-
-
-_encodings: dict = {}
-
-
-def _encoding(load: Callable[[], object]):
-    key = getattr(load, "__qualname__", None), getattr(load, "__module__", None)
-    if key not in _encodings:
-        _encodings[key] = load()
-    return _encodings[key]

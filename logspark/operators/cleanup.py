@@ -4,15 +4,19 @@ from __future__ import annotations
 
 from typing import NamedTuple
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.text import ORPHAN_PREFIX, sanitize, short_id, unsanitize
+from ..functions.text import ORPHAN_PREFIX, sanitize, sanitize_filename, short_id, unsanitize
 from ..model import SOURCE
 
 
 class Stores(NamedTuple):
-    """Tables keyed by container: ``state`` by id, the others by storage name in ``name``."""
+    """Tables keyed by container: ``state`` by id, the others by the container's ``name``.
+
+    A store's rows go under the name's storage form, in ``storage_name`` where the store has such a
+    column, else made from ``name`` (which may be a storage name already).
+    """
 
     state: DataFrame
     kb: DataFrame
@@ -20,6 +24,15 @@ class Stores(NamedTuple):
     llm_logs: DataFrame
 
 
+def _storage(store: DataFrame) -> Column:
+    return F.col("storage_name") if "storage_name" in store.columns else sanitize(F.col("name"))
+
+
+def _forms(name: Column) -> Column:
+    """The storage forms a container's name can have: most stores change slashes only."""
+    return F.array_distinct(F.array(sanitize(name), sanitize_filename(name)))
+
+
 def stored_names(kb: DataFrame, reports: DataFrame, llm_logs: DataFrame | None) -> DataFrame:
     """Every storage name once, with the stores that hold it (one shuffle for all three)."""
     flags = ("in_kb", "in_reports", "in_llm_logs")
@@ -28,7 +41,7 @@ def stored_names(kb: DataFrame, reports: DataFrame, llm_logs: DataFrame | None)
     for store, flag in stores:
         if store is None:
             continue
-        part = store.select("name", *[F.lit(f == flag).alias(f) for f in flags])
+        part = store.select(_storage(store).alias("name"), *[F.lit(f == flag).alias(f) for f in flags])
         rows = part if rows is None else rows.unionByName(part)
     return rows.groupBy("name").agg(*[F.bool_or(f).alias(f) for f in flags])
 
@@ -45,14 +58,14 @@ def find_obsolete(state: DataFrame, live: DataFrame, names: DataFrame) -> DataFr
     ids = live.select(SOURCE).distinct()
     gone = state.join(ids, SOURCE, "left_anti").select(SOURCE, F.col("name").alias("_name"))
     flags = ("in_kb", "in_reports", "in_llm_logs")
-    from_state = (
-        gone.join(names, (F.col("_name") != "") & (sanitize(F.col("_name")) == F.col("name")),
-                  "left")
-        .select(F.col(SOURCE).alias("id"), F.col("_name").alias("name"),
-                F.lit(True).alias("in_state"),
-                *[F.coalesce(f, F.lit(False)).alias(f) for f in flags]))
+    held = (gone.filter(F.col("_name") != "")
+            .select(SOURCE, F.explode(_forms(F.col("_name"))).alias("name")).join(names, "name")
+            .groupBy(SOURCE).agg(*[F.bool_or(f).alias(f) for f in flags]))
+    from_state = gone.join(held, SOURCE, "left").select(
+        F.col(SOURCE).alias("id"), F.col("_name").alias("name"), F.lit(True).alias("in_state"),
+        *[F.coalesce(f, F.lit(False)).alias(f) for f in flags])
     kept = (state.join(ids, SOURCE, "left_semi")
-            .select(sanitize(F.col("name")).alias("name")).distinct())
+            .select(F.explode(_forms(F.col("name"))).alias("name")).distinct())
     orphans = (names.join(kept, "name", "left_anti")
                .select(F.concat(F.lit(ORPHAN_PREFIX), F.col("name")).alias("id"),
                        unsanitize(F.col("name")).alias("name"), F.lit(False).alias("in_state"),
@@ -70,8 +83,8 @@ def apply(stores: Stores, obsolete: DataFrame, llm_enabled: bool = True) -> Stor
     """The stores without the findings' data; a finding without a name touches no named store."""
     def without(store: DataFrame, flag: str) -> DataFrame:
         hit = (obsolete.filter(F.col(flag) & (F.col("name") != ""))
-               .select(sanitize(F.col("name")).alias("_name")).distinct())
-        return store.join(hit, F.col("name") == F.col("_name"), "left_anti")
+               .select(F.explode(_forms(F.col("name"))).alias("_name")).distinct())
+        return store.join(hit, _storage(store) == F.col("_name"), "left_anti")
 
     ids = obsolete.filter("in_state").select(F.col("id").alias(SOURCE))
     return Stores(

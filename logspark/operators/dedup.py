@@ -14,6 +14,7 @@ from ..session import materialize
 
 # Fixed value: the shortest run that is collapsed.
 REPEAT_THRESHOLD = 3
+LAST = "_segment_last"
 
 
 def collapse_repeats(logs: DataFrame, threshold: int = REPEAT_THRESHOLD) -> DataFrame:
@@ -38,24 +39,34 @@ def collapse_and_write(logs: DataFrame, finish: Callable[[DataFrame], DataFrame]
                        threshold: int = REPEAT_THRESHOLD) -> DataFrame:
     """:func:`collapse_repeats` and a row-wise ``finish``, written down for several later reads.
 
-    The input is shuffled, sorted and read once. Rows of runs inside a segment are final when they
-    are written; the few of runs that touch a segment's end go to files of their own, together with
-    what they were, and are joined up from there. ``finish`` passes ``_edge`` and ``_raw`` on.
+    The input is shuffled, sorted and read once, and rows are written in the order of that sort. Rows
+    of runs inside a segment are final when they are written; the few of runs that touch a segment's
+    end carry in ``_raw`` what they were and are joined up from there, into a table of their own.
+    ``finish`` passes ``_edge``, ``_raw`` and :data:`LAST` on. ``LAST`` tells the name and times of
+    the segment's last row, on every row of it, whatever happens to that row itself.
     """
-    runs = _segment_runs(logs, threshold)
+    runs = _segment_runs(_with_last(logs), threshold)
     raw = [*logs.columns, "_pos", "_n", "_head", "_tail"]
     edge = F.col("_head") | F.col("_tail")
-    marked = runs.withColumns({"_edge": edge, "_raw": F.when(edge, F.struct(*raw))})
-    rows = materialize(finish(_collapsed(marked, [*logs.columns, "_edge", "_raw"], threshold)),
-                       "lines", partition_by=("_edge",))
+    marked = runs.withColumns({"_edge": edge, "_raw": F.when(edge, F.struct(*raw, LAST))})
+    rows = materialize(
+        finish(_collapsed(marked, [*logs.columns, "_edge", "_raw", LAST], threshold)), "lines")
     ends = _join_ends(rows.filter("_edge").select("_raw.*"))
     none = {"_edge": F.lit(True), "_raw": F.lit(None)}
-    joined = finish(_collapsed(ends, logs.columns, threshold).withColumns(none))
+    joined = finish(_collapsed(ends, [*logs.columns, LAST], threshold).withColumns(none))
     final = [c for c in rows.columns if c not in none]
     return rows.filter(~F.col("_edge")).select(*final).unionByName(
         materialize(joined.select(*final), "ends"))
 
 
+def _with_last(logs: DataFrame) -> DataFrame:
+    """Add :data:`LAST`: a window of the same order as those that find the runs."""
+    whole = (W.partitionBy(SOURCE, "segment").orderBy("seq")
+             .rowsBetween(W.unboundedPreceding, W.unboundedFollowing))
+    return logs.withColumn(LAST, F.struct(*(F.last(c).over(whole).alias(c)
+                                            for c in ("name", "ts_raw", "ts"))))
+
+
 def _segment_runs(logs: DataFrame, threshold: int) -> DataFrame:
     """The first ``threshold - 1`` rows of each run inside a segment, with the run's length.
 

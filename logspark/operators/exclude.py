@@ -68,15 +68,30 @@ def exclude_lines(logs: DataFrame, filters: Mapping[str, LineFilter]) -> DataFra
     return logs.filter(~excluded(filters))
 
 
+# Distinct patterns that a rule table may hold.
+MOST_PATTERNS = 20_000
+
+
 def exclude_by_table(logs: DataFrame, rules: DataFrame) -> DataFrame:
-    """The same with ``rules(name, enabled, patterns)`` as a table, patterns already in Java form.
+    """The same with ``rules(name, enabled, patterns)`` as a table.
 
-    For pattern sets too many for a CASE. Catalyst sees the table's size and chooses the join.
+    For pattern sets too many for a CASE of names. The distinct patterns are read, up to
+    :data:`MOST_PATTERNS`, translated and checked like configured ones; a bad one raises
+    :class:`PatternError`. Catalyst sees the table's size and chooses the join, and each pattern is a
+    literal, compiled once per task. Several rules of one name count together.
     """
-    in_force = (rules.filter(F.col("enabled") & (F.size("patterns") > 0))
-                .select("name", F.col("patterns").alias("_patterns")))
-    hit = F.exists("_patterns", lambda p: F.rlike(F.col("message"), p))
-    return (logs.join(in_force, "name", "left")
+    in_force = rules.filter(F.col("enabled") & (F.size("patterns") > 0))
+    known = sorted(r[0] for r in in_force.select(F.explode("patterns").alias("p")).where(
+        "p IS NOT NULL").distinct().limit(MOST_PATTERNS + 1).collect())
+    if len(known) > MOST_PATTERNS:
+        raise ValueError(f"a rule table may hold {MOST_PATTERNS} distinct patterns")
+    java = {pattern: to_java(pattern) for pattern in known}
+    one_each = in_force.groupBy("name").agg(
+        F.array_distinct(F.flatten(F.collect_list("patterns"))).alias("_patterns"))
+    hit = F.lit(False)
+    for pattern, translated in java.items():
+        hit = hit | (F.array_contains("_patterns", pattern) & F.col("message").rlike(translated))
+    return (logs.join(one_each, "name", "left")
             .filter(~F.coalesce(hit, F.lit(False))).drop("_patterns").select(*logs.columns))
 
 

@@ -7,9 +7,10 @@ from datetime import datetime, timedelta
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.classify import service_status
+from ..functions.classify import SERVICE_LABELS, service_status
 from ..functions.parse import rfc3339
-from ..functions.text import trim_space
+from ..functions.render import kb_document, kb_entry
+from ..functions.text import sanitize, trim_space
 
 # Marks of the Markdown history and the allowed retention range in days.
 HISTORY_HEADER = "## Service History\n"
@@ -54,6 +55,42 @@ def append(history: DataFrame, results: DataFrame, now: datetime,
     return kept.select(*history.columns).unionByName(new.select(*history.columns))
 
 
+# Statuses from bad to good, and what a change of their mean is called.
+WORSE, BETTER, SAME, NEW = "worse", "better", "same", "new"
+
+
+def trend(history: DataFrame, now: datetime, recent: timedelta) -> DataFrame:
+    """Per service: entries and issues in the ``recent`` time and before it, and which way it goes.
+
+    Shares of entries with issues are compared, without rounding; a service without earlier entries
+    is new, one without recent ones the same. Entries without a time do not count.
+    """
+    since = F.lit((now - recent).isoformat(sep=" ")).cast("timestamp_ntz")
+    late = F.col("scan_ts") >= since
+    issue = F.col("status") == SERVICE_LABELS[0]
+    counts = history.filter(F.col("scan_ts").isNotNull()).groupBy("name").agg(
+        F.count_if(late).alias("recent"), F.count_if(late & issue).alias("recent_issues"),
+        F.count_if(~late).alias("earlier"), F.count_if(~late & issue).alias("earlier_issues"))
+    now_share = F.col("recent_issues") * F.col("earlier")
+    before = F.col("earlier_issues") * F.col("recent")
+    return counts.withColumn(
+        "trend", F.when(F.col("earlier") == 0, NEW).when(now_share > before, WORSE)
+        .when(now_share < before, BETTER).otherwise(SAME))
+
+
+def documents(history: DataFrame) -> DataFrame:
+    """One document per service with its entries in the order of their times, the unknown first.
+
+    A service's history is bounded by its retention period, so a document is one text.
+    """
+    entry = kb_entry(F.col("scan_ts_raw"), F.col("status"), F.col("analysis"))
+    rows = F.struct("scan_ts", "scan_ts_raw", entry.alias("entry"))
+    listed = F.transform(F.sort_array(F.collect_list(rows)), lambda r: r["entry"])
+    return history.groupBy("name").agg(listed.alias("_entries")).select(
+        "name", sanitize(F.col("name")).alias("storage_name"),
+        kb_document(F.col("name"), F.col("_entries")).alias("content"))
+
+
 def parse_markdown(files: DataFrame) -> DataFrame:
     """``files(name, content)`` of Markdown histories to entries; blank entries vanish.
 

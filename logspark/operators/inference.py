@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from ..functions import prompts as P
 from ..functions.tokens import TokenCounter
 from ..model import SOURCE
-from .budget import DIRECT, EMPTY
+from .budget import DIRECT, EMPTY, RESPONSE_RESERVE
 from .chunking import assign_chunks
 
 # Request settings and the analysis of a container without usable lines.
@@ -86,7 +86,7 @@ def unwrap(requests: DataFrame, responses: DataFrame) -> DataFrame:
     failure = (F.when(F.col("error").isNotNull(), error_text(F.col("error")))
                .when(F.coalesce(F.size("choices"), F.lit(0)) <= 0, F.lit(NO_CHOICES)))
     content = F.get("choices", F.lit(0))["message"]["content"]
-    answers = responses.select(
+    answers = one_response(responses).select(
         "request_id", failure.alias("failure"),
         F.when(failure.isNull(), F.coalesce(content, F.lit(""))).alias("content"),
         F.coalesce(F.col("usage.total_tokens"), F.lit(0)).alias("usage_tokens"),
@@ -96,6 +96,17 @@ def unwrap(requests: DataFrame, responses: DataFrame) -> DataFrame:
                         .otherwise(F.col("failure"))).drop("_answered"))
 
 
+def one_response(responses: DataFrame) -> DataFrame:
+    """One response a request: a repeated request counts by its best answer, good before failed.
+
+    Among several of a kind the one whose text is smallest is taken, so any order gives the same.
+    """
+    good = F.col("error").isNull() & (F.coalesce(F.size("choices"), F.lit(0)) > 0)
+    body = F.struct("choices", "usage", "error")
+    best = F.min_by(body, F.struct(~good, F.xxhash64(F.to_json(body)), F.to_json(body)))
+    return responses.groupBy("request_id").agg(best.alias("_r")).select("request_id", "_r.*")
+
+
 def chunk_summaries(requests: DataFrame, responses: DataFrame) -> DataFrame:
     """Summaries of the containers all of whose chunks were answered."""
     rows = unwrap(requests.filter(F.col("kind") == CHUNK), responses)
@@ -106,22 +117,28 @@ def chunk_summaries(requests: DataFrame, responses: DataFrame) -> DataFrame:
 
 
 def synthesis_requests(summaries: DataFrame, budgets: DataFrame, scan_id: str,
-                       counter: TokenCounter, max_tokens: int,
+                       counter: TokenCounter, limit: int | Column,
                        prompts: P.Prompts = P.Prompts(), level: int = 0,
                        segment_span: int = 1 << 16) -> DataFrame:
     """Requests that combine the chunk summaries of each container, in chunk order.
 
-    Summaries that fit into ``max_tokens`` together give one final request. More are packed, in
+    Summaries that fit into ``limit`` tokens together give one final request. More are packed, in
     order, into several (``chunk_total`` > 1): their replies are summaries for the next ``level``
     (see :func:`next_level`), until one request is left. So the text of a request stays bounded
-    however many chunks a container has.
+    however many chunks a container has. ``limit`` may be a column over ``budgets``, such as
+    :func:`summary_limit`.
     """
     c = F.col
     part = P.summary_part(c("chunk_index") + 1, c("summary"))
-    lines = summaries.select(
+    if isinstance(limit, int):
+        limited = summaries.withColumn("chunk_limit", F.lit(limit).cast("long"))
+    else:
+        limited = summaries.join(budgets.select(SOURCE, limit.cast("long").alias("chunk_limit")),
+                                 SOURCE)
+    lines = limited.select(
         SOURCE, "name", F.floor(c("chunk_index") / segment_span).cast("long").alias("segment"),
         c("chunk_index").alias("seq"), part.alias("line"), counter.of_text(part).alias("tokens"),
-        F.lit(max_tokens).cast("long").alias("chunk_limit"))
+        "chunk_limit")
     packs = _pack(lines).join(budgets.select(SOURCE, "instructions"), SOURCE)
     return packs.select(*_request(
         scan_id, F.lit(SYNTHESIS if level == 0 else f"{SYNTHESIS}{level}"),
@@ -129,15 +146,37 @@ def synthesis_requests(summaries: DataFrame, budgets: DataFrame, scan_id: str,
         P.synthesis_prompt(prompts, c("name"), c("text")), F.lit(ANALYSIS_REPLY_TOKENS)))
 
 
+def summary_limit(counter: TokenCounter, max_tokens: int,
+                  prompts: P.Prompts = P.Prompts()) -> Column:
+    """Tokens left for summaries in a synthesis request, as a column over budgets.
+
+    What the reply, the system prompt and the template itself take is taken off.
+    """
+    template = P.synthesis_prompt(prompts, F.col("name"), F.lit(""))
+    free = (F.lit(max_tokens - RESPONSE_RESERVE).cast("long") - F.col("system_tokens")
+            - counter.of_text(template))
+    return F.greatest(free, F.lit(1).cast("long"))
+
+
 def _pack(lines: DataFrame) -> DataFrame:
     from .chunking import chunk_texts
 
     return chunk_texts(assign_chunks(lines))
 
 
-def next_level(answered: DataFrame) -> DataFrame:
-    """Replies to packed synthesis requests as the summaries of the next level."""
-    return answered.filter((F.col("chunk_total") > 1) & F.col("failure").isNull()).select(
+def next_level(requests: DataFrame, responses: DataFrame) -> DataFrame:
+    """Replies to one level's packed requests as the summaries of the next level.
+
+    Only of containers all of whose packs were answered, and whose packs are fewer than the summaries
+    that went into them: what can no longer be packed closer would never come to an end.
+    """
+    packs = requests.filter(F.col("kind").startswith(SYNTHESIS) & (F.col("chunk_total") > 1))
+    answered = unwrap(packs, responses)
+    going = (answered.groupBy(SOURCE).agg(
+        F.count_if(F.col("failure").isNotNull()).alias("bad"),
+        F.sum("n_logs").alias("given"), F.count("*").alias("left"))
+        .filter((F.col("bad") == 0) & (F.col("left") < F.col("given"))).select(SOURCE))
+    return answered.join(going, SOURCE, "left_semi").select(
         SOURCE, "name", "chunk_index", "chunk_total", F.col("content").alias("summary"))
 
 
@@ -152,7 +191,7 @@ def results(budgets: DataFrame, requests: DataFrame, responses: DataFrame,
     answered = unwrap(requests, responses)
     spent = F.when(c("kind") == CHUNK, c("text_tokens") + counter.of_text(c("content"))).otherwise(
         c("usage_tokens"))
-    final = (c("kind") == DIRECT) | (c("kind").startswith(SYNTHESIS) & (c("chunk_total") == 1))
+    final = _is_final()
     outcome = answered.groupBy(SOURCE).agg(
         F.max(F.when(final, c("content"))).alias("_content"),
         F.sum(spent).alias("tokens_used"),
@@ -170,20 +209,34 @@ def results(budgets: DataFrame, requests: DataFrame, responses: DataFrame,
 
 
 def failed_containers(requests: DataFrame, responses: DataFrame) -> DataFrame:
-    return (unwrap(requests, responses).filter(F.col("failure").isNotNull())
-            .select(SOURCE, "name").distinct())
+    """Containers with a request that failed, or without an answer to a final request.
+
+    So a container whose summaries could not be reduced to one request is failed, never just absent.
+    """
+    answered = unwrap(requests, responses).groupBy(SOURCE, "name").agg(
+        F.count_if(F.col("failure").isNotNull()).alias("bad"), F.count_if(_is_final()).alias("final"))
+    return answered.filter("bad > 0 OR final = 0").select(SOURCE, "name")
+
+
+def _is_final() -> Column:
+    kind = F.col("kind")
+    return (kind == DIRECT) | (kind.startswith(SYNTHESIS) & (F.col("chunk_total") == 1))
 
 
 def latest_per_name(rows: DataFrame, order: Column) -> DataFrame:
-    """One result per container name: the last in scan order wins."""
-    return (rows.groupBy("name").agg(F.max_by(F.struct(*rows.columns), order).alias("r"))
-            .select("r.*"))
+    """One result per container name: the last in scan order wins.
+
+    The winning position is found first, from names and positions alone; whole rows are only joined.
+    """
+    placed = rows.withColumn("_order", order)
+    last = placed.groupBy("name").agg(F.max("_order").alias("_order"))
+    return placed.join(last, ["name", "_order"], "left_semi").drop("_order")
 
 
 def interactions(requests: DataFrame, responses: DataFrame, now, enabled: bool = True) -> DataFrame:
     """Answered requests with request and response as JSON, for the interaction log."""
     body = F.struct("messages", "temperature", "max_tokens")
-    rows = requests.join(responses, "request_id").filter(
+    rows = requests.join(one_response(responses), "request_id").filter(
         F.col("error").isNull() & (F.size("choices") > 0))
     rows = rows if enabled else rows.filter(F.lit(False))
     return rows.select(

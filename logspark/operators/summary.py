@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from datetime import datetime
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import classify as C
@@ -14,6 +14,7 @@ from ..functions.tokens import TokenCounter
 from ..model import SOURCE
 from ..session import materialize
 from . import inference
+from .budget import RESPONSE_RESERVE
 
 # Texts of the dashboard and the alert.
 DASHBOARD_HEAD = "# 🌍 Global System Summary\n\n**Last Updated:** %s\n\n"
@@ -43,12 +44,12 @@ def scan_totals(logs: DataFrame) -> DataFrame:
 
 
 def service_status(analyses: DataFrame) -> DataFrame:
-    """Status, summary and errors of each service, by name."""
+    """Status, summary and errors of each service; the dashboard sorts them."""
     text = F.col("analysis")
     return analyses.select(
         "name", C.has_issues(text).alias("has_issues"),
         C.dashboard_status(text).alias("status"), C.extract_summary(text).alias("summary"),
-        F.when(C.has_issues(text), C.extract_errors(text)).alias("errors")).orderBy("name")
+        F.when(C.has_issues(text), C.extract_errors(text)).alias("errors"))
 
 
 def health(analyses: DataFrame) -> DataFrame:
@@ -89,12 +90,22 @@ def dashboard(analyses: DataFrame, now: datetime) -> DataFrame:
     return document.orderBy("section", "name")
 
 
-def executive_requests(analyses: DataFrame, scan_id: str, counter: TokenCounter, max_tokens: int,
-                       prompts: P.Prompts = P.Prompts()) -> DataFrame:
+def executive_limit(spark: SparkSession, counter: TokenCounter, max_tokens: int,
+                    prompts: P.Prompts = P.Prompts()) -> int:
+    """Tokens left for analyses in an executive request: without reply, system prompt and template."""
+    system = P.system_prompt(prompts, F.lit(""))
+    template = P.executive_prompt(prompts, F.lit(0), F.lit(""))
+    fixed = spark.range(1).select(counter.of_message(system) + counter.of_text(template)).first()[0]
+    return max(1, max_tokens - RESPONSE_RESERVE - fixed)
+
+
+def executive_requests(analyses: DataFrame, scan_id: str, counter: TokenCounter, limit: int,
+                       prompts: P.Prompts = P.Prompts(), level: int = 0) -> DataFrame:
     """The executive summary request over all analyses, in name order.
 
-    One request while the analyses fit into ``max_tokens``; beyond that they are packed in order
+    One request while the analyses fit into ``limit`` tokens; beyond that they are packed in order
     into several, numbered by ``chunk_index`` of ``chunk_total``, so no request text is unbounded.
+    Their replies are the analyses of the next ``level`` (:func:`plans.scan.executive`).
     """
     c = F.col
     part = P.analysis_part(c("name"), c("analysis"))
@@ -102,11 +113,12 @@ def executive_requests(analyses: DataFrame, scan_id: str, counter: TokenCounter,
                                        counter.of_text(part).alias("tokens")))
     lines = ranked.select(
         F.lit("").alias(SOURCE), F.lit("").alias("name"), "segment", "seq", "line", "tokens",
-        F.lit(max_tokens).cast("long").alias("chunk_limit"))
+        F.lit(limit).cast("long").alias("chunk_limit"))
     packs = inference._pack(lines)
     user = P.executive_prompt(prompts, c("n_logs"), c("text"))
+    kind = inference.EXECUTIVE if level == 0 else f"{inference.EXECUTIVE}{level}"
     return packs.select(*inference._request(
-        scan_id, F.lit(inference.EXECUTIVE), c("chunk_index"), c("chunk_total"),
+        scan_id, F.lit(kind), c("chunk_index"), c("chunk_total"),
         P.system_prompt(prompts, F.lit("")), user, F.lit(inference.ANALYSIS_REPLY_TOKENS)))
 
 

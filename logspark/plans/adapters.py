@@ -10,15 +10,14 @@ from datetime import datetime
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.classify import SERVICE_LABELS
 from ..functions.parse import STDOUT
-from ..model import SEGMENT_SPAN, SOURCE, with_segment
+from ..model import SEGMENT_SPAN, SOURCE, ZERO_TIME, with_segment
 from ..operators.exclude import LineFilter
 from ..sources.logs import parse_lines, split_lines
 
 # The moment the derived scans run at, just behind the newest event.
 NOW = datetime(2024, 1, 31)
-# Events above this value leave traces in the derived tables.
-STRONG = 100.0
 # Containers without an event since then no longer exist.
 LIVE_SINCE = "2024-01-30 12:00:00"
 
@@ -134,18 +133,25 @@ def raw_event_lines(spark: SparkSession, folder: str) -> DataFrame:
                                 F.col("event_id").alias("seq"), text.alias("value")))
 
 
-def _users_with(events: DataFrame, kind: str) -> DataFrame:
-    return events.filter((F.col("event_type") == kind) & (F.col("value") > STRONG))
-
-
 def state(spark: SparkSession, folder: str) -> DataFrame:
-    """Cursors: each user's last strong signup; users without one are unknown."""
-    strong = _users_with(read(spark, folder, "events"), "signup")
-    return strong.groupBy("user_id").agg(F.max("ts").alias("last_scan")).select(
+    """Cursors: each user's last signup; users without one, or whose last event is an error, are
+    unknown."""
+    users = read(spark, folder, "events").groupBy("user_id").agg(
+        F.max(F.when(F.col("event_type") == "signup", F.col("ts"))).alias("last_scan"),
+        F.max_by("event_type", "event_id").alias("last"))
+    return users.filter(F.col("last_scan").isNotNull() & (F.col("last") != "error")).select(
         F.col("user_id").cast("string").alias(SOURCE), user_name(F.col("user_id")).alias("name"),
         "last_scan", F.lit("").alias("log_cursor"))
 
 
+def unread(spark: SparkSession, folder: str) -> DataFrame:
+    """A state in which every user is known and nothing has been read."""
+    users = read(spark, folder, "events").select("user_id").distinct()
+    return users.select(
+        F.col("user_id").cast("string").alias(SOURCE), user_name(F.col("user_id")).alias("name"),
+        F.lit(ZERO_TIME).cast("timestamp_ntz").alias("last_scan"), F.lit("").alias("log_cursor"))
+
+
 def containers(spark: SparkSession, folder: str) -> DataFrame:
     """Suppliers as containers; those with a positive balance are running."""
     s = read(spark, folder, "supplier")
@@ -162,35 +168,38 @@ def live(spark: SparkSession, folder: str) -> DataFrame:
             .select(F.col("user_id").cast("string").alias(SOURCE)).distinct())
 
 
-def store(spark: SparkSession, folder: str, kind: str) -> DataFrame:
-    """A store that keeps a row per strong event of one kind, under the storage name."""
-    return _users_with(read(spark, folder, "events"), kind).select(
+def store(spark: SparkSession, folder: str, *kinds: str) -> DataFrame:
+    """A store that keeps a row per event of some kinds, under the storage name."""
+    e = read(spark, folder, "events")
+    return e.filter(F.col("event_type").isin(*kinds)).select(
         F.translate(user_name(F.col("user_id")), "/", "_").alias("name"),
         F.col("event_id").alias("entry"))
 
 
 def ignore(spark: SparkSession, folder: str) -> DataFrame:
-    """Instructions for the users with a strong view, naming their strongest kind of event."""
-    e = read(spark, folder, "events")
-    strong = e.filter(F.col("value") > STRONG).groupBy("user_id").agg(
-        F.count_if(F.col("event_type") == "view").alias("views"),
+    """Instructions for each user whose last event is no click, naming the kind of the strongest."""
+    users = read(spark, folder, "events").groupBy("user_id").agg(
+        F.max_by("event_type", "event_id").alias("last"),
         F.max_by("event_type", F.struct("value", "event_id")).alias("kind"))
-    return strong.filter("views > 0").select(
+    return users.filter("last <> 'click'").select(
         F.translate(user_name(F.col("user_id")), "/", "_").alias("file_stem"),
         F.format_string(IGNORE_TEXT, "kind").alias("instructions"))
 
 
 def rules(spark: SparkSession, folder: str) -> DataFrame:
-    """A filter table: users with a strong signup leave out their last and collapsed first kind."""
+    """A filter table in the RE2 dialect: users leave out their last and collapsed first kind.
+
+    Two rows a user, and the rules of users whose strongest event is a view are disabled.
+    """
     e = read(spark, folder, "events")
     users = e.groupBy("user_id").agg(
         F.max_by("event_type", "event_id").alias("last"),
         F.min_by("event_type", "event_id").alias("first"),
-        F.bool_or((F.col("event_type") == "signup") & (F.col("value") > STRONG)).alias("enabled"))
-    return users.select(
-        user_name(F.col("user_id")).alias("name"), "enabled",
-        F.array(F.concat(F.lit("^"), "last", F.lit("$")),
-                F.concat(F.lit(r"^\[REPEAT x[0-9]+\] "), "first")).alias("patterns"))
+        (F.max_by("event_type", F.struct("value", "event_id")) != "view").alias("enabled"))
+    patterns = F.array(F.concat(F.lit("^(?P<kind>"), "last", F.lit(r")\z")),
+                       F.concat(F.lit(r"^\[REPEAT x[[:digit:]]+\] "), "first"))
+    return users.select(user_name(F.col("user_id")).alias("name"), "enabled",
+                        F.explode(F.transform(patterns, lambda p: F.array(p))).alias("patterns"))
 
 
 def analyses(spark: SparkSession, folder: str) -> DataFrame:
@@ -215,15 +224,17 @@ def analyses(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def history(spark: SparkSession, folder: str) -> DataFrame:
-    """History entries: one per strong event; those of kind view lost their time."""
-    e = read(spark, folder, "events").filter(F.col("value") > STRONG)
-    known = F.col("event_type") != "view"
+    """History entries: one per event; those of kind view lost their time."""
+    e = read(spark, folder, "events")
+    kind = F.col("event_type")
+    known = kind != "view"
     raw = F.when(known, F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss'Z'")).otherwise(F.lit("unknown"))
     return e.select(
         user_name(F.col("user_id")).alias("name"), raw.alias("scan_ts_raw"),
         F.when(known, F.date_trunc("second", F.col("ts").cast("timestamp"))
                .cast("timestamp_ntz")).alias("scan_ts"),
-        F.lit("🟢 Healthy").alias("status"),
+        F.when(kind == "error", SERVICE_LABELS[0]).when(kind == "purchase", SERVICE_LABELS[1])
+        .otherwise(SERVICE_LABELS[2]).alias("status"),
         F.concat(F.lit("entry "), F.col("event_id").cast("string")).alias("analysis"))
 
 
@@ -237,6 +248,13 @@ def responses(requests: DataFrame) -> DataFrame:
                                     tokens.cast("string"), F.lit(" tokens")), tokens, n, n == 1)
 
 
+def answer(requests: DataFrame) -> DataFrame:
+    """Answers to a round of requests of any kind."""
+    combining = F.col("kind").startswith("synthesis") | F.col("kind").startswith("executive")
+    return responses(requests.filter(~combining)).unionByName(
+        synthesis_responses(requests.filter(combining)))
+
+
 def synthesis_responses(requests: DataFrame) -> DataFrame:
     """Answers to synthesis requests that report how long the request was."""
     size = F.char_length(F.get("messages", F.lit(1))["content"]).cast("long")

@@ -12,19 +12,20 @@ from pyspark.sql import functions as F
 from ..functions import classify as C
 from ..functions import prompts as P
 from ..functions import text as X
-from ..functions.render import kb_entry, one_decimal, report, report_path
+from ..functions.render import one_decimal, report, report_path
 from ..functions.tokens import byte_tokens
-from ..model import SOURCE, STATE, place
+from ..model import KB_HISTORY, SOURCE, STATE, place, with_segment
 from ..operators import budget as B
 from ..operators import (chunking, cleanup, cursor, dedup, exclude, history, inference, preview,
                          summary)
 from ..operators import state as S
 from ..session import materialize, shared_folder
 from ..sources import containers as K
-from ..sources.tables import VersionedTable
+from ..sources.tables import VersionedTable, read_state_json, write_state_json
 from ..streaming.incremental import scan_stream
 from . import adapters as A
-from .scan import Prepared, ScanOptions, prepare, second_requests, written_lines
+from .scan import (Prepared, ScanOptions, alert, executive, finish, next_requests, prepare, reduce_all,
+                   Stores, written_lines)
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -36,7 +37,9 @@ DOC_CHUNK = 400
 RETENTION_DAYS = 14
 LOOKBACK = timedelta(days=7)
 SYNTHESIS_TOKENS = 30
+REDUCTION_TOKENS = 45
 EXECUTIVE_TOKENS = 2000
+EXECUTIVE_CONTEXT = 32_000
 
 
 def query(name: str) -> Callable[[Query], Query]:
@@ -52,9 +55,18 @@ def incremental_scan(spark, folder):
     return new.select(SOURCE, "name", "seq", "ts_raw", "ts", "message")
 
 
+@query("q01b_untimed_lines")
+def untimed_lines(spark, folder):
+    """Raw lines of which some have no time or a broken one; they go with the line before them."""
+    lines = materialize(A.raw_event_lines(spark, folder), "raw-lines")  # as a log reader would
+    lines = with_segment(lines.withColumn("name", F.col(SOURCE)), 64)
+    new = cursor.new_lines(lines, A.state(spark, folder), A.NOW)
+    return new.select(SOURCE, "seq", "ts_raw", "ts", "message")
+
+
 @query("q02_lookback_scan")
 def lookback_scan(spark, folder):
-    rows = cursor.lookback(A.event_logs(spark, folder), A.NOW, LOOKBACK)
+    rows = cursor.new_lines(A.event_logs(spark, folder), A.state(spark, folder), A.NOW, LOOKBACK)
     return rows.select(SOURCE, "name", "seq", "ts", "message")
 
 
@@ -139,13 +151,14 @@ def greedy_chunks_conversations(spark, folder):
     return _chunked(A.conversation_logs(spark, folder), {}, DOC_CHUNK)
 
 
-def options() -> ScanOptions:
-    return ScanOptions(now=A.NOW, max_tokens=MAX_TOKENS, filters=A.EVENT_FILTERS, counter=COUNTER,
-                       retention_days=RETENTION_DAYS)
+def options(max_tokens: int = MAX_TOKENS) -> ScanOptions:
+    return ScanOptions(now=A.NOW, scan_id="scan", max_tokens=max_tokens, filters=A.EVENT_FILTERS,
+                       counter=COUNTER, retention_days=RETENTION_DAYS)
 
 
-def _prepared(spark, folder) -> Prepared:
-    return prepare(A.event_logs(spark, folder), options(), A.ignore(spark, folder))
+def _prepared(spark, folder, max_tokens: int = MAX_TOKENS) -> Prepared:
+    return prepare(A.event_logs(spark, folder), A.unread(spark, folder), options(max_tokens),
+                   A.ignore(spark, folder))
 
 
 def _budgets(spark, folder) -> DataFrame:
@@ -178,17 +191,14 @@ def _flat(requests: DataFrame) -> DataFrame:
 def _rounds(spark, folder) -> tuple[Prepared, DataFrame, DataFrame]:
     """Preparation, all requests and all responses of a scan of the events."""
     prepared = _prepared(spark, folder)
-    first = materialize(A.responses(prepared.requests), "responses")
-    second = materialize(second_requests(prepared, first, options()), "synthesis")
-    requests = prepared.requests.unionByName(second)
-    return prepared, requests, first.unionByName(A.synthesis_responses(second))
+    return prepared, *reduce_all(prepared, A.answer, options())
 
 
 @query("q09b_synthesis_requests")
 def synthesis_requests(spark, folder):
     prepared = _prepared(spark, folder)
-    first = A.responses(prepared.requests)
-    return _flat(second_requests(prepared, first, options()))
+    first = A.answer(prepared.requests)
+    return _flat(next_requests(prepared, prepared.requests, first, options(), 0))
 
 
 @query("q09c_synthesis_packed")
@@ -209,9 +219,38 @@ def results(spark, folder):
 
 @query("q09e_failed_containers")
 def failed_containers(spark, folder):
+    _, requests, responses = _rounds(spark, folder)
+    return inference.failed_containers(requests, responses)
+
+
+@query("q09g_reduction")
+def reduction(spark, folder):
+    """Summaries reduced over several levels, until one request of each container is left."""
     prepared = _prepared(spark, folder)
-    return inference.failed_containers(prepared.requests,
-                                       A.responses(prepared.requests))
+    last, replies, rounds, level = prepared.requests, A.answer(prepared.requests), None, 0
+    summaries = inference.chunk_summaries(last, replies)
+    while True:
+        last = materialize(inference.synthesis_requests(
+            summaries, prepared.budgets, "scan", COUNTER, REDUCTION_TOKENS, level=level), "requests")
+        if last.isEmpty():
+            return rounds
+        flat = _flat(last).select(SOURCE, F.lit(level).cast("long").alias("level"), "chunk_index",
+                                  "chunk_total", "user_text")
+        rounds = flat if rounds is None else rounds.unionByName(flat)
+        summaries, level = inference.next_level(last, A.answer(last)), level + 1
+
+
+@query("q09h_repeated_responses")
+def repeated_responses(spark, folder):
+    """Every request is answered three times: well, with an error, and with nothing."""
+    prepared, requests, responses = _rounds(spark, folder)
+    error = F.struct(F.lit("busy").alias("message"), F.lit("server").alias("type"),
+                     F.lit("503").alias("code"))
+    failed = responses.withColumns({"error": error, "usage": F.lit(None)})
+    nothing = responses.withColumn("choices", F.filter("choices", lambda _: F.lit(False)))
+    answers = failed.unionByName(responses).unionByName(nothing)
+    return inference.results(prepared.budgets, requests, answers, COUNTER).select(
+        SOURCE, "analysis", "tokens_used", "chunks_used")
 
 
 @query("q09f_interactions")
@@ -274,18 +313,26 @@ def retention(spark, folder):
 
 @query("q13b_kb_ingest")
 def kb_ingest(spark, folder):
-    old = A.history(spark, folder)
-    entries = old.select("name", kb_entry(F.col("scan_ts_raw"), F.col("status"),
-                                          F.col("analysis")).alias("content"))
-    header = F.concat(F.lit("# Knowledge Base: "), "name", F.lit("\n\n## Service History\n"))
-    files = entries.withColumn("content", F.concat(header, "content"))
+    """Histories as documents with all entries of a service and blank ones, read back."""
+    files = history.documents(A.history(spark, folder)).select(
+        "name", F.concat("content", F.lit("\n \n---\n\t\n---\n")).alias("content"))
     return history.parse_markdown(files).drop("entry_no")
 
 
+@query("q13c_history_documents")
+def history_documents(spark, folder):
+    return history.documents(A.history(spark, folder))
+
+
+@query("q13d_status_trend")
+def status_trend(spark, folder):
+    return history.trend(A.history(spark, folder), A.NOW, LOOKBACK)
+
+
 @query("q14_cursor_upsert")
 def cursor_upsert(spark, folder):
     state, logs = A.state(spark, folder), A.event_logs(spark, folder)
-    return cursor.advance(state, cursor.new_lines(logs, state, A.NOW))
+    return cursor.advance(state, cursor.last_times(cursor.new_lines(logs, state, A.NOW)))
 
 
 @query("q14b_last_times")
@@ -298,7 +345,8 @@ def last_times(spark, folder):
 
 @query("q15_executive_request")
 def executive_request(spark, folder):
-    return _flat(summary.executive_requests(A.analyses(spark, folder), "scan", COUNTER, 1 << 40))
+    limit = summary.executive_limit(spark, COUNTER, EXECUTIVE_CONTEXT)
+    return _flat(summary.executive_requests(A.analyses(spark, folder), "scan", COUNTER, limit))
 
 
 @query("q15b_executive_packed")
@@ -326,11 +374,11 @@ def container_all(spark, folder):
 
 
 def _obsolete(spark, folder) -> tuple[cleanup.Stores, DataFrame]:
-    stores = cleanup.Stores(A.state(spark, folder), A.store(spark, folder, "error"),
-                            A.store(spark, folder, "purchase"), A.store(spark, folder, "click"))
+    stores = cleanup.Stores(
+        A.state(spark, folder), A.store(spark, folder, "error", "signup"),
+        A.store(spark, folder, "purchase", "view"), A.store(spark, folder, "click"))
     names = cleanup.stored_names(stores.kb, stores.reports, stores.llm_logs)
-    found = cleanup.find_obsolete(stores.state, A.live(spark, folder), names)
-    return stores, materialize(found, "obsolete")
+    return stores, cleanup.find_obsolete(stores.state, A.live(spark, folder), names)
 
 
 @query("q18_obsolete")
@@ -338,6 +386,50 @@ def obsolete(spark, folder):
     return cleanup.report(_obsolete(spark, folder)[1])
 
 
+def _finished(spark, folder) -> tuple[Stores, DataFrame]:
+    """A whole scan from the cursors of the state, and the tables it has written."""
+    base = f"{shared_folder(spark)}/scan-{uuid.uuid4().hex}"
+    stores = Stores(VersionedTable(f"{base}/state", STATE), VersionedTable(f"{base}/kb", KB_HISTORY),
+                    f"{base}/reports", f"{base}/dashboard", f"{base}/llm")
+    stores.state.write(A.state(spark, folder))
+    prepared = prepare(A.event_logs(spark, folder), stores.state.read(spark), options(),
+                       A.ignore(spark, folder))
+    requests, responses = reduce_all(prepared, A.answer, options())
+    return stores, finish(prepared, requests, responses, options(), stores)
+
+
+@query("q26_whole_scan")
+def whole_scan(spark, folder):
+    return _finished(spark, folder)[1]
+
+
+@query("q26b_whole_scan_state")
+def whole_scan_state(spark, folder):
+    return _finished(spark, folder)[0].state.read(spark)
+
+
+def _scanned_stores(spark, folder) -> tuple[cleanup.Stores, DataFrame]:
+    stores, _ = _finished(spark, folder)
+    tables = cleanup.Stores(stores.state.read(spark), stores.history.read(spark),
+                            spark.read.parquet(stores.reports),
+                            spark.read.parquet(stores.interactions))
+    names = cleanup.stored_names(tables.kb, tables.reports, tables.llm_logs)
+    return tables, cleanup.find_obsolete(tables.state, A.live(spark, folder), names)
+
+
+@query("q18b_obsolete_after_scan")
+def obsolete_after_scan(spark, folder):
+    return _scanned_stores(spark, folder)[1]
+
+
+@query("q19c_cleanup_after_scan")
+def cleanup_after_scan(spark, folder):
+    left = cleanup.apply(*_scanned_stores(spark, folder))
+    parts = [store.select(F.lit(label).alias("store"), "name").distinct() for label, store in (
+        ("state", left.state), ("kb", left.kb), ("reports", left.reports), ("llm_logs", left.llm_logs))]
+    return parts[0].unionByName(parts[1]).unionByName(parts[2]).unionByName(parts[3])
+
+
 @query("q19_cleanup_state")
 def cleanup_state(spark, folder):
     return cleanup.apply(*_obsolete(spark, folder)).state
@@ -367,6 +459,24 @@ def state_list(spark, folder):
     return S.listing(A.state(spark, folder))
 
 
+@query("q20d_state_json")
+def state_json(spark, folder):
+    """The state written as a JSON document and read back."""
+    path = f"{shared_folder(spark)}/state-json-{uuid.uuid4().hex}"
+    write_state_json(A.state(spark, folder), path, A.NOW)
+    return read_state_json(spark, path)
+
+
+@query("q20e_reset_all")
+def reset_all(spark, folder):
+    return S.reset_all(A.state(spark, folder))
+
+
+@query("q20f_remove")
+def remove(spark, folder):
+    return S.remove(A.state(spark, folder), "5")
+
+
 @query("q21_preview")
 def first_lines(spark, folder):
     return preview.preview(A.event_logs(spark, folder)).select(
@@ -395,7 +505,7 @@ def _streamed(spark, folder) -> tuple[str, VersionedTable]:
     """Stream the event files through scans; collapsed lines per batch, and the state table."""
     base = f"{shared_folder(spark)}/stream-{uuid.uuid4().hex}"
     table = VersionedTable(f"{base}/state", STATE)
-    table.write(A.state(spark, folder), -1)  # the state before the first batch
+    table.write(A.state(spark, folder))  # the state before the first batch
 
     def handle(rows, batch_id):
         dedup.collapse_repeats(rows).write.parquet(f"{base}/lines/batch={batch_id}", "overwrite")
@@ -424,10 +534,15 @@ def latest_per_name(spark, folder):
 
 
 @query("q24_alert")
-def alert(spark, folder):
-    """The alert of a scan whose executive summary is the list of statuses with their counts."""
-    analyses = A.analyses(spark, folder)
-    counts = analyses.groupBy(C.dashboard_status(F.col("analysis")).alias("status")).count()
-    text = counts.agg(F.expr(
-        "listagg(status || ': ' || count, ', ') WITHIN GROUP (ORDER BY status)").alias("summary"))
-    return summary.alert(text, summary.health(analyses), A.NOW, "Scan Complete")
+def scan_alert(spark, folder):
+    """The alert of a scan, from the reply to its executive request."""
+    prepared, requests, responses = _rounds(spark, folder)
+    results = materialize(inference.results(prepared.budgets, requests, responses, COUNTER), "results")
+    settings = options(EXECUTIVE_CONTEXT)
+    return alert(results, executive(results, A.answer, settings), settings, "Scan Complete")
+
+
+@query("q27_mask_personal")
+def mask_personal(spark, folder):
+    return A.read(spark, folder, "documents").select(
+        "doc_id", X.mask_personal(F.col("text")).alias("text"))

@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Mapping
 
 from ..functions import prompts as P
+from ..functions import text as X
 from ..operators.exclude import LineFilter
 from . import adapters as A
 from . import catalog as Q
@@ -50,24 +51,26 @@ CONVERSATION_LOGS = """logs AS (
          CAST(0 AS BIGINT) AS segment, turn AS seq, '' AS ts_raw, CAST(NULL AS TIMESTAMP) AS ts,
          role AS stream, text AS message
   FROM conversations)"""
-STATE = f"""state AS (
+STATE = """state AS (
   SELECT CAST(user_id AS VARCHAR) AS container_id, 'app/user-' || user_id AS name,
-         max(ts) AS last_scan, '' AS log_cursor
-  FROM events WHERE event_type = 'signup' AND value > {A.STRONG} GROUP BY user_id)"""
+         max(ts) FILTER (event_type = 'signup') AS last_scan, '' AS log_cursor
+  FROM events GROUP BY user_id
+  HAVING max(ts) FILTER (event_type = 'signup') IS NOT NULL
+         AND arg_max(event_type, event_id) <> 'error')"""
 LIVE = f"""live AS (
   SELECT DISTINCT CAST(user_id AS VARCHAR) AS container_id FROM events
   WHERE ts >= TIMESTAMP '{A.LIVE_SINCE}')"""
 STORES = ",\n".join(f"""{store} AS (
   SELECT 'app_user-' || user_id AS name, event_id AS entry FROM events
-  WHERE event_type = '{kind}' AND value > {A.STRONG})""" for store, kind in (
-    ("kb", "error"), ("reports", "purchase"), ("llm_logs", "click")))
-IGNORE = f"""ignored AS (
+  WHERE event_type IN ({kinds}))""" for store, kinds in (
+    ("kb", "'error', 'signup'"), ("reports", "'purchase', 'view'"), ("llm_logs", "'click'")))
+IGNORE = """ignored AS (
   SELECT 'app_user-' || user_id AS file_stem,
          'Skip routine ' || kind || ' entries.' AS instructions
-  FROM (SELECT user_id, count(*) FILTER (event_type = 'view') AS views,
+  FROM (SELECT user_id, arg_max(event_type, event_id) AS last,
                arg_max(event_type, (value, event_id)) AS kind
-        FROM events WHERE value > {A.STRONG} GROUP BY user_id)
-  WHERE views > 0)"""
+        FROM events GROUP BY user_id)
+  WHERE last <> 'click')"""
 ANALYSES = """analyses AS (
   SELECT 'app/user-' || user_id AS name,
          CASE kind
@@ -82,13 +85,14 @@ ANALYSES = """analyses AS (
   FROM (SELECT user_id, count(*) AS n, count(*) FILTER (event_type = 'purchase') AS buys,
                arg_max(event_type, event_id) AS kind
         FROM events GROUP BY user_id))"""
-HISTORY = f"""history AS (
+HISTORY = """history AS (
   SELECT 'app/user-' || user_id AS name,
          CASE WHEN event_type = 'view' THEN 'unknown'
               ELSE strftime(ts, '%Y-%m-%dT%H:%M:%SZ') END AS scan_ts_raw,
          CASE WHEN event_type <> 'view' THEN date_trunc('second', ts) END AS scan_ts,
-         '🟢 Healthy' AS status, 'entry ' || event_id AS analysis
-  FROM events WHERE value > {A.STRONG})"""
+         CASE event_type WHEN 'error' THEN '🔴 Issues Detected' WHEN 'purchase' THEN '🟡 Warnings'
+                         ELSE '🟢 Healthy' END AS status, 'entry ' || event_id AS analysis
+  FROM events)"""
 
 # ---- steps ----------------------------------------------------------------------------------
 
@@ -168,9 +172,12 @@ def system(instructions: str) -> str:
             f"{_text(P.INSTRUCTIONS_HEADING)} || {instructions} END)")
 
 
-def budget_ctes() -> list[str]:
+ALL_LINES = [EVENT_LOGS, DEDUP]
+
+
+def budget_ctes(lines: list[str] = ALL_LINES) -> list[str]:
     base = filled(P.ANALYSIS, ContainerName="name", Logs="''", LogCount="processed_count")
-    return [EVENT_LOGS, DEDUP, flagged(A.EVENT_FILTERS), IGNORE, KEPT, f"""stats AS (
+    return [*lines, flagged(A.EVENT_FILTERS), IGNORE, KEPT, f"""stats AS (
   SELECT f.container_id, f.name, CAST(sum(run_len) AS BIGINT) AS original_count,
          count(*) AS lines_total, count(*) FILTER (excluded) AS lines_filtered,
          count(*) FILTER (NOT excluded) AS lines_kept, count(*) FILTER (NOT excluded)
@@ -195,12 +202,12 @@ budgets AS (
   FROM sizes)"""]
 
 
-def request_ctes() -> list[str]:
+def request_ctes(lines: list[str] = ALL_LINES) -> list[str]:
     """Budgets, chunks of the chunked containers, first requests and their answers."""
     analysis = filled(P.ANALYSIS, ContainerName="name", Logs="text", LogCount="processed_count")
     chunk = filled(P.CHUNK_SUMMARY, ContainerName="c.name", ChunkNum="(chunk_index + 1)",
                    TotalChunks="chunk_total", Logs="c.text")
-    return budget_ctes() + [
+    return budget_ctes(lines) + [
         """to_pack AS (
   SELECT k.container_id, k.name, k.rn, k.tokens, k.line, b.chunk_limit
   FROM kept k JOIN budgets b ON b.container_id = k.container_id AND b.strategy = 'chunked')""",
@@ -233,9 +240,9 @@ PARTS = ("string_agg(chr(10) || '--- Chunk ' || (chunk_index + 1) || ' Summary -
          " || content || chr(10), '' ORDER BY chunk_index)")
 
 
-def synthesis_ctes() -> list[str]:
+def synthesis_ctes(lines: list[str] = ALL_LINES) -> list[str]:
     user = filled(P.SYNTHESIS, ContainerName="s.name", Summaries="s.parts")
-    return request_ctes() + [f"""synthesis AS (
+    return request_ctes(lines) + [f"""synthesis AS (
   SELECT 'scan/' || s.container_id || '/synthesis/0' AS request_id, s.container_id, s.name,
          'synthesis' AS kind, CAST(0 AS BIGINT) AS chunk_index, CAST(1 AS BIGINT) AS chunk_total,
          {system('b.instructions')} AS system_text, {user} AS user_text,
@@ -249,8 +256,8 @@ def synthesis_ctes() -> list[str]:
   FROM synthesis)"""]
 
 
-def results_ctes() -> list[str]:
-    return synthesis_ctes() + [f"""spent AS (
+def results_ctes(lines: list[str] = ALL_LINES) -> list[str]:
+    return synthesis_ctes(lines) + [f"""spent AS (
   SELECT container_id,
          CASE WHEN kind = 'direct' THEN usage_tokens
               ELSE {tokens('logs_text')} + {tokens('content')} END AS spent, 1 AS used,
@@ -297,6 +304,26 @@ NEW_LINES = f"""new_lines AS (
 
 ORACLE["q01_incremental_scan"] = _with(EVENT_LOGS, STATE, NEW_LINES) + (
     "SELECT container_id, name, seq, ts_raw, ts, message FROM new_lines")
+RAW_EVENTS = """
+SELECT CAST(user_id AS VARCHAR) AS container_id, event_id AS seq,
+  CASE event_type
+    WHEN 'click' THEN strftime(ts, '%Y-%m-%dT%H:%M:%SZ')
+    WHEN 'view' THEN strftime(ts + INTERVAL 2 HOUR, '%Y-%m-%dT%H:%M:%S.%f') || '+02:00'
+    WHEN 'error' THEN strftime(ts - INTERVAL 5 HOUR, '%Y-%m-%dT%H:%M:%S.%f') || '789-05:00'
+    WHEN 'signup' THEN '' ELSE strftime(ts, '%Y/%m/%d') END AS ts_raw,
+  CASE event_type WHEN 'click' THEN date_trunc('second', ts) WHEN 'view' THEN ts
+    WHEN 'error' THEN ts END AS ts,
+  CASE event_type WHEN 'click' THEN 'click' WHEN 'view' THEN 'view' WHEN 'error' THEN ' error'
+    WHEN 'signup' THEN 'signup' ELSE props END AS message
+FROM events"""
+ORACLE["q01b_untimed_lines"] = _with(STATE, f"raw AS ({RAW_EVENTS})", f"""placed AS (
+  SELECT r.*, s.last_scan, last_value(r.ts IGNORE NULLS) OVER (
+           PARTITION BY r.container_id ORDER BY r.seq ROWS UNBOUNDED PRECEDING) AS place
+  FROM raw r LEFT JOIN state s ON s.container_id = r.container_id
+  WHERE r.ts IS NULL OR r.ts >= least((SELECT min(last_scan) FROM state), {NOW} - INTERVAL 1 HOUR))""") + f"""
+SELECT container_id, seq, ts_raw, ts, message FROM placed
+WHERE CASE WHEN place IS NULL THEN last_scan IS NULL
+           ELSE place >= coalesce(last_scan, {NOW} - INTERVAL 1 HOUR) END"""
 ORACLE["q02_lookback_scan"] = _with(EVENT_LOGS) + (
     f"SELECT container_id, name, seq, ts, message FROM logs WHERE ts >= {NOW} - INTERVAL 7 DAY")
 ORACLE["q03_parse_lines"] = _with(DOC_LINES) + r"""
@@ -309,18 +336,7 @@ SELECT container_id, segment, seq,
        CASE WHEN contains(value, ' ') THEN substr(value, strpos(value, ' ') + 1)
             ELSE value END AS message
 FROM doc_lines"""
-ORACLE["q03b_parse_timestamps"] = """
-SELECT CAST(user_id AS VARCHAR) AS container_id, event_id AS seq,
-  CASE event_type
-    WHEN 'click' THEN strftime(ts, '%Y-%m-%dT%H:%M:%SZ')
-    WHEN 'view' THEN strftime(ts + INTERVAL 2 HOUR, '%Y-%m-%dT%H:%M:%S.%f') || '+02:00'
-    WHEN 'error' THEN strftime(ts - INTERVAL 5 HOUR, '%Y-%m-%dT%H:%M:%S.%f') || '789-05:00'
-    WHEN 'signup' THEN '' ELSE strftime(ts, '%Y/%m/%d') END AS ts_raw,
-  CASE event_type WHEN 'click' THEN date_trunc('second', ts) WHEN 'view' THEN ts
-    WHEN 'error' THEN ts END AS ts,
-  CASE event_type WHEN 'click' THEN 'click' WHEN 'view' THEN 'view' WHEN 'error' THEN ' error'
-    WHEN 'signup' THEN 'signup' ELSE props END AS message
-FROM events"""
+ORACLE["q03b_parse_timestamps"] = RAW_EVENTS
 ORACLE["q04_run_dedup"] = _with(EVENT_LOGS, DEDUP) + (
     "SELECT container_id, name, seq, ts_raw, ts, stream, message, run_len FROM dedup")
 ORACLE["q04b_dedup_stats"] = _with(DOC_LOGS, DEDUP) + """
@@ -336,14 +352,14 @@ ORACLE["q05_regex_exclude"] = _with(EVENT_LOGS, DEDUP, flagged(A.EVENT_FILTERS))
     "SELECT container_id, name, seq, message, run_len FROM flagged WHERE NOT excluded")
 ORACLE["q05b_regex_exclude_documents"] = _with(DOC_LOGS, DEDUP, flagged(A.DOC_FILTERS)) + (
     "SELECT container_id, segment, seq, message, run_len FROM flagged WHERE NOT excluded")
-ORACLE["q05c_exclude_by_table"] = _with(EVENT_LOGS, DEDUP, f"""rules AS (
+ORACLE["q05c_exclude_by_table"] = _with(EVENT_LOGS, DEDUP, """rules AS (
   SELECT 'app/user-' || user_id AS name, arg_max(event_type, event_id) AS last,
          arg_min(event_type, event_id) AS first,
-         bool_or(event_type = 'signup' AND value > {A.STRONG}) AS enabled
+         arg_max(event_type, (value, event_id)) <> 'view' AS enabled
   FROM events GROUP BY user_id)""") + """
 SELECT d.container_id, d.name, d.seq, d.message, d.run_len FROM dedup d JOIN rules r ON r.name = d.name
 WHERE NOT (enabled AND (message = last
-           OR regexp_matches(message, '^\\[REPEAT x[0-9]+\\] ' || first)))"""
+           OR regexp_matches(message, '^\\[REPEAT x[[:digit:]]+\\] ' || first)))"""
 ORACLE["q06_filter_stats"] = _with(DOC_LOGS, DEDUP, flagged(A.DOC_FILTERS)) + """,
 counted AS (
   SELECT container_id, name, count(*) AS lines_total, count(*) FILTER (excluded) AS lines_filtered,
@@ -382,6 +398,32 @@ FROM (SELECT container_id, name, chunk_index, chunk_total,
 ORACLE["q09d_results"] = _with(*results_ctes(), recursive=True) + "SELECT * FROM results"
 ORACLE["q09e_failed_containers"] = _with(*request_ctes(), recursive=True) + (
     "SELECT DISTINCT container_id, name FROM answers WHERE content IS NULL")
+def reduction_ctes(levels: int) -> list[str]:
+    """Packs of each level: what is packed, the packs with their texts, and the replies to them."""
+    out, source = [], "summaries"
+    for level in range(levels):
+        part = _PART
+        out += [f"""parts{level} AS (
+  SELECT container_id, name, chunk_index + 1 AS rn, {part} AS line, {tokens(part)} AS tokens
+  FROM {source})""", packed(f"parts{level}", str(Q.REDUCTION_TOKENS), f"bundles{level}"), f"""packs{level} AS (
+  SELECT container_id, name, chunk_index, chunk_total, n_logs,
+         {filled(P.SYNTHESIS, ContainerName="name", Summaries="text")} AS user_text
+  FROM (SELECT container_id, name, chunk_index, chunk_total, count(*) AS n_logs,
+               string_agg(line, '' ORDER BY rn) AS text
+        FROM bundles{level} GROUP BY container_id, name, chunk_index, chunk_total)),
+replies{level} AS (
+  SELECT p.*, '**Summary**: all of ' || length(user_text) || ' characters' AS content
+  FROM packs{level} p WHERE chunk_total > 1 AND container_id IN (
+    SELECT container_id FROM packs{level} GROUP BY container_id HAVING count(*) < sum(n_logs)))"""]
+        source = f"replies{level}"
+    return out
+
+
+ORACLE["q09g_reduction"] = _with(*request_ctes(), *reduction_ctes(4), recursive=True) + " UNION ALL ".join(
+    f"SELECT container_id, CAST({k} AS BIGINT) AS level, chunk_index, chunk_total, user_text "
+    f"FROM packs{k}" for k in range(4))
+ORACLE["q09h_repeated_responses"] = _with(*results_ctes(), recursive=True) + (
+    "SELECT container_id, analysis, tokens_used, chunks_used FROM results")
 ORACLE["q09f_interactions"] = _with(*synthesis_ctes(), recursive=True) + f"""
 SELECT request_id, name, {NOW} AS ts, user_text AS original_input, content AS reply,
        user_text AS sent, CAST(usage_tokens AS BIGINT) AS total_tokens
@@ -457,6 +499,25 @@ WHERE NOT EXISTS (SELECT 1 FROM analyses a WHERE a.name = h.name) OR scan_ts IS
 UNION ALL
 SELECT name, strftime({NOW}, '%Y-%m-%dT%H:%M:%SZ'), {NOW}, {SERVICE}, analysis FROM analyses"""
 ORACLE["q13b_kb_ingest"] = _with(HISTORY) + "SELECT * FROM history"
+ORACLE["q13c_history_documents"] = _with(HISTORY, """entries AS (
+  SELECT *, chr(10) || '### Scan: ' || scan_ts_raw || chr(10) || '**Status:** ' || status || chr(10)
+         || chr(10) || analysis || chr(10) || chr(10) || '---' || chr(10) AS entry
+  FROM history)""") + """
+SELECT name, replace(name, '/', '_') AS storage_name,
+       '# Knowledge Base: ' || name || chr(10) || chr(10) || '## Service History' || chr(10)
+       || string_agg(entry, '' ORDER BY scan_ts NULLS FIRST, scan_ts_raw, entry) AS content
+FROM entries GROUP BY name"""
+ORACLE["q13d_status_trend"] = _with(HISTORY, f"""counts AS (
+  SELECT name, count(*) FILTER (late) AS recent, count(*) FILTER (late AND issue) AS recent_issues,
+         count(*) FILTER (NOT late) AS earlier,
+         count(*) FILTER (NOT late AND issue) AS earlier_issues
+  FROM (SELECT name, scan_ts >= {NOW} - INTERVAL {Q.LOOKBACK.days} DAY AS late,
+               status = '🔴 Issues Detected' AS issue FROM history WHERE scan_ts IS NOT NULL)
+  GROUP BY name)""") + """
+SELECT *, CASE WHEN earlier = 0 THEN 'new'
+               WHEN recent_issues * earlier > earlier_issues * recent THEN 'worse'
+               WHEN recent_issues * earlier < earlier_issues * recent THEN 'better'
+               ELSE 'same' END AS trend FROM counts"""
 ORACLE["q14_cursor_upsert"] = _with(EVENT_LOGS, STATE, NEW_LINES, """moved AS (
   SELECT container_id, arg_max(name, seq) AS name, arg_max(ts, seq) AS last_scan, '' AS log_cursor
   FROM new_lines GROUP BY container_id)""") + """
@@ -530,6 +591,34 @@ ORACLE["q19b_cleanup_stores"] = _with(STATE, LIVE, STORES, OBSOLETE) + " UNION A
     f"SELECT '{s}' AS store, name, entry FROM {s} WHERE name NOT IN "
     f"(SELECT replace(name, '/', '_') FROM obsolete WHERE in_{s})"
     for s in ("kb", "reports", "llm_logs"))
+SCAN_LINES = [EVENT_LOGS, STATE, NEW_LINES, DEDUP.replace("FROM logs WINDOW", "FROM new_lines WINDOW")]
+MOVED = """moved AS (
+  SELECT container_id, arg_max(name, seq) AS name, arg_max(ts, seq) AS last_scan, '' AS log_cursor
+  FROM new_lines GROUP BY container_id),
+after_scan AS (
+  SELECT * FROM moved
+  UNION ALL
+  SELECT * FROM state s WHERE NOT EXISTS (
+    SELECT 1 FROM moved m WHERE m.container_id = s.container_id))"""
+ORACLE["q26_whole_scan"] = _with(*results_ctes(SCAN_LINES), recursive=True) + "SELECT * FROM results"
+ORACLE["q26b_whole_scan_state"] = _with(EVENT_LOGS, STATE, NEW_LINES, MOVED) + (
+    "SELECT container_id, name, last_scan, log_cursor FROM after_scan")
+SCANNED = [*results_ctes(SCAN_LINES), MOVED, LIVE, """kb AS (
+  SELECT replace(name, '/', '_') AS name FROM results), reports AS (SELECT name FROM kb),
+llm_logs AS (
+  SELECT DISTINCT replace(name, '/', '_') AS name FROM answers WHERE content IS NOT NULL
+  UNION SELECT replace(name, '/', '_') FROM final)""",
+           OBSOLETE.replace("state s", "after_scan s")]
+ORACLE["q18b_obsolete_after_scan"] = _with(*SCANNED, recursive=True) + "SELECT * FROM obsolete"
+ORACLE["q19c_cleanup_after_scan"] = _with(*SCANNED, recursive=True) + """
+SELECT 'state' AS store, name FROM after_scan WHERE container_id IN (SELECT container_id FROM live)
+UNION ALL """ + " UNION ALL ".join(
+    f"SELECT DISTINCT '{s}', replace(name, '_', '/') FROM {s} WHERE name NOT IN "
+    f"(SELECT replace(name, '/', '_') FROM obsolete WHERE in_{s})"
+    for s in ("kb", "reports", "llm_logs"))
+ORACLE["q20d_state_json"] = _with(STATE) + "SELECT * FROM state"
+ORACLE["q20e_reset_all"] = _with(STATE) + "SELECT * FROM state WHERE false"
+ORACLE["q20f_remove"] = _with(STATE) + "SELECT * FROM state WHERE container_id <> '5'"
 ORACLE["q20_state_reset"] = _with(STATE) + f"SELECT * FROM state WHERE NOT {STATE_HIT}"
 ORACLE["q20b_state_reset_count"] = _with(STATE) + (
     f"SELECT count(*) AS containers FROM state WHERE {STATE_HIT}")
@@ -564,13 +653,23 @@ ORACLE["q23_latest_per_name"] = """
 SELECT event_type AS name, max(event_id) AS seq, CAST(0 AS BIGINT) AS segment,
        CAST(arg_max(user_id, event_id) AS VARCHAR) AS container_id
 FROM events GROUP BY event_type"""
-ORACLE["q24_alert"] = _with(ANALYSES) + f""",
-statuses AS (SELECT {DASHBOARD} AS status, count(*) AS n FROM analyses GROUP BY 1),
-summary AS (SELECT string_agg(status || ': ' || n, ', ' ORDER BY status) AS summary FROM statuses),
+ORACLE["q24_alert"] = _with(*results_ctes(), f"""prompt AS (
+  SELECT {filled(P.EXECUTIVE, ContainerCount="n", ContainerAnalyses="text")} AS user_text
+  FROM (SELECT count(*) AS n, string_agg({_ANALYSIS_PART}, '' ORDER BY name) AS text FROM results)),
 health AS (SELECT count(*) AS services, coalesce(bool_or({ALERT}), false) AS issues_found
-           FROM analyses)
+           FROM results)""", recursive=True) + """
 SELECT 'Scan Complete' || chr(10) || '📅 Time: 2024-01-31 00:00:00' || chr(10)
        || '📦 Containers: ' || services || chr(10)
        || CASE WHEN issues_found THEN '⚠️  Issues detected' ELSE '✅ No critical issues' END
-       || chr(10) || chr(10) || summary AS message, issues_found, services AS containers
-FROM health, summary"""
+       || chr(10) || chr(10) || '**Summary**: all of ' || length(user_text) || ' characters'
+         AS message, issues_found, services AS containers
+FROM health, prompt"""
+
+
+def _masked(text: str) -> str:
+    for pattern, mask in X.PERSONAL:
+        text = f"regexp_replace({text}, {_text(pattern)}, {_text(mask.replace('$1', chr(92) + '1'))}, 'g')"
+    return text
+
+
+ORACLE["q27_mask_personal"] = f"SELECT doc_id, {_masked('text')} AS text FROM documents"

@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
+from contextvars import ContextVar
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -20,8 +22,6 @@ SETTINGS = {
     "spark.python.sql.dataFrameDebugging.enabled": "false",
 }
 
-_local_folder: str | None = None
-
 
 def apply_settings(builder: SparkSession.Builder) -> SparkSession.Builder:
     for key, value in SETTINGS.items():
@@ -32,32 +32,58 @@ def apply_settings(builder: SparkSession.Builder) -> SparkSession.Builder:
 def shared_folder(spark: SparkSession) -> str:
     """The folder all executors share, named by the cluster in ``spark.checkpoint.dir``.
 
-    Only a local-mode session without that setting gets a folder of its own.
+    Where that is unset, as in local sessions, it is a folder in the warehouse, which executors share
+    as well.
     """
-    global _local_folder
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if folder:
         return folder.rstrip("/")
-    if not spark.sparkContext.master.startswith("local"):
-        raise RuntimeError("set spark.checkpoint.dir to a folder shared by all executors")
-    if _local_folder is None:
-        _local_folder = tempfile.mkdtemp(prefix="logspark-")
-    return _local_folder
+    return spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_work"
+
 
+# The tables written since the innermost ``scratch`` began.
+_written: ContextVar[list[str] | None] = ContextVar("written", default=None)
 
-def materialize(df: DataFrame, label: str, partition_by: tuple[str, ...] = ()) -> DataFrame:
+
+def materialize(df: DataFrame, label: str) -> DataFrame:
     """Write ``df`` to the shared folder and read it back.
 
     For results that several later stages read: they prune columns from the written table instead
-    of running the upstream again, and a lost executor costs a re-read, not a recomputation.
+    of running the upstream again, and a lost executor costs a re-read, not a recomputation. Inside
+    :func:`scratch` the table goes when that ends.
     """
     spark = df.sparkSession
     run = spark.sparkContext.applicationId
     path = f"{shared_folder(spark)}/logspark-{run}/{label}-{uuid.uuid4().hex}"
-    df.write.partitionBy(*partition_by).parquet(path)
+    kept = _written.get()
+    if kept is not None:
+        kept.append(path)
+    df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[None]:
+    """Remove, at the end, the tables that :func:`materialize` wrote inside.
+
+    Results that are read after it have to be written elsewhere first.
+    """
+    paths: list[str] = []
+    token = _written.set(paths)
+    try:
+        yield
+    finally:
+        _written.reset(token)
+        for path in paths:
+            delete(spark, path)
+
+
+def delete(spark: SparkSession, path: str) -> None:
+    """Remove a folder of any Hadoop file system."""
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
+
+
 def settings_for(input_bytes: int, partition_bytes: int = 512 << 20) -> dict[str, str]:
     """:data:`SETTINGS` with the shuffle sized to the input: ``partition_bytes`` per partition.
 

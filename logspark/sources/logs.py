@@ -8,6 +8,7 @@ from pyspark.sql.readwriter import DataFrameReader
 from pyspark.sql.streaming import DataStreamReader
 
 from ..functions import parse as P
+from ..model import SEGMENT_SPAN
 
 # Lines one in-row text can hold (a SQL array has no more elements).
 LINES_PER_TEXT = 1 << 31
@@ -38,21 +39,24 @@ def scan_lines(reader: DataFrameReader | DataStreamReader, path: str) -> DataFra
         F.col("_metadata.file_block_start").alias("_start"))
 
 
-def place_lines(lines: DataFrame, container: Column | None = None) -> DataFrame:
+def place_lines(lines: DataFrame, container: Column | None = None,
+                span: int = SEGMENT_SPAN) -> DataFrame:
     """Scanned lines as log rows; each file is one container unless ``container`` says otherwise.
 
-    Files are split and read in parallel. A split is a segment: the file's path and the split's
-    offset place it, and its rows are numbered in reading order. (Compressed files that cannot be
-    split are read whole, as one segment.) ``container`` is a column over
-    ``_path``; files of one container follow each other by path. On a stream, place the lines of
-    each micro-batch.
+    Files are split and read in parallel. A split is a segment, or several of ``span`` rows: the
+    file's path, the split's offset and the part of the split place it, and its rows are numbered in
+    reading order. So a compressed file, which is one split however long, makes segments of bounded
+    size too. ``container`` is a column over ``_path``; files of one container follow each other by
+    path. On a stream, place the lines of each micro-batch.
     """
     owner = container if container is not None else F.regexp_extract("_path", r"([^/]+)$", 1)
     owner = F.regexp_replace(owner, r"\.log$", "")
-    return parse_lines(lines.select(
+    # the row's number in its task, whose number the upper bits hold
+    number = "(_seq & 8589934591)"
+    return parse_lines(lines.withColumn("_seq", F.monotonically_increasing_id()).select(
         owner.alias("container_id"), owner.alias("name"),
-        F.format_string("%s#%020d", "_path", "_start").alias("segment"),
-        F.monotonically_increasing_id().alias("seq"), "value"))
+        F.format_string("%s#%020d#%012d", "_path", "_start", F.expr(f"{number} div {span}"))
+        .alias("segment"), F.col("_seq").alias("seq"), "value"))
 
 
 def read_log_files(spark: SparkSession, path: str, container: Column | None = None) -> DataFrame:

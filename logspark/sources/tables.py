@@ -3,15 +3,21 @@
 from __future__ import annotations
 
 from datetime import datetime
+from urllib.parse import quote
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..functions.render import report, report_path
-from ..functions.text import sanitize_filename
+from ..functions.render import interaction_document, report, report_path
+from ..functions.text import sanitize, sanitize_filename
 from ..functions.parse import rfc3339
 from ..model import SOURCE, STATE
+from ..session import delete
+
+# Fixed value: version of the state document. And the containers in one of them, about.
+STATE_VERSION = "1"
+STATE_ROWS = 1 << 16
 
 STATE_FILE = T.StructType([
     T.StructField("version", T.StringType()),
@@ -48,47 +54,102 @@ def read_state_json(spark: SparkSession, path: str) -> DataFrame:
                     F.coalesce("e.value.log_cursor", F.lit("")).alias("log_cursor")))
 
 
+def write_state_json(state: DataFrame, path: str, now: datetime) -> None:
+    """The state as JSON documents in the folder ``path``, which :func:`read_state_json` reads.
+
+    One document, or as many as keep each to about :data:`STATE_ROWS` containers, each in a file.
+    """
+    parts = max(1, -(-state.count() // STATE_ROWS))
+    stamp = F.concat(F.date_format("last_scan", "yyyy-MM-dd'T'HH:mm:ss.SSSSSS"), F.lit("Z"))
+    entry = F.struct("name", stamp.alias("last_scan"), "log_cursor")
+    documents = state.groupBy(F.pmod(F.xxhash64(SOURCE), F.lit(parts)).alias("part")).agg(
+        F.map_from_entries(F.sort_array(F.collect_list(F.struct(SOURCE, entry)))).alias("containers"))
+    documents.select(
+        "part", F.lit(STATE_VERSION).alias("version"),
+        F.lit(now.isoformat() + "Z").alias("last_updated"), "containers"
+    ).write.mode("overwrite").partitionBy("part").json(path)
+
+
 class VersionedTable:
     """A Parquet table replaced as a whole: each write is a new numbered folder below ``path``.
 
     A version counts once its ``_SUCCESS`` file is there, so readers never see half a write and a
-    job can replace the table it reads. Writing the same number again repeats a failed batch.
+    job can replace the table it reads. Numbers are the table's own; a write may carry a ``tag``, such
+    as a stream and its batch, so that a repeated batch is known as one. The last ``keep`` versions
+    stay.
     """
 
-    def __init__(self, path: str, schema: T.StructType):
-        self.path, self.schema = path.rstrip("/"), schema
+    def __init__(self, path: str, schema: T.StructType, keep: int = 3):
+        self.path, self.schema, self.keep = path.rstrip("/"), schema, keep
 
-    def versions(self, spark: SparkSession) -> list[int]:
-        names = [n for n in _entries(spark, self.path) if n.startswith("v=")]
-        return sorted(int(n[2:]) for n in names if exists(spark, f"{self.path}/{n}/_SUCCESS"))
+    def _folders(self, spark: SparkSession) -> list[tuple[int, str, str]]:
+        """Number, tag and folder of each whole version, oldest first."""
+        found = []
+        for name in _entries(spark, self.path):
+            number, _, tag = name.removeprefix("v=").partition("@")
+            if name.startswith("v=") and exists(spark, f"{self.path}/{name}/_SUCCESS"):
+                found.append((int(number), tag, name))
+        return sorted(found)
 
-    def read(self, spark: SparkSession, before: int | None = None) -> DataFrame:
-        """The newest version (older than ``before``), or an empty table."""
-        found = [v for v in self.versions(spark) if before is None or v < before]
+    def versions(self, spark: SparkSession) -> list[int]:
+        return [number for number, _, _ in self._folders(spark)]
+
+    def read(self, spark: SparkSession, redo: str | None = None) -> DataFrame:
+        """The newest version, or an empty table.
+
+        If a version is tagged ``redo``, the one before it: what that write started from.
+        """
+        found = self._folders(spark)
+        for number, tag, _ in found:
+            if redo is not None and tag == redo:
+                found = [f for f in found if f[0] < number]
+                break
         if not found:
             return spark.createDataFrame([], self.schema)
-        return spark.read.schema(self.schema).parquet(f"{self.path}/v={found[-1]}")
-
-    def write(self, df: DataFrame, version: int | None = None) -> int:
-        if version is None:
-            version = max(self.versions(df.sparkSession), default=-1) + 1
-        (df.select(*self.schema.names).write.mode("overwrite")
-         .parquet(f"{self.path}/v={version}"))
-        return version
+        return spark.read.schema(self.schema).parquet(f"{self.path}/{found[-1][2]}")
+
+    def write(self, df: DataFrame, tag: str | None = None) -> int:
+        """Add a version, or repeat the newest one if it has this tag.
+
+        Where other versions have followed the tagged one, they are built on it, and stay.
+        """
+        spark = df.sparkSession
+        found = self._folders(spark)
+        number = found[-1][0] + 1 if found else 0
+        same = [n for n, t, _ in found if tag is not None and t == tag]
+        if same and same[-1] < number - 1:
+            return same[-1]
+        number = same[-1] if same else number
+        name = f"v={number:012d}" + (f"@{tag}" if tag else "")
+        (df.select(*self.schema.names).write.mode("overwrite").parquet(f"{self.path}/{name}"))
+        for old, _, folder in found:
+            if old <= number - self.keep:
+                delete(spark, f"{self.path}/{folder}")
+        return number
+
+
+def write_reports(results: DataFrame, path: str, now: datetime, scan_id: str) -> None:
+    """A rendered report per result, in the partition of its scan day and scan.
+
+    A scan that is finished again replaces what it wrote before.
+    """
+    rows = results.select(
+        "name", sanitize(F.col("name")).alias("storage_name"),
+        F.lit(now.isoformat(sep=" ")).cast("timestamp_ntz").alias("scan_ts"),
+        report_path("", F.col("name"), now).alias("file"), report(now).alias("content"))
+    _replace(rows, path, now, scan_id)
 
 
-def write_reports(results: DataFrame, path: str, now: datetime) -> None:
-    """Append a rendered report per result, partitioned by scan day."""
-    (results.select("name", F.lit(now.isoformat(sep=" ")).cast("timestamp_ntz").alias("scan_ts"),
-                    report_path("", F.col("name"), now).alias("file"),
-                    report(now).alias("content"),
-                    F.lit(now.date().isoformat()).alias("scan_day"))
-     .write.mode("append").partitionBy("scan_day").parquet(path))
+def write_interactions(rows: DataFrame, path: str, now: datetime, scan_id: str) -> None:
+    """A scan's request/response pairs and their documents, in the interaction log."""
+    rows = rows.withColumns({"storage_name": sanitize_filename(F.col("name")),
+                             "content": interaction_document()})
+    _replace(rows, path, now, scan_id)
 
 
-def write_interactions(rows: DataFrame, path: str) -> None:
-    """Append request/response pairs to the interaction log."""
-    rows.withColumn("file_name", sanitize_filename(F.col("name"))).write.mode("append").parquet(path)
+def _replace(rows: DataFrame, path: str, now: datetime, scan_id: str) -> None:
+    folder = f"{path.rstrip('/')}/scan_day={now.date().isoformat()}/scan_id={quote(scan_id, safe='')}"
+    rows.write.mode("overwrite").parquet(folder)
 
 
 def write_dashboard(document: DataFrame, path: str) -> None:
@@ -102,8 +163,9 @@ def write_dashboard(document: DataFrame, path: str) -> None:
 
 
 def stored_names(store: DataFrame) -> DataFrame:
-    """Names of a table that keeps rows per container."""
-    return store.select("name").distinct()
+    """Storage names of a table that keeps rows per container."""
+    name = F.col("storage_name") if "storage_name" in store.columns else sanitize(F.col("name"))
+    return store.select(name.alias("name")).distinct()
 
 
 def read_texts(spark: SparkSession, path: str) -> DataFrame:

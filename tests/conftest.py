@@ -5,6 +5,7 @@ from pathlib import Path
 
 import pytest
 from pyspark.sql import SparkSession
+from pyspark.sql import functions as F
 
 sys.path.insert(0, str(Path(__file__).resolve().parents[1]))
 
@@ -36,7 +37,7 @@ def logs_of(spark):
         df = spark.createDataFrame(
             [(c, c, s, t, st, m) for c, s, t, st, m in rows],
             "container_id string, name string, seq long, ts_raw string, stream string, "
-            "message string")
+            "message string").withColumn("ts", F.lit(None).cast("timestamp_ntz"))
         return with_segment(df, span)
     return make
 

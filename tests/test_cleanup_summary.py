@@ -54,6 +54,20 @@ def test_orphans(spark):
                              ("orphaned-untracked", "untracked", False, False, True, False)]
 
 
+def test_stores_that_a_scan_writes(spark):
+    """Raw names in the stores, and the form that replaces more than slashes."""
+    reports = spark.createDataFrame([("my/app", "my_app"), ("a:b", "a:b")], "name string, storage_name string")
+    llm = spark.createDataFrame([("my/app", "my_app"), ("a:b", "a_b")], "name string, storage_name string")
+    kb = names(spark, "my/app", "a:b")
+    st = state(spark, ("1", "my/app"), ("2", "a:b"))
+    held = cleanup.stored_names(kb, reports, llm)
+    assert findings(cleanup.find_obsolete(st, live(spark, "1", "2"), held)) == []
+    gone = cleanup.find_obsolete(st, live(spark, "1"), held)
+    assert ("2", "a:b", True, True, True, True) in findings(gone)
+    left = cleanup.apply(cleanup.Stores(st, kb, reports, llm), gone)
+    assert [[r.name for r in t.collect()] for t in left] == [["my/app"]] * 4
+
+
 def test_pseudo_id_does_not_replace_a_state_row(spark):
     got = found(spark, state(spark, ("orphaned-x", "y")), live(spark), kb=["x"])
     assert findings(got) == [("orphaned-x", "y", True, False, False, False)]

@@ -32,20 +32,14 @@ def lines(*messages, container="c"):
             for i, m in enumerate(messages)]
 
 
-@pytest.mark.parametrize("messages,expected", [
-    ([], []),
-    (["a"], ["a"]),
-    (["same"] * 2, ["same", "same"]),
-    (["repeated"] * 3, ["[REPEAT x3] repeated"]),
-    (["error"] * 5, ["[REPEAT x5] error"]),
-    (["aaa"] * 3 + ["bbb"] * 4, ["[REPEAT x3] aaa", "[REPEAT x4] bbb"]),
-    (["single", "double", "double", "triple", "triple", "triple", "end"],
-     ["single", "double", "double", "[REPEAT x3] triple", "end"]),
-    (["aaa"] * 3 + ["bbb"] * 2, ["[REPEAT x3] aaa", "bbb", "bbb"]),
-    (["", "", ""], ["[REPEAT x3] "]),
-])
 @pytest.mark.parametrize("span", [1, 2, 1 << 20])
-def test_runs(logs_of, messages, expected, span):
+@pytest.mark.parametrize("lengths", [(), (1,), (2,), (3,), (9,), (4, 3), (1, 2, 3, 2, 1), (3, 1, 3), (2, 5, 2)])
+def test_runs(logs_of, lengths, span):
+    """Runs of given lengths, each of a message of its own; the last one is empty text."""
+    names = [f"event {i}" for i in range(len(lengths) - 1)] + [""]
+    messages = [name for name, n in zip(names, lengths) for _ in range(n)]
+    expected = [line for name, n in zip(names, lengths)
+                for line in ([f"[REPEAT x{n}] {name}"] if n >= 3 else [name] * n)]
     got = result(collapse_repeats(logs_of(lines(*messages), span)))
     assert [g[4] for g in got] == expected
 

@@ -73,6 +73,20 @@ def test_table_of_rules(spark, logs_of):
     assert sorted(kept(got)) == sorted(["INFO: b", "ERROR: d", "WARN: f"] + ["keep"] * 3)
 
 
+def test_rules_of_one_name_count_together(spark, logs_of):
+    rules = spark.createDataFrame([("web", True, [r"^(?P<level>DEBUG):"]), ("web", True, [r"[[:digit:]]\z"])],
+                                  "name string, enabled boolean, patterns array<string>")
+    logs = logs_of(rows(["DEBUG: a", "INFO", "code 7", "code"]))
+    assert sorted(kept(X.exclude_by_table(logs, rules))) == ["INFO", "code"]
+
+
+def test_bad_rules_are_refused(spark, logs_of):
+    rules = spark.createDataFrame([("web", True, ["(?=x)"])],
+                                  "name string, enabled boolean, patterns array<string>")
+    with pytest.raises(PatternError):
+        X.exclude_by_table(logs_of(rows(["a"])), rules)
+
+
 def test_no_shuffle(logs_of):
     df = X.exclude_lines(logs_of(rows(LINES)), {"web": LineFilter(("a",)), "b": LineFilter(("b",))})
     assert "Exchange" not in df._jdf.queryExecution().executedPlan().toString()

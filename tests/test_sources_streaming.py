@@ -87,17 +87,31 @@ def test_state_json(spark, tmp_path):
         T.read_state_json(spark, str(path)).collect()
 
 
+def test_state_json_round_trip(spark, tmp_path, monkeypatch):
+    rows = [(f"c{i}", f"n/{i}", datetime(2025, 6, 1, 10, 0, i, 123_456), "x" * (i % 3)) for i in range(50)]
+    state = spark.createDataFrame(rows, STATE)
+    for limit in (1 << 16, 7):
+        monkeypatch.setattr(T, "STATE_ROWS", limit)
+        T.write_state_json(state, str(tmp_path / f"s{limit}"), NOW)
+        assert sorted(map(tuple, T.read_state_json(spark, str(tmp_path / f"s{limit}")).collect())) == sorted(rows)
+
+
 def test_versions(spark, tmp_path):
     table = T.VersionedTable(str(tmp_path / "t"), STATE)
     assert table.read(spark).count() == 0
     row = spark.createDataFrame([("a", "a", NOW, "")], STATE)
     assert table.write(row) == 0
-    assert table.write(table.read(spark).unionByName(row)) == 1  # replaces the table it reads
-    assert table.read(spark).count() == 2 and table.read(spark, before=1).count() == 1
+    assert table.write(table.read(spark).unionByName(row), "s-0") == 1  # replaces the table it reads
+    assert table.read(spark).count() == 2 and table.read(spark, redo="s-0").count() == 1
     (tmp_path / "t" / "v=2").mkdir()  # a write that did not finish
     assert table.read(spark).count() == 2
-    table.write(row, 1)
+    assert table.write(row, "s-0") == 1  # the batch is done again
     assert table.read(spark).count() == 1
+    assert table.write(row.limit(0)) == 2  # a reset in between
+    assert table.write(row, "s-0") == 1 and table.read(spark).count() == 0
+    for _ in range(5):
+        table.write(row)
+    assert table.versions(spark) == [5, 6, 7]
 
 
 def test_texts_and_templates(spark, tmp_path):
@@ -160,6 +174,42 @@ def test_stream_equals_batches(spark, tmp_path):
     assert seen == [0, 1]  # nothing new, nothing done
 
 
+def test_state_changes_between_batches(spark, tmp_path):
+    """A reset between two batches holds, and a new checkpoint starts from the newest state."""
+    folder = tmp_path / "in"
+    folder.mkdir()
+    table = T.VersionedTable(str(tmp_path / "state"), STATE)
+
+    def run(checkpoint):
+        scan_stream(source(spark, folder), table.path, str(tmp_path / checkpoint), lambda rows, _: rows.count(),
+                    lambda: NOW).awaitTermination()
+
+    def cursors():
+        return {r.container_id: r.last_scan.minute for r in table.read(spark).collect()}
+
+    (folder / "web.log").write_text(lines(0, 3, 10))
+    run("one")
+    assert cursors() == {"web": 10}
+    table.write(table.read(spark).limit(0))
+    (folder / "db.log").write_text(lines(0, 3, 20))
+    run("one")
+    assert cursors() == {"db": 20}
+    (folder / "new.log").write_text(lines(0, 3, 30))
+    run("two")  # reads all files again: what lies behind a cursor is not new
+    assert cursors() == {"web": 10, "db": 20, "new": 30}
+
+
+def test_long_files_make_bounded_segments(spark, tmp_path):
+    import gzip
+
+    (tmp_path / "web.log.gz").write_bytes(gzip.compress(lines(0, 1000, 10).encode()))
+    df = L.place_lines(L.scan_lines(spark.read, str(tmp_path)), F.lit("web"), span=64)
+    sizes = [r["count"] for r in df.groupBy("segment").count().collect()]
+    assert sum(sizes) == 1000 and max(sizes) <= 64
+    got = dedup.collapse_repeats(df).orderBy("segment", "seq").collect()
+    assert [r.message for r in got] == [f"[REPEAT x4] m{i}" for i in range(250)]
+
+
 def test_shuffle_size_follows_the_input():
     from logspark.session import settings_for
 

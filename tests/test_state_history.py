@@ -1,3 +1,4 @@
+import random
 from datetime import datetime, timedelta
 
 import pytest
@@ -42,18 +43,25 @@ def test_start_times(spark):
     assert got == {("known", 1), ("known", 2), ("first", 1), ("first", 2)}
     strict = {(r.container_id, r.seq) for r in cursor.new_lines(rows, st, NOW, strict=True).collect()}
     assert strict == {("known", 2), ("first", 2)}
-    back = cursor.new_lines(rows, st, NOW, back=timedelta(hours=10))
+    back = cursor.new_lines(rows, st, NOW, timedelta(hours=10))
     assert back.count() == 6
     until = cursor.new_lines(rows, st, NOW, until=ago(hours=4))
     assert {(r.container_id, r.seq) for r in until.collect()} == {("known", 1), ("known", 2)}
 
 
 def test_untimed_rows(spark):
-    rows = logs(spark, ("a", 0, ago(days=3)), ("a", 1, "Plain"), ("a", 2, NOW))
-    assert [r.seq for r in cursor.new_lines(rows, state(spark), NOW).collect()] == [2]
-    for back in (None, timedelta(minutes=5)):
-        kept = cursor.new_lines(rows, state(spark), NOW, back=back, until=NOW, keep_untimed=True)
-        assert sorted(r.seq for r in kept.collect()) == [1, 2]
+    """A row without a time goes where the row before it goes, over the borders of segments too."""
+    rows = logs(spark, ("a", 0, ago(days=3)), ("a", 1, "old"), ("a", 2, ago(minutes=9)), ("a", 3, "in"),
+                ("a", 4, "new"), ("b", 0, "first"))
+    known = state(spark, ("a", "a", ago(minutes=30)))
+    for span in (1, 2, 100):
+        cut = rows.withColumn("segment", F.expr(f"seq div {span}"))
+        got = cursor.new_lines(cut, known, NOW)
+        assert sorted((r.container_id, r.seq) for r in got.collect()) == [("a", 2), ("a", 3), ("a", 4), ("b", 0)]
+        back = cursor.new_lines(cut, known, NOW, timedelta(minutes=10))
+        assert sorted((r.container_id, r.seq) for r in back.collect()) == [("a", 2), ("a", 3), ("a", 4)]
+    everything = cursor.new_lines(rows, state(spark, ("a", "a", datetime(1, 1, 1))), NOW)
+    assert everything.filter("container_id = 'a'").count() == 5
 
 
 def test_empty_and_reset_state(spark):
@@ -70,7 +78,7 @@ def test_floor_reaches_the_scan(spark, tmp_path):
     assert df.count() == 4
     df.collect()
     plan = df._jdf.queryExecution().executedPlan().toString()
-    assert "GreaterThanOrEqual(ts,ScalarSubquery" in plan and "SortMergeJoin" not in plan.split("Initial")[0]
+    assert "Or(IsNull(ts),GreaterThanOrEqual(ts,ScalarSubquery" in plan
 
 
 # ---- moving the cursor ----------------------------------------------------------------------
@@ -92,19 +100,25 @@ def test_last_row_without_or_with_bad_time(spark):
 def test_upsert(spark):
     st = state(spark, ("a", "old", ago(days=2)), ("idle", "idle", ago(days=9)))
     rows = logs(spark, ("a", 0, NOW), ("b", 0, NOW), ("bad", 0, "Plain"))
-    assert times(cursor.advance(st, rows)) == {"a": NOW, "idle": ago(days=9), "b": NOW}
+    moved = cursor.last_times(rows)
+    assert times(cursor.advance(st, moved)) == {"a": NOW, "idle": ago(days=9), "b": NOW}
     failed = spark.createDataFrame([("a", "a")], "container_id string, name string")
-    assert times(cursor.advance(st, rows, failed)) == {"a": ago(days=2), "idle": ago(days=9), "b": NOW}
+    assert times(cursor.advance(st, moved, failed)) == {"a": ago(days=2), "idle": ago(days=9), "b": NOW}
 
 
 # ---- state views ----------------------------------------------------------------------------
 
 @pytest.mark.parametrize("pattern,left", [
-    ("test-.*", ["abc123", "def456"]), ("abc.*", ["def456", "xyz"]), ("nothing", ["abc123", "def456", "xyz"]),
-    (".*", []), ("Test", ["abc123", "def456", "xyz"]), (r"test\.container", ["abc123", "def456", "xyz"]),
+    ("^ingest", ["0f01", "77aa"]), ("^77", ["0f01", "9c20"]), ("zebra", ["0f01", "77aa", "9c20"]),
+    ("", None), ("[a-z]", []), ("Ingest", ["0f01", "77aa", "9c20"]), (r"ingest\.eu", ["0f01", "77aa", "9c20"]),
+    ("(?i)MAIL|^0", ["9c20"]),
 ])
 def test_reset(spark, pattern, left):
-    st = state(spark, ("abc123", "web", NOW), ("def456", "db", NOW), ("xyz", "test-app", NOW))
+    st = state(spark, ("0f01", "queue", NOW), ("77aa", "mailer", NOW), ("9c20", "ingest-eu", NOW))
+    if left is None:
+        with pytest.raises(ValueError):
+            S.reset_matching(st, pattern)
+        return
     assert ids(S.reset_matching(st, pattern)) == left
     assert S.row_count(S.matching(st, pattern)).first()[0] == 3 - len(left)
 
@@ -133,14 +147,19 @@ def entry(name, ts, text="t"):
     return (name, "raw", ts, "🟢 Healthy", text)
 
 
-def test_retention(spark):
-    rows = [entry("a", ago(days=d), str(d)) for d in (0, 1, 7, 20, 35, 60)] + [entry("a", None, "x")]
-    rows += [entry("a", ago(days=30), "edge"), entry("a", ago(days=30, seconds=1), "gone")]
-    kept = history.prune(spark.createDataFrame(rows, KB_HISTORY), NOW, 30)
-    assert sorted(r.analysis for r in kept.collect()) == sorted(["0", "1", "7", "20", "x", "edge"])
-    for days in (0, 366):
+@pytest.mark.parametrize("days", [1, 30, 365])
+def test_retention(spark, days):
+    """An entry is kept to the very second its age reaches the limit; one without a time always."""
+    rng = random.Random(days)
+    ages = [timedelta(seconds=rng.randrange(days * 2 * 86_400)) for _ in range(40)]
+    ages += [timedelta(days=days), timedelta(days=days, seconds=1)]
+    rows = [entry("a", NOW - age, str(i)) for i, age in enumerate(ages)] + [entry("a", None, "untimed")]
+    kept = history.prune(spark.createDataFrame(rows, KB_HISTORY), NOW, days)
+    assert {r.analysis for r in kept.collect()} == {"untimed"} | {
+        str(i) for i, age in enumerate(ages) if age <= timedelta(days=days)}
+    for bad in (0, 366):
         with pytest.raises(ValueError):
-            history.prune(kept, NOW, days)
+            history.prune(kept, NOW, bad)
 
 
 def test_append_prunes_scanned_services_only(spark):
@@ -161,6 +180,28 @@ def test_markdown(spark):
                    ("a", 2, "not a time", None, "🟢 Healthy", "second")]
 
 
+def test_documents(spark):
+    rows = spark.createDataFrame([entry("a/b", NOW, "late"), entry("a/b", ago(days=1), "early"),
+                                  entry("a/b", None, "untimed"), entry("c", NOW, "x")], KB_HISTORY)
+    got = {r.name: r for r in history.documents(rows).collect()}
+    text = got["a/b"].content
+    assert got["a/b"].storage_name == "a_b" and text.startswith(KB_HEADER % "a/b")
+    assert text.index("untimed") < text.index("early") < text.index("late")
+    back = history.parse_markdown(history.documents(rows).select("name", "content"))
+    assert sorted(r.analysis for r in back.collect()) == ["early", "late", "untimed", "x"]
+
+
+def test_trend(spark):
+    def rows(name, *issues):
+        return [(name, "raw", ago(days=d), "🔴 Issues Detected" if bad else "🟢 Healthy", "t") for d, bad in issues]
+    table = (rows("worse", (1, True), (9, False)) + rows("better", (1, False), (8, True), (9, False))
+             + rows("same", (1, True), (2, False), (8, True), (9, False)) + rows("new", (1, True))
+             + rows("quiet", (9, True)) + [entry("worse", None)])
+    got = history.trend(spark.createDataFrame(table, KB_HISTORY), NOW, timedelta(days=7))
+    assert {r.name: r.trend for r in got.collect()} == {
+        "worse": "worse", "better": "better", "same": "same", "new": "new", "quiet": "same"}
+
+
 def test_markdown_round_trip(spark):
     rows = spark.createDataFrame([entry("a", NOW, "one"), entry("a", NOW, "two\n\nthree")], KB_HISTORY)
     text = rows.withColumn("scan_ts_raw", F.lit("2025-06-01T12:00:00Z")).agg(F.concat(
