@@ -55,12 +55,22 @@ def rows_of(batches: Iterable[pa.RecordBatch], limit: int = 2 << 20) -> Iterator
             rows, held = [], 0
 
 
+KEPT_POWERS = 1 << 21
+_powers: dict[int, np.ndarray] = {}
+
+
 def powers(n: int, base: int = MULTIPLIER) -> np.ndarray:
-    """``base**0 .. base**(n-1)`` modulo 2**64."""
+    """``base**0 .. base**(n-1)`` modulo 2**64; up to :data:`KEPT_POWERS` of them are kept."""
+    kept = _powers.get(base)
+    if kept is not None and len(kept) >= n:
+        return kept[:n]
     out = np.full(max(n, 1), base, np.uint64)
     out[0] = 1
     with np.errstate(over="ignore"):
-        return np.multiply.accumulate(out)
+        np.multiply.accumulate(out, out=out)
+    if n <= KEPT_POWERS:
+        _powers[base] = out
+    return out
 
 
 def mix(x: np.ndarray) -> np.ndarray:

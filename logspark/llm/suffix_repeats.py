@@ -37,12 +37,12 @@ from .run_index import RunIndex
 
 WIDTH = 50
 GRAM = 16
-BATCH_BYTES = 4 << 20
+BATCH_BYTES = 2 << 20
 CROWD = 2048  # fragments of one anchor, from which on its strings go one by one
-SHARD_BYTES = 1 << 20
-BUCKET_ANCHORS = 1 << 20
-BUCKET_BYTES = 8 << 20
-CHUNK = 1 << 22
+SHARD_BYTES = 1 << 19
+BUCKET_ANCHORS = 1 << 19
+BUCKET_BYTES = 4 << 20
+CHUNK = 1 << 19
 
 BATCHES = ("batch long, n_bytes long, doc_ids array<long>, lengths array<long>, texts binary")
 ALONE, SHARED, CROWDED = 0, 1, 2
