@@ -115,6 +115,20 @@ def conversation_logs(spark: SparkSession, folder: str, span: int = SEGMENT_SPAN
 
 
 def raw_event_lines(spark: SparkSession, folder: str) -> DataFrame:
+    """:func:`event_texts`, parsed."""
+    return parse_lines(event_texts(spark, folder))
+
+
+def framed_lines(spark: SparkSession, folder: str) -> DataFrame:
+    """The same with frame headers: clicks from one stream, errors from the other."""
+    header = (F.when(F.col("message") == "click", F.lit("\x01\0\0\0\0\0\0\x20"))
+              .when(F.col("message") == "error", F.lit("\x02\0\0\0\0\0\0\x20")).otherwise(F.lit("")))
+    lines = event_logs(spark, folder)
+    return parse_lines(lines.select(SOURCE, "seq", F.concat(header, "ts_raw", F.lit(" "), "message")
+                                    .alias("value")))
+
+
+def event_texts(spark: SparkSession, folder: str) -> DataFrame:
     """Events as raw log lines, each type with its own timestamp style (one of them malformed)."""
     e = read(spark, folder, "events")
     kind, ts = F.col("event_type"), F.col("ts")
@@ -129,8 +143,8 @@ def raw_event_lines(spark: SparkSession, folder: str) -> DataFrame:
                                             "event_type"))
             .when(kind == "signup", kind)
             .otherwise(F.concat(stamp("yyyy/MM/dd"), F.lit(" "), "props")))
-    return parse_lines(e.select(F.col("user_id").cast("string").alias(SOURCE),
-                                F.col("event_id").alias("seq"), text.alias("value")))
+    return e.select(F.col("user_id").cast("string").alias(SOURCE), F.col("event_id").alias("seq"),
+                    text.alias("value"))
 
 
 def state(spark: SparkSession, folder: str) -> DataFrame:

@@ -4,10 +4,12 @@ from __future__ import annotations
 
 import uuid
 from collections.abc import Callable
+from dataclasses import replace
 from datetime import timedelta
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import Window as W
 
 from ..functions import classify as C
 from ..functions import prompts as P
@@ -21,6 +23,7 @@ from ..operators import (chunking, cleanup, cursor, dedup, exclude, history, inf
 from ..operators import state as S
 from ..session import materialize, shared_folder
 from ..sources import containers as K
+from ..sources.logs import read_log_files
 from ..sources.tables import VersionedTable, read_state_json, write_state_json
 from ..streaming.incremental import scan_stream
 from . import adapters as A
@@ -81,6 +84,25 @@ def parse_timestamps(spark, folder):
     return A.raw_event_lines(spark, folder).select(SOURCE, "seq", "ts_raw", "ts", "message")
 
 
+@query("q03c_frame_headers")
+def frame_headers(spark, folder):
+    return A.framed_lines(spark, folder).select(SOURCE, "seq", "stream", "stream_decoded", "ts",
+                                                "message")
+
+
+@query("q03d_log_files")
+def log_files(spark, folder):
+    """The raw lines of all containers written as text files and read back in their order."""
+    path = f"{shared_folder(spark)}/log-files-{uuid.uuid4().hex}"
+    lines = A.event_texts(spark, folder).withColumn("owner", F.col(SOURCE))
+    (lines.repartitionByRange("owner", "seq").sortWithinPartitions("owner", "seq")
+     .select("owner", "value").write.partitionBy("owner").text(path))
+    read = read_log_files(spark, path, F.regexp_extract("_path", "owner=([^/]+)", 1))
+    order = W.partitionBy(SOURCE).orderBy("segment", "seq")
+    before = F.lag("message").over(order)
+    return read.select(SOURCE, "ts_raw", "ts", "message", before.alias("message_before"))
+
+
 @query("q04_run_dedup")
 def run_dedup(spark, folder):
     rows = dedup.collapse_repeats(A.event_logs(spark, folder))
@@ -176,6 +198,13 @@ def prompt_budget(spark, folder):
         "base_tokens", "logs_tokens", "total_tokens", "strategy", "chunk_limit")
 
 
+@query("q08b_fits")
+def fits(spark, folder):
+    return A.read(spark, folder, "documents").select(
+        "doc_id", COUNTER.of_message(F.col("text")).alias("tokens"),
+        COUNTER.fits(F.col("text"), DOC_CHUNK).alias("fits"))
+
+
 @query("q09_first_requests")
 def first_requests(spark, folder):
     return _flat(_prepared(spark, folder).requests)
@@ -403,6 +432,16 @@ def whole_scan(spark, folder):
     return _finished(spark, folder)[1]
 
 
+@query("q26c_dry_run")
+def dry_run(spark, folder):
+    """The results of a scan that writes nothing."""
+    settings = replace(options(), dry_run=True)
+    prepared = prepare(A.event_logs(spark, folder), A.state(spark, folder), settings,
+                       A.ignore(spark, folder))
+    requests, responses = reduce_all(prepared, A.answer, settings)
+    return finish(prepared, requests, responses, settings, None)
+
+
 @query("q26b_whole_scan_state")
 def whole_scan_state(spark, folder):
     return _finished(spark, folder)[0].state.read(spark)

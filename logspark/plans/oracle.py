@@ -337,6 +337,12 @@ SELECT container_id, segment, seq,
             ELSE value END AS message
 FROM doc_lines"""
 ORACLE["q03b_parse_timestamps"] = RAW_EVENTS
+ORACLE["q03c_frame_headers"] = _with(EVENT_LOGS) + """
+SELECT container_id, seq, stream, CASE message WHEN 'click' THEN 'stdout' WHEN 'error' THEN 'stderr' END
+       AS stream_decoded, ts, message FROM logs"""
+ORACLE["q03d_log_files"] = _with(f"raw AS ({RAW_EVENTS})") + """
+SELECT container_id, ts_raw, ts, message,
+       lag(message) OVER (PARTITION BY container_id ORDER BY seq) AS message_before FROM raw"""
 ORACLE["q04_run_dedup"] = _with(EVENT_LOGS, DEDUP) + (
     "SELECT container_id, name, seq, ts_raw, ts, stream, message, run_len FROM dedup")
 ORACLE["q04b_dedup_stats"] = _with(DOC_LOGS, DEDUP) + """
@@ -379,6 +385,8 @@ for _name, _logs, _filters, _limit in (
 ORACLE["q08_prompt_budget"] = _with(*budget_ctes()) + """
 SELECT container_id, name, original_count, processed_count, deduplicated, system_tokens,
        base_tokens, logs_tokens, total_tokens, strategy, chunk_limit FROM budgets"""
+ORACLE["q08b_fits"] = f"""
+SELECT doc_id, {tokens('text')} + 4 AS tokens, {tokens('text')} <= {Q.DOC_CHUNK} AS fits FROM documents"""
 ORACLE["q09_first_requests"] = _with(*request_ctes(), recursive=True) + """
 SELECT request_id, container_id, name, kind, chunk_index, chunk_total, system_text, user_text,
        CAST(0.3 AS DOUBLE) AS temperature, max_tokens FROM requests"""
@@ -601,6 +609,7 @@ after_scan AS (
   SELECT * FROM state s WHERE NOT EXISTS (
     SELECT 1 FROM moved m WHERE m.container_id = s.container_id))"""
 ORACLE["q26_whole_scan"] = _with(*results_ctes(SCAN_LINES), recursive=True) + "SELECT * FROM results"
+ORACLE["q26c_dry_run"] = ORACLE["q26_whole_scan"]
 ORACLE["q26b_whole_scan_state"] = _with(EVENT_LOGS, STATE, NEW_LINES, MOVED) + (
     "SELECT container_id, name, last_scan, log_cursor FROM after_scan")
 SCANNED = [*results_ctes(SCAN_LINES), MOVED, LIVE, """kb AS (
