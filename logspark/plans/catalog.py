@@ -40,7 +40,8 @@ DOC_CHUNK = 400
 RETENTION_DAYS = 14
 LOOKBACK = timedelta(days=7)
 SYNTHESIS_TOKENS = 30
-REDUCTION_TOKENS = 45
+REDUCTION_CONTEXT = 4400
+REDUCTION_TOKENS = 38
 EXECUTIVE_TOKENS = 2000
 EXECUTIVE_CONTEXT = 32_000
 
@@ -255,7 +256,7 @@ def failed_containers(spark, folder):
 @query("q09g_reduction")
 def reduction(spark, folder):
     """Summaries reduced over several levels, until one request of each container is left."""
-    prepared = _prepared(spark, folder)
+    prepared = _prepared(spark, folder, REDUCTION_CONTEXT)
     last, replies, rounds, level = prepared.requests, A.answer(prepared.requests), None, 0
     summaries = inference.chunk_summaries(last, replies)
     while True:

@@ -427,7 +427,8 @@ replies{level} AS (
     return out
 
 
-ORACLE["q09g_reduction"] = _with(*request_ctes(), *reduction_ctes(4), recursive=True) + " UNION ALL ".join(
+_SMALLER = [cte.replace(str(Q.MAX_TOKENS), str(Q.REDUCTION_CONTEXT)) for cte in request_ctes()]
+ORACLE["q09g_reduction"] = _with(*_SMALLER, *reduction_ctes(4), recursive=True) + " UNION ALL ".join(
     f"SELECT container_id, CAST({k} AS BIGINT) AS level, chunk_index, chunk_total, user_text "
     f"FROM packs{k}" for k in range(4))
 ORACLE["q09h_repeated_responses"] = _with(*results_ctes(), recursive=True) + (
