@@ -38,7 +38,7 @@ def shared_folder(spark: SparkSession) -> str:
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if folder:
         return folder.rstrip("/")
-    return spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_work"
+    return spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/hand-over"
 
 
 # The tables written since the innermost ``scratch`` began.
