@@ -55,7 +55,7 @@ def rows_of(batches: Iterable[pa.RecordBatch], limit: int = 2 << 20) -> Iterator
             rows, held = [], 0
 
 
-KEPT_POWERS = 1 << 21
+KEPT_POWERS = 1 << 20
 _powers: dict[int, np.ndarray] = {}
 
 

@@ -39,10 +39,10 @@ WIDTH = 50
 GRAM = 16
 BATCH_BYTES = 2 << 20
 CROWD = 2048  # fragments of one anchor, from which on its strings go one by one
-SHARD_BYTES = 1 << 19
+SHARD_BYTES = 1 << 18
 BUCKET_ANCHORS = 1 << 19
 BUCKET_BYTES = 4 << 20
-CHUNK = 1 << 19
+CHUNK = 1 << 18
 
 BATCHES = ("batch long, n_bytes long, doc_ids array<long>, lengths array<long>, texts binary")
 ALONE, SHARED, CROWDED = 0, 1, 2
@@ -169,10 +169,10 @@ class Fragments:
         at = at + shift
         doc = np.repeat(self.doc[crowd], self.count[crowd])
         key = np.zeros(len(at), np.uint64)
-        for a in range(0, len(at), 1 << 16):  # hashed from their bytes, piece by piece
-            grid = self.data[at[a:a + (1 << 16), None] + np.arange(WIDTH)].ravel()
+        for a in range(0, len(at), 1 << 13):  # hashed from their bytes, piece by piece
+            grid = self.data[at[a:a + (1 << 13), None] + np.arange(WIDTH)].ravel()
             begin = np.arange(len(grid) // WIDTH) * WIDTH
-            key[a:a + (1 << 16)] = mix(SpanHash(grid)(begin, begin + WIDTH) ^ np.uint64(0x5EED))
+            key[a:a + (1 << 13)] = mix(SpanHash(grid)(begin, begin + WIDTH) ^ np.uint64(0x5EED))
         own, kept, low = self._distinct(key, key, doc)
         all_at = np.concatenate((self.at[self.kept[one]], at[kept]))
         all_count = np.concatenate((self.count[self.kept[one]], np.ones(len(kept), np.int64)))
@@ -320,7 +320,11 @@ def _match(table: pa.Table) -> pa.Table:
     count, text = np.concatenate(counts).astype(np.int64), np.concatenate(texts)
     stop = np.cumsum(count + WIDTH - 1)
     start = stop - count - WIDTH + 1
-    content = SpanHash(text)(start, stop)
+    content = np.zeros(len(start), np.uint64)
+    for a in range(0, len(start), 1 << 12):  # piece by piece, for the memory of it
+        first, last = start[a:a + (1 << 12)], stop[a:a + (1 << 12)]
+        own = SpanHash(text[first[0]:last[-1]])
+        content[a:a + (1 << 12)] = own(first - first[0], last - first[0])
     own, kept, low = Fragments._distinct(key, content, doc)
     bits = np.zeros(len(kept), np.uint64)
     # distinct fragments are in order of anchors: those of one anchor alone have nothing to match
