@@ -37,7 +37,8 @@ def _key(line: Column) -> Column:
 
 def _countable(min_words: int):
     """Lines of at least ``min_words`` words: shorter ones recur by chance."""
-    return lambda line: F.size(F.split(_trimmed(line), "[ \t\r]+")) >= min_words
+    words = f"(?:[^{SPACES}]+[{SPACES}]+){{{min_words - 1}}}[^{SPACES}]"
+    return lambda line: line.rlike(words)  # looked at up to the last word needed
 
 
 def _lines(text: Column) -> Column:
