@@ -330,6 +330,7 @@ def _match(table: pa.Table) -> pa.Table:
     # distinct fragments are in order of anchors: those of one anchor alone have nothing to match
     group = np.cumsum(np.concatenate(([0], key[kept[1:]] != key[kept[:-1]])))
     mixed = np.flatnonzero(np.bincount(group)[group] > 1)
+    first_of = np.minimum.reduceat(low, np.searchsorted(group, np.arange(group[-1] + 1)))
     weight = np.cumsum(count[kept[mixed]] + WIDTH)
     shard = weight // SHARD_BYTES
     if len(mixed):  # whole anchors to a shard
@@ -342,10 +343,12 @@ def _match(table: pa.Table) -> pa.Table:
         mark = np.zeros(1, np.uint8)
         index = RunIndex(np.concatenate([x for s in strings for x in (s, mark)]),
                          np.repeat(low[part], lengths), WIDTH)
-        for which, at, matched, places in index.statistics(strings):
+        # the smallest document of an anchor has nothing earlier to match: it is only looked up in
+        later = np.flatnonzero(low[part] > first_of[group[part]])
+        for which, at, matched, places in index.statistics([strings[k] for k in later]):
             long = matched >= WIDTH
             if long.any():
-                which, at = which[long], at[long]
+                which, at = later[which[long]], at[long]
                 early = index.lowest_owner(places[long]) < low[part[which]]
                 bits[part[which[early]]] |= np.uint64(1) << at[early].astype(np.uint64)
     answer = bits[own]
