@@ -78,3 +78,37 @@ def test_spill_overlaps():
 
 def test_empty_table(vectors):
     assert R.near_duplicates(vectors[1].where("false")).collect() == []
+
+
+def dense_table(spark, parts):
+    """One label: groups of near copies, each given by its size and spread, and scattered rows."""
+    rng = np.random.default_rng(7)
+    groups = [c + rng.normal(size=(n, 64)) * spread * np.linalg.norm(c) / 8
+              for n, spread in parts for c in [rng.normal(size=64)]]
+    rows = np.concatenate([*groups, rng.normal(size=(500, 64))]).astype(np.float32)
+    table = spark.createDataFrame([(i, v.tolist(), 1) for i, v in enumerate(rows)],
+                                  "vec_id long, embedding array<float>, label int")
+    units = rows.astype(float)
+    units /= np.linalg.norm(units, axis=1)[:, None]
+    true = np.concatenate([(units[i:i + 500] @ units.T >= R.COSINE).sum(1) - 1
+                           for i in range(0, len(units), 500)])
+    return table, true
+
+
+def test_recall_in_a_dense_group(spark):
+    """10,000 near copies with cosines of about 0.96, many more than leaves hold: no link is lost."""
+    table, true = dense_table(spark, [(10_000, 0.2)])
+    got = {r["vec_id"]: r for r in R.near_duplicates(table).collect()}
+    assert true[:10_000].mean() > 9_000
+    assert [got[i]["n_links"] for i in range(len(true))] == true.tolist()
+    assert {got[i]["component_id"] for i in range(10_000) if true[i]} == {0}
+
+
+def test_blocks_of_dense_groups(spark, monkeypatch):
+    """Groups close to their centre, at the threshold and far from it, over many blocks."""
+    monkeypatch.setattr(R, "ROWS", 150)
+    table, true = dense_table(spark, [(900, 0.05), (900, 0.25), (900, 0.29), (400, 0.1)])
+    got = {r["vec_id"]: r["n_links"] for r in R.near_duplicates(table, leaf=64).collect()}
+    assert all(got[i] <= true[i] for i in got)
+    assert sum(got.values()) >= 0.999 * true.sum()
+    assert [got[i] for i in range(900)] == true[:900].tolist()
