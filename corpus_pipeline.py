@@ -24,8 +24,9 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Lines of many sites go from the texts; all documents stay, ``n_chars`` is counted anew."""
-    cleaned = line_spread.remove_boilerplate(docs)
+    """Lines of many sites go from the texts, also where they are most of it; all documents stay, those
+    without a line of their own as they are. ``n_chars`` is counted anew."""
+    cleaned = line_spread.remove_boilerplate(docs, max_share=None)
     n_chars = F.when(F.col("n_removed") > 0, F.length("text")).otherwise(F.col("n_chars"))
     return cleaned.withColumn("n_chars", n_chars).select(*docs.columns)
 

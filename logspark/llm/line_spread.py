@@ -67,13 +67,14 @@ def boilerplate(docs: DataFrame, min_sites: int = MIN_SITES, min_words: int = MI
 
 
 def remove_boilerplate(docs: DataFrame, min_sites: int = MIN_SITES, min_words: int = MIN_WORDS,
-                       max_share: float = MAX_SHARE) -> DataFrame:
+                       max_share: float | None = MAX_SHARE) -> DataFrame:
     """``docs`` with boilerplate lines taken out of ``text``, and ``n_lines``, ``n_removed``.
 
     Lines are compared without the white space around them; lines of fewer than ``min_words`` words
     never count. A row that would lose more than ``max_share`` of its characters stays as it is: it is
     a copy of a whole document, or nothing but boilerplate, and is left to the steps that deal with
-    those. All rows stay. A null text stays null with no lines; an empty text has one empty line.
+    those. With ``max_share`` None each line is decided by itself, however much a row loses; only a row
+    with no countable line of its own stays as it is. All rows stay. A null text stays null with no lines; an empty text has one empty line.
     Rows that share an id, or have none, are each cleaned by the same list of lines. Columns other
     than ``doc_id``, ``source`` and ``text`` pass through, whatever their names but ``n_lines`` and
     ``n_removed``, which are replaced.
@@ -88,8 +89,9 @@ def remove_boilerplate(docs: DataFrame, min_sites: int = MIN_SITES, min_words: i
     stays = F.filter(lines, lambda line: ~(counts(line) & F.array_contains("_line_drop", _key(line))))
     changed = joined.withColumn("_line_kept", F.when(F.col("_line_drop").isNotNull(), stays))
     lost = F.length("text") - F.length(F.array_join("_line_kept", "\n"))
-    takes = (F.col("_line_kept").isNotNull() & (lost > 0)
-             & (lost <= max_share * F.length("text")))
+    stays_whole = (~F.exists("_line_kept", counts) if max_share is None
+                   else lost > max_share * F.length("text"))
+    takes = F.col("_line_kept").isNotNull() & (lost > 0) & ~stays_whole
     n_lines = F.coalesce(F.size(lines), F.lit(0))
     return (changed
             .withColumn("_line_takes", F.coalesce(takes, F.lit(False)))

@@ -76,3 +76,38 @@ def test_other_columns_stay(docs_of):
 def test_no_python_in_the_plan(docs_of):
     plan = L.remove_boilerplate(docs_of([(1, "a b c", "s")]))._jdf.queryExecution().toString()
     assert "Python" not in plan and "Pandas" not in plan and "Arrow" not in plan
+
+
+def mostly_boilerplate():
+    """Ten sites with a long line each: short pages with a line of their own, and pages without one."""
+    license = "this license line stands on all of the sites and is much longer than the rest"
+    own = [(i, f"{license}\nown text {i}\n{license}\nhome", f"s{i}") for i in range(10)]
+    return license, own, [(100 + i, f"{license}\nhome", f"s{i}") for i in range(10)]
+
+
+def test_line_by_line(docs_of):
+    _, own, bare = mostly_boilerplate()
+    got = {r[0]: r[1:] for r in digest(L.remove_boilerplate(docs_of(own + bare), max_share=None))}
+    assert all(got[i] == (f"own text {i}\nhome", 4, 2) for i, *_ in own)
+    assert all(got[i] == (text, 2, 0) for i, text, _ in bare)
+
+
+def test_line_by_line_against_brute_force(docs_of, odd_rows):
+    rows = rows_of_sites() + [(*r[:2], r[2] if len(r) > 2 else "src0") for r in odd_rows]
+    on = {}
+    for _, text, source in rows:
+        for line in (text or "").split("\n"):
+            if len(line.split()) >= L.MIN_WORDS and source is not None:
+                on.setdefault(line.strip(L.SPACES), set()).add(source)
+    bad = {line for line, s in on.items() if len(s) >= L.MIN_SITES}
+    expected, over_half = [], 0
+    for doc, text, _ in rows:
+        lines = (text or "").split("\n")
+        kept = [x for x in lines if x.strip(L.SPACES) not in bad]
+        if any(len(x.split()) >= L.MIN_WORDS for x in kept) and len(kept) < len(lines):
+            over_half += 2 * len("\n".join(kept)) < len(text)
+            expected.append((doc, "\n".join(kept), len(lines), len(lines) - len(kept)))
+        else:
+            expected.append((doc, text, 0 if text is None else len(lines), 0))
+    got = digest(L.remove_boilerplate(docs_of(rows), max_share=None))
+    assert got == sorted(expected, key=repr) and over_half > 10

@@ -60,3 +60,10 @@ def test_empty_and_odd_documents(spark, docs_of, odd_rows):
         for _, stage in corpus_pipeline.STAGES:
             docs = corpus_pipeline.written(stage(spark, docs, TESTDATA), "odd")
         assert docs.count() <= n
+
+
+def test_short_pages_lose_their_boilerplate(spark, docs_of):
+    license = "this license line stands on all of the sites and is much longer than the rest"
+    docs = docs_of([(i, f"{license}\nown text {i}", f"s{i}") for i in range(10)])
+    got = corpus_pipeline.lines(spark, docs, TESTDATA).select("doc_id", "text", "n_chars").collect()
+    assert sorted(map(tuple, got)) == [(i, f"own text {i}", 10) for i in range(10)]
