@@ -5,7 +5,9 @@ without spaces. A forest of decision trees judges each by its length and charact
 likely its letter transitions are in the words of the corpus, how much of it dictionary words cover,
 the path of its document, and the words next to it. It is trained on labelled findings.
 
-The dictionary and the transitions come from counts over all documents, taken per task and summed.
+The dictionary and the transitions come from counts over all words of all documents, taken per task
+and summed; nothing is left out before the sum. A word is in the dictionary by its share of all words,
+so no more than ``1 / MIN_SHARE`` words can be, however large the corpus and whatever its languages.
 Texts are read twice, for the counts and for the candidates, and never shuffled; what is written down
 is one narrow row a candidate. The forest is fitted on at most ``max_labelled`` labelled findings.
 """
@@ -26,8 +28,9 @@ from pyspark.sql import functions as F
 from .common import rows_of, written
 
 MAX_LABELLED = 6_000
-DICTIONARY = 4_000  # words, the most frequent of the corpus
-IN_BATCH = 3  # times a word is in a batch to be counted
+MIN_SHARE = 2e-6  # of all words, for a word of the dictionary
+MIN_COUNT = 3  # times a word is in the corpus at least
+HELD = 300_000  # distinct words a task counts before it passes them on
 TREES, DEPTH, LEAF = 40, 8, 3
 THRESHOLD = 0.5
 
@@ -53,28 +56,47 @@ TESTS = re.compile(r"(^|[/_.-])(tests?|fixtures?|examples?|docs?)([/_.-]|$)", re
 CODE = re.compile(r"\.(py|js|ts|go|java|rb|sh|env|ya?ml|json|toml|ini|cfg|conf|tf)$",
                   re.IGNORECASE).search
 
+OTHER = "\x80"  # no letter
+WORDS, PAIRS, LETTERS = range(3)
+
 FEATURES = ("length", "entropy", "digits", "capitals", "small", "marks", "transitions",
             "rarest_transition", "class_changes", "covered", "longest_word", "hexadecimal",
             "distinct", "known_format", "assigned", "quoted", "named", "pretended", "named_near",
             "near_covered", "test_path", "code_path", "path_depth", "repeated")
 
 
+def letter_pairs(counts: dict[str, int]) -> tuple[Counter, set[str]]:
+    """How often a letter follows an ASCII one, all others together as ``OTHER``, and all letters.
+
+    Candidates are ASCII, so no other pairs are asked for."""
+    pairs: Counter = Counter()
+    letters: set[str] = set()
+    for word, count in counts.items():
+        letters.update(word)
+        for a, b in zip(word, word[1:]):
+            if a < "\x80":
+                pairs[a + (b if b < "\x80" else OTHER)] += count
+    return pairs, letters
+
+
 class Language:
     """The words of a corpus and how its letters follow each other."""
 
-    def __init__(self, counts: dict[str, int]) -> None:
+    def __init__(self, counts: dict[str, int], pairs: dict[str, int] | None = None,
+                 kinds: int = 0) -> None:
+        """``pairs`` and ``kinds``: of more words than ``counts`` has, else they are taken from it."""
+        if pairs is None:
+            pairs, letters = letter_pairs(counts)
+            kinds = len(letters)
         self.words = {w for w in counts if len(w) >= 3}
-        self.longest = max(map(len, self.words), default=0)
-        pairs: Counter = Counter()
+        self.sizes = sorted({len(w) for w in self.words}, reverse=True)
         singles: Counter = Counter()
-        for word, count in counts.items():
-            for a, b in zip(word, word[1:]):
-                pairs[a, b] += count
-                singles[a] += count
-        kinds = max(1, len({c for w in counts for c in w}))
+        for pair, count in pairs.items():
+            singles[pair[0]] += count
+        kinds = max(1, kinds)
         self.floor = math.log(0.5 / (kinds + 1))
-        self.log = {(a, b): math.log((n + 0.5) / (singles[a] + 0.5 * kinds))
-                    for (a, b), n in pairs.items()}
+        self.log = {(pair[0], pair[1]): math.log((n + 0.5) / (singles[pair[0]] + 0.5 * kinds))
+                    for pair, n in pairs.items()}
 
     def transitions(self, value: str) -> tuple[float, float]:
         value = value.lower()
@@ -85,8 +107,8 @@ class Language:
         """The share of characters that dictionary words cover, longest first from the left."""
         value, at, inside, longest = value.lower(), 0, 0, 0
         while at < len(value):
-            for size in range(min(self.longest, len(value) - at), 2, -1):
-                if value[at:at + size] in self.words:
+            for size in self.sizes:
+                if size <= len(value) - at and value[at:at + size] in self.words:
                     inside, longest, at = inside + size, max(longest, size), at + size
                     break
             else:
@@ -178,27 +200,35 @@ class Forest:
 
 
 def learn_language(docs: DataFrame) -> Language:
-    """The most frequent words of all texts. A word rare in every task's batch may be missed."""
+    """The words of all texts that are at least ``MIN_COUNT`` and a share of ``MIN_SHARE``, and the
+    letter pairs of all words. Nothing depends on how the texts are dealt out."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: Counter = Counter()
         for rows in rows_of(batches):
             for (text,) in rows:
                 seen.update(WORD.findall((text or "").lower()))
-            if len(seen) > 300_000:
-                yield _counts(seen)
+            if len(seen) > HELD:
+                yield from _counts(seen)
                 seen.clear()
-        yield _counts(seen)
-
-    def _counts(seen: Counter) -> pa.RecordBatch:
-        often = [(w, c) for w, c in seen.items() if c >= IN_BATCH and len(w) <= 24]
-        return pa.RecordBatch.from_arrays(
-            [pa.array([w for w, _ in often], pa.string()), pa.array([c for _, c in often], pa.int64())],
-            names=["word", "n"])
-
-    words = (docs.select("text").mapInArrow(work, "word string, n long").groupBy("word")
-             .agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "word").limit(DICTIONARY))
-    return Language({r[0]: r[1] for r in words.collect()})
+        yield from _counts(seen)
+
+    def _counts(seen: Counter) -> Iterator[pa.RecordBatch]:
+        pairs, letters = letter_pairs(seen)
+        for what, found in ((WORDS, seen), (PAIRS, pairs), (LETTERS, dict.fromkeys(letters, 1))):
+            yield pa.RecordBatch.from_arrays(
+                [pa.array([what] * len(found), pa.int32()), pa.array(list(found), pa.string()),
+                 pa.array(list(found.values()), pa.int64())], names=["what", "word", "n"])
+
+    counted = written(docs.select("text").mapInArrow(work, "what int, word string, n long")
+                      .groupBy("what", "word").agg(F.sum("n").alias("n")), "secret-words")
+    sizes = {r[0]: r[1:] for r in counted.groupBy("what").agg(F.sum("n"), F.count("*")).collect()}
+    least = max(MIN_COUNT, MIN_SHARE * sizes.get(WORDS, (0, 0))[0])
+    words = counted.where((F.col("what") == WORDS) & (F.col("n") >= least) & (F.length("word") >= 3))
+    pairs = counted.where(F.col("what") == PAIRS)  # of 26 letters
+    return Language({r[0]: r[1] for r in words.select("word", "n").collect()},
+                    {r[0]: r[1] for r in pairs.select("word", "n").collect()},
+                    sizes.get(LETTERS, (0, 0))[1])
 
 
 FINDING_SQL = ("doc_id long, start long, length long, kind string, fingerprint string, "
@@ -207,7 +237,7 @@ FINDING_SQL = ("doc_id long, start long, length long, kind string, fingerprint s
 
 def candidates(docs: DataFrame, language: Language) -> DataFrame:
     """One row a candidate: where it is, a hash of its value, and its measures."""
-    shared = docs.sparkSession.sparkContext.broadcast(language)  # of DICTIONARY words
+    shared = docs.sparkSession.sparkContext.broadcast(language)  # of 1 / MIN_SHARE words at most
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = shared.value

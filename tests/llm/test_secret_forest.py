@@ -72,3 +72,23 @@ def test_odd_rows(docs_of, odd_rows):
 def test_candidates(text, kind):
     found = S.CANDIDATE.search("see " + text)
     assert found and S.features(S.Language({}), "see " + text, found, "")[0] == kind
+
+
+def test_counts_do_not_depend_on_partitions(docs_of):
+    """Two of a word in each task: all are counted, also a word of over 24 letters and its pairs."""
+    long = "donaudampfschifffahrtsgesellschaft"
+    docs = docs_of([(i, f"rarely seen {long} été twice{chr(97 + i)}") for i in range(12)])
+    one, many = (S.learn_language(docs.repartition(n)) for n in (1, 12))
+    assert one.words == many.words == {"rarely", "seen", long, "été"}
+    assert one.log == many.log and one.floor == many.floor
+    assert ("w", "i") in one.log  # of words too rare for the dictionary
+
+
+def test_a_hot_source_displaces_no_words(docs_of):
+    """More than 4,000 words of one source, each more frequent than those of the others."""
+    rng = random.Random(5)
+    hot = ["".join(rng.choices("aeioubcd", k=9)) for _ in range(6000)]
+    rows = [(i, " ".join(hot)) for i in range(8)] + [(10 + i, "winter zomer herfst") for i in range(4)]
+    language = S.learn_language(docs_of(rows))
+    assert language.words == {*hot, "winter", "zomer", "herfst"}
+    assert language.covered("winterzomer") == (1.0, 6)
