@@ -157,6 +157,7 @@ def _judged(docs: DataFrame, benchmark: DataFrame, size: int, block_bytes: int)
     """``docs`` with the columns of :data:`STATE` and :data:`VERDICT`."""
     items = benchmark.select(F.coalesce(F.col("item_id").cast("string"), F.lit("null")).alias("item"),
                              F.col("text").cast("string").alias("item_text"))
+    items = written(items.distinct(), "benchmark-items")  # a repeated item is one of one block
     total = scalar(items.agg(F.sum(F.octet_length("item_text")))) or 0
     blocks = max(1, -(-total // block_bytes))
     state = docs.withColumns({name: F.array().cast(kind) for name, kind in STATE})

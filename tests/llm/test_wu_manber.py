@@ -80,3 +80,14 @@ def test_empty_tables(spark, docs_of):
     docs = docs_of([(1, "a b c")])
     assert W.contamination(docs.where("false"), bench).collect() == []
     assert W.contamination(docs, bench.where("false")).first()["contaminated"] is False
+
+
+def test_repeated_items_fill_no_block(spark, docs_of, monkeypatch):
+    """One item a thousand times: it is collected once, and one block holds all."""
+    seen, init = [], W.Patterns.__init__
+    monkeypatch.setattr(W.Patterns, "__init__",
+                        lambda self, items, size: seen.append(items) or init(self, items, size))
+    bench = spark.createDataFrame([(1, "a b c d")] * 1000 + [(2, "e f g h")], "item_id long, text string")
+    got = W.contamination(docs_of([(1, "x a b c d"), (2, "none")]), bench, 3, 120).collect()
+    assert [sorted(items) for items in seen] == [[("1", "a b c d"), ("2", "e f g h")]]
+    assert {r["doc_id"]: r["n_hit"] for r in got} == {1: 4, 2: 0}
