@@ -8,8 +8,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import (bpe_segment_tree, jaccard_groups, line_spread, pii_feistel, quality_pu, rp_forest,
-               secret_forest, simple8b, suffix_repeats, wu_manber)
+from . import (bpe_segment_tree, jaccard_groups, line_spread, merkle_manifest, pii_feistel,
+               quality_pu, rp_forest, secret_forest, simple8b, suffix_repeats, wu_manber)
 from .common import read_table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -85,3 +85,11 @@ def token_files(spark, folder):
     back = simple8b.round_trip(read_table(spark, folder, "documents"),
                                public_tokenizers.path("word_bpe_49k.json"))
     return back.drop("ids")
+
+
+@query("op13_merkle_manifest")
+def manifest(spark, folder):
+    upper, lower = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+    return merkle_manifest.verified(read_table(spark, folder, "documents"),
+                                    found_text=F.translate("text", upper, lower),
+                                    changed=F.crc32(F.col("doc_id").cast("string")) % 5 == 0)

@@ -17,7 +17,7 @@ entry = importlib.import_module("__spark_entry__")
 
 def test_names():
     numbers = sorted(int(re.match(r"op(\d+)_", name)[1]) for name in QUERIES)
-    assert numbers == list(range(1, 11))
+    assert numbers == list(range(1, 14))
     assert {*QUERIES, "pipeline"} <= set(entry.queries()) and set(ORACLE) <= set(QUERIES)
 
 
@@ -41,9 +41,12 @@ def test_against_sql(spark, name):
     ("op4_rp_forest", "vec_id n_links component_id kept"),
     ("op5_bpe_segment_tree", "doc_id n_tokens ids_sha256 decoded_sha256"),
     ("op9_run_index", "doc_id n_bytes n_removed n_spans kept_sha256"),
-    ("op10_simple8b", "doc_id start n_tokens ids_crc32")])
+    ("op10_simple8b", "doc_id start n_tokens ids_crc32"),
+    ("op12_feast_whitening", "vec_id component n deviation whitened explained identity_error"),
+    ("op13_merkle_manifest", "doc_id leaf subroot root proof_sha256 folded_root verified")])
 def test_columns(spark, name, columns):
     df = QUERIES[name](spark, TESTDATA)
-    table = "embeddings" if "rp_forest" in name else "documents"
+    table = "embeddings" if columns.startswith("vec_id") else "documents"
+    each = 4 if "component" in columns.split() else 1
     assert df.columns == columns.split()
-    assert df.count() == spark.read.parquet(f"{TESTDATA}/{table}.parquet").count()
+    assert df.count() == each * spark.read.parquet(f"{TESTDATA}/{table}.parquet").count()
