@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import (bpe_segment_tree, jaccard_groups, line_spread, merkle_manifest, pii_feistel,
-               quality_pu, rp_forest, secret_forest, simple8b, suffix_repeats, wu_manber)
+               quality_pu, rp_forest, secret_forest, simple8b, suffix_repeats, whitening, wu_manber)
 from .common import read_table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -93,3 +93,8 @@ def manifest(spark, folder):
     return merkle_manifest.verified(read_table(spark, folder, "documents"),
                                     found_text=F.translate("text", upper, lower),
                                     changed=F.crc32(F.col("doc_id").cast("string")) % 5 == 0)
+
+
+@query("op12_feast_whitening")
+def whitening_rows(spark, folder):
+    return whitening.whitened(read_table(spark, folder, "embeddings"))
