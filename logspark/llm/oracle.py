@@ -87,3 +87,53 @@ SELECT doc_id, coalesce(n, 0) AS n_shingles, component_id
 FROM d LEFT JOIN n USING (r, doc_id)
 LEFT JOIN (SELECT a AS doc_id, min(b) AS component_id FROM reach GROUP BY a) USING (doc_id)
 """
+
+ORACLE["op11_merkle_text"] = r"""
+WITH d AS (
+  SELECT row_number() OVER (ORDER BY doc_id NULLS FIRST, sha256(coalesce(text, ''))) AS r, doc_id,
+         coalesce(text, '') AS t
+  FROM documents),
+n AS (SELECT *, coalesce(lead(t) OVER (ORDER BY r), first_value(t) OVER (ORDER BY r)) AS nt FROM d),
+e AS (SELECT *, left(t, length(t) - length(t) // 4) || left(nt, length(t) // 4) AS et FROM n),
+u AS (SELECT t FROM e UNION SELECT et FROM e),
+p AS (
+  SELECT t, list_transform(string_split(t, chr(10) || chr(10)), lambda s:
+           list_transform(string_split(s, chr(10)), lambda l:
+             list_transform(regexp_extract_all(l, '(?: *[^ ]{1,16}){1,4}| +'), lambda w:
+               {d: sha256(w), n: length(w)}))) AS sections
+  FROM u),
+q AS (
+  SELECT t, list_transform(sections, lambda s: list_transform(s, lambda l:
+           {d: sha256('-' || coalesce(array_to_string(list_transform(l, lambda w: w.d), ''), '')),
+            ps: list_transform(l, lambda w: left(w.d, 8) || w.n)})) AS sections
+  FROM p),
+s AS (
+  SELECT t, list_transform(sections, lambda s:
+           {d: sha256('/' || array_to_string(list_transform(s, lambda l: l.d), '')), ls: s}) AS sections
+  FROM q),
+f AS (
+  SELECT t, '#' || sha256('#' || array_to_string(list_transform(sections, lambda s: s.d), ''))
+           || array_to_string(list_transform(sections, lambda s: ' /' || left(s.d, 16)
+                || array_to_string(list_transform(s.ls, lambda l: ' -' || left(l.d, 16)
+                     || CASE WHEN len(l.ps) > 0 THEN ' ' || array_to_string(l.ps, ' ') ELSE '' END), '')),
+              '') AS fp
+  FROM s),
+w AS (
+  SELECT t, fp, list_distinct(list_filter(string_split(fp, ' '), lambda x: ascii(x) >= 48)) AS ps FROM f),
+x AS (
+  SELECT e.*, a.fp AS fingerprint, b.fp AS edited_fingerprint, c.fp AS next_fingerprint,
+         coalesce(list_sum(list_transform(a.ps, lambda v: CAST(substr(v, 9) AS BIGINT))), 0) AS wa,
+         coalesce(list_sum(list_transform(b.ps, lambda v: CAST(substr(v, 9) AS BIGINT))), 0) AS wb,
+         coalesce(list_sum(list_transform(c.ps, lambda v: CAST(substr(v, 9) AS BIGINT))), 0) AS wc,
+         coalesce(list_sum(list_transform(list_intersect(a.ps, b.ps), lambda v:
+           CAST(substr(v, 9) AS BIGINT))), 0) AS ab,
+         coalesce(list_sum(list_transform(list_intersect(a.ps, c.ps), lambda v:
+           CAST(substr(v, 9) AS BIGINT))), 0) AS ac
+  FROM e JOIN w a ON a.t = e.t JOIN w b ON b.t = e.et JOIN w c ON c.t = e.nt)
+SELECT doc_id, length(t) AS n_chars, sha256(et) AS edited_sha256, fingerprint, edited_fingerprint,
+       CASE WHEN fingerprint = edited_fingerprint THEN 1.0::DOUBLE WHEN wa + wb > 0
+            THEN CAST(2 * ab AS DOUBLE) / CAST(wa + wb AS DOUBLE) ELSE 0.0::DOUBLE END AS near_edited,
+       CASE WHEN fingerprint = next_fingerprint THEN 1.0::DOUBLE WHEN wa + wc > 0
+            THEN CAST(2 * ac AS DOUBLE) / CAST(wa + wc AS DOUBLE) ELSE 0.0::DOUBLE END AS near_next
+FROM x
+"""

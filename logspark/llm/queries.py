@@ -8,8 +8,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import (bpe_segment_tree, jaccard_groups, line_spread, merkle_manifest, pii_feistel,
-               quality_pu, rp_forest, secret_forest, simple8b, suffix_repeats, whitening, wu_manber)
+from . import (bpe_segment_tree, jaccard_groups, line_spread, merkle_manifest, merkle_text,
+               pii_feistel, quality_pu, rp_forest, secret_forest, simple8b, suffix_repeats, whitening, wu_manber)
 from .common import read_table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -95,6 +95,11 @@ def manifest(spark, folder):
                                     changed=F.crc32(F.col("doc_id").cast("string")) % 5 == 0)
 
 
+@query("op11_merkle_text")
+def fingerprints(spark, folder):
+    return merkle_text.compared(read_table(spark, folder, "documents"))
+
+
 @query("op12_feast_whitening")
 def whitening_rows(spark, folder):
     return whitening.whitened(read_table(spark, folder, "embeddings"))
