@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterable, Iterator
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
@@ -11,7 +12,8 @@ from pyspark.sql import functions as F
 
 from ..session import materialize
 
-__all__ = ["documents", "partitions_for", "read_table", "rows_of", "scalar", "written"]
+__all__ = ["documents", "fresh", "partitions_for", "read_table", "rows_of", "scalar", "small_batches",
+           "written"]
 
 written = materialize
 
@@ -38,6 +40,30 @@ def partitions_for(spark: SparkSession, total: int, each: int) -> int:
     return max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-int(total or 0) // each))
 
 
+def fresh(df: DataFrame, *stems: str) -> list[str]:
+    """For each of ``stems`` a column name that ``df`` has not got, in whatever case."""
+    taken = {c.lower() for c in df.columns}
+    out = []
+    for stem in stems:
+        while stem.lower() in taken:
+            stem += "_"
+        taken.add(stem.lower())
+        out.append(stem)
+    return out
+
+
+@contextmanager
+def small_batches(spark: SparkSession, size: int = 8 << 20) -> Iterator[None]:
+    """Batches of about ``size`` bytes go to Python from what is run inside, where rows may be wide."""
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    before = spark.conf.get(key)
+    spark.conf.set(key, str(size))
+    try:
+        yield
+    finally:
+        spark.conf.set(key, before)
+
+
 def rows_of(batches: Iterable[pa.RecordBatch], limit: int = 2 << 20) -> Iterator[list[tuple]]:
     """Rows as tuples in lists of about ``limit`` units of their last column; a longer row is alone."""
     rows, held = [], 0

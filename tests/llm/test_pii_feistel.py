@@ -109,3 +109,19 @@ def test_equal_values_stay_linked(texts):
 def test_no_python_in_the_plan(docs_of):
     plan = P.pseudonymise(docs_of([(1, "x")]), KEY)._jdf.queryExecution().toString()
     assert "Python" not in plan and "Pandas" not in plan
+
+
+def test_long_and_odd_texts_are_harmless(texts):
+    """Thousands of labels, a megabyte without spaces, of digits and of address characters."""
+    odd = ["a@b" + ".c" * 3000, "x" * 1_000_000, "1" * 1_000_000, "a.b+c" * 200_000, "a@" * 300_000,
+           "+1 " * 200_000, "1.2.3." * 100_000, "a@b.cd " * 10_000]
+    got = texts(odd)
+    assert [r["n_email"] for r in got] == [1, 0, 0, 0, 0, 0, 0, 10_000]
+    assert got[0]["text"].endswith("@b" + ".c" * 3000)
+    assert [r["text"] for r in got[1:7]] == odd[1:7]
+
+
+def test_clashing_column(docs_of):
+    docs = docs_of([(1, "a@b.cd")]).withColumnRenamed("key", "_pii_found").withColumnRenamed("n", "_PII_FOUND_")
+    row = P.pseudonymise(docs, KEY).first()
+    assert row["_pii_found"] == "x" == row["_PII_FOUND_"] and row["n_email"] == 1
