@@ -111,3 +111,22 @@ def test_line_by_line_against_brute_force(docs_of, odd_rows):
             expected.append((doc, text, 0 if text is None else len(lines), 0))
     got = digest(L.remove_boilerplate(docs_of(rows), max_share=None))
     assert got == sorted(expected, key=repr) and over_half > 10
+
+
+def test_long_lines_and_many_lines_are_harmless(docs_of):
+    """A megabyte without spaces, and a document of 20,000 lines that stand on ten sites each."""
+    long = "\n".join(f"line number {i} of many" for i in range(20_000))
+    rows = [(i, long + "\nown words here " + str(i), f"s{i}") for i in range(10)]
+    rows += [(20, "a" * 1_000_000, "s1"), (21, " " * 1_000_000 + "a", "s2"), (22, "a " + " " * 500_000, "s3")]
+    got = {r["doc_id"]: r for r in L.remove_boilerplate(docs_of(rows), max_share=None).collect()}
+    assert all(got[i]["text"] == f"own words here {i}" and got[i]["n_removed"] == 20_000 for i in range(10))
+    assert all(got[i]["n_removed"] == 0 for i in (20, 21, 22))
+
+
+def test_clashing_columns(docs_of):
+    names = ("_line_drop", "_line_doc", "_line_kept", "_line_takes")
+    docs = docs_of([(i, f"a line of all\nown {i} words", f"s{i}") for i in range(12)])
+    for old, new in zip(("key", "batch", "n", "x"), names):
+        docs = docs.withColumnRenamed(old, new)
+    got = L.remove_boilerplate(docs).collect()
+    assert len(got) == 12 and all(r[n] == "x" for r in got for n in names)
