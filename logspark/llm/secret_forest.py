@@ -38,14 +38,16 @@ THRESHOLD = 0.5
 FORMATS = (
     r"(?:AKIA|ASIA)[0-9A-Z]{16}", r"gh[pousr]_[A-Za-z0-9]{36}", r"glpat-[A-Za-z0-9_-]{20}",
     r"xox[abprs]-[A-Za-z0-9-]{10,}", r"sk_(?:live|test)_[A-Za-z0-9]{16,}", r"AIza[A-Za-z0-9_-]{35}",
-    r"eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}",
+    # Parts of a signed token are bounded, so that a failed start costs a bounded time.
+    r"eyJ[A-Za-z0-9_-]{8,4096}+\.[A-Za-z0-9_-]{8,4096}+\.[A-Za-z0-9_-]{8,}",
 )
 NAMES = "key|token|secret|passwd|password|pwd|credential|auth"
 VALUE = r"[A-Za-z0-9+/_=.~-]"
 FORMAT = "|".join(FORMATS)
+# A name is looked into once and taken whole, so that a long word costs no more than its length.
 CANDIDATE = re.compile(
     rf"(?P<format>\b(?:{FORMAT}))"
-    rf"|(?P<name>\b\w*(?:{NAMES})\w*)(?P<glue>\s*[:=]\s*[\"']?)(?P<assigned>{VALUE}{{8,}})"
+    rf"|(?P<name>\b(?=\w*(?:{NAMES}))\w++)(?P<glue>[\"']?\s*[:=]\s*[\"']?)(?P<assigned>{VALUE}{{8,}})"
     rf"|(?P<long>(?<!{VALUE}){VALUE}{{20,}})", re.IGNORECASE | re.ASCII)
 IS_FORMAT = re.compile(FORMAT).fullmatch
 HEX = re.compile("[0-9a-f]+|[0-9A-F]+").fullmatch
@@ -63,6 +65,8 @@ FEATURES = ("length", "entropy", "digits", "capitals", "small", "marks", "transi
             "rarest_transition", "class_changes", "covered", "longest_word", "hexadecimal",
             "distinct", "known_format", "assigned", "quoted", "named", "pretended", "named_near",
             "near_covered", "test_path", "code_path", "path_depth", "repeated")
+# What :func:`trusted_labels` decides by; a forest that learns from those labels does not see it.
+LABELLED_BY = ("length", "digits", "known_format", "assigned", "quoted", "named", "pretended")
 
 
 def letter_pairs(counts: dict[str, int]) -> tuple[Counter, set[str]]:
@@ -116,9 +120,17 @@ class Language:
         return inside / max(1, len(value)), longest
 
 
-def features(language: Language, text: str, found: re.Match, path: str) -> tuple[str, list[float]]:
-    """The kind of a candidate and its measures, in the order of :data:`FEATURES`."""
-    kind = found.lastgroup if found.lastgroup != "glue" else "assigned"
+def _kind(found: re.Match) -> str:
+    return found.lastgroup if found.lastgroup != "glue" else "assigned"
+
+
+def features(language: Language, text: str, found: re.Match, path: str,
+             repeated: bool = False) -> tuple[str, list[float]]:
+    """The kind of a candidate and its measures, in the order of :data:`FEATURES`.
+
+    ``repeated``: whether its value is a candidate's more than once in the text.
+    """
+    kind = _kind(found)
     start, end = found.span(kind)
     value = text[start:end]
     n = len(value)
@@ -141,7 +153,7 @@ def features(language: Language, text: str, found: re.Match, path: str) -> tuple
         float(bool(PRETEND(value) or PRETEND(before[-30:]))),
         float(any(NAMED(w) for w in near)), sum(around) / max(1, len(around)),
         float(bool(TESTS(path))), float(bool(CODE(path))), float(path.count("/")),
-        float(text.count(value) > 1),
+        float(repeated),
     ]
 
 
@@ -244,11 +256,13 @@ def candidates(docs: DataFrame, language: Language) -> DataFrame:
         for rows in rows_of(batches):
             out = []
             for doc, path, text in rows:
-                for found in CANDIDATE.finditer(text or ""):
-                    kind, x = features(known, text, found, path or "")
-                    start, end = found.span(kind)
-                    mark = hashlib.sha256(text[start:end].encode()).hexdigest()[:16]
-                    out.append((doc, start, end - start, kind, mark, x))
+                own = list(CANDIDATE.finditer(text or ""))
+                often = Counter(found[_kind(found)] for found in own)
+                for found in own:
+                    value = found[_kind(found)]
+                    kind, x = features(known, text, found, path or "", often[value] > 1)
+                    mark = hashlib.sha256(value.encode()).hexdigest()[:16]
+                    out.append((doc, found.start(kind), len(value), kind, mark, x))
             if out:
                 kinds = (pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.string(),
                          pa.list_(pa.float64()))
@@ -281,11 +295,12 @@ def trusted_labels(findings: DataFrame) -> DataFrame:
         "label IS NOT NULL")
 
 
-def train(findings: DataFrame, labels: DataFrame, max_labelled: int = MAX_LABELLED) -> Forest | None:
+def train(findings: DataFrame, labels: DataFrame, max_labelled: int = MAX_LABELLED,
+          hidden: tuple[str, ...] = ()) -> Forest | None:
     """The forest of labelled findings, as many of either label as the bound allows, by hash.
 
     ``labels``: ``fingerprint`` and ``label`` 0 or 1; a fingerprint labelled both ways is left out.
-    None where one of the labels is missing.
+    ``hidden`` are measures that the forest must not split by. None where one of the labels is missing.
     """
     clear = (labels.where("label IN (0, 1)").groupBy("fingerprint")
              .agg(F.min("label").alias("label"), F.max("label").alias("other"))
@@ -299,7 +314,9 @@ def train(findings: DataFrame, labels: DataFrame, max_labelled: int = MAX_LABELL
     y = np.array([r[1] for r in rows], float)
     if not len(y) or y.min() == y.max():
         return None
-    return Forest(np.array([r[0] for r in rows], float), y)
+    x = np.array([r[0] for r in rows], float)
+    x[:, [FEATURES.index(name) for name in hidden]] = 0.0  # no cut is possible
+    return Forest(x, y)
 
 
 def find_secrets(docs: DataFrame, labels: DataFrame | None = None,
@@ -307,14 +324,15 @@ def find_secrets(docs: DataFrame, labels: DataFrame | None = None,
     """One row a candidate in ``text``: its place and kind, ``score`` and ``is_secret``.
 
     ``source`` is the path of a document. ``labels`` are findings judged before, by ``fingerprint``;
-    without them :func:`trusted_labels` are learnt from. Where there is nothing to learn from, a
-    candidate counts as a secret with score 1. Null and empty texts have no candidates; null ids and
+    without them :func:`trusted_labels` are learnt from, by a forest that sees none of the measures
+    that those go by. Where there is nothing to learn from, a candidate counts as a secret with score 1. Null and empty texts have no candidates; null ids and
     paths, repeated rows and very long texts are rows like others. Extra columns are ignored. Values
     are never returned, only 64 bits of a hash of them.
     """
     own = prepared(docs)
     findings = written(candidates(own, learn_language(own)), "secret-candidates")
-    forest = train(findings, trusted_labels(findings) if labels is None else labels, max_labelled)
+    forest = (train(findings, trusted_labels(findings), max_labelled, LABELLED_BY) if labels is None
+              else train(findings, labels, max_labelled))
     shared = docs.sparkSession.sparkContext.broadcast(forest)  # of TREES trees of bounded depth
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

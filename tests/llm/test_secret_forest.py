@@ -92,3 +92,56 @@ def test_a_hot_source_displaces_no_words(docs_of):
     language = S.learn_language(docs_of(rows))
     assert language.words == {*hot, "winter", "zomer", "herfst"}
     assert language.covered("winterzomer") == (1.0, 6)
+
+
+@pytest.mark.parametrize("text,least", [
+    ("key" * 300_000, 1), ("eyJ-" * 50_000, 1), ("my_key = abcdefgh1\n" * 40_000, 40_000),
+    ("key" + " " * 500_000 + "x", 0), ("a" * 1_000_000, 1), ("key:" * 200_000, 0), ("token " * 150_000, 0)])
+def test_long_and_odd_texts_are_linear(text, least):
+    """Before, 24 KB of ``key`` took 7 seconds, and four times that for each doubling."""
+    import time
+    start = time.perf_counter()
+    own = list(S.CANDIDATE.finditer(text))
+    assert len(own) >= least and time.perf_counter() - start < 5
+
+
+def test_many_candidates_in_a_text(docs_of):
+    rng = random.Random(6)
+    values = ["".join(rng.choices("0123456789abcdef", k=16)) for _ in range(5000)]
+    docs = S.prepared(docs_of([(1, "\n".join(f"token={v}" for v in values + values[:10]))]))
+    found = S.candidates(docs, S.learn_language(docs)).collect()
+    repeated = [r["x"][S.FEATURES.index("repeated")] for r in found]
+    assert len(found) == 5010 and sum(repeated) == 20
+
+
+def test_quoted_names():
+    for text in ('{"password": "hunter2222"}', "'api_key' = 'hunter2222'"):
+        found = S.CANDIDATE.search(text)
+        assert found["assigned"] == "hunter2222"
+
+
+def test_a_forest_of_its_own_labels_does_not_see_their_rule(docs_of, monkeypatch):
+    seen = []
+    init = S.Forest.__init__
+    monkeypatch.setattr(S.Forest, "__init__", lambda self, x, y, **more: (seen.append(x), init(self, x, y, **more))[0])
+    S.find_secrets(docs_of(corpus(200)[0])).collect()
+    hidden = [S.FEATURES.index(name) for name in S.LABELLED_BY]
+    assert not seen[0][:, hidden].any() and seen[0].any()
+
+
+def test_split_against_brute_force():
+    """The root's cut has the least impurity of all cuts of the measures that it may choose from."""
+    rng = np.random.default_rng(4)
+    x, y = rng.normal(size=(60, 2)), rng.integers(0, 2, 60).astype(float)
+    y[x[:, 0] > 0.3] = 1
+    forest = S.Forest(x, y, trees=1)
+    sample = np.random.default_rng(3).integers(0, 60, 60)
+    x, y = x[sample], y[sample]
+
+    def impurity(column, at):
+        sides = [y[x[:, column] <= at], y[x[:, column] > at]]
+        if min(map(len, sides)) < S.LEAF:
+            return np.inf
+        return sum(len(s) * s.mean() * (1 - s.mean()) for s in sides)
+    cuts = [(c, (v + w) / 2) for c in (0, 1) for v, w in zip(np.unique(x[:, c]), np.unique(x[:, c])[1:])]
+    assert np.isclose(impurity(*forest.trees[0][:2]), min(impurity(*cut) for cut in cuts))
