@@ -91,3 +91,33 @@ def test_repeated_items_fill_no_block(spark, docs_of, monkeypatch):
     got = W.contamination(docs_of([(1, "x a b c d"), (2, "none")]), bench, 3, 120).collect()
     assert [sorted(items) for items in seen] == [[("1", "a b c d"), ("2", "e f g h")]]
     assert {r["doc_id"]: r["n_hit"] for r in got} == {1: 4, 2: 0}
+
+
+@pytest.mark.parametrize("block_bytes", [1 << 20, 60])
+def test_keep_clean_in_blocks(spark, docs_of, case, odd_rows, block_bytes):
+    docs, items = case[0] + odd_rows, case[1]
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    own = docs_of(docs).withColumnRenamed("root", "_wm_hits").withColumnRenamed("word", "_digest")
+    kept = W.keep_clean(own, bench, 4, block_bytes)
+    assert kept.columns == own.columns
+    assert {r["_wm_hits"] for r in kept.select("_wm_hits").distinct().collect()} == {"x"}
+    expected = [(d, t) for d, t, *_ in docs if not brute([(d, t)], items, 4)[0][-1]]
+    assert plain(kept.select("doc_id", "text").collect()) == plain(expected)
+
+
+def test_a_large_benchmark_still_skips():
+    """Shifts of over ten bytes on average with two megabytes of items; before, 3.6 with four."""
+    rng = random.Random(1)
+    vocabulary = ["".join(rng.choices("etaoinshrdlu", k=rng.randint(2, 9))) for _ in range(20_000)]
+    items = [(str(i), " ".join(rng.choices(vocabulary, k=100))) for i in range(3300)]
+    patterns = W.Patterns(items)
+    assert sum(len(t) for _, t in items) > 2_000_000
+    text = " ".join(rng.choices(vocabulary, k=20_000)) + " " + items[5][1] + " end"
+    words = W.words_of(text)
+    eights = W.eights(W.np.frombuffer(words + bytes(16), W.np.uint8))
+    for tables in patterns.classes:
+        at = W.np.arange(len(words) - tables.m)
+        shift = tables.shift[tables.slot(tables.hash(eights, at + tables.m - tables.block))]
+        assert shift.astype(float).mean() > 10
+    hits, found = patterns.search([words])
+    assert W.covered(hits[0]) == 100 and found[0] == {"5"}
