@@ -23,7 +23,8 @@ from .common import partitions_for, written
 
 # Up to four words with the spaces before them; the spaces that end a line stand alone.
 PIECE = "(?: *[^ ]{1,16}){1,4}| +"
-RANGE_BYTES = 64 << 20   # of text in a range of neighbours, on average
+RANGE_BYTES = 8 << 20    # of text in a range of neighbours, on average
+TASK_BYTES = 64 << 20    # of text in a task, on average: several ranges, so that tasks are even
 MOST_RANGES = 1 << 16
 
 
@@ -90,21 +91,31 @@ def root(of: Column) -> Column:
 
 
 def _pieces(of: Column) -> Column:
-    """The distinct pieces of a fingerprint."""
-    return F.array_distinct(F.filter(F.split(of, " ", -1),
-                                     lambda token: F.ascii(token) >= F.lit(48)))
+    """The pieces of a fingerprint; each repetition of one is marked by its number."""
+    def numbered(sorted_: Column) -> Column:
+        starts = F.filter(F.sequence(F.lit(0), F.size(sorted_) - 1), lambda i: (i == 0) | (
+            F.get(sorted_, i) != F.get(sorted_, i - 1)))
+        ends = F.concat(F.slice(starts, 2, F.size(starts)), F.array(F.size(sorted_)))
+        return F.flatten(F.zip_with(starts, ends, lambda start, end: F.transform(
+            F.sequence(F.lit(1), end - start), lambda k: F.when(k == 1, F.get(sorted_, start)).otherwise(
+                F.concat(F.get(sorted_, start), F.lit("#"), k.cast("string"))))))
+
+    pieces = F.filter(F.split(of, " ", -1), lambda token: F.ascii(token) >= F.lit(48))
+    return F.transform(F.array(pieces), lambda p: F.when(
+        F.size(F.array_distinct(p)) == F.size(p), p).otherwise(
+        F.transform(F.array(F.array_sort(p)), numbered)[0]))[0]
 
 
 def _weight(pieces: Column) -> Column:
-    return F.aggregate(pieces, F.lit(0).cast("long"),
-                       lambda n, piece: n + F.substring(piece, 9, 10).cast("long"))
+    return F.aggregate(pieces, F.lit(0).cast("long"), lambda n, piece: n + F.substring_index(
+        F.substring(piece, 9, 20), "#", 1).cast("long"))
 
 
 def likeness(a: Column, b: Column) -> Column:
     """How much of two fingerprints' texts is alike, from 0 to 1.
 
-    1 for equal roots; else twice the characters of the distinct pieces that both have, over those of
-    the distinct pieces of each. 0 where neither has a piece in common.
+    1 for equal roots; else twice the characters of the pieces that both have, each as often as in
+    both, over the characters of either's pieces. 0 where they have no piece in common.
     """
     def shared(sides: Column) -> Column:
         whole = _weight(sides["a"]) + _weight(sides["b"])
@@ -197,7 +208,8 @@ def with_next(docs: DataFrame) -> DataFrame:
         F.lit(None).cast("long").alias("doc_id"), "text", "order", "tie",
         F.col("before").alias("range"), F.lit(True).alias("guard")))
     here = W.partitionBy("range").orderBy("guard", "order", "tie")
-    dealt = rows.repartition(ranges, "range").sortWithinPartitions("range", "guard", "order", "tie")
+    tasks = partitions_for(spark, size, TASK_BYTES)
+    dealt = rows.repartition(tasks, "range").sortWithinPartitions("range", "guard", "order", "tie")
     made = dealt.withColumn("fingerprint", fingerprint(F.col("text")))
     return (made.withColumns({"next_text": F.lead("text").over(here),
                               "next_fingerprint": F.lead("fingerprint").over(here)})

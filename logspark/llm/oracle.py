@@ -118,18 +118,25 @@ f AS (
                      || CASE WHEN len(l.ps) > 0 THEN ' ' || array_to_string(l.ps, ' ') ELSE '' END), '')),
               '') AS fp
   FROM s),
-w AS (
-  SELECT t, fp, list_distinct(list_filter(string_split(fp, ' '), lambda x: ascii(x) >= 48)) AS ps FROM f),
+k AS (
+  SELECT fp, token, count(*) AS n, count(*) * CAST(substr(token, 9) AS BIGINT) AS chars
+  FROM (SELECT fp, unnest(string_split(fp, ' ')) AS token FROM (SELECT DISTINCT fp FROM f))
+  WHERE ascii(token) >= 48 GROUP BY fp, token),
+w AS (SELECT fp, CAST(sum(chars) AS BIGINT) AS chars FROM k GROUP BY fp),
+y AS (
+  SELECT e.*, a.fp AS fingerprint, b.fp AS edited_fingerprint, c.fp AS next_fingerprint
+  FROM e JOIN f a ON a.t = e.t JOIN f b ON b.t = e.et JOIN f c ON c.t = e.nt),
+z AS (SELECT fingerprint AS f1, edited_fingerprint AS f2 FROM y UNION SELECT fingerprint, next_fingerprint FROM y),
+c AS (
+  SELECT f1, f2, CAST(sum(least(k1.n, k2.n) * CAST(substr(k1.token, 9) AS BIGINT)) AS BIGINT) AS both
+  FROM z JOIN k k1 ON k1.fp = f1 JOIN k k2 ON k2.fp = f2 AND k2.token = k1.token GROUP BY f1, f2),
 x AS (
-  SELECT e.*, a.fp AS fingerprint, b.fp AS edited_fingerprint, c.fp AS next_fingerprint,
-         coalesce(list_sum(list_transform(a.ps, lambda v: CAST(substr(v, 9) AS BIGINT))), 0) AS wa,
-         coalesce(list_sum(list_transform(b.ps, lambda v: CAST(substr(v, 9) AS BIGINT))), 0) AS wb,
-         coalesce(list_sum(list_transform(c.ps, lambda v: CAST(substr(v, 9) AS BIGINT))), 0) AS wc,
-         coalesce(list_sum(list_transform(list_intersect(a.ps, b.ps), lambda v:
-           CAST(substr(v, 9) AS BIGINT))), 0) AS ab,
-         coalesce(list_sum(list_transform(list_intersect(a.ps, c.ps), lambda v:
-           CAST(substr(v, 9) AS BIGINT))), 0) AS ac
-  FROM e JOIN w a ON a.t = e.t JOIN w b ON b.t = e.et JOIN w c ON c.t = e.nt)
+  SELECT y.*, coalesce(w1.chars, 0) AS wa, coalesce(w2.chars, 0) AS wb, coalesce(w3.chars, 0) AS wc,
+         coalesce(c1.both, 0) AS ab, coalesce(c2.both, 0) AS ac
+  FROM y LEFT JOIN w w1 ON w1.fp = fingerprint LEFT JOIN w w2 ON w2.fp = edited_fingerprint
+  LEFT JOIN w w3 ON w3.fp = next_fingerprint
+  LEFT JOIN c c1 ON c1.f1 = fingerprint AND c1.f2 = edited_fingerprint
+  LEFT JOIN c c2 ON c2.f1 = fingerprint AND c2.f2 = next_fingerprint)
 SELECT doc_id, length(t) AS n_chars, sha256(et) AS edited_sha256, fingerprint, edited_fingerprint,
        CASE WHEN fingerprint = edited_fingerprint THEN 1.0::DOUBLE WHEN wa + wb > 0
             THEN CAST(2 * ab AS DOUBLE) / CAST(wa + wb AS DOUBLE) ELSE 0.0::DOUBLE END AS near_edited,

@@ -2,6 +2,7 @@
 
 import random
 import re
+from collections import Counter
 from hashlib import sha256
 
 import pytest
@@ -31,8 +32,8 @@ def brute_print(text):
 def brute_likeness(a, b):
     if a[:65] == b[:65]:
         return 1.0
-    x, y = ({t for t in s.split(" ") if t[0] not in "#/-"} for s in (a, b))
-    weight = lambda pieces: sum(int(p[8:]) for p in pieces)
+    x, y = (Counter(t for t in s.split(" ") if t[0] not in "#/-") for s in (a, b))
+    weight = lambda pieces: sum(int(p[8:]) * n for p, n in pieces.items())
     whole = weight(x) + weight(y)
     return 2 * weight(x & y) / whole if whole else 0.0
 
@@ -81,6 +82,13 @@ def test_equal_texts_and_edits(docs_of):
     assert 0.6 < got[3].near_edited < 1
 
 
+def test_repeated_pieces_count_as_often(docs_of):
+    df = docs_of([(1, "the same four words\n" * 50), (2, "other text of its own " * 60)])
+    got = {r.doc_id: r for r in M.compared(df).collect()}
+    assert 0.7 < got[1].near_edited < 0.8 and 0.7 < got[2].near_edited < 0.8 and got[1].near_next == 0
+    assert plain(got.values()) == plain(brute(rows_of(df)))
+
+
 def test_edits_are_located(spark):
     a = "one\ntwo\n\nthree\nfour\n\nfive"
     df = spark.createDataFrame([(1, a, a.replace("four", "4")), (2, a, a), (3, None, a)],
