@@ -3,13 +3,15 @@
 from __future__ import annotations
 
 from collections import defaultdict
-from collections.abc import Mapping
+from collections.abc import Iterator, Mapping
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame
+import pandas as pd
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ..functions.patterns import PatternError, to_java
+from ..functions.patterns import PatternError, fold, required_literals, to_java
 from ..functions.render import TOKENS_PER_FILTERED_LINE, savings
 from ..model import SOURCE
 
@@ -68,8 +70,11 @@ def exclude_lines(logs: DataFrame, filters: Mapping[str, LineFilter]) -> DataFra
     return logs.filter(~excluded(filters))
 
 
-# Distinct patterns that a rule table may hold.
+# Distinct patterns that a rule table may hold, and patterns in all of its distinct sets together.
 MOST_PATTERNS = 20_000
+MOST_ENTRIES = 2_000_000
+# Patterns without a required literal that are tried as one.
+TOGETHER = 64
 
 
 def exclude_by_table(logs: DataFrame, rules: DataFrame) -> DataFrame:
@@ -77,22 +82,100 @@ def exclude_by_table(logs: DataFrame, rules: DataFrame) -> DataFrame:
 
     For pattern sets too many for a CASE of names. The distinct patterns are read, up to
     :data:`MOST_PATTERNS`, translated and checked like configured ones; a bad one raises
-    :class:`PatternError`. Catalyst sees the table's size and chooses the join, and each pattern is a
-    literal, compiled once per task. Several rules of one name count together.
+    :class:`PatternError`. Several rules of one name count together; names with equal patterns share
+    a set, and all sets together hold up to :data:`MOST_ENTRIES` patterns. The join of lines with the
+    number of their container's set is left to Catalyst.
+
+    A line is not tried against every pattern: one automaton over the literals that the patterns
+    require finds those that could match it (:func:`candidates`), and only these are matched.
     """
     in_force = rules.filter(F.col("enabled") & (F.size("patterns") > 0))
-    known = sorted(r[0] for r in in_force.select(F.explode("patterns").alias("p")).where(
-        "p IS NOT NULL").distinct().limit(MOST_PATTERNS + 1).collect())
-    if len(known) > MOST_PATTERNS:
+    one_each = in_force.groupBy("name").agg(F.array_sort(F.array_distinct(
+        F.array_compact(F.flatten(F.collect_list("patterns"))))).alias("patterns"))
+    sets = (one_each.where(F.size("patterns") > 0).groupBy("patterns")
+            .agg(F.collect_list("name").alias("names"))
+            .withColumn("number", F.row_number().over(W.orderBy("patterns")) - 1))
+    total = sets.agg(F.sum(F.size("patterns"))).first()[0] or 0
+    if total > MOST_ENTRIES:
+        raise ValueError(f"the sets of a rule table may hold {MOST_ENTRIES} patterns together")
+    known = [tuple(r.patterns) for r in sets.orderBy("number").select("patterns").collect()]
+    if len(set().union(*known)) > MOST_PATTERNS:
         raise ValueError(f"a rule table may hold {MOST_PATTERNS} distinct patterns")
-    java = {pattern: to_java(pattern) for pattern in known}
-    one_each = in_force.groupBy("name").agg(
-        F.array_distinct(F.flatten(F.collect_list("patterns"))).alias("_patterns"))
-    hit = F.lit(False)
-    for pattern, translated in java.items():
-        hit = hit | (F.array_contains("_patterns", pattern) & F.col("message").rlike(translated))
-    return (logs.join(one_each, "name", "left")
-            .filter(~F.coalesce(hit, F.lit(False))).drop("_patterns").select(*logs.columns))
+    if not known:
+        return logs
+    of_set, tried = _fresh(logs, "_set"), _fresh(logs, "_tried")
+    named = sets.select(F.explode("names").alias("name"), F.col("number").alias(of_set))
+    placed = logs.join(named, "name", "left")
+    lines = placed.withColumn(tried, F.when(
+        F.col(of_set).isNotNull() & F.col("message").isNotNull(),
+        candidates(known)(F.col(of_set), F.col("message"))))
+    hit = F.exists(tried, lambda pattern: F.rlike("message", pattern))
+    return lines.filter(~F.coalesce(hit, F.lit(False))).select(*logs.columns)
+
+
+def _fresh(df: DataFrame, name: str) -> str:
+    while name in df.columns:
+        name += "_"
+    return name
+
+
+def candidates(sets: list[tuple[str, ...]]):
+    """A function of a set's number and a message: the Java patterns of the set that could match it.
+
+    ``sets`` are RE2 patterns. Those with required literals are candidates where one of these is in
+    the message, found for all patterns in one pass over it. Those without are always tried, joined to
+    alternatives of :data:`TOGETHER` patterns.
+    """
+    numbers = {p: i for i, p in enumerate(sorted(set().union(*sets)))}
+    java = [to_java(p) for p in numbers]
+    literals = defaultdict(list)
+    without = set()
+    for pattern, i in numbers.items():
+        required = required_literals(pattern)
+        for literal in required or ():
+            literals[literal].append(i)
+        if required is None:
+            without.add(i)
+    members = [frozenset(numbers[p] for p in own) - without for own in sets]
+    always = []
+    for own in sets:
+        rest = [java[i] for i in sorted(without & {numbers[p] for p in own})]
+        always.append(["|".join(f"(?:{p})" for p in rest[i:i + TOGETHER])
+                       for i in range(0, len(rest), TOGETHER)])
+    spark = SparkSession.getActiveSession()
+    shared = spark.sparkContext.broadcast((java, dict(literals), members, always))
+
+    @F.pandas_udf("array<string>")
+    def of(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
+        java, literals, members, always = shared.value
+        automaton = _automaton(literals)
+        for numbers, messages in batches:
+            yield pd.Series([_could_match(automaton, java, members, always, number, message)
+                             for number, message in zip(numbers, messages)], dtype=object)
+
+    return of
+
+
+def _automaton(literals: dict[str, list[int]]):
+    import ahocorasick
+
+    automaton = ahocorasick.Automaton()
+    for literal, patterns in literals.items():
+        automaton.add_word(literal, patterns)
+    if literals:
+        automaton.make_automaton()
+    return automaton
+
+
+def _could_match(automaton, java: list[str], members: list[frozenset], always: list[list[str]],
+                 number, message: str | None) -> list[str]:
+    if message is None or number is None or number != number:
+        return []
+    own, found = members[int(number)], set()
+    if own and len(automaton):
+        for _, patterns in automaton.iter(fold(message)):
+            found.update(patterns)
+    return [*(java[i] for i in sorted(found & own)), *always[int(number)]]
 
 
 def filter_stats(flagged: DataFrame) -> DataFrame:

@@ -216,6 +216,15 @@ def rules(spark: SparkSession, folder: str) -> DataFrame:
                         F.explode(F.transform(patterns, lambda p: F.array(p))).alias("patterns"))
 
 
+def word_rules(spark: SparkSession, folder: str) -> DataFrame:
+    """A large filter table: two words of every document, as patterns of the document's source."""
+    words = F.regexp_extract_all("text", F.lit("[A-Za-z]{5,}"), F.lit(0))
+    pair = F.filter(F.array(F.get(words, F.lit(0)), F.get(words, F.size(words) - 1)), F.isnotnull)
+    return read(spark, folder, "documents").where(F.col("text").isNotNull()).select(
+        F.col("source").alias("name"), (F.col("source") != "src4").alias("enabled"),
+        F.transform(pair, lambda w: F.concat(F.lit(r"(?i)\b"), w, F.lit(r"\b"))).alias("patterns"))
+
+
 def analyses(spark: SparkSession, folder: str) -> DataFrame:
     """An analysis text per user, shaped by the kind of the user's last event."""
     e = read(spark, folder, "events")

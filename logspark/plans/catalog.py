@@ -147,6 +147,14 @@ def exclude_by_table(spark, folder):
     return rows.select(SOURCE, "name", "seq", "message", "run_len")
 
 
+@query("q05d_exclude_by_large_table")
+def exclude_by_large_table(spark, folder):
+    """Two patterns for every document, found by the words that they require."""
+    rows = exclude.exclude_by_table(dedup.collapse_repeats(A.doc_logs(spark, folder)),
+                                    A.word_rules(spark, folder))
+    return rows.select(SOURCE, "segment", "seq", "message", "run_len")
+
+
 @query("q06_filter_stats")
 def filter_stats(spark, folder):
     rows = exclude.flag_excluded(dedup.collapse_repeats(A.doc_logs(spark, folder)), A.DOC_FILTERS)

@@ -366,6 +366,18 @@ ORACLE["q05c_exclude_by_table"] = _with(EVENT_LOGS, DEDUP, """rules AS (
 SELECT d.container_id, d.name, d.seq, d.message, d.run_len FROM dedup d JOIN rules r ON r.name = d.name
 WHERE NOT (enabled AND (message = last
            OR regexp_matches(message, '^\\[REPEAT x[[:digit:]]+\\] ' || first)))"""
+ORACLE["q05d_exclude_by_large_table"] = _with(DOC_LOGS, DEDUP, r"""picked AS (
+  SELECT source AS name, regexp_extract_all(text, '[A-Za-z]{5,}') AS ws
+  FROM documents WHERE source <> 'src4'),
+words AS (
+  SELECT DISTINCT name, lower(word) AS word
+  FROM (SELECT name, unnest([ws[1], ws[-1]]) AS word FROM picked WHERE len(ws) > 0)),
+hits AS (
+  SELECT DISTINCT container_id, segment, seq
+  FROM (SELECT container_id, segment, seq, unnest(regexp_extract_all(lower(message), '[0-9a-z_]+')) AS word
+        FROM dedup) AS tokens JOIN words ON name = container_id AND words.word = tokens.word)""") + """
+SELECT container_id, segment, seq, message, run_len FROM dedup
+ANTI JOIN hits USING (container_id, segment, seq)"""
 ORACLE["q06_filter_stats"] = _with(DOC_LOGS, DEDUP, flagged(A.DOC_FILTERS)) + """,
 counted AS (
   SELECT container_id, name, count(*) AS lines_total, count(*) FILTER (excluded) AS lines_filtered,

@@ -1,7 +1,11 @@
+import re
+
 import pytest
+from hypothesis import given, settings
+from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from logspark.functions.patterns import PatternError
+from logspark.functions.patterns import PatternError, fold, required_literals
 from logspark.operators import exclude as X
 from logspark.operators.dedup import collapse_repeats
 from logspark.operators.exclude import LineFilter
@@ -91,3 +95,56 @@ def test_no_shuffle(logs_of):
     df = X.exclude_lines(logs_of(rows(LINES)), {"web": LineFilter(("a",)), "b": LineFilter(("b",))})
     assert "Exchange" not in df._jdf.queryExecution().executedPlan().toString()
     assert df.filter(F.col("message").contains("INFO")).count() == 1
+
+
+@pytest.mark.parametrize("pattern,expected", [
+    ("^DEBUG:", ("debug:",)), ("foo|barn", ("foo", "barn")), ("a(bc|de)f", ("bc", "de")),
+    ("(?i)Hello W", ("hello w",)), ("x?abc+d", ("abc",)), ("ab*", None), ("[0-9]+", None), ("", None),
+    (r"\Qa.b\Ec", ("a.bc",)), (r"\x41\x{42}c", ("abc",)), ("abc{0,2}de", ("ab",)), ("(abc)?", None),
+    ("(abc)+x", ("abc",)), ("(?P<k>abc|x)", None), (r"err\.or$", ("err.or",)), ("(?:abc){2}", ("abc",)),
+    ("ab|cd|", None), (r"[ab]cde\d", ("cde",)), ("(?i:AbC)", ("abc",)), ("é日x", ("é日x",))])
+def test_required_literals(pattern, expected):
+    got = required_literals(pattern)
+    assert got == expected or (got is None and expected is None)
+
+
+ALPHABET = ["a", "B", "k", "K", "s", "ſ", "İ", "ı", "é", "É", "ß", ".", "1", " ", "σ", "ς"]
+
+
+@given(st.lists(st.sampled_from([*ALPHABET, "(?i:ks)", "(a|Bk)", "[ab]", "x?", "k+", r"\b", "(?i)", "|", "a*", ".", "^"]),
+                max_size=6), st.lists(st.sampled_from(ALPHABET), max_size=8))
+@settings(max_examples=300, deadline=None)
+def test_no_match_without_a_required_literal(parts, chars):
+    """Whatever Python's engine matches without regard to case contains one of the literals."""
+    pattern, text = "".join(parts), "".join(chars)
+    try:
+        X.to_java(pattern)
+        found = re.compile(pattern.replace("(?i)", ""), re.IGNORECASE).search(text)
+    except (PatternError, re.error):
+        return
+    literals = required_literals(pattern)
+    if found and literals is not None:
+        assert any(literal in fold(text) for literal in literals)
+
+
+def test_twenty_thousand_patterns(spark, logs_of):
+    """Literal and other patterns, over many rules of two containers; before, 500 overflowed the stack."""
+    patterns = [f"^worker {i} (?:failed|died)$" for i in range(15_000)] + [
+        f"code={i}[^0-9]" for i in range(4_900)] + [f"[xyz]{{3}}{i}$" for i in range(100)]
+    rules = spark.createDataFrame(
+        [("web", True, patterns[i:i + 1000]) for i in range(0, 20_000, 1000)] + [("db", True, patterns[:5])],
+        "name string, enabled boolean, patterns array<string>")
+    lines = ["worker 14999 died", "worker 15000 died", "worker 3 failed", "code=17;", "code=4900;", "xyz42", "xyz420"]
+    logs = logs_of(rows(lines) + rows(lines, "db") + rows(["worker 3 failed"], "other"))
+    got = X.exclude_by_table(logs, rules)
+    assert sorted((r["name"], r["message"]) for r in got.collect()) == sorted(
+        [("web", m) for m in ("worker 15000 died", "code=4900;", "xyz420")]
+        + [("db", m) for m in lines if m != "worker 3 failed"] + [("other", "worker 3 failed")])
+
+
+def test_clashing_columns_and_nulls(spark, logs_of):
+    rules = spark.createDataFrame([("web", True, ["ab", None]), ("web", True, None), (None, True, ["ab"])],
+                                  "name string, enabled boolean, patterns array<string>")
+    logs = logs_of(rows(["xabx", "x", None])).withColumns({"_set": F.lit(1), "_tried": F.lit(2)})
+    got = X.exclude_by_table(logs, rules)
+    assert got.columns == logs.columns and sorted(kept(got), key=str) == [None, "x"]
