@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import documents, mix, rows_of, written
+from .common import documents, fresh, mix, rows_of, small_batches, written
 from .graph import components
 from .shingles import set_key, shingle_sets
 
@@ -71,6 +71,8 @@ def _scan(size: int):
                 pa.nulls(n, pa.int64()), pa.nulls(n, pa.int64())], names=SCAN)
             new = [s for s, k in zip(sets, own) if k is not None and k not in keys]
             keys.update(k for k in own if k is not None)
+            if len(keys) > 1 << 18:
+                keys.clear()
             if new:
                 values, counts = np.unique(np.concatenate(new), return_counts=True)
                 several = counts > 1
@@ -139,7 +141,7 @@ PREFIX_SQL = "key binary, grp binary, n long, own long, prefix array<long>, sket
 
 
 def _may_link(percent: int):
-    """Pairs whose sketches leave room for a link, with the distance of the sketches."""
+    """Pairs whose sketches leave room for a link."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -152,9 +154,7 @@ def _may_link(percent: int):
             # |x & y| <= (na + nb - far) / 2, and |x | y| is na + nb less that
             overlap = (na + nb - far) // 2
             passes = 100 * overlap >= percent * (na + nb - overlap)
-            out = pa.RecordBatch.from_arrays(
-                [batch.column("a"), batch.column("b"), pa.array(far)], names=["a", "b", "far"])
-            yield out.filter(pa.array(passes))
+            yield batch.select(["a", "b"]).filter(pa.array(passes, pa.bool_()))
 
     return work
 
@@ -193,7 +193,7 @@ class Join:
                 & (100 * F.col(b) >= self.percent * F.col(a)))
 
     def filtered(self, pairs: DataFrame) -> DataFrame:
-        """Distinct pairs ``a``, ``b`` of classes that sizes and sketches leave possible."""
+        """Distinct pairs ``a``, ``b`` of classes that sizes and sketches leave possible, written."""
         own = self.sets.select("key", "n", "sketch")
         one = pairs.select("a", "b").distinct().join(
             own.select(F.col("key").alias("a"), F.col("n").alias("na"), F.col("sketch").alias("sa")),
@@ -201,7 +201,8 @@ class Join:
         two = one.join(
             own.select(F.col("key").alias("b"), F.col("n").alias("nb"), F.col("sketch").alias("sb")),
             "b").where(self.sizes("na", "nb"))
-        return two.mapInArrow(_may_link(self.percent), "a binary, b binary, far long")
+        with small_batches(self.docs.sparkSession):  # two sketches a row, of up to 16 KB
+            return written(two.mapInArrow(_may_link(self.percent), "a binary, b binary"), "pairs")
 
     def verified(self, pairs: DataFrame) -> DataFrame:
         """The pairs that link. ``pairs`` is a written table."""
@@ -227,7 +228,8 @@ class Join:
         one = pairs.select("a", "b").join(
             sets.select(F.col("key").alias("a"), F.col("members").alias("va")), "a")
         two = one.join(sets.select(F.col("key").alias("b"), F.col("members").alias("vb")), "b")
-        return written(two.mapInArrow(_links(self.percent), "a binary, b binary"), "links")
+        with small_batches(self.docs.sparkSession):  # two sets a row, of any size
+            return written(two.mapInArrow(_links(self.percent), "a binary, b binary"), "links")
 
     def run(self) -> DataFrame:
         """``node`` and ``root`` of classes that are linked with others."""
@@ -254,7 +256,7 @@ class Join:
                 .groupBy("code").agg(F.min("top").alias("top")))
         pairs = self.between_hubs(best).unionByName(
             inside.where("key <> hub").select(F.col("key").alias("a"), F.col("hub").alias("b")))
-        links = self.verified(written(self.filtered(pairs).select("a", "b"), "pairs"))
+        links = self.verified(self.filtered(pairs))
         roots = components(links)
 
         # once more with a hub by chance, where groups that share a member are still apart
@@ -265,12 +267,12 @@ class Join:
                 .where((F.col("code") != F.col("top_code")) & self.sizes("n", "top_n")
                        & (F.least("low", "top_low") != F.greatest("high", "top_high")))
                 .groupBy("code").agg(F.min("top_code").alias("top")))
-        pairs = written(self.filtered(self.between_hubs(best)).select("a", "b"), "pairs")
+        pairs = self.filtered(self.between_hubs(best))
         if not pairs.isEmpty():
             links = written(links.unionByName(self.verified(pairs)), "links")
             roots = components(links)
 
-        pairs = written(self.apart(shared.select("member", "code", "n"), roots), "pairs")
+        pairs = self.apart(shared.select("member", "code", "n"), roots)
         if pairs.isEmpty():
             return roots
         return components(links.unionByName(self.verified(pairs)))
@@ -324,7 +326,7 @@ class Join:
                                              F.col("mark").alias(f"mark_{side}")), f"code_{side}")
         pairs = pairs.where("mark_a <> mark_b").select(
             F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-        return self.filtered(pairs).select("a", "b")
+        return self.filtered(pairs)
 
 
 def linked_documents(docs: DataFrame, size: int = WORDS, percent: int = PERCENT) -> DataFrame:
@@ -352,6 +354,7 @@ def keep_one(docs: DataFrame, size: int = WORDS, percent: int = PERCENT) -> Data
     Rows that share the smallest id all stay.
     """
     found = linked_documents(docs, size, percent)
+    (other,) = fresh(docs, "_gone")
     gone = (found.where(F.col("doc_id").isNotNull() & (F.col("component_id") != F.col("doc_id")))
-            .select(F.col("doc_id").alias("_gone")).distinct())
-    return docs.join(gone, F.col("doc_id").cast("long") == F.col("_gone"), "left_anti")
+            .select(F.col("doc_id").alias(other)).distinct())
+    return docs.join(gone, F.col("doc_id").cast("long") == F.col(other), "left_anti")

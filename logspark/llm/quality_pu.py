@@ -228,10 +228,11 @@ def scores(docs: DataFrame, labels: DataFrame, **bounds: int) -> DataFrame:
     model = learn(docs, labels, **bounds)
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            score = _score(model, batch.column(1).to_pylist())
+        for rows in rows_of(batches):
+            score = _score(model, [text for _, text in rows])
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(score, pa.float64())], names=["doc_id", "score"])
+                [pa.array([doc for doc, _ in rows], pa.int64()), pa.array(score, pa.float64())],
+                names=["doc_id", "score"])
 
     scored = documents(docs).mapInArrow(work, "doc_id long, score double")
     return scored.select("doc_id", held_out().alias("held_out"), "score",
@@ -244,7 +245,10 @@ def keep_good(docs: DataFrame, labels: DataFrame, **bounds: int) -> DataFrame:
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            score = _score(model, batch.column("text").to_pylist())
-            yield batch.filter(pa.array(score >= THRESHOLD))
+            at = 0
+            for rows in rows_of([batch.select(["text"])]):  # few texts at a time as Python objects
+                score = _score(model, [text for text, in rows])
+                yield batch.slice(at, len(rows)).filter(pa.array(score >= THRESHOLD))
+                at += len(rows)
 
     return docs.mapInArrow(work, docs.schema)
