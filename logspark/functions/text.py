@@ -19,10 +19,16 @@ URL_INVALID = "✅ Configured (invalid format)"
 ORPHAN_PREFIX = "orphaned-"
 
 
+EMAIL = r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+"
+# The same in Java's dialect, from the start of a name or behind the address before: tried once for a
+# run of characters, and with possessive groups, which are loops where others call themselves.
+EMAIL_JAVA = (r"(?:\G|(?<![A-Za-z0-9._%+-]))[A-Za-z0-9._%+-]++@[A-Za-z0-9-]++"
+              r"(?:\.[A-Za-z0-9-]++)++")
+
 # Patterns of personal data and what takes their place, in this order.
 PERSONAL = (
     (r"((?i:password|passwd|secret|token|api[_-]?key)\s*[=:]\s*)(?:\"[^\"\n]*\"|[^\s\"']+)", "$1[SECRET]"),
-    (r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+", "[EMAIL]"),
+    (EMAIL, "[EMAIL]"),
     (r"[0-9]{1,3}(?:\.[0-9]{1,3}){3}", "[IP]"),
     (r"\+[0-9]{1,3} ?\([0-9]{3}\) ?[0-9]{3}-[0-9]{4}", "[PHONE]"),
     (r"[0-9](?:[ -]?[0-9]){12,18}", "[NUMBER]"),
@@ -32,7 +38,7 @@ PERSONAL = (
 def mask_personal(text: Column) -> Column:
     """Addresses, numbers and secrets replaced by what they are, before a text leaves for a model."""
     for pattern, mask in PERSONAL:
-        text = F.regexp_replace(text, pattern, mask)
+        text = F.regexp_replace(text, EMAIL_JAVA if pattern == EMAIL else pattern, mask)
     return text
 
 

@@ -61,13 +61,20 @@ def new_lines(logs: DataFrame, state: DataFrame, now: datetime, back: timedelta
     skewed side AQE splits. Where no row at or after that oldest time stands before it, a row without
     a time is new only if its container has no cursor yet, or one of the zero time: behind a cursor
     it belongs to what was read before.
+
+    Where every row has a time, which is looked up first, rows stay where they were read; only logs
+    with other rows are shuffled to place those.
     """
     first = _ntz(now - FIRST_SCAN)
     if back:
         floor = _ntz(now - back)
     else:
         floor = state.agg(F.least(F.coalesce(F.min("last_scan"), first), first)).scalar()
-    rows = with_place(logs.filter(F.col("ts").isNull() | (F.col("ts") >= floor)))
+    untimed = F.col("ts").isNull()
+    if logs.filter(untimed).isEmpty():
+        rows = logs.filter(F.col("ts") >= floor).withColumn("_at", F.col("ts"))
+    else:
+        rows = with_place(logs.filter(untimed | (F.col("ts") >= floor)))
     if until:
         rows = rows.filter(F.col("_at").isNull() | (F.col("_at") <= _ntz(until)))
     if back:
@@ -116,8 +123,9 @@ def last_times_written(lines: DataFrame, empty_resets: bool = True) -> DataFrame
     From the written lines alone, so cursors move exactly as far as what was analysed reaches, even if
     more rows have arrived since.
     """
-    segments = lines.groupBy(SOURCE, "segment").agg(F.first(LAST).alias("l"))
-    return _moved(_last_segments(segments.select(SOURCE, "segment", "l.*")), empty_resets)
+    told = lines.filter(F.col(LAST).isNotNull())
+    last = told.groupBy(SOURCE).agg(F.max_by(LAST, F.struct("segment", "seq")).alias("l"))
+    return _moved(last.select(SOURCE, "l.*"), empty_resets)
 
 
 def advance(state: DataFrame, moved: DataFrame, failed: DataFrame | None = None) -> DataFrame:

@@ -180,6 +180,13 @@ def next_level(requests: DataFrame, responses: DataFrame) -> DataFrame:
         SOURCE, "name", "chunk_index", "chunk_total", F.col("content").alias("summary"))
 
 
+def is_reduced(requests: DataFrame, level: int) -> bool:
+    """Whether no request of a round leads to another one, whatever the replies to it are."""
+    leads = (F.col("kind") == CHUNK) if level == 0 else (
+        F.col("kind").startswith(SYNTHESIS) & (F.col("chunk_total") > 1))
+    return requests.filter(leads).isEmpty()
+
+
 def results(budgets: DataFrame, requests: DataFrame, responses: DataFrame,
             counter: TokenCounter) -> DataFrame:
     """One row per analysed container; a container with any failed request is left out.

@@ -210,3 +210,10 @@ def test_one_decimal_rounds_exactly(eval_expr):
     values += [rng.uniform(0, 100) for _ in range(3000)]
     got = eval_expr(lambda c: render.one_decimal(F.col(c)), values, "double")
     assert got == [f"{v:.1f}" for v in values]
+
+
+def test_masking_is_linear_and_deep(eval_expr):
+    """Thousands of labels overflowed the stack; a long run of letters was tried from each of them."""
+    odd = ["a@b" + ".c" * 3000, "x" * 1_000_000, "a@b.c_d@e.f x@y", "@@a.b@c.d.", "a.b+c" * 100_000]
+    got = eval_expr(lambda c: text.mask_personal(F.col(c)), odd)
+    assert got == ["[EMAIL]", odd[1], "[EMAIL][EMAIL] x@y", "@@[EMAIL].", odd[4]]
