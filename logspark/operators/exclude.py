@@ -34,6 +34,32 @@ def check_filters(filters: Mapping[str, LineFilter]) -> None:
                 raise PatternError(f"patterns[{i}] of container {name!r}: {error}") from error
 
 
+def rule_problems(rules: DataFrame) -> DataFrame:
+    """The patterns of a rule table that are refused: ``name``, ``pattern_no``, ``pattern``, ``problem``.
+
+    Every pattern of an enabled rule is checked, each distinct one once, where the table is read;
+    ``pattern_no`` counts from 0 within its rule.
+    """
+    listed = rules.filter("enabled").select(
+        "name", F.posexplode("patterns").alias("pattern_no", "pattern")).where("pattern IS NOT NULL")
+
+    @F.pandas_udf("string")
+    def problem(patterns: pd.Series) -> pd.Series:
+        return patterns.map(_problem).astype(object)
+
+    judged = listed.select("pattern").distinct().withColumn("problem", problem("pattern"))
+    return listed.join(judged.filter("problem IS NOT NULL"), "pattern").select(
+        "name", "pattern_no", "pattern", "problem")
+
+
+def _problem(pattern: str) -> str | None:
+    try:
+        to_java(pattern)
+    except PatternError as error:
+        return str(error)
+    return None
+
+
 def matches_any(message: Column, patterns: tuple[str, ...]) -> Column:
     """True if any pattern matches. Literal patterns are compiled once per task."""
     found = F.lit(False)

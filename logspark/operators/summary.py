@@ -52,6 +52,10 @@ def service_status(analyses: DataFrame) -> DataFrame:
         F.when(C.has_issues(text), C.extract_errors(text)).alias("errors"))
 
 
+# In place of a summary of all services.
+NO_SUMMARY = "(no summary available) %d services analysed, %d with issues"
+
+
 def health(analyses: DataFrame) -> DataFrame:
     """One row: services, services with issues, headline, and whether to raise an alert."""
     text = F.col("analysis")
@@ -133,6 +137,11 @@ def _numbered(rows: DataFrame) -> DataFrame:
         "seq": F.monotonically_increasing_id()}), "analyses")
 
 
+def without_reply(stats: DataFrame) -> DataFrame:
+    """What stands for a summary that the model did not give, from :func:`health`."""
+    return stats.select(F.format_string(NO_SUMMARY, "services", "services_with_issues").alias("summary"))
+
+
 def alert(summary: DataFrame, stats: DataFrame, now: datetime, title: str) -> DataFrame:
     """The notification row: ``summary(summary)`` and ``stats`` (:func:`health`) hold one row each."""
     issues = F.when(F.col("issues_found"), ALERT_ISSUES).otherwise(F.lit(ALERT_CLEAN))

@@ -216,6 +216,27 @@ def rules(spark: SparkSession, folder: str) -> DataFrame:
                         F.explode(F.transform(patterns, lambda p: F.array(p))).alias("patterns"))
 
 
+def broken_rules(spark: SparkSession, folder: str) -> DataFrame:
+    """The rules of :func:`rules`, of which every fifth user's are not valid."""
+    kinds = F.array(F.lit("("), F.lit("*"), F.lit("(?=x)"), F.lit("[z-"), F.lit("a{2000}"))
+    own = rules(spark, folder)
+    number = F.regexp_extract("name", "([0-9]+)$", 1).cast("int")
+    broken = F.get(kinds, (F.floor(number / 5) % 5).cast("int"))
+    return own.withColumn("patterns", F.when(number % 5 == 0, F.concat(
+        "patterns", F.array(broken))).otherwise(F.col("patterns")))
+
+
+def duration_texts(spark: SparkSession, folder: str) -> DataFrame:
+    """Durations of all forms, from the orders' keys; every thirteenth is none."""
+    key = F.col("o_orderkey")
+    text = F.concat(
+        F.when(key % 3 == 0, "-").when(key % 3 == 1, "+").otherwise(""), (key % 30).cast("string"),
+        F.lit("h"), (key % 61).cast("string"), F.lit("."), (key % 10).cast("string"), F.lit("m."),
+        (key % 7).cast("string"), F.lit("s"), (key % 1000).cast("string"), F.lit("us"))
+    return read(spark, folder, "orders").select("o_orderkey", F.when(key % 13 == 0, F.concat(
+        text, F.lit("x"))).when(key % 17 == 0, "0").otherwise(text).alias("text"))
+
+
 def word_rules(spark: SparkSession, folder: str) -> DataFrame:
     """A large filter table: two words of every document, as patterns of the document's source."""
     words = F.regexp_extract_all("text", F.lit("[A-Za-z]{5,}"), F.lit(0))

@@ -10,10 +10,12 @@ from datetime import timedelta
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
+from pyspark.sql import types as T
 
 from ..functions import classify as C
 from ..functions import prompts as P
 from ..functions import text as X
+from ..functions.durations import duration_micros
 from ..functions.render import one_decimal, report, report_path
 from ..functions.tokens import byte_tokens
 from ..model import KB_HISTORY, SOURCE, STATE, place, with_segment
@@ -23,12 +25,15 @@ from ..operators import (chunking, cleanup, cursor, dedup, exclude, history, inf
 from ..operators import state as S
 from ..session import materialize, shared_folder
 from ..sources import containers as K
+from ..sources import zones
 from ..sources.logs import read_log_files
+from ..sources.store import Store, read_keyed, upsert_keyed
 from ..sources.tables import VersionedTable, read_state_json, write_state_json
 from ..streaming.incremental import scan_stream
+from ..streaming.runs import collapsed_lines, stream_runs
 from . import adapters as A
-from .scan import (Prepared, ScanOptions, alert, executive, finish, next_requests, prepare, reduce_all,
-                   Stores, written_lines)
+from .scan import (Prepared, ScanOptions, alert, executive, finish, finish_together, next_requests,
+                   prepare, reduce_all, Stores, written_lines)
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -68,6 +73,18 @@ def untimed_lines(spark, folder):
     return new.select(SOURCE, "seq", "ts_raw", "ts", "message")
 
 
+@query("q01c_zone_map")
+def zone_map(spark, folder):
+    """The logs as files by time, of which only those are opened that their zones tell of."""
+    path = f"{shared_folder(spark)}/zoned-{uuid.uuid4().hex}"
+    A.event_logs(spark, folder).repartitionByRange(16, "ts").write.parquet(path)
+    state = A.state(spark, folder)
+    known = materialize(zones.zones(spark.read.parquet(path)), "zones")
+    logs, _ = zones.read_needed(spark, path, known, state, A.NOW, cursor.FIRST_SCAN)
+    new = cursor.new_lines(logs, state, A.NOW)
+    return new.select(SOURCE, "name", "seq", "ts_raw", "ts", "message")
+
+
 @query("q02_lookback_scan")
 def lookback_scan(spark, folder):
     rows = cursor.new_lines(A.event_logs(spark, folder), A.state(spark, folder), A.NOW, LOOKBACK)
@@ -155,6 +172,11 @@ def exclude_by_large_table(spark, folder):
     return rows.select(SOURCE, "segment", "seq", "message", "run_len")
 
 
+@query("q05e_rule_problems")
+def rule_problems(spark, folder):
+    return exclude.rule_problems(A.broken_rules(spark, folder))
+
+
 @query("q06_filter_stats")
 def filter_stats(spark, folder):
     rows = exclude.flag_excluded(dedup.collapse_repeats(A.doc_logs(spark, folder)), A.DOC_FILTERS)
@@ -367,6 +389,37 @@ def status_trend(spark, folder):
     return history.trend(A.history(spark, folder), A.NOW, LOOKBACK)
 
 
+@query("q13e_status_intervals")
+def status_intervals(spark, folder):
+    return history.intervals(A.history(spark, folder), A.NOW, RETENTION_DAYS)
+
+
+@query("q13f_history_by_day")
+def history_by_day(spark, folder):
+    """The history in a store, a part for each day, after a scan."""
+    store = Store(f"{shared_folder(spark)}/history-{uuid.uuid4().hex}")
+    change = store.begin(spark, "import")
+    history.import_by_day(change, A.history(spark, folder))
+    change.commit()
+    change = store.begin(spark, "scan")
+    history.append_by_day(change, A.analyses(spark, folder), A.NOW, RETENTION_DAYS)
+    change.commit()
+    return history.read_by_day(store.snapshot(spark), spark)
+
+
+@query("q14c_state_deltas")
+def state_deltas(spark, folder):
+    """The cursors as a table and a delta of those that moved, merged when read."""
+    store = Store(f"{shared_folder(spark)}/state-{uuid.uuid4().hex}")
+    state, logs = A.state(spark, folder), A.event_logs(spark, folder)
+    moved = cursor.last_times(cursor.new_lines(logs, state, A.NOW))
+    for tag, rows in (("import", state), ("scan", moved)):
+        change = store.begin(spark, tag)
+        upsert_keyed(change, "state", SOURCE, STATE, rows)
+        change.commit()
+    return read_keyed(store.snapshot(spark), spark, "state", SOURCE, STATE)
+
+
 @query("q14_cursor_upsert")
 def cursor_upsert(spark, folder):
     state, logs = A.state(spark, folder), A.event_logs(spark, folder)
@@ -441,6 +494,27 @@ def whole_scan(spark, folder):
     return _finished(spark, folder)[1]
 
 
+@query("q26d_committed_scan")
+def committed_scan(spark, folder):
+    """What a scan has left in a store where all its outputs appear together: tables and their names."""
+    store = Store(f"{shared_folder(spark)}/store-{uuid.uuid4().hex}")
+    change = store.begin(spark, "import")
+    upsert_keyed(change, "state", SOURCE, STATE, A.state(spark, folder))
+    change.commit()
+    state = read_keyed(store.snapshot(spark), spark, "state", SOURCE, STATE)
+    prepared = prepare(A.event_logs(spark, folder), state, options(), A.ignore(spark, folder))
+    requests, responses = reduce_all(prepared, A.answer, options())
+    finish_together(prepared, requests, responses, options(), store)
+    now = store.snapshot(spark)
+    parts = [
+        read_keyed(now, spark, "state", SOURCE, STATE).select(F.lit("state").alias("store"), "name"),
+        history.read_by_day(now, spark).select(F.lit("kb").alias("store"), X.sanitize(F.col("name"))),
+        *(now.read(spark, table, T.StructType([T.StructField("storage_name", T.StringType())]))
+          .select(F.lit(label).alias("store"), "storage_name").distinct()
+          for table, label in (("reports", "reports"), ("interactions", "llm_logs")))]
+    return parts[0].union(parts[1]).union(parts[2]).union(parts[3])
+
+
 @query("q26c_dry_run")
 def dry_run(spark, folder):
     """The results of a scan that writes nothing."""
@@ -574,6 +648,23 @@ def stream_state(spark, folder):
     return _streamed(spark, folder)[1].read(spark)
 
 
+@query("q25c_stream_runs")
+def stream_runs_of_events(spark, folder):
+    """Events that arrive in four files, a micro-batch each; runs go on over them."""
+    base = f"{shared_folder(spark)}/stream-{uuid.uuid4().hex}"
+    events = A.read(spark, folder, "events")
+    low, high = events.agg(F.min("event_id"), F.max("event_id")).first()
+    step = ((high or 0) - (low or 0)) // 4 + 1
+    for i in range(4):  # one after the other, as a stream reads files by their age
+        own = F.expr(f"(event_id - {low or 0}) div {step}") == i
+        events.filter(own).coalesce(1).write.mode("append").parquet(f"{base}/in")
+    stream = (spark.readStream.schema(events.schema).option("maxFilesPerTrigger", 1)
+              .parquet(f"{base}/in"))
+    stream_runs(stream, f"{base}/store", f"{base}/checkpoint", A.events_to_logs).awaitTermination()
+    rows = collapsed_lines(Store(f"{base}/store").snapshot(spark), spark)
+    return rows.select(SOURCE, "name", "seq", "ts_raw", "ts", "stream", "message", "run_len")
+
+
 @query("q23_latest_per_name")
 def latest_per_name(spark, folder):
     logs = A.event_logs(spark, folder).select(
@@ -594,3 +685,9 @@ def scan_alert(spark, folder):
 def mask_personal(spark, folder):
     return A.read(spark, folder, "documents").select(
         "doc_id", X.mask_personal(F.col("text")).alias("text"))
+
+
+@query("q28_durations")
+def durations(spark, folder):
+    return A.duration_texts(spark, folder).select(
+        "o_orderkey", "text", duration_micros(F.col("text")).alias("micros"))

@@ -695,3 +695,44 @@ def _masked(text: str) -> str:
 
 
 ORACLE["q27_mask_personal"] = f"SELECT doc_id, {_masked('text')} AS text FROM documents"
+ORACLE["q01c_zone_map"] = ORACLE["q01_incremental_scan"]
+ORACLE["q13f_history_by_day"] = ORACLE["q13_retention"]
+ORACLE["q14c_state_deltas"] = ORACLE["q14_cursor_upsert"]
+ORACLE["q26d_committed_scan"] = _with(*SCANNED, recursive=True) + """
+SELECT 'state' AS store, name FROM after_scan
+UNION ALL """ + " UNION ALL ".join(f"SELECT '{s}', name FROM {s}" for s in ("kb", "reports", "llm_logs"))
+ORACLE["q05e_rule_problems"] = """
+WITH users AS (
+  SELECT user_id, arg_max(event_type, (value, event_id)) <> 'view' AS enabled
+  FROM events GROUP BY user_id)
+SELECT 'app/user-' || user_id AS name, CAST(1 AS INTEGER) AS pattern_no, pattern, problem
+FROM users JOIN (VALUES (0, '(', 'missing closing '')'': ''('''),
+  (1, '*', 'bad repetition operator: ''*'''),
+  (2, '(?=x)', 'look-around and atomic groups are not supported: ''(?=x)'''),
+  (3, '[z-', 'missing closing bracket: ''[z-'''), (4, 'a{2000}', 'bad repetition count: ''a{2000}'''))
+  AS k(n, pattern, problem) ON user_id // 5 % 5 = n, range(2)
+WHERE enabled AND user_id % 5 = 0"""
+ORACLE["q13e_status_intervals"] = _with(HISTORY, f"""times AS (
+  SELECT name, scan_ts, count(*) AS n, arg_min(status, CASE status
+           WHEN '🔴 Issues Detected' THEN 0 WHEN '🟡 Warnings' THEN 1 ELSE 2 END) AS status
+  FROM history WHERE scan_ts <= {NOW} AND scan_ts >= {NOW} - INTERVAL {Q.RETENTION_DAYS} DAY
+  GROUP BY name, scan_ts),
+marked AS (
+  SELECT *, row_number() OVER (PARTITION BY name ORDER BY scan_ts)
+            - row_number() OVER (PARTITION BY name, status ORDER BY scan_ts) AS island
+  FROM times),
+runs AS (
+  SELECT name, status, min(scan_ts) AS since, CAST(sum(n) AS BIGINT) AS entries
+  FROM marked GROUP BY name, status, island)""") + f"""
+SELECT name, status, lag(status) OVER w AS previous_status, since, lead(since) OVER w AS until, entries,
+       date_diff('second', since, coalesce(lead(since) OVER w, {NOW})) AS seconds
+FROM runs WINDOW w AS (PARTITION BY name ORDER BY since)"""
+ORACLE["q28_durations"] = """
+SELECT o_orderkey, CASE WHEN k % 13 = 0 THEN text || 'x' WHEN k % 17 = 0 THEN '0' ELSE text END AS text,
+       CASE WHEN k % 13 = 0 THEN NULL WHEN k % 17 = 0 THEN 0 ELSE CAST(CASE WHEN k % 3 = 0 THEN -1 ELSE 1 END
+         * ((k % 30) * 3600000000 + (k % 61) * 60000000 + (k % 10) * 6000000 + (k % 7) * 100000
+            + k % 1000) AS BIGINT) END AS micros
+FROM (SELECT o_orderkey, o_orderkey AS k, CASE k % 3 WHEN 0 THEN '-' WHEN 1 THEN '+' ELSE '' END
+        || k % 30 || 'h' || k % 61 || '.' || k % 10 || 'm.' || k % 7 || 's' || k % 1000 || 'us' AS text
+      FROM orders)"""
+ORACLE["q25c_stream_runs"] = ORACLE["q04_run_dedup"]

@@ -17,12 +17,14 @@ from pyspark.sql import functions as F
 
 from ..functions.prompts import Prompts
 from ..functions.tokens import TokenCounter, byte_tokens
-from ..model import SOURCE
+from ..model import SOURCE, STATE
 from ..operators import budget as B
 from ..operators import chunking, cursor, dedup, exclude, history, inference, summary
 from ..operators.exclude import LineFilter
 from ..session import materialize
-from ..sources.tables import VersionedTable, write_dashboard, write_interactions, write_reports
+from ..sources.store import Store, upsert_keyed
+from ..sources.tables import (VersionedTable, interaction_rows, report_rows, write_dashboard,
+                              write_interactions, write_reports)
 
 
 @dataclass(frozen=True)
@@ -106,6 +108,8 @@ def reduce_all(prepared: Prepared, answer, options: ScanOptions) -> tuple[DataFr
     responses = replies = materialize(answer(last), "responses")
     level = 0
     while True:
+        if inference.is_reduced(last, level):
+            return requests, responses
         last = materialize(next_requests(prepared, last, replies, options, level), "requests")
         if last.isEmpty():
             return requests, responses
@@ -129,6 +133,8 @@ def executive(results: DataFrame, answer, options: ScanOptions) -> DataFrame:
     """The reply to the summary request over all containers, as ``summary`` of one row at most.
 
     Analyses too long for one request are summed up in several, whose replies are summed up again.
+    Where the replies no longer get fewer, the counts of statuses take the place of a summary, marked
+    as such, so that no scan goes without an alert.
     """
     parts = inference.latest_per_name(results, F.col(SOURCE)).select("name", "analysis")
     limit = summary.executive_limit(results.sparkSession, options.counter, options.max_tokens,
@@ -139,9 +145,12 @@ def executive(results: DataFrame, answer, options: ScanOptions) -> DataFrame:
             parts, options.scan_id, options.counter, limit, options.prompts, level), "requests")
         replies = inference.unwrap(requests, materialize(answer(requests), "responses"))
         count = requests.count()
-        if count <= 1 or (before is not None and count >= before):
+        if count <= 1:
             last = replies.filter((F.col("chunk_total") == 1) & F.col("failure").isNull())
             return last.select(F.col("content").alias("summary"))
+        if before is not None and count >= before:
+            named = inference.latest_per_name(results, F.col(SOURCE))
+            return summary.without_reply(summary.health(named))
         parts = replies.select(F.format_string("part %09d", F.col("chunk_index") + 1).alias("name"),
                                F.coalesce("content", F.lit("")).alias("analysis"))
         level, before = level + 1, count
@@ -154,6 +163,38 @@ def alert(results: DataFrame, reply: DataFrame, options: ScanOptions, title: str
             .filter(F.col("message").isNotNull()))
 
 
+def finish_together(prepared: Prepared, requests: DataFrame, responses: DataFrame,
+                    options: ScanOptions, store: Store) -> DataFrame:
+    """:func:`finish` with all outputs in one store, where they appear together or not at all.
+
+    The history has a part for each day, of which only new ones and those that run out are written;
+    reports and interactions have one for each scan; the state grows by the cursors that moved. A scan
+    that is finished again starts from what it started from before, and replaces what it wrote.
+    """
+    results = inference.results(prepared.budgets, requests, responses, options.counter)
+    if options.dry_run:
+        return results
+    spark = results.sparkSession
+    results = materialize(results, "results")
+    change = store.begin(spark, options.scan_id)
+    history.append_by_day(change, results, options.now, options.retention_days)
+    part = f"{options.now.date().isoformat()} {options.scan_id}"
+    change.replace("reports", report_rows(results, options.now), part)
+    if not results.isEmpty():
+        named = inference.latest_per_name(results, F.col(SOURCE))
+        change.replace("dashboard", summary.dashboard(named, options.now))
+    change.replace("interactions", interaction_rows(
+        inference.interactions(requests, responses, options.now)), part)
+    if options.lookback is None:
+        moved = prepared.moved
+        if not options.advance_on_failure:
+            failed = inference.failed_containers(requests, responses)
+            moved = moved.join(failed.select(SOURCE).distinct(), SOURCE, "left_anti")
+        upsert_keyed(change, "state", SOURCE, STATE, moved)
+    change.commit()
+    return results
+
+
 def finish(prepared: Prepared, requests: DataFrame, responses: DataFrame, options: ScanOptions,
            stores: Stores) -> DataFrame:
     """Results of all rounds; writes reports, history, dashboard, interaction log and cursors.

@@ -128,23 +128,31 @@ class VersionedTable:
         return number
 
 
+def report_rows(results: DataFrame, now: datetime) -> DataFrame:
+    """A rendered report per result, with the file it would be in."""
+    return results.select(
+        "name", sanitize(F.col("name")).alias("storage_name"),
+        F.lit(now.isoformat(sep=" ")).cast("timestamp_ntz").alias("scan_ts"),
+        report_path("", F.col("name"), now).alias("file"), report(now).alias("content"))
+
+
 def write_reports(results: DataFrame, path: str, now: datetime, scan_id: str) -> None:
     """A rendered report per result, in the partition of its scan day and scan.
 
     A scan that is finished again replaces what it wrote before.
     """
-    rows = results.select(
-        "name", sanitize(F.col("name")).alias("storage_name"),
-        F.lit(now.isoformat(sep=" ")).cast("timestamp_ntz").alias("scan_ts"),
-        report_path("", F.col("name"), now).alias("file"), report(now).alias("content"))
-    _replace(rows, path, now, scan_id)
+    _replace(report_rows(results, now), path, now, scan_id)
+
+
+def interaction_rows(rows: DataFrame) -> DataFrame:
+    """Request/response pairs with their documents."""
+    return rows.withColumns({"storage_name": sanitize_filename(F.col("name")),
+                             "content": interaction_document()})
 
 
 def write_interactions(rows: DataFrame, path: str, now: datetime, scan_id: str) -> None:
     """A scan's request/response pairs and their documents, in the interaction log."""
-    rows = rows.withColumns({"storage_name": sanitize_filename(F.col("name")),
-                             "content": interaction_document()})
-    _replace(rows, path, now, scan_id)
+    _replace(interaction_rows(rows), path, now, scan_id)
 
 
 def _replace(rows: DataFrame, path: str, now: datetime, scan_id: str) -> None:

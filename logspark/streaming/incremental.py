@@ -35,7 +35,7 @@ def scan_stream(stream: DataFrame, state_path: str, checkpoint: str,
 
     def batch(rows: DataFrame, batch_id: int) -> None:
         spark = rows.sparkSession
-        tag = f"{_stream_id(spark, checkpoint)}-{batch_id}"
+        tag = f"{stream_id(spark, checkpoint)}-{batch_id}"
         with scratch(spark):
             state = table.read(spark, redo=tag)
             new = cursor.new_lines(to_logs(rows), state, now())
@@ -47,6 +47,6 @@ def scan_stream(stream: DataFrame, state_path: str, checkpoint: str,
             .trigger(availableNow=True).start())
 
 
-def _stream_id(spark: SparkSession, checkpoint: str) -> str:
+def stream_id(spark: SparkSession, checkpoint: str) -> str:
     """The id that a stream keeps in its checkpoint, over restarts."""
     return json.loads(spark.read.text(f"{checkpoint.rstrip('/')}/metadata").first()["value"])["id"]
