@@ -144,3 +144,107 @@ SELECT doc_id, length(t) AS n_chars, sha256(et) AS edited_sha256, fingerprint, e
             THEN CAST(2 * ac AS DOUBLE) / CAST(wa + wc AS DOUBLE) ELSE 0.0::DOUBLE END AS near_next
 FROM x
 """
+
+ORACLE["op4_rp_forest"] = r"""
+WITH RECURSIVE v AS MATERIALIZED (
+  SELECT vec_id, label, CAST(embedding AS DOUBLE[]) AS e,
+         embedding IS NOT NULL AND label IS NOT NULL AND len(embedding) > 0
+         AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+         AND len(list_filter(embedding, lambda x: x <> 0)) > 0 AS usable
+  FROM embeddings),
+l AS MATERIALIZED (
+  SELECT p.vec_id AS a, q.vec_id AS b
+  FROM v p JOIN v q ON p.label = q.label AND p.vec_id <> q.vec_id AND len(p.e) = len(q.e)
+  WHERE p.usable AND q.usable AND list_cosine_similarity(p.e, q.e) >= 0.93),
+n AS (SELECT a, count(*) AS n FROM l GROUP BY a),
+reach(a, b) AS (SELECT vec_id, vec_id FROM v UNION SELECT reach.a, l.b FROM reach JOIN l ON reach.b = l.a)
+SELECT vec_id, coalesce(n, 0) AS n_links, component_id, vec_id = component_id AS kept
+FROM v LEFT JOIN n ON n.a = vec_id
+LEFT JOIN (SELECT a, min(b) AS component_id FROM reach GROUP BY a) AS c ON c.a = vec_id
+"""
+
+ORACLE["op9_run_index"] = r"""
+WITH d AS MATERIALIZED (
+  SELECT row_number() OVER () AS r, doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents),
+q AS (  -- parts of 400 bytes and 49 more, as a place in a long text takes long to find
+  SELECT r, doc_id, 400 * j AS first, substr(h, 800 * j + 1, 898) AS part
+  FROM d, unnest(range(len(h) // 800 + 1)) AS t(j)),
+p AS (
+  SELECT r, doc_id, first + i AS i, substr(part, 2 * i + 1, 100) AS s
+  FROM q, unnest(range(0, greatest(0, len(part) // 2 - 49))) AS t(i)),
+m AS MATERIALIZED (SELECT s, min(doc_id) AS first FROM p GROUP BY s HAVING count(DISTINCT doc_id) > 1),
+c AS MATERIALIZED (SELECT r, i FROM p JOIN m USING (s) WHERE first < doc_id),
+s AS (
+  SELECT r, i, sum(CAST(starts AS INTEGER)) OVER (PARTITION BY r ORDER BY i) AS span
+  FROM (SELECT *, coalesce(i - lag(i) OVER (PARTITION BY r ORDER BY i) > 50, true) AS starts FROM c)),
+g AS MATERIALIZED (
+  SELECT *, lag(b, 1, 0) OVER (PARTITION BY r ORDER BY a) AS before
+  FROM (SELECT r, span, min(i) AS a, max(i) + 50 AS b FROM s GROUP BY r, span)),
+k AS (
+  SELECT r, count(*) AS n_spans, CAST(sum(b - a) AS BIGINT) AS n_removed,
+         string_agg(substr(h, 2 * before + 1, 2 * (a - before)), '' ORDER BY a)
+         || substr(any_value(h), 2 * max(b) + 1) AS kept
+  FROM g JOIN d USING (r) GROUP BY r)
+SELECT doc_id, len(h) // 2 AS n_bytes, coalesce(n_removed, 0) AS n_removed, coalesce(n_spans, 0) AS n_spans,
+       sha256(unhex(coalesce(kept, h))) AS kept_sha256
+FROM d LEFT JOIN k USING (r)
+"""
+
+
+def _climb(name: str, key: str, levels: int) -> str:
+    """Runs, proofs and foldings of a tree of sixteen children, level by level, as common tables.
+
+    ``{name}0`` holds ``r``, the tree's key, ``pos``, ``h``, and ``proof`` and ``now`` so far. A node
+    alone in its tree stays what it is. Nodes are those of ``{name}n0``: key, ``pos``, ``h``.
+    """
+    out = []
+    for i in range(levels):
+        out.append(f"""
+{name}t{i} AS MATERIALIZED (SELECT {key}, count(*) AS total FROM {name}n{i} GROUP BY {key}),
+{name}r{i} AS MATERIALIZED (
+  SELECT {key}, pos // 16 AS pos, total, string_agg(h, '' ORDER BY pos) AS run
+  FROM {name}n{i} JOIN {name}t{i} USING ({key}) GROUP BY {key}, pos // 16, total),
+{name}n{i + 1} AS MATERIALIZED (
+  SELECT {key}, pos, CASE WHEN total > 1 THEN sha256(run) ELSE run END AS h FROM {name}r{i}),
+{name}{i + 1} AS MATERIALIZED (
+  SELECT x.r, {key}, x.pos // 16 AS pos,
+         CASE WHEN total > 1 THEN proof || left(run, 64 * (x.pos % 16)) || substr(run, 64 * (x.pos % 16) + 65)
+              ELSE proof END AS proof,
+         CASE WHEN total > 1 THEN sha256(left(run, 64 * (x.pos % 16)) || now
+                                         || substr(run, 64 * (x.pos % 16) + 65)) ELSE now END AS now
+  FROM {name}{i} x JOIN {name}r{i} y USING ({key}) WHERE x.pos // 16 = y.pos)""")
+    return ",".join(out)
+
+
+def _leaf(text: str) -> str:
+    values = ("CAST(doc_id AS VARCHAR)", "source", "lang", "CAST(n_chars AS VARCHAR)", text)
+    return "sha256(" + " || ".join(
+        f"coalesce(CAST(strlen({v}) AS VARCHAR) || ':' || {v}, '-')" for v in values) + ")"
+
+
+# Levels enough for 16 ** 5 documents of a source and 16 ** 3 sources. CRC-32 is worked out bit by bit.
+ORACLE["op13_merkle_manifest"] = f"""
+WITH d AS MATERIALIZED (
+  SELECT row_number() OVER () AS r, doc_id, coalesce(':' || source, '') AS src, {_leaf("text")} AS leaf,
+         {_leaf("translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')")} AS lower_leaf,
+         list_transform(string_split(CAST(doc_id AS VARCHAR), ''), lambda c: CAST(ascii(c) AS BIGINT)) AS bytes
+  FROM documents),
+e AS MATERIALIZED (
+  SELECT *, coalesce(xor(list_reduce(list_prepend(4294967295::BIGINT, bytes), lambda c, b:
+      list_reduce(list_prepend(xor(c, b), range(8)), lambda x, i:
+        CASE WHEN x % 2 = 1 THEN xor(x // 2, 3988292384::BIGINT) ELSE x // 2 END)),
+    4294967295::BIGINT) % 5 = 0, false) AS changed,
+    row_number() OVER (PARTITION BY src ORDER BY doc_id NULLS FIRST, leaf) - 1 AS pos
+  FROM d),
+an0 AS MATERIALIZED (SELECT src, pos, leaf AS h FROM e),
+a0 AS MATERIALIZED (
+  SELECT r, src, pos, '' AS proof, CASE WHEN changed THEN lower_leaf ELSE leaf END AS now FROM e),
+{_climb("a", "src", 5)},
+bn0 AS MATERIALIZED (SELECT 1 AS one, src, row_number() OVER (ORDER BY src) - 1 AS pos, h FROM an5),
+b0 AS MATERIALIZED (
+  SELECT r, one, bn0.pos, proof, now FROM a5 JOIN bn0 USING (src)),
+{_climb("b", "one", 3)}
+SELECT doc_id, leaf, an5.h AS subroot, bn3.h AS root, sha256(proof) AS proof_sha256, now AS folded_root,
+       now = bn3.h AS verified
+FROM e JOIN an5 USING (src) JOIN b3 USING (r) CROSS JOIN bn3
+"""

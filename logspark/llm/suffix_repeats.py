@@ -9,7 +9,8 @@ no text moves as a whole.
 1. Each batch sends the hashes of its anchors, each once, to buckets, which answer which of them other
    fragments have too.
 2. Each batch sends its distinct fragments with such anchors, each once under its smallest ``doc_id``.
-   Copies of a fragment meet by its hash: the document with the smallest id keeps it. Different
+   Copies of a fragment meet by its hash and are compared: the document with the smallest id keeps
+   it. Different
    fragments of one anchor go into a run-length index (:mod:`.run_index`); all are streamed through it,
    and where the matching statistic reaches ``WIDTH`` the index tells the smallest document among the
    places of the match. The answer is one bit a string.
@@ -43,6 +44,7 @@ SHARD_BYTES = 1 << 18
 BUCKET_ANCHORS = 1 << 19
 BUCKET_BYTES = 4 << 20
 CHUNK = 1 << 18
+TASK_BYTES = 8 << 20  # of text whose messages meet in a task, on average
 
 BATCHES = ("batch long, n_bytes long, doc_ids array<long>, lengths array<long>, texts binary")
 ALONE, SHARED, CROWDED = 0, 1, 2
@@ -78,10 +80,47 @@ def _pack(docs: DataFrame, batch_bytes: int) -> DataFrame:
     return docs.mapInArrow(work, BATCHES)
 
 
+def distinct(data: np.ndarray, at: np.ndarray, size: np.ndarray, anchor: np.ndarray,
+             content: np.ndarray, doc: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """For each fragment its number among the distinct ones; for each of these an occurrence in its
+    smallest document, and that document. Distinct ones are in order of anchors.
+
+    Fragments of one anchor and content hash are compared byte by byte; where a hash should have lied,
+    the bytes themselves tell contents apart.
+    """
+    own, kept, low = _distinct(anchor, content, doc)
+    first = kept[own]
+    copies = np.flatnonzero(first != np.arange(len(own)))
+    for a in range(0, len(copies), 1 << 12):
+        part = copies[a:a + (1 << 12)]
+        n = size[part]
+        same = n == size[first[part]]
+        step = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+        if not same.all() or (data[np.repeat(at[part], n) + step]
+                              != data[np.repeat(at[first[part]], n) + step]).any():
+            seen: dict[bytes, int] = {}
+            content = np.array([seen.setdefault(data[x:x + m].tobytes(), len(seen))
+                                for x, m in zip(at.tolist(), size.tolist())], np.uint64)
+            return _distinct(anchor, content, doc)
+    return own, kept, low
+
+
+def _distinct(anchor, content, doc):
+    order = np.lexsort((doc, content, anchor))
+    new = np.ones(len(order), bool)
+    new[1:] = ((anchor[order[1:]] != anchor[order[:-1]])
+               | (content[order[1:]] != content[order[:-1]]))
+    own = np.zeros(len(order), np.int64)
+    own[order] = np.cumsum(new) - 1
+    kept = order[new]
+    return own, kept, doc[kept]
+
+
 class Fragments:
     """The fragments of a batch, its distinct ones, and what it sends of them."""
 
-    def __init__(self, row: dict) -> None:
+    def __init__(self, row: dict, chunk: int = CHUNK) -> None:
+        self.chunk = chunk
         raw = pa.decompress(row["texts"], row["n_bytes"], "zstd") if row["n_bytes"] else b""
         self.data = np.frombuffer(raw, np.uint8)
         self.ids = row["doc_ids"]
@@ -95,7 +134,8 @@ class Fragments:
         parts += [self._anchors(a, b) for a, b in zip(*self._stretches(known))]
         self.at, self.count, self.anchor, self.content = map(np.concatenate, zip(*parts))
         self.doc = self.numbers[np.searchsorted(self.ends, self.at, "right")]
-        self.own, self.kept, self.low = self._distinct(self.anchor, self.content, self.doc)
+        self.own, self.kept, self.low = distinct(
+            self.data, self.at, self.count + WIDTH - 1, self.anchor, self.content, self.doc)
 
     def _stretches(self, known: np.ndarray) -> tuple[list[int], list[int]]:
         """Byte ranges to look at together: neighbouring documents, or parts of a very long one."""
@@ -103,12 +143,12 @@ class Fragments:
         for start, end, good in zip(self.starts.tolist(), self.ends.tolist(), known.tolist()):
             if not good or end - start < WIDTH:
                 continue
-            if a and b[-1] == start and end - a[-1] <= CHUNK:
+            if a and b[-1] == start and end - a[-1] <= self.chunk:
                 b[-1] = end
                 continue
-            for cut in range(start, end - WIDTH + 1, CHUNK):
+            for cut in range(start, end - WIDTH + 1, self.chunk):
                 a.append(cut)
-                b.append(min(end, cut + CHUNK + WIDTH - 1))
+                b.append(min(end, cut + self.chunk + WIDTH - 1))
         return a, b
 
     def _anchors(self, a: int, b: int) -> tuple[np.ndarray, ...]:
@@ -134,19 +174,6 @@ class Fragments:
         first, count = first[real], count[real]
         return (first + a, count, grams[where[first]], spans(first, first + count + WIDTH - 1))
 
-    @staticmethod
-    def _distinct(anchor, content, doc):
-        """For each fragment its number among the distinct ones; for each of these an occurrence in
-        its smallest document, and that document. Distinct ones are in order of anchors."""
-        order = np.lexsort((doc, content, anchor))
-        new = np.ones(len(order), bool)
-        new[1:] = ((anchor[order[1:]] != anchor[order[:-1]])
-                   | (content[order[1:]] != content[order[:-1]]))
-        own = np.zeros(len(order), np.int64)
-        own[order] = np.cumsum(new) - 1
-        kept = order[new]
-        return own, kept, doc[kept]
-
     def anchors(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Distinct anchors in order, the distinct fragments of each, and each fragment's anchor."""
         values, index, counts = np.unique(self.anchor[self.kept], return_inverse=True,
@@ -173,7 +200,7 @@ class Fragments:
             grid = self.data[at[a:a + (1 << 13), None] + np.arange(WIDTH)].ravel()
             begin = np.arange(len(grid) // WIDTH) * WIDTH
             key[a:a + (1 << 13)] = mix(SpanHash(grid)(begin, begin + WIDTH) ^ np.uint64(0x5EED))
-        own, kept, low = self._distinct(key, key, doc)
+        own, kept, low = distinct(self.data, at, np.full(len(at), WIDTH), key, key, doc)
         all_at = np.concatenate((self.at[self.kept[one]], at[kept]))
         all_count = np.concatenate((self.count[self.kept[one]], np.ones(len(kept), np.int64)))
         all_key = np.concatenate((self.anchor[self.kept[one]], key[kept]))
@@ -239,11 +266,11 @@ def _body(row: dict) -> bytes:
     return pa.decompress(row["body"], row["size"], "zstd", asbytes=True) if row["size"] else b""
 
 
-def _send_anchors(buckets: int):
+def _send_anchors(buckets: int, chunk: int):
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for row in batch.to_pylist():
-                values, counts, _ = Fragments(row).anchors()
+                values, counts, _ = Fragments(row, chunk).anchors()
                 if not len(values):
                     continue
                 # the bucket has the top bits, five bytes of the rest tell anchors apart
@@ -256,7 +283,7 @@ def _send_anchors(buckets: int):
     return work
 
 
-def _flag_anchors(table: pa.Table) -> pa.Table:
+def _flag_anchors(table: pa.Table, crowd: int) -> pa.Table:
     """One bucket: a flag for each anchor that each batch has sent."""
     rows = table.to_pylist()
     lows, counts = [], []
@@ -270,7 +297,7 @@ def _flag_anchors(table: pa.Table) -> pa.Table:
     values, index = np.unique(np.concatenate(lows), return_inverse=True)
     total = np.bincount(index, np.concatenate(counts), len(values))
     full = np.bincount(index, np.concatenate(counts) >= 255, len(values)) > 0
-    flags = np.where(full | (total >= CROWD), CROWDED, np.where(total > 1, SHARED, ALONE))
+    flags = np.where(full | (total >= crowd), CROWDED, np.where(total > 1, SHARED, ALONE))
     flags = flags.astype(np.uint8)[index]
     ends = np.cumsum([len(x) for x in lows])
     out = _message([(row["bucket"], row["batch"], flags[end - len(x):end].tobytes())
@@ -283,11 +310,11 @@ def _answers(parts: list[dict] | None) -> bytes:
     return b"".join(_body(part) for part in sorted(parts or (), key=lambda p: p["bucket"]))
 
 
-def _send_fragments(buckets: int):
+def _send_fragments(buckets: int, chunk: int):
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for row in batch.to_pylist():
-                own = Fragments(row)
+                own = Fragments(row, chunk)
                 sent = own.sent(np.frombuffer(_answers(row["flags"]), np.uint8), buckets)
                 if not len(sent["at"]):
                     continue
@@ -304,7 +331,7 @@ def _send_fragments(buckets: int):
     return work
 
 
-def _match(table: pa.Table) -> pa.Table:
+def _match(table: pa.Table, shard_bytes: int) -> pa.Table:
     """One bucket: for each fragment sent, a bit for each string that stands in an earlier document."""
     rows = table.to_pylist()
     keys, docs, counts, texts = [], [], [], []
@@ -325,14 +352,14 @@ def _match(table: pa.Table) -> pa.Table:
         first, last = start[a:a + (1 << 12)], stop[a:a + (1 << 12)]
         own = SpanHash(text[first[0]:last[-1]])
         content[a:a + (1 << 12)] = own(first - first[0], last - first[0])
-    own, kept, low = Fragments._distinct(key, content, doc)
+    own, kept, low = distinct(text, start, stop - start, key, content, doc)
     bits = np.zeros(len(kept), np.uint64)
     # distinct fragments are in order of anchors: those of one anchor alone have nothing to match
     group = np.cumsum(np.concatenate(([0], key[kept[1:]] != key[kept[:-1]])))
     mixed = np.flatnonzero(np.bincount(group)[group] > 1)
     first_of = np.minimum.reduceat(low, np.searchsorted(group, np.arange(group[-1] + 1)))
     weight = np.cumsum(count[kept[mixed]] + WIDTH)
-    shard = weight // SHARD_BYTES
+    shard = weight // shard_bytes
     if len(mixed):  # whole anchors to a shard
         head = np.searchsorted(group[mixed], group[mixed], "left")
         shard = shard[head]
@@ -364,11 +391,11 @@ OUT_SQL = ("doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256
            "kept binary")
 
 
-def _remove(buckets: int):
+def _remove(buckets: int, chunk: int):
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for row in batch.to_pylist():
-                own = Fragments(row)
+                own = Fragments(row, chunk)
                 sent = own.sent(np.frombuffer(_answers(row["flags"]), np.uint8), buckets)
                 gone = own.removed(sent, np.frombuffer(_answers(row["answers"]), "<u8"))
                 out = []
@@ -405,10 +432,13 @@ def remove_repeats(docs: DataFrame, batch_bytes: int = BATCH_BYTES) -> DataFrame
     # an anchor comes about every (WIDTH - GRAM + 2) / 2 bytes
     few = partitions_for(spark, 2 * total // (WIDTH - GRAM + 2), BUCKET_ANCHORS)
     many = partitions_for(spark, 2 * total, BUCKET_BYTES)
-    flags = (packed.mapInArrow(_send_anchors(few), MESSAGE_SQL)
-             .groupBy("bucket").applyInArrow(_flag_anchors, MESSAGE_SQL))
+    # A fixed number of partitions: merged by their bytes, some would get many of the buckets.
+    tasks = partitions_for(spark, total, TASK_BYTES)
+    crowd, shard_bytes, chunk = CROWD, SHARD_BYTES, CHUNK
+    flags = (packed.mapInArrow(_send_anchors(few, chunk), MESSAGE_SQL).repartition(tasks, "bucket")
+             .groupBy("bucket").applyInArrow(lambda t: _flag_anchors(t, crowd), MESSAGE_SQL))
     asked = packed.join(written(_by_batch(flags, "flags"), "anchor-flags"), "batch", "left")
-    answers = (asked.mapInArrow(_send_fragments(many), MESSAGE_SQL)
-               .groupBy("bucket").applyInArrow(_match, MESSAGE_SQL))
+    answers = (asked.mapInArrow(_send_fragments(many, chunk), MESSAGE_SQL).repartition(tasks, "bucket")
+               .groupBy("bucket").applyInArrow(lambda t: _match(t, shard_bytes), MESSAGE_SQL))
     judged = asked.join(written(_by_batch(answers, "answers"), "answers"), "batch", "left")
-    return judged.mapInArrow(_remove(many), OUT_SQL)
+    return judged.mapInArrow(_remove(many, chunk), OUT_SQL)

@@ -62,6 +62,33 @@ def test_long_text_in_parts(docs_of, monkeypatch):
     assert plain(S.remove_repeats(docs_of(rows)).drop("kept").collect()) == brute(rows)
 
 
+def test_parameters_reach_the_workers(docs_of, rows, monkeypatch):
+    """One anchor is crowded at 2 fragments and is not at 2,048: other messages, the same result."""
+    def flagging(crowd):
+        return lambda table: S._flag_anchors(table, crowd)
+
+    sent = []
+    for crowd in (2048, 2):
+        monkeypatch.setattr(S, "CROWD", crowd)
+        docs = S.documents(docs_of(rows))
+        packed = S._pack(docs, 1 << 22)
+        flags = (packed.mapInArrow(S._send_anchors(4, S.CHUNK), S.MESSAGE_SQL).groupBy("bucket")
+                 .applyInArrow(flagging(crowd), S.MESSAGE_SQL)).collect()
+        marks = np.concatenate([np.frombuffer(S._body(r.asDict()), np.uint8) for r in flags])
+        sent.append(int((marks == S.CROWDED).sum()))
+    assert sent[0] == 0 < sent[1]
+
+
+def test_equal_hashes_of_different_bytes():
+    """Contents whose hash should be equal by chance are told apart."""
+    data = np.frombuffer(b"aaaabbbbaaaacccc", np.uint8)
+    at, size = np.array([0, 4, 8, 12]), np.full(4, 4)
+    one = np.ones(4, np.uint64)
+    own, kept, low = S.distinct(data, at, size, one, one, np.array([5, 6, 3, 9]))
+    assert own[0] == own[2] and len(set(own.tolist())) == 3
+    assert low[own].tolist() == [3, 6, 3, 9] and kept[own[0]] == 2
+
+
 def test_empty_table(docs_of):
     assert S.remove_repeats(docs_of([(1, "x")]).where("false")).collect() == []
 
