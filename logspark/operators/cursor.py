@@ -71,10 +71,8 @@ def new_lines(logs: DataFrame, state: DataFrame, now: datetime, back: timedelta
     else:
         floor = state.agg(F.least(F.coalesce(F.min("last_scan"), first), first)).scalar()
     untimed = F.col("ts").isNull()
-    if logs.filter(untimed).isEmpty():
-        rows = logs.filter(F.col("ts") >= floor).withColumn("_at", F.col("ts"))
-    else:
-        rows = with_place(logs.filter(untimed | (F.col("ts") >= floor)))
+    rows = logs.filter(untimed | (F.col("ts") >= floor))
+    rows = rows.withColumn("_at", F.col("ts")) if logs.filter(untimed).isEmpty() else with_place(rows)
     if until:
         rows = rows.filter(F.col("_at").isNull() | (F.col("_at") <= _ntz(until)))
     if back:
