@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
+from pyspark.sql import types as T
 
 from ..functions.render import repeat_marker
 from ..model import PLACE, SOURCE
@@ -108,9 +109,11 @@ def _segment_runs(logs: DataFrame, threshold: int, of_last: Column | None = None
 def _join_ends(ends: DataFrame, threshold: int) -> DataFrame:
     """Join runs across segment ends, in blocks of segments first and then across the blocks' ends.
 
-    Of a run that a block tells the others, the first ``threshold - 1`` rows are enough.
+    Of a run that a block tells the others, the first ``threshold - 1`` rows are enough. Segments that
+    are not numbered, as those named by file and offset, are one block a container.
     """
-    ends = ends.withColumn("_block", F.expr(f"segment div {BLOCK_SEGMENTS}"))
+    numbered = isinstance(ends.schema["segment"].dataType, T.IntegralType)
+    ends = ends.withColumn("_block", F.expr(f"segment div {BLOCK_SEGMENTS}") if numbered else F.lit(0))
     inside = _joined(ends, [SOURCE, "_block"], "segment")
     edge = F.col("_head") | F.col("_tail")
     told = inside.filter(edge & (F.col("_pos") < threshold - 1))
