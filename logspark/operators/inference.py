@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import prompts as P
+from ..functions.shapes import at, integer_at, is_object, list_at, present, text_at
 from ..functions.tokens import TokenCounter
 from ..model import SOURCE
 from .budget import DIRECT, EMPTY, RESPONSE_RESERVE
@@ -21,6 +22,8 @@ ANALYSIS_REPLY_TOKENS = 4000
 CHUNK_REPLY_TOKENS = 2000
 NOTHING_PROCESSED = "No logs could be processed within token limits"
 NO_CHOICES = "no choices in response"
+# What is said of a response that cannot be read, and its type.
+UNREADABLE, MALFORMED = "the response is no JSON object", "malformed"
 
 CHUNK, SYNTHESIS, EXECUTIVE = "chunk", "synthesis", "executive"
 
@@ -96,6 +99,43 @@ def unwrap(requests: DataFrame, responses: DataFrame) -> DataFrame:
                         .otherwise(F.col("failure"))).drop("_answered"))
 
 
+def responses_of(bodies: DataFrame, body: str = "body") -> DataFrame:
+    """Responses out of the JSON texts that providers return, whose shapes differ.
+
+    Fields of no meaning here are passed over. The text of a choice is ``message.content``, as a
+    string or as a list of parts whose texts are joined, or ``text``; a choice that is no object is
+    none. Numbers may be strings; a missing total is the sum of its parts. An ``error`` is an object
+    or a text, and JSON's null is none. A text that is no JSON object, or NULL, is an error too.
+    """
+    read = bodies.select("request_id", F.try_parse_json(F.col(body)).alias("_v"))
+    whole, error = F.col("_v"), at(F.col("_v"), "$.error")
+
+    def content(choice: Column) -> Column:
+        parts = F.transform(F.filter(list_at(choice, "$.message.content"), is_object),
+                            lambda part: F.coalesce(text_at(part, "$.text"), F.lit("")))
+        return F.coalesce(F.array_join(parts, ""), text_at(choice, "$.message.content"),
+                          text_at(choice, "$.text"))
+
+    choices = F.transform(F.filter(list_at(whole, "$.choices"), is_object), lambda choice: F.struct(
+        integer_at(choice, "$.index").cast("int").alias("index"),
+        F.struct(text_at(choice, "$.message.role").alias("role"),
+                 content(choice).alias("content")).alias("message"),
+        text_at(choice, "$.finish_reason").alias("finish_reason")))
+    prompt, completion = (integer_at(whole, f"$.usage.{part}_tokens")
+                          for part in ("prompt", "completion"))
+    usage = F.struct(prompt.alias("prompt_tokens"), completion.alias("completion_tokens"),
+                     F.coalesce(integer_at(whole, "$.usage.total_tokens"), prompt + completion)
+                     .alias("total_tokens"))
+    told = F.struct(
+        F.coalesce(text_at(error, "$.message"), F.try_variant_get(error, "$", "string"))
+        .alias("message"), text_at(error, "$.type").alias("type"),
+        F.try_variant_get(error, "$.code", "string").alias("code"))
+    unread = F.struct(F.lit(UNREADABLE).alias("message"), F.lit(MALFORMED).alias("type"),
+                      F.lit(None).cast("string").alias("code"))
+    return read.select("request_id", choices.alias("choices"), usage.alias("usage"),
+                       F.when(~is_object(whole), unread).when(present(error), told).alias("error"))
+
+
 def one_response(responses: DataFrame) -> DataFrame:
     """One response a request: a repeated request counts by its best answer, good before failed.
 

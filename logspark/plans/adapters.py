@@ -307,6 +307,73 @@ def synthesis_responses(requests: DataFrame) -> DataFrame:
                     F.lit(False))
 
 
+def _quoted(text: Column) -> Column:
+    """A text as a JSON string."""
+    inner = F.to_json(F.struct(F.coalesce(text, F.lit("")).alias("t")))
+    return F.substr(inner, F.lit(6), F.char_length(inner) - 6)
+
+
+def provider_bodies(spark: SparkSession, folder: str) -> DataFrame:
+    """A response text for each event, of thirteen shapes that providers give."""
+    def joined(*parts) -> Column:
+        return F.concat(*(F.lit(p) if isinstance(p, str) else p.cast("string") for p in parts))
+
+    no, words = F.col("event_id"), _quoted(F.col("props"))
+    given, made = no % 100, no % 7
+    message = joined('{"index":0,"message":{"role":"assistant","content":', words, '}}')
+    total = joined('"usage":{"prompt_tokens":', given, ',"completion_tokens":', made,
+                   ',"total_tokens":', given + made, '}')
+    shapes = [
+        joined('{"choices":[', message, '],', total, '}'),
+        joined('{"id":"r","extra":{"a":[1,null]},"choices":[', message,
+               '],"usage":{"prompt_tokens":', given, ',"completion_tokens":', made, ',"cached":9}}'),
+        joined('{"choices":[{"message":{"content":[{"type":"text","text":', words,
+               '},{"type":"image"},7,{"text":"; end"}]}}],', total, ',"error":null}'),
+        joined('{"choices":[{"text":', words, '}]}'),
+        joined('{"choices":[', message, '],"usage":{"total_tokens":"', given, '"}}'),
+        joined('{', total, '}'),
+        joined('{"choices":[],', total, '}'),
+        joined('{"choices":', words, ',', total, '}'),
+        joined('{"error":', words, '}'),
+        joined('{"error":{"message":', words, ',"code":', given, '},"choices":[', message, ']}'),
+        joined('{"choices":[', message),
+        joined('{"choices":[{"message":{"content":null}}],"usage":{"total_tokens":true}}'),
+        joined('{"choices":[3,"x",', message, '],"usage":[', given, ']}'),
+    ]
+    body = F.lit(None).cast("string")
+    for i, text in enumerate(shapes):
+        body = F.when(no % len(shapes) == i, text).otherwise(body)
+    return read(spark, folder, "events").select(no.cast("string").alias("request_id"),
+                                                body.alias("body"))
+
+
+def state_documents(spark: SparkSession, folder: str) -> DataFrame:
+    """The state as JSON texts of up to 64 containers, whose shapes and entries differ."""
+    key = F.col(SOURCE).cast("long")
+    scanned = F.date_format("last_scan", "yyyy-MM-dd'T'HH:mm:ss.SSSSSS'Z'")
+    fields = F.when(key % 7 == 0, F.format_string(
+        '"name":%s,"last_scan":"%s","log_cursor":"c%s"', _quoted(F.col("name")), scanned, key))
+    fields = (fields.when(key % 7 == 1, F.format_string(
+        '"name":%s,"labels":{"a":[1]},"last_scan":"%s"', _quoted(F.col("name")), scanned))
+        .when(key % 7 == 2, F.format_string('"name":%s,"last_scan":%s', _quoted(F.col("name")), key))
+        .when(key % 7 == 3, F.format_string('"name":{"n":1},"last_scan":"%s","log_cursor":7', scanned))
+        .when(key % 7 == 4, F.lit('"last_scan":"yesterday"')))
+    listed = F.floor(key / 64) % 4 == 2
+    entry = (F.when(key % 7 == 5, F.when(listed, "null").otherwise(F.format_string('"%s":null', key)))
+             .when(key % 7 == 6, F.when(listed, '{"name":"x"}').otherwise(
+                 F.format_string('"%s":[1]', key)))
+             .otherwise(F.when(listed, F.format_string('{"id":"%s",%s}', key, fields))
+                        .otherwise(F.format_string('"%s":{%s}', key, fields))))
+    kind = F.col("part") % 4
+    whole = F.array_join("entries", ",")
+    return (state(spark, folder).groupBy(F.floor(key / 64).alias("part"))
+            .agg(F.sort_array(F.collect_list(entry)).alias("entries"))
+            .select(F.when(kind == 2, F.concat(F.lit('{"containers":['), whole, F.lit("]}")))
+                    .when(kind == 3, F.concat(F.lit('{"containers":{'), whole))
+                    .otherwise(F.concat(F.lit('{"version":1,"containers":{'), whole, F.lit("}}")))
+                    .alias("value")))
+
+
 def _answers(rows: DataFrame, content: Column, prompt: Column, completion: Column,
              empty: Column) -> DataFrame:
     choice = F.struct(

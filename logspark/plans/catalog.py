@@ -28,7 +28,7 @@ from ..sources import containers as K
 from ..sources import zones
 from ..sources.logs import read_log_files
 from ..sources.store import Store, read_keyed, upsert_keyed
-from ..sources.tables import VersionedTable, read_state_json, write_state_json
+from ..sources.tables import VersionedTable, read_state_json, state_of_documents, write_state_json
 from ..streaming.incremental import scan_stream
 from ..streaming.runs import collapsed_lines, stream_runs
 from . import adapters as A
@@ -313,6 +313,14 @@ def repeated_responses(spark, folder):
         SOURCE, "analysis", "tokens_used", "chunks_used")
 
 
+@query("q09i_provider_responses")
+def provider_responses(spark, folder):
+    """Response texts of many shapes, read and joined with the requests they answer."""
+    bodies = A.provider_bodies(spark, folder)
+    answered = inference.unwrap(bodies.select("request_id"), inference.responses_of(bodies))
+    return answered.select("request_id", "failure", "content", "usage_tokens")
+
+
 @query("q09f_interactions")
 def interactions(spark, folder):
     prepared, requests, responses = _rounds(spark, folder)
@@ -589,6 +597,12 @@ def state_json(spark, folder):
     return read_state_json(spark, path)
 
 
+@query("q20g_state_documents")
+def state_documents(spark, folder):
+    """State documents with unknown fields, wrong types, lists for objects, and cut ones."""
+    return state_of_documents(A.state_documents(spark, folder))
+
+
 @query("q20e_reset_all")
 def reset_all(spark, folder):
     return S.reset_all(A.state(spark, folder))

@@ -451,6 +451,20 @@ SELECT request_id, name, {NOW} AS ts, user_text AS original_input, content AS re
 FROM (SELECT request_id, name, user_text, content, usage_tokens FROM answers
       UNION ALL SELECT request_id, name, user_text, content, usage_tokens FROM final)
 WHERE content IS NOT NULL"""
+ORACLE["q09i_provider_responses"] = """
+WITH e AS (
+  SELECT event_id, event_id % 13 AS kind, event_id % 100 AS given, event_id % 7 AS made,
+         coalesce(props, '') AS words
+  FROM events)
+SELECT CAST(event_id AS VARCHAR) AS request_id,
+       CASE WHEN kind IN (5, 6, 7) THEN 'no choices in response' WHEN kind = 8 THEN words
+            WHEN kind = 9 THEN given || ': ' || words
+            WHEN kind = 10 THEN 'the response is no JSON object' END AS failure,
+       CASE WHEN kind IN (0, 1, 3, 4, 12) THEN words WHEN kind = 2 THEN words || '; end'
+            WHEN kind = 11 THEN '' END AS content,
+       CASE WHEN kind IN (0, 1, 2, 5, 6, 7) THEN given + made WHEN kind = 4 THEN given
+            ELSE 0 END AS usage_tokens
+FROM e"""
 ORACLE["q10_classify_extract"] = _with(ANALYSES) + f"""
 SELECT name, {HAS_ISSUES} AS has_issues, {HAS_WARNINGS} AS has_warnings, {ALERT} AS needs_alert,
        {SERVICE} AS service_status, {DASHBOARD} AS dashboard_status, {SUMMARY} AS summary,
@@ -639,6 +653,13 @@ UNION ALL """ + " UNION ALL ".join(
     f"(SELECT replace(name, '/', '_') FROM obsolete WHERE in_{s})"
     for s in ("kb", "reports", "llm_logs"))
 ORACLE["q20d_state_json"] = _with(STATE) + "SELECT * FROM state"
+ORACLE["q20g_state_documents"] = _with(STATE, """ids AS (
+  SELECT *, CAST(container_id AS BIGINT) % 7 AS kind, CAST(container_id AS BIGINT) // 64 % 4 AS form
+  FROM state)""") + """
+SELECT container_id, CASE WHEN kind < 3 THEN name END AS name,
+       CASE WHEN kind IN (0, 1, 3) THEN last_scan END AS last_scan,
+       CASE WHEN kind = 0 THEN 'c' || container_id ELSE '' END AS log_cursor
+FROM ids WHERE kind < 5 AND form <> 3"""
 ORACLE["q20e_reset_all"] = _with(STATE) + "SELECT * FROM state WHERE false"
 ORACLE["q20f_remove"] = _with(STATE) + "SELECT * FROM state WHERE container_id <> '5'"
 ORACLE["q20_state_reset"] = _with(STATE) + f"SELECT * FROM state WHERE NOT {STATE_HIT}"

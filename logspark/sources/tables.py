@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.render import interaction_document, report, report_path
+from ..functions.shapes import at, is_object, text_at
 from ..functions.text import sanitize, sanitize_filename
 from ..functions.parse import rfc3339
 from ..model import SOURCE, STATE
@@ -54,6 +55,27 @@ def read_state_json(spark: SparkSession, path: str) -> DataFrame:
                     F.coalesce("e.value.log_cursor", F.lit("")).alias("log_cursor")))
 
 
+def state_of_documents(documents: DataFrame, text: str = "value") -> DataFrame:
+    """The state table out of JSON documents of differing shape, one a row.
+
+    ``containers`` is an object by container id, or a list of objects that have an ``id``. Fields of
+    no meaning here are passed over. A field that is missing or of a wrong type counts as not given,
+    a time that is none too; an entry that is no object, or has no id, is left out, and a document
+    that is no JSON or has no containers gives no row. An id that several documents have gives a row
+    for each.
+    """
+    spark = documents.sparkSession
+    held = documents.select(at(F.try_parse_json(F.col(text)), "$.containers").alias("_held"))
+    entries = held.lateralJoin(spark.tvf.variant_explode(F.col("_held").outer()))
+    entry = F.col("value")
+    return (entries.filter(is_object(entry))
+            .select(F.coalesce("key", text_at(entry, "$.id")).alias(SOURCE),
+                    text_at(entry, "$.name").alias("name"),
+                    rfc3339(text_at(entry, "$.last_scan")).alias("last_scan"),
+                    F.coalesce(text_at(entry, "$.log_cursor"), F.lit("")).alias("log_cursor"))
+            .filter(F.col(SOURCE).isNotNull()))
+
+
 def write_state_json(state: DataFrame, path: str, now: datetime) -> None:
     """The state as JSON documents in the folder ``path``, which :func:`read_state_json` reads.
 
