@@ -4,12 +4,12 @@ from __future__ import annotations
 
 from datetime import datetime
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import classify as C
 from ..functions import prompts as P
-from ..functions.render import REPORT_DATE
+from ..functions.render import REPORT_DATE, TOKENS_PER_FILTERED_LINE, savings
 from ..functions.tokens import TokenCounter
 from ..model import SOURCE
 from ..session import materialize
@@ -43,6 +43,24 @@ def scan_totals(logs: DataFrame) -> DataFrame:
                              F.coalesce(F.sum("n"), F.lit(0)).alias("total_logs"))
 
 
+def pass_totals(budgets: DataFrame) -> DataFrame:
+    """The counts of a scan's pass over its lines, from one row a container and no further pass.
+
+    ``scanned_containers`` and ``total_logs`` are those of :func:`scan_totals`; the counts of excluded
+    and kept lines, and the savings, are those of all containers together.
+    """
+    def total(name: str) -> Column:
+        return F.coalesce(F.sum(name), F.lit(0)).alias(name)
+
+    sums = budgets.agg(
+        F.count(F.lit(1)).alias("scanned_containers"),
+        total("original_count").alias("total_logs"),
+        total("lines_total"), total("lines_filtered"), total("lines_kept"))
+    return sums.withColumns({
+        "filter_reduction": savings(F.col("lines_total"), F.col("lines_kept")),
+        "tokens_saved": F.col("lines_filtered") * TOKENS_PER_FILTERED_LINE})
+
+
 def service_status(analyses: DataFrame) -> DataFrame:
     """Status, summary and errors of each service; the dashboard sorts them."""
     text = F.col("analysis")

@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.classify import SERVICE_LABELS
-from ..functions.parse import STDOUT
+from ..functions.parse import FRAME_STREAMS, STDOUT
 from ..model import SEGMENT_SPAN, SOURCE, ZERO_TIME, with_segment
 from ..operators.exclude import LineFilter
 from ..sources.logs import parse_lines, split_lines
@@ -128,6 +128,16 @@ def framed_lines(spark: SparkSession, folder: str) -> DataFrame:
                                     .alias("value")))
 
 
+def frame_lines(spark: SparkSession, folder: str, block: int = 1 << 16) -> DataFrame:
+    """Events as lines of frames, errors on stderr: a folder per kind, a file per ``block`` events."""
+    lines = event_logs(spark, folder)
+    file = F.format_string("%s/%012d.frames", "message", F.floor(F.col("seq") / block))
+    return lines.select(
+        file.alias("file"), "seq",
+        F.when(F.col("message") == "error", FRAME_STREAMS[2]).otherwise(FRAME_STREAMS[1])
+        .alias("stream"), F.concat_ws(" ", "ts_raw", "name").alias("value"))
+
+
 def event_texts(spark: SparkSession, folder: str) -> DataFrame:
     """Events as raw log lines, each type with its own timestamp style (one of them malformed)."""
     e = read(spark, folder, "events")

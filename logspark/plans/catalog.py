@@ -25,7 +25,7 @@ from ..operators import (chunking, cleanup, cursor, dedup, exclude, history, inf
 from ..operators import state as S
 from ..session import materialize, shared_folder
 from ..sources import containers as K
-from ..sources import zones
+from ..sources import frames, zones
 from ..sources.logs import read_log_files
 from ..sources.store import Store, read_keyed, upsert_keyed
 from ..sources.tables import VersionedTable, read_state_json, state_of_documents, write_state_json
@@ -91,6 +91,20 @@ def lookback_scan(spark, folder):
     return rows.select(SOURCE, "name", "seq", "ts", "message")
 
 
+@query("q02b_log_frames")
+def log_frames(spark, folder):
+    """Events written as frame files, a container a kind, of which the lines of a week are read."""
+    path = f"{shared_folder(spark)}/frames-{uuid.uuid4().hex}"
+    lines = A.frame_lines(spark, folder)
+    frames.write_frames(lines.repartition("file").sortWithinPartitions("file", "seq"), path)
+    kind = F.regexp_extract("_path", "([^/]+)/[^/]+$", 1)
+    read = frames.read_frames(spark, path, kind).filter(
+        F.col("ts") >= F.lit(A.NOW - LOOKBACK).cast("timestamp_ntz"))
+    before = F.lag("message").over(W.partitionBy(SOURCE).orderBy("segment", "seq"))
+    return read.select(SOURCE, "ts_raw", "ts", "stream", "stream_decoded", "message",
+                       before.alias("message_before"))
+
+
 @query("q03_parse_lines")
 def parse_lines(spark, folder):
     rows = A.parse_lines(A.doc_lines(spark, folder))
@@ -365,6 +379,13 @@ def scan_totals(spark, folder):
         cursor.new_lines(A.event_logs(spark, folder), A.state(spark, folder), A.NOW))
 
 
+@query("q12c_pass_totals")
+def pass_totals(spark, folder):
+    """What a scan read, collapsed and excluded, out of its budgets."""
+    totals = summary.pass_totals(_prepared(spark, folder).budgets)
+    return totals.select("*", one_decimal(F.col("filter_reduction")).alias("reduction_text"))
+
+
 @query("q12b_reports")
 def reports(spark, folder):
     prepared, requests, responses = _rounds(spark, folder)

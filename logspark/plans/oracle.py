@@ -326,6 +326,11 @@ WHERE CASE WHEN place IS NULL THEN last_scan IS NULL
            ELSE place >= coalesce(last_scan, {NOW} - INTERVAL 1 HOUR) END"""
 ORACLE["q02_lookback_scan"] = _with(EVENT_LOGS) + (
     f"SELECT container_id, name, seq, ts, message FROM logs WHERE ts >= {NOW} - INTERVAL 7 DAY")
+ORACLE["q02b_log_frames"] = _with(EVENT_LOGS) + f"""
+SELECT message AS container_id, ts_raw, ts, stream,
+       CASE WHEN message = 'error' THEN 'stderr' ELSE 'stdout' END AS stream_decoded,
+       name AS message, lag(name) OVER (PARTITION BY message ORDER BY seq) AS message_before
+FROM logs WHERE ts >= {NOW} - INTERVAL {Q.LOOKBACK.days} DAY"""
 ORACLE["q03_parse_lines"] = _with(DOC_LINES) + r"""
 SELECT container_id, segment, seq,
        CASE WHEN contains(value, ' ') THEN split_part(value, ' ', 1) ELSE '' END AS ts_raw,
@@ -497,6 +502,17 @@ SELECT 3, name, '### ' || name || chr(10) || {ERRORS} || chr(10) FROM analyses W
 ORACLE["q12_scan_totals"] = _with(EVENT_LOGS, STATE, NEW_LINES) + (
     "SELECT count(DISTINCT container_id) AS scanned_containers, count(*) AS total_logs "
     "FROM new_lines")
+ORACLE["q12c_pass_totals"] = _with(*budget_ctes(), """totals AS (
+  SELECT count(*) AS scanned_containers, CAST(sum(original_count) AS BIGINT) AS total_logs,
+         CAST(sum(lines_total) AS BIGINT) AS lines_total,
+         CAST(sum(lines_filtered) AS BIGINT) AS lines_filtered,
+         CAST(sum(lines_kept) AS BIGINT) AS lines_kept
+  FROM budgets)""") + """
+SELECT *, CAST(lines_total - lines_kept AS DOUBLE) / lines_total * 100.0 AS filter_reduction,
+       lines_filtered * 20 AS tokens_saved,
+       printf('%.1f', CAST(lines_total - lines_kept AS DOUBLE) / lines_total * 100.0)
+       AS reduction_text
+FROM totals"""
 ORACLE["q12b_reports"] = _with(*results_ctes(), recursive=True) + """
 SELECT name, '/reports/' || replace(name, '/', '_') || '/2024-01-31_00-00-00.md' AS path,
   '# Scan Report: ' || name || chr(10) || chr(10)

@@ -159,3 +159,18 @@ def test_latest_per_name(spark):
                                  "name string, segment long, seq long, analysis string")
     got = {r.name: r.analysis for r in inference.latest_per_name(rows, place()).collect()}
     assert got == {"n": "new", "o": "x"}
+
+
+def test_pass_totals_take_no_pass_over_the_lines(spark, logs_of):
+    from logspark.operators import budget, dedup, exclude
+    from logspark.operators.exclude import LineFilter
+
+    lines = [("a", i, "", "stdout", m) for i, m in enumerate(["x", "x", "x", "noise", "y"])]
+    logs = logs_of(lines + [("b", 0, "", "stdout", "z")])
+    flagged = exclude.flag_excluded(dedup.collapse_repeats(logs), {"a": LineFilter(("noise",))})
+    stats = budget.container_stats(budget.priced_lines(flagged, byte_tokens()))
+    totals = summary.pass_totals(stats)
+    assert totals.first().asDict() == {
+        "scanned_containers": 2, "total_logs": 6, "lines_total": 4, "lines_filtered": 1,
+        "lines_kept": 3, "filter_reduction": 25.0, "tokens_saved": 20}
+    assert tuple(summary.pass_totals(stats.filter("false")).first()) == (0, 0, 0, 0, 0, 0.0, 0)
