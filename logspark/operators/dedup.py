@@ -112,38 +112,47 @@ def _join_ends(ends: DataFrame, threshold: int) -> DataFrame:
     Of a run that a block tells the others, the first ``threshold - 1`` rows are enough. Segments that
     are not numbered, as those named by file and offset, are one block a container.
     """
-    numbered = isinstance(ends.schema["segment"].dataType, T.IntegralType)
-    ends = ends.withColumn("_block", F.expr(f"segment div {BLOCK_SEGMENTS}") if numbered else F.lit(0))
-    inside = _joined(ends, [SOURCE, "_block"], "segment")
+    if not isinstance(ends.schema["segment"].dataType, T.IntegralType):
+        return _joined(ends, [SOURCE], "segment")
+    block = F.expr(f"segment div {BLOCK_SEGMENTS}")
+    inside = _joined(ends.withColumn("_block", block), [SOURCE, "_block"], "segment")
+    # One plan for both kinds of rows: those that are told meet under no block, the others are passed
+    # through within theirs, so nothing before is computed twice.
     edge = F.col("_head") | F.col("_tail")
-    told = inside.filter(edge & (F.col("_pos") < threshold - 1))
-    across = _joined(told, [SOURCE], "_block")
-    return inside.filter(~edge).unionByName(across)
+    told = (inside.filter(~edge | (F.col("_pos") < threshold - 1))
+            .withColumns({"_edge_run": edge, "_meet": F.when(~edge, F.col("_block"))}))
+    return (_joined(told, [SOURCE, "_meet"], "_block", F.col("_edge_run"))
+            .drop("_edge_run", "_meet", "_block"))
 
 
-def _joined(ends: DataFrame, whole: list[str], part: str) -> DataFrame:
+def _joined(ends: DataFrame, whole: list[str], part: str, only: Column | None = None) -> DataFrame:
     """Join the runs of parts of a whole: lengths add up, later pieces become positions of the first.
 
     ``_head`` and ``_tail`` then tell whether a run touches the whole's start or end; a whole has the
-    first and the last run of each of its parts, so these are its first and its last one.
+    first and the last run of each of its parts, so these are its first and its last one. Rows that
+    are not among ``only``, in wholes of their own, keep what they have.
     """
     order = W.partitionBy(*whole).orderBy(*PLACE)
     same_part = F.lag(part).over(order).eqNullSafe(F.col(part))
     starts = F.when(same_part, F.col("_pos") == 0).otherwise(
         ~F.lag("message").over(order).eqNullSafe(F.col("message"))
         | F.lag("seq").over(order).isNull())
-    numbered = (ends.withColumn("_starts", starts)
-                .withColumn("_id", F.sum(F.col("_starts").cast("int")).over(
-                    order.rowsBetween(W.unboundedPreceding, W.currentRow))))
+    # Runs are numbered and counted in one sort of the whole, and summed up in one of its runs.
+    count = F.sum(F.col("_starts").cast("int"))
+    numbered = ends.withColumn("_starts", starts).withColumns({
+        "_id": count.over(order.rowsBetween(W.unboundedPreceding, W.currentRow)),
+        "_runs": count.over(order.rowsBetween(W.unboundedPreceding, W.unboundedFollowing))})
     run = W.partitionBy(*whole, "_id").orderBy(*PLACE)
     full = run.rowsBetween(W.unboundedPreceding, W.unboundedFollowing)
-    every = order.rowsBetween(W.unboundedPreceding, W.unboundedFollowing)
-    last = {LAST: F.last(LAST, ignorenulls=True).over(full)} if LAST in ends.columns else {}
-    return numbered.withColumns({
+    joined = {
         "_n": F.sum(F.when(F.col("_pos") == 0, F.col("_n")).otherwise(0)).over(full),
         "_pos": F.row_number().over(run) - 1,
-        "_head": F.col("_id") == 1, "_tail": F.col("_id") == F.max("_id").over(every), **last,
-    }).drop("_starts", "_id")
+        "_head": F.col("_id") == 1, "_tail": F.col("_id") == F.col("_runs")}
+    if LAST in ends.columns:
+        joined[LAST] = F.last(LAST, ignorenulls=True).over(full)
+    if only is not None:
+        joined = {c: F.when(only, value).otherwise(F.col(c)) for c, value in joined.items()}
+    return numbered.withColumns(joined).drop("_starts", "_id", "_runs")
 
 
 # Runs that go on from one batch of lines to the next: a container's open run, as the rows that its
