@@ -33,7 +33,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import SpanHash, documents, mix, partitions_for, rows_of, scalar, written
+from .common import MULTIPLIER, SpanHash, documents, mix, partitions_for, rows_of, scalar, written
 from .run_index import RunIndex
 
 WIDTH = 50
@@ -172,7 +172,9 @@ class Fragments:
         count = np.diff(np.append(first, len(where)))
         real = where[first] >= 0
         first, count = first[real], count[real]
-        return (first + a, count, grams[where[first]], spans(first, first + count + WIDTH - 1))
+        # anchors are least hashes, so most are low: scrambled, they spread over all buckets alike
+        anchor = mix(grams[where[first]] ^ np.uint64(MULTIPLIER))
+        return (first + a, count, anchor, spans(first, first + count + WIDTH - 1))
 
     def anchors(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Distinct anchors in order, the distinct fragments of each, and each fragment's anchor."""
