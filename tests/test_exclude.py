@@ -148,3 +148,44 @@ def test_clashing_columns_and_nulls(spark, logs_of):
     logs = logs_of(rows(["xabx", "x", None])).withColumns({"_set": F.lit(1), "_tried": F.lit(2)})
     got = X.exclude_by_table(logs, rules)
     assert got.columns == logs.columns and sorted(kept(got), key=str) == [None, "x"]
+
+
+@pytest.mark.parametrize("limits", [{}, {"BLOCK_PATTERNS": 3000, "BLOCK_BYTES": 16},
+                                    {"MOST_PATTERNS": 10**6, "MOST_ENTRIES": 100}])
+def test_more_patterns_than_a_task_holds(spark, logs_of, monkeypatch, limits):
+    """Over 20,000 distinct patterns, or sets with too many in all, were refused before."""
+    for name, value in limits.items():
+        monkeypatch.setattr(X, name, value)
+    patterns = [f"^worker {i} (?:failed|died)$" for i in range(21_000)] + [
+        f"[xyz]{{3}}{i}$" for i in range(100)] + ["(?i)STRASSE|größe", "^$"]
+    rules = spark.createDataFrame(
+        [("web", True, [*patterns[i:i + 1000], None]) for i in range(0, len(patterns), 1000)]
+        + [("db", True, patterns[:5]), ("off", False, patterns[:5]), (None, True, ["keep"])],
+        "name string, enabled boolean, patterns array<string>")
+    lines = ["worker 20999 died", "worker 21000 died", "worker 3 failed", "xyz42", "xyz420",
+             "die GRÖßE", "", "worker 3 failed", None]
+    logs = logs_of(rows(lines) + rows(lines, "db") + rows(lines[:3], "off") + rows(["keep"], "other"))
+    got = X.exclude_by_table(logs, rules)
+    assert got.columns == logs.columns
+    assert sorted(((r["name"], r["message"]) for r in got.collect()), key=str) == sorted(
+        [("web", m) for m in ("worker 21000 died", "xyz420", None)]
+        + [("db", m) for m in lines if m != "worker 3 failed"]
+        + [("off", m) for m in lines[:3]] + [("other", "keep")], key=str)
+
+
+def test_a_bad_rule_among_many_is_refused(spark, logs_of, monkeypatch):
+    monkeypatch.setattr(X, "MOST_PATTERNS", 1)
+    rules = spark.createDataFrame([("web", True, ["ab", "cd", "(?=x)"])],
+                                  "name string, enabled boolean, patterns array<string>")
+    with pytest.raises(PatternError, match=r"patterns\[2\] of container 'web'"):
+        X.exclude_by_table(logs_of(rows(["a"])), rules)
+
+
+def test_clashing_columns_among_many_rules(spark, logs_of, monkeypatch):
+    monkeypatch.setattr(X, "MOST_PATTERNS", 1)
+    rules = spark.createDataFrame([("web", True, ["ab", "cd", None])],
+                                  "name string, enabled boolean, patterns array<string>")
+    logs = logs_of(rows(["xabx", "x", "cd", None])).withColumns(
+        {c: F.lit(1) for c in ("_tried", "_blocks", "_part")})
+    got = X.exclude_by_table(logs, rules)
+    assert got.columns == logs.columns and sorted(kept(got), key=str) == [None, "x"]
