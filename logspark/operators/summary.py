@@ -112,6 +112,9 @@ def dashboard(analyses: DataFrame, now: datetime) -> DataFrame:
     return document.orderBy("section", "name")
 
 
+NO_LIMIT = 1 << 62  # tokens, more than any texts have
+
+
 def executive_limit(spark: SparkSession, counter: TokenCounter, max_tokens: int,
                     prompts: P.Prompts = P.Prompts()) -> int:
     """Tokens left for analyses in an executive request: without reply, system prompt and template."""
@@ -121,12 +124,13 @@ def executive_limit(spark: SparkSession, counter: TokenCounter, max_tokens: int,
     return max(1, max_tokens - RESPONSE_RESERVE - fixed)
 
 
-def executive_requests(analyses: DataFrame, scan_id: str, counter: TokenCounter, limit: int,
+def executive_requests(analyses: DataFrame, scan_id: str, counter: TokenCounter, limit: int | None,
                        prompts: P.Prompts = P.Prompts(), level: int = 0) -> DataFrame:
     """The executive summary request over all analyses, in name order.
 
     One request while the analyses fit into ``limit`` tokens; beyond that they are packed in order
     into several, numbered by ``chunk_index`` of ``chunk_total``, so no request text is unbounded.
+    Without a limit there is one request however many analyses there are, for models that take it.
     Their replies are the analyses of the next ``level`` (:func:`plans.scan.executive`).
     """
     c = F.col
@@ -135,7 +139,7 @@ def executive_requests(analyses: DataFrame, scan_id: str, counter: TokenCounter,
                                        counter.of_text(part).alias("tokens")))
     lines = ranked.select(
         F.lit("").alias(SOURCE), F.lit("").alias("name"), "segment", "seq", "line", "tokens",
-        F.lit(limit).cast("long").alias("chunk_limit"))
+        F.lit(NO_LIMIT if limit is None else limit).cast("long").alias("chunk_limit"))
     packs = inference._pack(lines)
     user = P.executive_prompt(prompts, c("n_logs"), c("text"))
     kind = inference.EXECUTIVE if level == 0 else f"{inference.EXECUTIVE}{level}"

@@ -94,3 +94,16 @@ def test_chunks_over_small_segments(spark, sql, name, logs, filters, limit):
     rows = [r.asDict() for r in Q._chunked(logs(spark), filters, limit).collect()]
     columns = sorted(rows[0])
     assert ordered(rows, columns) == ordered(sql(name)[1], columns)
+
+
+def same(spark, sql, name):
+    kinds, expected = sql(name)
+    rows = [r.asDict() for r in entry.queries()[name](spark, TESTDATA).collect()]
+    assert ordered(rows, sorted(kinds)) == ordered(expected, sorted(kinds))
+
+
+@pytest.mark.parametrize("name", ["q15_executive_request"])
+def test_one_executive_request_over_all(spark, sql, monkeypatch, name):
+    """Also where the analyses are more than the context: before, they were packed into several."""
+    monkeypatch.setattr(Q, "EXECUTIVE_CONTEXT", 5000)
+    same(spark, sql, name)
