@@ -29,7 +29,10 @@ from ..sources.tables import (VersionedTable, interaction_rows, report_rows, wri
 
 @dataclass(frozen=True)
 class ScanOptions:
-    """``scan_id`` tells a scan's requests and outputs from those of all others."""
+    """``scan_id`` tells a scan's requests and outputs from those of all others.
+
+    ``one_executive``: the executive request is one over all containers, however many tokens it has.
+    """
 
     now: datetime
     scan_id: str
@@ -41,6 +44,7 @@ class ScanOptions:
     retention_days: int = 30
     dry_run: bool = False
     advance_on_failure: bool = True
+    one_executive: bool = False
 
 
 @dataclass(frozen=True)
@@ -137,8 +141,8 @@ def executive(results: DataFrame, answer, options: ScanOptions) -> DataFrame:
     as such, so that no scan goes without an alert.
     """
     parts = inference.latest_per_name(results, F.col(SOURCE)).select("name", "analysis")
-    limit = summary.executive_limit(results.sparkSession, options.counter, options.max_tokens,
-                                    options.prompts)
+    limit = None if options.one_executive else summary.executive_limit(
+        results.sparkSession, options.counter, options.max_tokens, options.prompts)
     level, before = 0, None
     while True:
         requests = materialize(summary.executive_requests(

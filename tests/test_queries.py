@@ -102,7 +102,7 @@ def same(spark, sql, name):
     assert ordered(rows, sorted(kinds)) == ordered(expected, sorted(kinds))
 
 
-@pytest.mark.parametrize("name", ["q15_executive_request"])
+@pytest.mark.parametrize("name", ["q15_executive_request", "q24_alert"])
 def test_one_executive_request_over_all(spark, sql, monkeypatch, name):
     """Also where the analyses are more than the context: before, they were packed into several."""
     monkeypatch.setattr(Q, "EXECUTIVE_CONTEXT", 5000)
