@@ -1,9 +1,11 @@
 """Removal of byte strings that also stand in an earlier document, by run-length indexes.
 
-Every string of ``WIDTH`` bytes has an anchor: the ``GRAM`` bytes in it with the smallest hash. Equal
-strings have equal anchors, so a document falls into fragments, each the strings of one anchor in
-a row, and only fragments of equal anchors have to meet. No window is compared with all others, and
-no text moves as a whole.
+Every string of ``WIDTH`` bytes has a core: the ``GRAM`` bytes in it with the smallest hash. Its anchor
+is the core with the ``SIDE`` bytes after it or, where the string ends before them, those before it.
+Equal strings have equal anchors, so a document falls into fragments, each the strings of one anchor
+in a row, and only fragments of equal anchors have to meet. Cores alone recur by chance, the more often
+the larger the corpus is; anchors of twice their length hardly do. No window is compared with all
+others, and no text moves as a whole.
 
 0. Documents are packed into batches of a few megabytes, compressed, and written down.
 1. Each batch sends the hashes of its anchors, each once, to buckets, which answer which of them other
@@ -19,7 +21,9 @@ no text moves as a whole.
 An anchor of very many fragments, such as the end of a passage that a third of all documents hold,
 is not gathered: its strings are sent one by one as fragments of their own, keyed by their own bytes,
 so that they spread over all buckets and copies again meet by hash. What a batch holds several times
-it sends once. Hand-over tables are written to the shared folder.
+it sends once. Hand-over tables are written to the shared folder. Messages go from each batch to each
+bucket, so batches and buckets both grow with the square root of the corpus: the number of messages
+then grows as the corpus does, not with its square.
 """
 
 from __future__ import annotations
@@ -33,18 +37,22 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import MULTIPLIER, SpanHash, documents, mix, partitions_for, rows_of, scalar, written
+from .common import MULTIPLIER, documents, mix, partitions_for, rows_of, scalar, written
 from .run_index import RunIndex
 
 WIDTH = 50
-GRAM = 16
+GRAM = 16  # two words of eight bytes
+SIDE = (WIDTH - GRAM + 1) // 2
+LONGEST = WIDTH + SIDE  # bytes of a fragment at the most
 BATCH_BYTES = 2 << 20
 CROWD = 2048  # fragments of one anchor, from which on its strings go one by one
 SHARD_BYTES = 1 << 18
 BUCKET_ANCHORS = 1 << 19
 BUCKET_BYTES = 4 << 20
-CHUNK = 1 << 18
+CHUNK = 1 << 16
 TASK_BYTES = 8 << 20  # of text whose messages meet in a task, on average
+STEADY = 1 << 30  # bytes of text up to which batches, buckets and tasks have these sizes
+MOST = 8.0  # times these sizes at the most, as a batch and a bucket are held in memory
 
 BATCHES = ("batch long, n_bytes long, doc_ids array<long>, lengths array<long>, texts binary")
 ALONE, SHARED, CROWDED = 0, 1, 2
@@ -93,11 +101,7 @@ def distinct(data: np.ndarray, at: np.ndarray, size: np.ndarray, anchor: np.ndar
     copies = np.flatnonzero(first != np.arange(len(own)))
     for a in range(0, len(copies), 1 << 12):
         part = copies[a:a + (1 << 12)]
-        n = size[part]
-        same = n == size[first[part]]
-        step = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
-        if not same.all() or (data[np.repeat(at[part], n) + step]
-                              != data[np.repeat(at[first[part]], n) + step]).any():
+        if not _alike(data, at[part], size[part], at[first[part]], size[first[part]]):
             seen: dict[bytes, int] = {}
             content = np.array([seen.setdefault(data[x:x + m].tobytes(), len(seen))
                                 for x, m in zip(at.tolist(), size.tolist())], np.uint64)
@@ -105,8 +109,39 @@ def distinct(data: np.ndarray, at: np.ndarray, size: np.ndarray, anchor: np.ndar
     return own, kept, low
 
 
+def _alike(data, at, size, other, other_size) -> bool:
+    """Whether all spans are those at the other places, byte by byte or in words that overlap."""
+    if (size != other_size).any():
+        return False
+    least = int(size.min(initial=WIDTH))
+    unit = 8 if least >= 8 else 1
+    words = np.ndarray(len(data) - unit + 1, f"<u{unit}", data, 0, (1,))
+    for k in range(0, int(size.max(initial=0)), unit):
+        step = np.minimum(k, size - unit)
+        if (words[at + step] != words[other + step]).any():
+            return False
+    return True
+
+
+def by_key(keys: np.ndarray) -> np.ndarray:
+    """Positions in the order of the keys' upper bits, all but as many as number the positions.
+
+    Numbers that end in their position are sorted, which is faster than sorting positions.
+    """
+    bits = np.uint64(max(1, len(keys) - 1).bit_length())
+    packed = np.sort((keys >> bits << bits) | np.arange(len(keys), dtype=np.uint64))
+    return (packed & ((np.uint64(1) << bits) - np.uint64(1))).astype(np.int64)
+
+
 def _distinct(anchor, content, doc):
-    order = np.lexsort((doc, content, anchor))
+    order = by_key(anchor)
+    upper = anchor[order] >> np.uint64(max(1, len(order) - 1).bit_length())
+    tied = np.zeros(len(order), bool)
+    tied[1:] = upper[1:] == upper[:-1]
+    tied[:-1] |= tied[1:]
+    spots = np.flatnonzero(tied)
+    few = order[spots]
+    order[spots] = few[np.lexsort((doc[few], content[few], anchor[few]))]
     new = np.ones(len(order), bool)
     new[1:] = ((anchor[order[1:]] != anchor[order[:-1]])
                | (content[order[1:]] != content[order[:-1]]))
@@ -116,13 +151,44 @@ def _distinct(anchor, content, doc):
     return own, kept, doc[kept]
 
 
+def _grams(data: np.ndarray) -> np.ndarray:
+    """A hash of the ``GRAM`` bytes at each place of data that holds so many."""
+    words = np.ndarray(len(data) - 7, "<u8", data, 0, (1,)) * np.uint64(MULTIPLIER)
+    words ^= words >> np.uint64(32)
+    out = words[:-8] * np.uint64(0xD6E8FEB86659FD93)
+    out += words[8:]
+    out ^= out >> np.uint64(29)
+    out *= np.uint64(0xBF58476D1CE4E5B9)  # upper bits are the best mixed
+    return out
+
+
+def _spans(grams: np.ndarray, start: np.ndarray, end: np.ndarray, longest: int) -> np.ndarray:
+    """Hashes of spans of ``GRAM`` to ``longest`` bytes, from grams that cover them."""
+    out = (end - start).astype(np.uint64)
+    for k in range(0, longest, GRAM):
+        out ^= grams[np.minimum(start + k, end - GRAM)]
+        out *= np.uint64(MULTIPLIER)
+        out ^= out >> np.uint64(31)
+    return mix(out)
+
+
+def _string_hash(grid: np.ndarray) -> np.ndarray:
+    """Hashes of the rows of a table of bytes, ``WIDTH`` each."""
+    out = np.full(len(grid), 0x5EED, np.uint64)
+    for k in (*range(0, WIDTH - 7, 8), WIDTH - 8):
+        out ^= np.ndarray(len(grid), "<u8", grid, k, (WIDTH,))
+        out *= np.uint64(MULTIPLIER)
+        out ^= out >> np.uint64(31)
+    return mix(out)
+
+
 class Fragments:
     """The fragments of a batch, its distinct ones, and what it sends of them."""
 
     def __init__(self, row: dict, chunk: int = CHUNK) -> None:
         self.chunk = chunk
-        raw = pa.decompress(row["texts"], row["n_bytes"], "zstd") if row["n_bytes"] else b""
-        self.data = np.frombuffer(raw, np.uint8)
+        raw = pa.decompress(row["texts"], row["n_bytes"], "zstd", asbytes=True) if row["n_bytes"] else b""
+        self.raw, self.data = raw, np.frombuffer(raw, np.uint8)
         self.ids = row["doc_ids"]
         lengths = np.array(row["lengths"], np.int64)
         self.ends = np.cumsum(lengths)
@@ -153,12 +219,10 @@ class Fragments:
 
     def _anchors(self, a: int, b: int) -> tuple[np.ndarray, ...]:
         data = self.data[a:b]
-        spans = SpanHash(data)
-        n, reach = len(data), WIDTH - GRAM + 1
-        place = np.arange(n - GRAM + 1)
-        grams = spans(place, place + GRAM)
+        grams = _grams(data)
+        reach = WIDTH - GRAM + 1
         low = np.uint64((1 << 24) - 1)
-        least = (grams & ~low) | place.astype(np.uint64)
+        least = (grams & ~low) | np.arange(len(grams), dtype=np.uint64)
         width = 1
         while width < reach:
             step = min(width, reach - width)
@@ -169,18 +233,25 @@ class Fragments:
         for edge in self.ends[inside[0]:inside[1]].tolist():  # strings stay inside a document
             where[max(0, edge - a - WIDTH + 1):edge - a] = -1
         first = np.flatnonzero(np.concatenate(([True], where[1:] != where[:-1])))
-        count = np.diff(np.append(first, len(where)))
-        real = where[first] >= 0
-        first, count = first[real], count[real]
-        # anchors are least hashes, so most are low: scrambled, they spread over all buckets alike
-        anchor = mix(grams[where[first]] ^ np.uint64(MULTIPLIER))
-        return (first + a, count, anchor, spans(first, first + count + WIDTH - 1))
+        end, core = np.append(first[1:], len(where)), where[first]
+        first, end, core = first[core >= 0], end[core >= 0], core[core >= 0]
+        turn = np.clip(core - SIDE + 1, first, end)  # from here on the bytes after the core are inside
+        first, end = np.stack((first, turn), 1).ravel(), np.stack((turn, end), 1).ravel()
+        real = first < end
+        first, count, core = first[real], (end - first)[real], np.repeat(core, 2)[real]
+        after = core - first < SIDE
+        # hashes of cores are least ones, so most are low: an anchor's spread over all buckets alike
+        anchor = _spans(grams, core - np.where(after, 0, SIDE), core + GRAM + np.where(after, SIDE, 0),
+                        GRAM + SIDE) ^ after
+        return (first + a, count, mix(anchor), _spans(grams, first, first + count + WIDTH - 1, LONGEST))
 
     def anchors(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Distinct anchors in order, the distinct fragments of each, and each fragment's anchor."""
-        values, index, counts = np.unique(self.anchor[self.kept], return_inverse=True,
-                                          return_counts=True)
-        return values, counts, index
+        own = self.anchor[self.kept]
+        new = np.ones(len(own), bool)
+        new[1:] = own[1:] != own[:-1]
+        first = np.flatnonzero(new)
+        return own[first], np.diff(np.append(first, len(own))), np.cumsum(new) - 1
 
     def sent(self, flags: np.ndarray, buckets: int) -> dict:
         """The fragments to send, given a flag for each distinct anchor.
@@ -199,15 +270,13 @@ class Fragments:
         doc = np.repeat(self.doc[crowd], self.count[crowd])
         key = np.zeros(len(at), np.uint64)
         for a in range(0, len(at), 1 << 13):  # hashed from their bytes, piece by piece
-            grid = self.data[at[a:a + (1 << 13), None] + np.arange(WIDTH)].ravel()
-            begin = np.arange(len(grid) // WIDTH) * WIDTH
-            key[a:a + (1 << 13)] = mix(SpanHash(grid)(begin, begin + WIDTH) ^ np.uint64(0x5EED))
+            key[a:a + (1 << 13)] = _string_hash(self.data[at[a:a + (1 << 13), None] + np.arange(WIDTH)])
         own, kept, low = distinct(self.data, at, np.full(len(at), WIDTH), key, key, doc)
         all_at = np.concatenate((self.at[self.kept[one]], at[kept]))
         all_count = np.concatenate((self.count[self.kept[one]], np.ones(len(kept), np.int64)))
         all_key = np.concatenate((self.anchor[self.kept[one]], key[kept]))
         all_doc = np.concatenate((self.low[one], low))
-        order = np.argsort(all_key, kind="stable")
+        order = by_key(all_key)
         place = np.zeros(len(order), np.int64)
         place[order] = np.arange(len(order))
         whole = np.full(len(self.kept), -1)
@@ -218,7 +287,7 @@ class Fragments:
 
     def removed(self, sent: dict, answers: np.ndarray) -> np.ndarray:
         """Which bytes go, given for each fragment sent the strings that stand in earlier documents."""
-        gone = np.zeros(len(self.data) + 1, np.int32)
+        gone = np.zeros(len(self.data), bool)
         place = sent["whole"][self.own]
         bits = np.where(place >= 0, answers[np.maximum(place, 0)] if len(answers) else 0, 0)
         bits = bits.astype(np.uint64)
@@ -227,16 +296,17 @@ class Fragments:
         for k in range(int(self.count[hit].max(initial=0))):
             own = hit[(self.count[hit] > k) & ((bits[hit] >> np.uint64(k)) & np.uint64(1)
                                                ).astype(bool)]
-            gone[self.at[own] + k] = 1
+            gone[self.at[own] + k] = True
         at, doc, place, low = sent["strings"]
         if len(at):
             late = (doc > low) | ((answers[place] & np.uint64(1)) > 0)
-            gone[at[late]] = 1
+            gone[at[late]] = True
         begun = np.flatnonzero(gone)
-        cover = np.zeros(len(self.data) + WIDTH + 1, np.int32)
-        cover[begun] += 1
-        cover[begun + WIDTH] -= 1
-        return np.cumsum(cover)[:len(self.data)] > 0
+        apart = np.flatnonzero(np.diff(begun) > WIDTH)
+        edges = np.stack((begun[np.append(0, apart + 1)], begun[np.append(apart, -1)] + WIDTH), 1).ravel() \
+            if len(begun) else begun
+        sizes = np.diff(np.concatenate(([0], edges, [len(self.data)])))
+        return np.repeat(np.arange(len(sizes)) % 2 == 1, sizes)
 
 
 def bucket_of(keys: np.ndarray, buckets: int) -> np.ndarray:
@@ -244,6 +314,33 @@ def bucket_of(keys: np.ndarray, buckets: int) -> np.ndarray:
     return ((keys >> np.uint64(40)) * np.uint64(buckets) >> np.uint64(24)).astype(np.int64)
 
 
+def rest_of(keys: np.ndarray, buckets: int) -> np.ndarray:
+    """What tells keys of a bucket apart, 32 bits in their order. Keys that meet by chance do no harm:
+    more is sent, or strings of different anchors are compared."""
+    with np.errstate(over="ignore"):
+        return (keys * np.uint64(buckets) >> np.uint64(32)).astype(np.uint32)
+
+
+def _planes(values: np.ndarray) -> bytes:
+    """First bytes of all numbers, then second ones and so on, which compress better."""
+    return values.view(np.uint8).reshape(len(values), values.itemsize).T.tobytes()
+
+
+def _unplaned(body: bytes, kind: str, n: int, at: int) -> np.ndarray:
+    width = np.dtype(kind).itemsize
+    planes = np.frombuffer(body, np.uint8, n * width, at).reshape(width, n)
+    return np.ascontiguousarray(planes.T).view(kind).ravel()
+
+
+def _steps(rest: np.ndarray) -> bytes:
+    """Sorted numbers of 32 bits as their differences."""
+    return _planes(np.diff(rest, prepend=np.uint32(0)))
+
+
+def _unstepped(body: bytes, n: int, at: int) -> np.ndarray:
+    return np.cumsum(_unplaned(body, "<u4", n, at), dtype=np.uint32)
+
+
 def _slices(sorted_buckets: np.ndarray) -> Iterator[tuple[int, int, int]]:
     edges = np.flatnonzero(np.diff(sorted_buckets)) + 1
     cuts = [0, *edges.tolist(), len(sorted_buckets)]
@@ -275,11 +372,10 @@ def _send_anchors(buckets: int, chunk: int):
                 values, counts, _ = Fragments(row, chunk).anchors()
                 if not len(values):
                     continue
-                # the bucket has the top bits, five bytes of the rest tell anchors apart
-                low = np.ascontiguousarray(values.astype("<u8")).view(np.uint8).reshape(-1, 8)[:, :5]
+                rest = rest_of(values, buckets)
                 many = np.minimum(counts, 255).astype(np.uint8)
                 yield _message([
-                    (bucket, row["batch"], low[a:b].tobytes() + many[a:b].tobytes())
+                    (bucket, row["batch"], _steps(rest[a:b]) + many[a:b].tobytes())
                     for bucket, a, b in _slices(bucket_of(values, buckets))])
 
     return work
@@ -290,17 +386,20 @@ def _flag_anchors(table: pa.Table, crowd: int) -> pa.Table:
     rows = table.to_pylist()
     lows, counts = [], []
     for row in rows:
-        body = np.frombuffer(_body(row), np.uint8)
-        n = len(body) // 6
-        wide = np.zeros((n, 8), np.uint8)
-        wide[:, :5] = body[:5 * n].reshape(n, 5)
-        lows.append(wide.view("<u8").ravel())
-        counts.append(body[5 * n:].astype(np.int64))
-    values, index = np.unique(np.concatenate(lows), return_inverse=True)
-    total = np.bincount(index, np.concatenate(counts), len(values))
-    full = np.bincount(index, np.concatenate(counts) >= 255, len(values)) > 0
-    flags = np.where(full | (total >= crowd), CROWDED, np.where(total > 1, SHARED, ALONE))
-    flags = flags.astype(np.uint8)[index]
+        body = _body(row)
+        n = len(body) // 5
+        lows.append(_unstepped(body, n, 0))
+        counts.append(np.frombuffer(body, np.uint8, n, 4 * n))
+    low, count = np.concatenate(lows), np.concatenate(counts)
+    packed = np.sort((low.astype(np.uint64) << np.uint64(32)) | np.arange(len(low), dtype=np.uint64))
+    order, low = (packed & np.uint64(0xFFFFFFFF)).astype(np.int64), packed >> np.uint64(32)
+    first = np.flatnonzero(np.concatenate(([True], low[1:] != low[:-1])))
+    count = count[order]
+    total = np.add.reduceat(count, first, dtype=np.int64)
+    full = np.maximum.reduceat(count, first) >= 255
+    flag = np.where(full | (total >= crowd), CROWDED, np.where(total > 1, SHARED, ALONE))
+    flags = np.zeros(len(order), np.uint8)
+    flags[order] = np.repeat(flag, np.diff(np.append(first, len(order))))
     ends = np.cumsum([len(x) for x in lows])
     out = _message([(row["bucket"], row["batch"], flags[end - len(x):end].tobytes())
                     for row, x, end in zip(rows, lows, ends.tolist())])
@@ -320,14 +419,13 @@ def _send_fragments(buckets: int, chunk: int):
                 sent = own.sent(np.frombuffer(_answers(row["flags"]), np.uint8), buckets)
                 if not len(sent["at"]):
                     continue
-                rows = []
+                rows, rest = [], rest_of(sent["key"], buckets)
                 for bucket, a, b in _slices(sent["bucket"]):
                     at, count = sent["at"][a:b], sent["count"][a:b]
                     rows.append((bucket, row["batch"], b"".join((
-                        np.int64(b - a).tobytes(), sent["key"][a:b].astype("<u8").tobytes(),
-                        sent["doc"][a:b].astype("<i8").tobytes(), count.astype(np.uint8).tobytes(),
-                        *(own.data[x:x + c + WIDTH - 1].tobytes()
-                          for x, c in zip(at.tolist(), count.tolist()))))))
+                        np.int64(b - a).tobytes(), _steps(rest[a:b]), _planes(sent["doc"][a:b]),
+                        count.astype(np.uint8).tobytes(),
+                        *(own.raw[x:y] for x, y in zip(at.tolist(), (at + count + WIDTH - 1).tolist()))))))
                 yield _message(rows)
 
     return work
@@ -340,20 +438,20 @@ def _match(table: pa.Table, shard_bytes: int) -> pa.Table:
     for row in rows:
         body = _body(row)
         n = int(np.frombuffer(body, "<i8", 1)[0])
-        keys.append(np.frombuffer(body, "<u8", n, 8))
-        docs.append(np.frombuffer(body, "<i8", n, 8 + 8 * n))
-        counts.append(np.frombuffer(body, np.uint8, n, 8 + 16 * n))
-        texts.append(np.frombuffer(body, np.uint8, offset=8 + 17 * n))
+        keys.append(_unstepped(body, n, 8))
+        docs.append(_unplaned(body, "<i8", n, 8 + 4 * n))
+        counts.append(np.frombuffer(body, np.uint8, n, 8 + 12 * n))
+        texts.append(np.frombuffer(body, np.uint8, offset=8 + 13 * n))
     sizes = [len(k) for k in keys]
-    key, doc = np.concatenate(keys), np.concatenate(docs)
+    key, doc = np.concatenate(keys).astype(np.uint64) << np.uint64(32), np.concatenate(docs)
     count, text = np.concatenate(counts).astype(np.int64), np.concatenate(texts)
     stop = np.cumsum(count + WIDTH - 1)
     start = stop - count - WIDTH + 1
     content = np.zeros(len(start), np.uint64)
     for a in range(0, len(start), 1 << 12):  # piece by piece, for the memory of it
         first, last = start[a:a + (1 << 12)], stop[a:a + (1 << 12)]
-        own = SpanHash(text[first[0]:last[-1]])
-        content[a:a + (1 << 12)] = own(first - first[0], last - first[0])
+        content[a:a + (1 << 12)] = _spans(_grams(text[first[0]:last[-1]]), first - first[0],
+                                          last - first[0], LONGEST)
     own, kept, low = distinct(text, start, stop - start, key, content, doc)
     bits = np.zeros(len(kept), np.uint64)
     # distinct fragments are in order of anchors: those of one anchor alone have nothing to match
@@ -420,27 +518,38 @@ def _by_batch(messages: DataFrame, name: str) -> DataFrame:
         F.collect_list(F.struct("bucket", "size", "body")).alias(name))
 
 
-def remove_repeats(docs: DataFrame, batch_bytes: int = BATCH_BYTES) -> DataFrame:
+def scale_of(total: int) -> float:
+    """Times which batches, buckets and tasks are larger over ``total`` bytes of text."""
+    return min(MOST, max(1.0, (total / STEADY) ** 0.5))
+
+
+def remove_repeats(docs: DataFrame, batch_bytes: int | None = None) -> DataFrame:
     """Each row's text, as UTF-8, without the bytes of 50-byte strings of smaller ``doc_id``.
 
     Overlapping strings all count, and the input is judged, not what is left of it. Matches never
     cross documents. A null text is empty; texts of fewer than 50 bytes lose nothing. Rows that share
     an id do not remove from each other; rows without an id neither lose nor cause anything. Extra
-    columns are ignored. Texts of any length are worked on whole.
+    columns are ignored. Texts of any length are worked on whole. Without ``batch_bytes`` the texts'
+    lengths are summed up first, and batches sized by it.
     """
-    spark = docs.sparkSession
-    packed = written(_pack(documents(docs), batch_bytes), "batches")
+    spark, docs = docs.sparkSession, documents(docs)
+    if batch_bytes is None:
+        size = scalar(docs.agg(F.sum(F.octet_length("text").cast("long")))) or 0
+        batch_bytes = int(BATCH_BYTES * scale_of(size))
+    packed = written(_pack(docs, batch_bytes), "batches")
     total = scalar(packed.agg(F.sum("n_bytes"))) or 0
-    # an anchor comes about every (WIDTH - GRAM + 2) / 2 bytes
-    few = partitions_for(spark, 2 * total // (WIDTH - GRAM + 2), BUCKET_ANCHORS)
-    many = partitions_for(spark, 2 * total, BUCKET_BYTES)
+    scale = scale_of(total)
+    # an anchor comes about every (WIDTH - GRAM + 2) / 3 bytes
+    few = partitions_for(spark, 3 * total // (WIDTH - GRAM + 2), int(BUCKET_ANCHORS * scale))
+    many = partitions_for(spark, 2 * total, int(BUCKET_BYTES * scale))
     # A fixed number of partitions: merged by their bytes, some would get many of the buckets.
-    tasks = partitions_for(spark, total, TASK_BYTES)
+    tasks = partitions_for(spark, total, int(TASK_BYTES * scale))
     crowd, shard_bytes, chunk = CROWD, SHARD_BYTES, CHUNK
     flags = (packed.mapInArrow(_send_anchors(few, chunk), MESSAGE_SQL).repartition(tasks, "bucket")
              .groupBy("bucket").applyInArrow(lambda t: _flag_anchors(t, crowd), MESSAGE_SQL))
     asked = packed.join(written(_by_batch(flags, "flags"), "anchor-flags"), "batch", "left")
     answers = (asked.mapInArrow(_send_fragments(many, chunk), MESSAGE_SQL).repartition(tasks, "bucket")
                .groupBy("bucket").applyInArrow(lambda t: _match(t, shard_bytes), MESSAGE_SQL))
-    judged = asked.join(written(_by_batch(answers, "answers"), "answers"), "batch", "left")
+    # Not written: in one plan with the answers the batches are shuffled once, not twice.
+    judged = asked.join(_by_batch(answers, "answers"), "batch", "left")
     return judged.mapInArrow(_remove(many, chunk), OUT_SQL)

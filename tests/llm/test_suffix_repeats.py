@@ -4,6 +4,7 @@ import hashlib
 import random
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from llm_rows import plain
@@ -128,3 +129,52 @@ def test_runs_are_fewer_than_symbols():
     text = bytes(random.Random(1).choices(range(1, 30), k=60))
     data = np.frombuffer((text + b"\0") * 50, np.uint8)
     assert len(RunIndex(data, np.zeros(len(data), np.int64), 32).starts) < len(data) / 20
+
+
+def flags_of(texts, buckets=4):
+    """Flags of the distinct anchors of documents that are a batch each."""
+    sent = []
+    for number, text in enumerate(texts):
+        raw = text.encode()
+        row = {"batch": number, "n_bytes": len(raw), "doc_ids": [number], "lengths": [len(raw)],
+               "texts": pa.compress(raw, "zstd", asbytes=True)}
+        for batch in S._send_anchors(buckets, S.CHUNK)(iter([pa.RecordBatch.from_pylist([row])])):
+            sent += batch.to_pylist()
+    out = []
+    for bucket in {m["bucket"] for m in sent}:
+        table = pa.Table.from_pylist([m for m in sent if m["bucket"] == bucket], schema=S.MESSAGE)
+        out += [np.frombuffer(S._body(m), np.uint8) for m in S._flag_anchors(table, S.CROWD).to_pylist()]
+    return np.concatenate(out)
+
+
+def test_phrases_alone_do_not_bring_fragments_together():
+    """Phrases of 20 bytes hold anchors of 16, but no string of 50 bytes is in two documents."""
+    rng = random.Random(5)
+    letters = "abcdefghijklmnopqrstuvwxyz "
+    phrases = ["".join(rng.choices(letters, k=20)) for _ in range(10)]
+    texts = ["".join("".join(rng.choices(letters, k=60)) + p for p in phrases) for _ in range(30)]
+    assert (flags_of(texts) == S.ALONE).all()
+    assert (flags_of(texts[:2] + [texts[0][100:180]]) == S.SHARED).sum() >= 4
+
+
+def test_messages_grow_with_the_corpus(docs_of, rows, monkeypatch):
+    """Over sixteen times the text, batches and buckets are four times larger, and as many more."""
+    sizes, pack = [], S._pack
+
+    def packed(docs, batch_bytes):
+        sizes.append(batch_bytes)
+        return pack(docs, batch_bytes)
+
+    monkeypatch.setattr(S, "_pack", packed)
+    total = sum(len((r[1] or "").encode()) for r in rows)
+    for times in (1, 16):
+        monkeypatch.setattr(S, "STEADY", total / times)
+        monkeypatch.setattr(S, "BATCH_BYTES", 3000)
+        assert plain(S.remove_repeats(docs_of(rows)).drop("kept").collect()) == brute(rows)
+    assert sizes == [3000, 12000]
+
+
+def test_symbols_shared_before_a_difference_in_all_bits():
+    data = np.frombuffer(b"A" + b"\x01" * 8 + b"\0A" + b"\xfe" * 8 + b"\0", np.uint8)
+    index = RunIndex(data, np.zeros(len(data), np.int64), 8)
+    assert index.shared(np.array([0]), np.array([10]), np.array([8])).tolist() == [1]
