@@ -22,8 +22,9 @@ An anchor of very many fragments, such as the end of a passage that a third of a
 is not gathered: its strings are sent one by one as fragments of their own, keyed by their own bytes,
 so that they spread over all buckets and copies again meet by hash. What a batch holds several times
 it sends once. Hand-over tables are written to the shared folder. Messages go from each batch to each
-bucket, so batches and buckets both grow with the square root of the corpus: the number of messages
-then grows as the corpus does, not with its square.
+bucket, so buckets grow with the square root of the corpus and batches, of which a task needs more
+memory, with the fourth root: the number of messages then grows little faster than the corpus does, not
+with its square.
 """
 
 from __future__ import annotations
@@ -44,7 +45,7 @@ WIDTH = 50
 GRAM = 16  # two words of eight bytes
 SIDE = (WIDTH - GRAM + 1) // 2
 LONGEST = WIDTH + SIDE  # bytes of a fragment at the most
-BATCH_BYTES = 2 << 20
+BATCH_BYTES = 3 << 19
 CROWD = 2048  # fragments of one anchor, from which on its strings go one by one
 SHARD_BYTES = 1 << 18
 BUCKET_ANCHORS = 1 << 19
@@ -52,7 +53,7 @@ BUCKET_BYTES = 4 << 20
 CHUNK = 1 << 16
 TASK_BYTES = 8 << 20  # of text whose messages meet in a task, on average
 STEADY = 1 << 30  # bytes of text up to which batches, buckets and tasks have these sizes
-MOST = 8.0  # times these sizes at the most, as a batch and a bucket are held in memory
+MOST = 4.0  # times larger buckets are at the most, as one is held in memory; batches half of it
 
 BATCHES = ("batch long, n_bytes long, doc_ids array<long>, lengths array<long>, texts binary")
 ALONE, SHARED, CROWDED = 0, 1, 2
@@ -198,10 +199,13 @@ class Fragments:
         none, no_hash = np.zeros(0, np.int64), np.zeros(0, np.uint64)
         parts = [(none, none, no_hash, no_hash)]
         parts += [self._anchors(a, b) for a, b in zip(*self._stretches(known))]
-        self.at, self.count, self.anchor, self.content = map(np.concatenate, zip(*parts))
-        self.doc = self.numbers[np.searchsorted(self.ends, self.at, "right")]
-        self.own, self.kept, self.low = distinct(
-            self.data, self.at, self.count + WIDTH - 1, self.anchor, self.content, self.doc)
+        at, count, anchor, content = map(np.concatenate, zip(*parts))
+        del parts
+        self.doc = self.numbers[np.searchsorted(self.ends, at, "right")]
+        own, kept, self.low = distinct(self.data, at, count + WIDTH - 1, anchor, content, self.doc)
+        # no batch has 2 ** 31 bytes
+        self.at, self.count, self.own, self.kept = (x.astype(np.int32) for x in (at, count, own, kept))
+        self.anchor = anchor[kept]  # of the distinct ones
 
     def _stretches(self, known: np.ndarray) -> tuple[list[int], list[int]]:
         """Byte ranges to look at together: neighbouring documents, or parts of a very long one."""
@@ -247,7 +251,7 @@ class Fragments:
 
     def anchors(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Distinct anchors in order, the distinct fragments of each, and each fragment's anchor."""
-        own = self.anchor[self.kept]
+        own = self.anchor
         new = np.ones(len(own), bool)
         new[1:] = own[1:] != own[:-1]
         first = np.flatnonzero(new)
@@ -274,7 +278,7 @@ class Fragments:
         own, kept, low = distinct(self.data, at, np.full(len(at), WIDTH), key, key, doc)
         all_at = np.concatenate((self.at[self.kept[one]], at[kept]))
         all_count = np.concatenate((self.count[self.kept[one]], np.ones(len(kept), np.int64)))
-        all_key = np.concatenate((self.anchor[self.kept[one]], key[kept]))
+        all_key = np.concatenate((self.anchor[one], key[kept]))
         all_doc = np.concatenate((self.low[one], low))
         order = by_key(all_key)
         place = np.zeros(len(order), np.int64)
@@ -365,10 +369,16 @@ def _body(row: dict) -> bytes:
     return pa.decompress(row["body"], row["size"], "zstd", asbytes=True) if row["size"] else b""
 
 
+def _rows(batch: pa.RecordBatch) -> Iterator[dict]:
+    """Rows one at a time, as each holds a batch of documents."""
+    for k in range(batch.num_rows):
+        yield batch.slice(k, 1).to_pylist()[0]
+
+
 def _send_anchors(buckets: int, chunk: int):
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for row in batch.to_pylist():
+            for row in _rows(batch):
                 values, counts, _ = Fragments(row, chunk).anchors()
                 if not len(values):
                     continue
@@ -414,7 +424,7 @@ def _answers(parts: list[dict] | None) -> bytes:
 def _send_fragments(buckets: int, chunk: int):
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for row in batch.to_pylist():
+            for row in _rows(batch):
                 own = Fragments(row, chunk)
                 sent = own.sent(np.frombuffer(_answers(row["flags"]), np.uint8), buckets)
                 if not len(sent["at"]):
@@ -445,6 +455,8 @@ def _match(table: pa.Table, shard_bytes: int) -> pa.Table:
     sizes = [len(k) for k in keys]
     key, doc = np.concatenate(keys).astype(np.uint64) << np.uint64(32), np.concatenate(docs)
     count, text = np.concatenate(counts).astype(np.int64), np.concatenate(texts)
+    rows = [(row["bucket"], row["batch"]) for row in rows]
+    del keys, docs, counts, texts, body
     stop = np.cumsum(count + WIDTH - 1)
     start = stop - count - WIDTH + 1
     content = np.zeros(len(start), np.uint64)
@@ -481,8 +493,8 @@ def _match(table: pa.Table, shard_bytes: int) -> pa.Table:
     answer = bits[own]
     answer[doc > low[own]] = ~np.uint64(0)
     ends = np.cumsum(sizes)
-    out = _message([(row["bucket"], row["batch"], answer[e - n:e].astype("<u8").tobytes())
-                    for row, n, e in zip(rows, sizes, ends.tolist())])
+    out = _message([(bucket, batch, answer[e - n:e].astype("<u8").tobytes())
+                    for (bucket, batch), e, n in zip(rows, ends.tolist(), sizes)])
     return pa.Table.from_batches([out])
 
 
@@ -494,7 +506,7 @@ OUT_SQL = ("doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256
 def _remove(buckets: int, chunk: int):
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for row in batch.to_pylist():
+            for row in _rows(batch):
                 own = Fragments(row, chunk)
                 sent = own.sent(np.frombuffer(_answers(row["flags"]), np.uint8), buckets)
                 gone = own.removed(sent, np.frombuffer(_answers(row["answers"]), "<u8"))
@@ -519,7 +531,7 @@ def _by_batch(messages: DataFrame, name: str) -> DataFrame:
 
 
 def scale_of(total: int) -> float:
-    """Times which batches, buckets and tasks are larger over ``total`` bytes of text."""
+    """Times which buckets and tasks are larger over ``total`` bytes of text; its root is that of batches."""
     return min(MOST, max(1.0, (total / STEADY) ** 0.5))
 
 
@@ -535,7 +547,7 @@ def remove_repeats(docs: DataFrame, batch_bytes: int | None = None) -> DataFrame
     spark, docs = docs.sparkSession, documents(docs)
     if batch_bytes is None:
         size = scalar(docs.agg(F.sum(F.octet_length("text").cast("long")))) or 0
-        batch_bytes = int(BATCH_BYTES * scale_of(size))
+        batch_bytes = int(BATCH_BYTES * scale_of(size) ** 0.5)
     packed = written(_pack(docs, batch_bytes), "batches")
     total = scalar(packed.agg(F.sum("n_bytes"))) or 0
     scale = scale_of(total)

@@ -158,7 +158,7 @@ def test_phrases_alone_do_not_bring_fragments_together():
 
 
 def test_messages_grow_with_the_corpus(docs_of, rows, monkeypatch):
-    """Over sixteen times the text, batches and buckets are four times larger, and as many more."""
+    """Over sixteen times the text, buckets are four times and batches twice as large."""
     sizes, pack = [], S._pack
 
     def packed(docs, batch_bytes):
@@ -171,7 +171,7 @@ def test_messages_grow_with_the_corpus(docs_of, rows, monkeypatch):
         monkeypatch.setattr(S, "STEADY", total / times)
         monkeypatch.setattr(S, "BATCH_BYTES", 3000)
         assert plain(S.remove_repeats(docs_of(rows)).drop("kept").collect()) == brute(rows)
-    assert sizes == [3000, 12000]
+    assert sizes == [3000, 6000] and S.scale_of(total) == 4
 
 
 def test_symbols_shared_before_a_difference_in_all_bits():
